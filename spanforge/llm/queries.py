@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring, suffix_merge
+from . import minhash, mixing, packing, substring, suffix_merge
 from .common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_digest(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_merge.suffix_digest(table(spark, sf_dir, "documents"))
 
@@ -18,10 +26,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": op2_packing,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
