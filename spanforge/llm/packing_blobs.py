@@ -23,7 +23,7 @@ def put(frags: list[bytes], ids: np.ndarray, keys: np.ndarray, offsets: np.ndarr
     lengths = np.fromiter(map(len, seen), np.uint32, len(seen))
     delta = lambda a: np.diff(a, prepend=np.int64(0)).astype(np.int64).tobytes()
     raw = b"".join((lengths.tobytes(), extra[first].astype(np.uint32).tobytes(), np.diff(which, prepend=0).astype(np.int32).tobytes(), delta(ids), delta(keys), offsets.astype(np.uint32).tobytes(), *seen))
-    return struct.pack("<II", len(seen), len(frags)) + zstandard.ZstdCompressor(level=1).compress(raw)
+    return struct.pack("<II", len(seen), len(frags)) + zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def get(body: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

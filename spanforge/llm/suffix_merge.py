@@ -36,7 +36,7 @@ from . import common, packing_blobs, spans
 LENGTH = 200
 GRAM = 32
 SYMBOL = 8
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
 HASH_BYTES = 1 << 18
 BUCKET_BYTES = 16 << 20
 SEGMENT_BYTES = HASH_BYTES
