@@ -6,18 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, substring, suffix_merge
+from . import chat, embedding, minhash, mixing, packing, quality, substring, suffix_merge, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_digest(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+#: A conversation whose texts hold control strings.
+_AWKWARD = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", _AWKWARD), (-7, 1, "assistant", _AWKWARD)], rows.schema)
+    return chat.format_digest(rows.union(more))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_merge.suffix_digest(table(spark, sf_dir, "documents"))
 
@@ -32,8 +54,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_packing": op2_packing,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
+        "op5_quality_rules": op5_quality_rules,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_chat_formatting": op7_chat_formatting,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
