@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding, minhash, mixing, packing, quality, substring, suffix_merge, warc
+from . import chat, embedding, masked_lm, minhash, mixing, packing, quality, substring, suffix_merge, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_packing": op2_packing,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
