@@ -31,7 +31,8 @@ from . import common, packing_blobs, spans
 
 WINDOW = 13
 GRAM = 3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
+HASH_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 SEGMENT_WORDS = 100_000
 _LOW = np.uint64((1 << 23) - 1)
@@ -70,18 +71,22 @@ def _super_kmers(raw: bytes, window: int):
 
 
 def _pack(batches, buckets: int, window: int):
-    held: list[tuple] = []  # (bytes of a segment, doc id, row key, first word)
-    size = 0
+    held: list[tuple] = []  # segments to hash: (bytes, doc id, row key, first word)
+    ready: list[tuple] = []  # arrays of fragments
+    size = total = 0
 
-    def flush():
+    def runs():
         raw = b"\n".join(x[0] for x in held) + b"\n"
         s, e, seg, word, h = _super_kmers(raw, window)
         ids, keys, base = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
-        ids, keys, place = ids[seg], keys[seg], base[seg] + word
-        out, zero = [], np.zeros(len(s), np.uint32)
-        for bucket, part in packing_blobs.by_bucket((h % np.uint64(buckets)).astype(np.int64)):
-            frags = [raw[a:b] for a, b in zip(s[part].tolist(), e[part].tolist())]
-            out.append((bucket, packing_blobs.put(frags, ids[part], keys[part], place[part], zero[part])))
+        frags = [raw[a:b] for a, b in zip(s.tolist(), e.tolist())]
+        return frags, ids[seg], keys[seg], base[seg] + word, (h % np.uint64(buckets)).astype(np.int64)
+
+    def flush():
+        frags = [f for x in ready for f in x[0]]
+        ids, keys, place, where = (np.concatenate([x[k] for x in ready]) for k in range(1, 5))
+        zero = np.zeros(len(frags), np.uint32)
+        out = [(bucket, packing_blobs.put([frags[k] for k in part.tolist()], ids[part], keys[part], place[part], zero[part])) for bucket, part in packing_blobs.by_bucket(where)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "body"])
 
     for batch in batches:
@@ -93,10 +98,15 @@ def _pack(batches, buckets: int, window: int):
                 part = b" ".join(words[at : at + SEGMENT_WORDS + window - 1])
                 held.append((part, doc, key, at))
                 size += len(part)
-                if size >= CHUNK_BYTES:
+                if size >= HASH_BYTES:
+                    ready.append(runs())
+                    held, total, size = [], total + size, 0
+                if total >= CHUNK_BYTES:
                     yield flush()
-                    held, size = [], 0
+                    ready, total = [], 0
     if held:
+        ready.append(runs())
+    if ready:
         yield flush()
 
 
