@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 # Symbol kinds of the language server protocol with a name here.
 SYMBOL_KINDS = {12: "function", 6: "method", 9: "constructor", 7: "property"}
 
@@ -95,8 +97,12 @@ def _walk(edges: DataFrame, roots: DataFrame, depth: int, down: bool) -> DataFra
     reached, out = front, None
     for hop in range(1, depth + 1):
         crossed = edges.join(front, edges[near] == front["__at"], "left_semi").select("caller", "callee").distinct().withColumn("depth", F.lit(hop))
+        if hop > 1 and hop < depth:  # else each hop would be planned again inside the next
+            crossed = materialise(crossed, "hop")
         out = crossed if out is None else out.unionByName(crossed)
         seen = reached.withColumnRenamed("__at", "__seen")
+        if hop == depth:
+            break
         new = crossed.select(F.col(far).alias("__at")).distinct()
         front = new.join(seen, new["__at"] == seen["__seen"], "left_anti")
         reached = reached.unionByName(front)
