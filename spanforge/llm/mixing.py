@@ -35,6 +35,11 @@ def word_count(column: str = "text"):
     return F.coalesce(F.regexp_count(column, F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
 
 
+def shuffle_key(seed: int = SEED):
+    """A pseudo-random order of ids that any SQL engine can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE, repeats: int = MAX_REPEATS) -> DataFrame:
     """sizes (source, size) to one row a source: source, rank, source_size, target."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -57,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, source, size, more) to the same rows with source_size, target and passes (times taken, 0 to repeats)."""
-    shuffled = docs.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id"))
+    shuffled = docs.withColumn("__h", shuffle_key(seed))
     targets = source_targets(docs.select("source", "size"), weights, share, repeats)
     cum = running_total(shuffled, ["source"], ["__h", "doc_id", "size"], "size", "__cum", targets)
     finish = lambda k: F.coalesce(F.try_divide(F.col("__cum") + F.lit(k) * F.col("source_size"), F.col("target")), F.lit(0.0))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import SEED, word_count
+from .mixing import SEED, shuffle_key, word_count
 from .running import running_total
 
 N_BUCKETS = 16
@@ -79,7 +79,7 @@ def pack(docs: DataFrame, buckets: int = N_BUCKETS, budget: int = BUDGET, seed:
     for e in edges[:-1]:
         at = at + (F.col("__edge") > e).cast("int")
     top = F.element_at(F.array(*(F.lit(int(e)) for e in edges)), F.col("bucket") + 1).cast("long")
-    rows = rows.withColumn("bucket", at).withColumn("padded_tokens", top).withColumns({"__h": F.xxhash64(F.lit(seed), "doc_id"), "__one": F.lit(1).cast("long")})
+    rows = rows.withColumn("bucket", at).withColumn("padded_tokens", top).withColumns({"__h": shuffle_key(seed), "__one": F.lit(1).cast("long")})
     ranked = running_total(rows, ["bucket"], ["__h", "doc_id", "n_tokens"], "__one", "__rank")
     each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest("padded_tokens", F.lit(1))))
     place = F.col("__rank") - 1

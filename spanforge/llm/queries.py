@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding, masked_lm, minhash, mixing, packing, quality, substring, suffix_merge, warc
+from . import chat, embedding, masked_lm, minhash, mixing, oracles, packing, quality, substring, suffix_merge, warc
 from .common import table
 
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
