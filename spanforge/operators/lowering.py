@@ -31,7 +31,7 @@ def names_of(d: fm.Decorated, language: str) -> set[str]:
     """Metavariables that a formula's own matches bind."""
     own = {d.as_name} if d.as_name else set()
     if isinstance(d.node, fm.Pattern):
-        return own | {f"${n}" for n in matcher.compile_pattern(d.node.text, language).names()} if language in _trees() else own
+        return own | {f"${n}" for n in matcher.compile_pattern(d.node.text, language, True).names()} if language in _trees() else own
     if isinstance(d.node, fm.Regex):
         rx = re.compile(d.node.pattern)
         return own | {f"${n}" for n in rx.groupindex} | {f"${k}" for k in range(1, rx.groups + 1)}

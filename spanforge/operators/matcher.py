@@ -90,10 +90,11 @@ _WRAPPERS = {
 
 
 def compile_pattern(source: str, language: str, expression: bool = False) -> Compiled:
-    """expression: a lone expression matches wherever it stands, not only as a statement."""
+    """expression: the second dialect throughout, in which a lone expression matches wherever it stands and not only as a statement."""
     variables: dict[str, Metavariable] = {}
     deep: dict[str, Compiled] = {}
-    out, extended = [], False
+    out: list[str] = []
+    extended = False
     for kind, value in lex(source):
         if kind == "text":
             out.append(value)
@@ -110,7 +111,7 @@ def compile_pattern(source: str, language: str, expression: bool = False) -> Com
                 deep[key] = compile_pattern(value, language, True)
             out.append(f"{_MARK}{key}__")
     text = "".join(out)
-    extended = extended or "$..." in source
+    extended = extended or expression or "$..." in source
     tree, wrapped = parse(text, language), False
     if tree.has_errors() and language in _WRAPPERS:
         tree, wrapped = parse(_WRAPPERS[language](text), language), True
@@ -125,7 +126,7 @@ def compile_pattern(source: str, language: str, expression: bool = False) -> Com
     root = inner[0]
     while language == "prose" and len(root.children) == 1:
         root = root.children[0]
-    if root.kind == "expression_statement" and (extended or expression or language != "python") and len(root.named_children()) == 1:
+    if root.kind == "expression_statement" and (extended or language != "python") and len(root.named_children()) == 1:
         root = root.named_children()[0]
     return Compiled(source, language, root, tree, variables, deep, extended)
 
@@ -164,7 +165,7 @@ class _Matcher:
             if m:
                 return (m[1], self.p.variables[m[1]]) if m[1] in self.p.variables else None
             named = node.named_children()
-            if self.p.extended or len(named) != 1 or node.kind in _KEPT or not node.children:
+            if self.p.extended and node.kind != "expression_statement" or len(named) != 1 or node.kind in _KEPT or not node.children:
                 return None
             node = named[0]
 

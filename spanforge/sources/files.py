@@ -17,10 +17,10 @@ def check_uri(uri: str) -> str:
 
 def read_sources(spark: SparkSession, *uris: str, pattern: str | None = None) -> DataFrame:
     """Whole text files to (uri, lang, text, content_hash)."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = reader.text([check_uri(u) for u in uris]).withColumn("uri", F.col("_metadata.file_path"))
+    df = reader.text([check_uri(u) for u in uris], wholetext=True).withColumn("uri", F.col("_metadata.file_path"))
     return df.select("uri", language_of("uri").alias("lang"), F.col("value").alias("text"), content_hash("value").alias("content_hash"))
 
 
