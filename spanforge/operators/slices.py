@@ -132,3 +132,49 @@ def slice_response(budgeted: DataFrame, capped: Column | None = None, group: str
 def refusal(has_symbol: Column, in_range: Column, language: Column) -> Column:
     """The refusal reason of a request, or null."""
     return F.when(language.isNull(), REFUSALS[2]).when(~in_range, REFUSALS[1]).when(~has_symbol, REFUSALS[0])
+
+
+# Weights of a node's score in a multi-hop slice.
+SCORE_WEIGHTS = {"confidence": 1.0, "fan_in": 0.3, "proximity": 0.5, "cost": -0.001}
+
+
+def priority_slice(edges: DataFrame, costs: DataFrame, entry: str, request: SliceRequest) -> DataFrame:
+    """Multi-hop slice: (id, depth, score, kept) from an entry symbol, best score first, within depth, cards and tokens.
+
+    edges (caller, callee, confidence), costs (id, tokens). One bounded join for each hop; a node keeps the
+    depth at which it is first seen. The node limit cuts each hop's front, so what a hop expands is at most max_cards.
+    """
+    spark = edges.sparkSession
+    usable = edges.filter(F.col("confidence") >= request.min_confidence)
+    fans = usable.groupBy("callee").agg(F.count("*").alias("fan_in")).withColumnRenamed("callee", "__fan")
+    ends = []
+    if request.direction in ("out", "both"):
+        ends.append(usable.select(F.col("caller").alias("__at"), F.col("callee").alias("id"), "confidence"))
+    if request.direction in ("in", "both"):
+        ends.append(usable.select(F.col("callee").alias("__at"), F.col("caller").alias("id"), "confidence"))
+    steps = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
+    seen = {entry: (0, float("inf"))}  # at most depth * max_cards ids that are kept or spilled next
+    front = [entry]
+    for depth in range(1, request.depth + 1):
+        at = spark.createDataFrame([(x,) for x in front], "__from string")
+        found = steps.join(F.broadcast(at), steps["__at"].cast("string") == at["__from"]).groupBy("id").agg(F.max("confidence").alias("confidence"))
+        found = found.join(fans, found["id"] == fans["__fan"], "left")
+        w = SCORE_WEIGHTS
+        tokens = costs.select(F.col("id").alias("__cost"), "tokens")
+        found = found.join(tokens, found["id"] == tokens["__cost"], "left")
+        score = w["confidence"] * F.col("confidence") + w["fan_in"] * F.log1p(F.coalesce("fan_in", F.lit(0))) + w["proximity"] / depth + w["cost"] * F.coalesce("tokens", F.lit(0))
+        rows = found.filter(~F.col("id").cast("string").isin(list(seen))).select(F.col("id").cast("string").alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(request.max_cards + 1).collect()
+        front = []
+        for r in rows:
+            seen[r["id"]] = (depth, r["score"])
+            front.append(r["id"])
+        front = front[: request.max_cards]
+        if not front:
+            break
+    out = spark.createDataFrame([(k, d, s) for k, (d, s) in seen.items()], "id string, depth int, score double")
+    spent = costs.select(F.col("id").cast("string").alias("__id"), "tokens")
+    out = out.join(spent, out["id"] == spent["__id"], "left").drop("__id")
+    order = W.orderBy(F.desc("score"), "depth", "id")
+    total = F.sum(F.coalesce("tokens", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    kept = (F.row_number().over(order) <= request.max_cards) & ((total <= request.max_tokens) | (F.col("id") == entry))
+    return out.withColumn("kept", kept).select("id", "depth", "score", "kept")

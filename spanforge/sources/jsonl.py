@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,24 @@ def responses(results: DataFrame, data: str = "data", status: str = "status") ->
     """A stream line and then an exit line for each result row (value, ord)."""
     lines = F.array(F.struct(F.lit(0).alias("ord"), stream_line("stdout", data).alias("value")), F.struct(F.lit(1).alias("ord"), exit_line(F.col(status)).alias("value")))
     return results.select(*[c for c in results.columns if c not in (data, status)], F.explode(lines).alias("x")).select("*", "x.ord", "x.value").drop("x")
+
+
+#: Fixed value: consecutive empty lines after which an output reader gives up.
+MAX_EMPTY_LINES = 10
+
+
+def read_output(lines, most: int = MAX_EMPTY_LINES) -> tuple[list[str], int | None]:
+    """Stream data and exit status of response lines; stops at the exit, or after too many empty lines in a row."""
+    data, empty = [], 0
+    for line in lines:
+        if not line.strip():
+            empty += 1
+            if empty >= most:
+                raise ValueError(f"{most} empty lines in a row")
+            continue
+        empty = 0
+        message = json.loads(line)
+        if message["kind"] == "exit":
+            return data, message["status"]
+        data.append(message["data"])
+    return data, None

@@ -127,6 +127,17 @@ def test_slices(spark):
     assert [x[0] for x in why.select(slices.refusal(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["unsupported_language", "position_out_of_range", "no_symbol_at_position", None]
 
 
+def test_priority_slice(spark):
+    edges = spark.createDataFrame([("e", "a", 0.9), ("e", "b", 0.8), ("e", "low", 0.1), ("b", "c", 1.0), ("x", "e", 0.7), ("c", "d", 1.0)], "caller string, callee string, confidence double")
+    costs = spark.createDataFrame([(k, 10) for k in "eabcdx"], "id string, tokens int")
+    r = slices.SliceRequest("file:///u", 1, 1, depth=2, direction="out", max_cards=3, max_tokens=1000)
+    got = {x.id: (x.depth, x.kept) for x in slices.priority_slice(edges, costs, "e", r).collect()}
+    assert got == {"e": (0, True), "a": (1, True), "b": (1, True), "c": (2, False)}
+    both = slices.SliceRequest("file:///u", 1, 1, depth=1, max_cards=9, max_tokens=25)
+    got = {x.id: x.kept for x in slices.priority_slice(edges, costs, "e", both).collect()}
+    assert got == {"e": True, "a": True, "b": False, "x": False}
+
+
 PY = '''import os
 from a import b
 
@@ -235,6 +246,13 @@ def test_jsonl(spark, tmp_path):
     assert [json.loads(r.value) for r in out] == [{"kind": "stream", "stream": "stdout", "data": "d"}, {"kind": "exit", "status": 0}]
 
 
+def test_output_reader():
+    lines = ['{"kind": "stream", "stream": "stdout", "data": "a"}', "", '{"kind": "exit", "status": 3}', "never read"]
+    assert jsonl.read_output(lines) == (["a"], 3) and jsonl.read_output([]) == ([], None)
+    with pytest.raises(ValueError):
+        jsonl.read_output([""] * 10)
+
+
 def test_lsp_source(spark, tmp_path):
     span = {"start": {"line": 2, "character": 3}, "end": {"line": 2, "character": 9}}
     rows = [{"request_id": "1", "method": "definition", "result": {"uri": "file:///a", "range": span}}, {"request_id": "2", "method": "definition", "result": [{"targetUri": "file:///b", "targetSelectionRange": span}, {"uri": "file:///a", "range": span}, {"uri": "file:///b", "range": span}]}, {"request_id": "3", "method": "definition", "result": None}]
