@@ -1,12 +1,14 @@
-"""Connected components by alternating large-star and small-star steps (DataFrame functions only).
+"""Connected components by alternating large-star and small-star steps.
 
-Each step is a minimum per vertex (a partial aggregate, so a hub's edges are combined before the
-shuffle) and an equi-join with it; no neighbour list is ever collected. Each round is written
-to the shared folder, which cuts the lineage.
+First every task replaces its own edges by stars of their spanning forest. Then each step is
+a minimum per vertex (a partial aggregate, so a hub's edges are combined before the shuffle)
+and an equi-join with it; no neighbour list is ever collected. Each round is written to the
+shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,30 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
+def _forests(batches):
+    """Stars (u: the smallest id, v) of the components of a task's edges."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    stars = [(r, x) for x in parent if (r := root(x)) != x]
+    if stars:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stars)], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to one row (id, component) for each vertex with an edge; component is the smallest id."""
-    now = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct()
-    now = materialise(now, "edges")
+    now = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v")
+    now = materialise(now.mapInArrow(_forests, "u long, v long"), "edges")
     state = _state(now)
     while state[0]:
         now = materialise(_small_star(_large_star(now)), "stars")

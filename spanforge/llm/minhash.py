@@ -5,15 +5,18 @@ the sets: a node picks a coordinate by a hash of its path, and its sets go on to
 their minhash there. The first DEPTH levels pick one coordinate; deeper ones, which only
 nodes of more than LEAF sets reach, pick BRANCH coordinates each. Two sets of similarity s stay
 together through a level with probability s (or 1 - (1 - s) ** BRANCH); at 0.8 the trees
-together miss a link with probability below 1e-5. Nodes of at most LEAF sets are compared exhaustively by
-a sketch of the minhash values. A node that stays large down to MAX_DEPTH holds sets that
-are close to each other; it is dealt into leaves that all get the same HUBS sets, and what
-is not linked to the hubs is afterwards compared with every leaf of that node.
-
-Candidates are confirmed on the full sets (as 64-bit hashes of shingles). A first round
-takes, in each task, only pairs between sets it hasn't linked already, closest first; a
-second round takes all candidate pairs that are still in different components, so no pair of
-candidates is left unconfirmed between components.
+together miss a link with probability below 1e-5. Nodes of at most LEAF sets are compared
+exhaustively. A large node of which DENSE or more comes from its parent holds sets that are close to
+each other, which branching would not separate: it is dealt into parts of PART sets that all get
+the same HUBS sets and are compared exhaustively, and what is not linked to the node's main
+component is afterwards compared with every part of that node.
+
+Comparisons go by two sketches: a parity sketch of ODD_BITS bits, whose Hamming distance
+bounds the symmetric difference, then the low bytes of the minhash values; both pass what is within
+SIGMAS standard errors of the threshold. Candidates are confirmed on the full sets (as 64-bit hashes of
+shingles). A first round takes, in each task, a spanning forest of the candidates, closest
+first; a second round takes all candidate pairs that are still in different components, so no
+pair of candidates between components is left unconfirmed.
 
 Rules for odd input: equal sets are one set with many documents and are linked; null or
 wordless texts have the empty set and link with nothing; documents with fewer words than a
@@ -29,6 +32,7 @@ a third of all rows: the first are collapsed by a partial aggregate, the second
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +47,19 @@ from .running import same
 COORDINATES = 64
 TREES = 16
 DEPTH = 2
-MAX_DEPTH = 5
+MAX_DEPTH = 8
 BRANCH = 2
-LEAF = 48
+LEAF = 64
+DENSE = 0.5
+PART = 1024
 HUBS = 4
-#: Candidates have a sketch similarity of at least the threshold less this (four standard errors).
-MARGIN = 0.2
+#: Candidate pairs that a task holds before it takes a spanning forest of them.
+HELD_PAIRS = 200_000
+ODD_BITS = 1024
+SIGMAS = 4.0
 SLICE_BYTES = 1 << 20
 
-_SIGNED = "doc_id long, __rk long, n_shingles long, setkey binary, sig binary"
+_SIGNED = "doc_id long, __rk long, n_shingles long, setkey binary, sig binary, odd binary"
 
 
 def _multipliers() -> np.ndarray:
@@ -82,6 +90,12 @@ def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """ODD_BITS bits, each the parity of the number of members hashed to it."""
+    place = ((members * np.uint64(0xA24BAED4963EE407)) >> np.uint64(40)) % np.uint64(ODD_BITS)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=ODD_BITS) & 1)
+
+
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[bytes]]]:
     at, held, size = 0, [], 0
     for text in spans.texts(batch.column(column)):
@@ -111,8 +125,9 @@ def _sign(batches, size: int):
                     x *= np.uint64(0xBF58476D1CE4E5B9)
                     sig[some, c] = (np.minimum.reduceat(x, cut) >> np.uint64(32)).astype(np.uint32)
             part = batch.slice(at, len(sets))
+            odd = [parity_sketch(x).tobytes() for x in sets]
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__rk"), pa.array(n), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "__rk", "n_shingles", "setkey", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__rk"), pa.array(n), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(odd, pa.binary())], names=["doc_id", "__rk", "n_shingles", "setkey", "sig", "odd"])
 
 
 def _hash2(a: np.ndarray, b) -> np.ndarray:
@@ -148,51 +163,116 @@ def _children(batches):
             continue
         node, sig = batch.column("node").to_numpy().view(np.uint64), _signatures(batch.column("sig"))
         for k in range(BRANCH):
-            yield pa.RecordBatch.from_arrays([pa.array(_step(node, sig, k).view(np.int64)), batch.column("uid")], names=["node", "uid"])
+            yield pa.RecordBatch.from_arrays([pa.array(_step(node, sig, k).view(np.int64)), batch.column("uid"), batch.column("above")], names=["node", "uid", "above"])
 
 
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    return (sig & 0xFF).astype(np.uint8)
+_ROWS = ("leaf", "uid", "comp", "n", "sketch", "odd")
+_PLACED = ("node", "wide", "first", "places")
 
 
-def _grouped(batches) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole nodes at a time: (node, uid, component, sketch), from rows sorted by node."""
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    if name == "sketch":
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    if name == "odd":
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, ODD_BITS // 64)
+    if name == "places":
+        flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+        out = np.empty(len(column), object)
+        for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            out[k] = flat[a:b]
+        return out
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _grouped(batches, names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Whole leaves at a time, from rows sorted by leaf, the first column."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy() for c in ("node", "uid", "comp")] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)]
+        now = [_column(batch, c) for c in names]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last leaf may go on
         if cut:
-            yield tuple(x[:cut] for x in now)
+            yield [x[:cut] for x in now]
         rest = [x[cut:] for x in now]
     if rest is not None:
-        yield tuple(rest)
+        yield rest
+
+
+def _reports(i: np.ndarray, j: np.ndarray, uid, node, wide, first, places) -> np.ndarray:
+    """Of pairs in a leaf, those that this leaf reports: it is in the smallest node where the two meet, and two sets that stand in all its parts meet in its first."""
+    known: dict[int, dict[int, int]] = {}
+
+    def at(k: int) -> dict[int, int]:
+        if (d := known.get(int(uid[k]))) is None:
+            p = places[k].tolist()
+            d = known[int(uid[k])] = dict(zip(p[::2], p[1::2]))
+        return d
+
+    out = np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        if wide[a] and wide[b] and not first[a]:
+            continue
+        x, y = at(a), at(b)
+        here = node[a]
+        out[k] = not any(n < here and n in y and (m == y[n] or not m or not y[n]) for n, m in x.items())
+    return out
+
+
+def _most_odd(total: np.ndarray, threshold: float) -> np.ndarray:
+    """The Hamming distance of parity sketches that sets of the threshold's similarity and this total size seldom pass."""
+    differ = total * ((1 - threshold) / (1 + threshold))
+    fall = np.exp(-2 * differ / ODD_BITS)
+    spread = ODD_BITS / 4 * (1 - fall * fall) - differ * fall * fall  # of a fixed number of members thrown into ODD_BITS places
+    return ODD_BITS / 2 * (1 - fall) + SIGMAS * np.sqrt(np.maximum(spread, 0)) + 2
 
 
-def _candidates(node, uid, comp, sketch, least: float):
-    """Pairs of rows of one node in different components whose sketches agree enough: (i, j, matches)."""
-    for k in range(1, len(node)):
-        i = np.flatnonzero(node[k:] == node[:-k])
+def _least_matches(threshold: float) -> float:
+    p = threshold + (1 - threshold) / 256
+    return COORDINATES * p - SIGMAS * math.sqrt(COORDINATES * p * (1 - p))
+
+
+def _candidates(leaf, uid, comp, n, sketch, odd, threshold: float):
+    """Pairs of rows of one leaf in different components whose sketches agree enough: (i, j, matches)."""
+    least = _least_matches(threshold)
+    for k in range(1, len(leaf)):
+        i = np.flatnonzero(leaf[k:] == leaf[:-k])
         if not len(i):
             return
         i = i[comp[i] != comp[i + k]]
-        for part in np.array_split(i, max(1, len(i) // 100_000)):
-            same_bytes = (sketch[part] == sketch[part + k]).sum(1)
-            good = same_bytes >= least
+        i = i[np.minimum(n[i], n[i + k]) >= threshold * np.maximum(n[i], n[i + k])]
+        if len(i):
+            i = i[np.bitwise_count(odd[i] ^ odd[i + k]).sum(1) <= _most_odd(n[i] + n[i + k], threshold)]
+        if len(i):
+            matches = (sketch[i] == sketch[i + k]).sum(1)
+            good = matches >= least
             if good.any():
-                yield part[good], part[good] + k, same_bytes[good]
-
-
-def _least_matches(threshold: float) -> float:
-    s = max(0.0, threshold - MARGIN)
-    return COORDINATES * (s + (1 - s) / 256)
+                yield i[good], i[good] + k, matches[good]
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, matches: np.ndarray, root, parent: dict) -> np.ndarray:
+    """Indices of pairs of components (x, y) that form a spanning forest, closest pairs first."""
+    order = np.argsort(-matches, kind="stable")
+    keep: list[int] = []
+    while len(order):
+        ids, back = np.unique(np.concatenate((x[order], y[order])), return_inverse=True)
+        roots = np.array([root(int(c)) for c in ids], np.int64)
+        a, b = roots[back[: len(order)]], roots[back[len(order) :]]
+        apart = a != b
+        order, a, b = order[apart], a[apart], b[apart]
+        # the closest pair of each component
+        for k in np.unique(np.concatenate((np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]))).tolist():
+            p, q = root(int(a[k])), root(int(b[k]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                keep.append(order[k])
+    return np.array(keep, np.int64)
 
 
 def _pairs(batches, threshold: float, spanning: bool):
-    least = _least_matches(threshold)
     parent: dict[int, int] = {}
 
     def root(x):
@@ -201,23 +281,30 @@ def _pairs(batches, threshold: float, spanning: bool):
             x = y
         return x
 
-    for node, uid, comp, sketch in _grouped(batches):
-        found = list(_candidates(node, uid, comp, sketch, least))
-        if not found:
-            continue
+    def chosen(found: list, rows: list[np.ndarray]) -> pa.RecordBatch:
+        uid, comp = rows[1], rows[2]
         i, j, m = (np.concatenate(x) for x in zip(*found))
-        a, b = np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])
         if spanning:
-            keep = []
-            for k in np.argsort(-m.astype(np.int64), kind="stable").tolist():
-                x, y = root(int(comp[i[k]])), root(int(comp[j[k]]))
-                if x != y:
-                    parent[x] = y
-                    keep.append(k)
-            a, b = a[keep], b[keep]
+            keep = _spanning(comp[i], comp[j], m.astype(np.int64), root, parent)
+            ids, back = np.unique(comp, return_inverse=True)
+            comp[:] = np.array([root(int(c)) for c in ids], np.int64)[back]
         else:
-            a, b = (np.array(x, np.int64) for x in zip(*sorted(set(zip(a.tolist(), b.tolist())))))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            keep = _reports(i, j, uid, *rows[len(_ROWS) :])
+        i, j = i[keep], j[keep]
+        pairs = np.unique(np.column_stack((np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]))), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for rows in _grouped(batches, _ROWS if spanning else (*_ROWS, *_PLACED)):
+        rows[2] = rows[2].copy()  # components, brought up to date as the forest grows
+        found, size = [], 0
+        for x in _candidates(*rows[: len(_ROWS)], threshold):
+            found.append(x)
+            size += len(x[0])
+            if size >= HELD_PAIRS:
+                yield chosen(found, rows)
+                found, size = [], 0
+        if found:
+            yield chosen(found, rows)
 
 
 def _pack_sets(batches, size: int):
@@ -249,46 +336,58 @@ class _Join:
         signed = docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: _sign(it, size), _SIGNED)
         self.signed = common.materialise(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
         known = self.signed.filter("setkey is not null and doc_id is not null")
-        classes = known.groupBy("setkey").agg(F.min("row").alias("uid"), F.min("doc_id").alias("least_doc"), F.first("sig").alias("sig"), F.min_by(F.struct("doc_id", "__rk"), "row").alias("at"))
+        classes = known.groupBy("setkey").agg(F.min("row").alias("uid"), F.min("doc_id").alias("least_doc"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n"), F.min_by(F.struct("doc_id", "__rk"), "row").alias("at"))
         self.classes = common.materialise(classes, "classes")
 
     def nodes(self) -> tuple[DataFrame, DataFrame | None]:
-        """(node, uid) rows of the leaves; and of nodes dealt into leaves: (node, leaf, uid)."""
-        rows = self.classes.select("uid", "sig").mapInArrow(_roots, "node long, uid long")
-        leaves, level = [], DEPTH
+        """Rows (node, leaf, uid, wide, first) of the small nodes; and of those dealt into parts.
+
+        wide: the set stands in every part of its node; first: the leaf is the node's first part.
+        """
+        rows = self.classes.select("uid", "sig").mapInArrow(_roots, "node long, uid long").withColumn("above", F.lit(None).cast("long"))
+        leaves, dense, level = [], [], DEPTH
         while True:
             rows = common.materialise(rows, "nodes")
             counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("node", "__node")
             sized = common.materialise(rows.join(counts, rows["node"] == counts["__node"]).drop("__node"), "sized")
-            leaves.append(sized.filter(f"n <= {LEAF}").select("node", "uid"))
-            large = sized.filter(f"n > {LEAF}")
+            leaves.append(sized.filter(f"n <= {LEAF}").select("node", F.col("node").alias("leaf"), "uid", F.lit(False).alias("wide"), F.lit(True).alias("first")))
+            close = F.coalesce(F.col("n") >= DENSE * F.col("above"), F.lit(False)) | F.lit(level >= MAX_DEPTH)
+            dense.append(sized.filter(f"n > {LEAF}").filter(close))
+            large = sized.filter(f"n > {LEAF}").filter(~close)
             if large.limit(1).count() == 0:
-                return _union(leaves), None
-            if level == MAX_DEPTH:
                 break
             level += 1
             sig = self.classes.select(F.col("uid").alias("__uid"), "sig")
-            rows = large.join(sig, large["uid"] == sig["__uid"]).select("node", "uid", "sig").mapInArrow(_children, "node long, uid long").distinct()
-        parts = F.ceil(F.col("n") / F.lit(LEAF - HUBS)).cast("long")
-        dealt = large.select("node", "uid", parts.alias("parts"), F.pmod(F.xxhash64("node", "uid"), parts).alias("part"))
-        hubs = large.groupBy("node").agg(F.array(*(F.min_by("uid", F.xxhash64(F.lit(k), "uid")) for k in range(HUBS))).alias("hub"), F.first(parts).alias("parts"))
-        hubs = hubs.withColumn("uid", F.explode(F.array_distinct("hub"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("node", "uid", "part")
-        chunked = dealt.select("node", "uid", "part").union(hubs).distinct().withColumn("leaf", F.xxhash64(F.lit(7), "node", "part"))
-        return _union(leaves), common.materialise(chunked, "chunked")
-
-    def candidates(self, leaves: DataFrame, comp: DataFrame | None, spanning: bool) -> DataFrame:
-        """leaves (node, uid) to distinct pairs (a, b)."""
-        sig = self.classes.select(F.col("uid").alias("__uid"), "sig")
-        rows = leaves.join(sig, leaves["uid"] == sig["__uid"]).drop("__uid")
+            rows = large.join(sig, large["uid"] == sig["__uid"]).select("node", "uid", "sig", F.col("n").alias("above")).mapInArrow(_children, "node long, uid long, above long").dropDuplicates(["node", "uid"])
+        large = _union(dense)
+        if large.limit(1).count() == 0:
+            return _union(leaves), None
+        parts = F.ceil(F.col("n") / F.lit(PART - HUBS)).cast("long")
+        dealt = large.select("node", "uid", F.pmod(F.xxhash64("node", "uid"), parts).alias("part"))
+        hubs = large.groupBy("node").agg(F.array_distinct(F.array(*(F.min_by("uid", F.xxhash64(F.lit(k), "uid")) for k in range(HUBS)))).alias("hub"), F.first(parts).alias("parts"))
+        hubs = hubs.withColumn("uid", F.explode("hub")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("node", "uid", "part")
+        chunked = dealt.withColumn("wide", F.lit(False)).union(hubs.withColumn("wide", F.lit(True)))
+        chunked = chunked.select("node", F.xxhash64(F.lit(7), "node", "part").alias("leaf"), "uid", "wide", (F.col("part") == 0).alias("first"))
+        return _union(leaves), common.materialise(_once(chunked), "chunked")
+
+    def candidates(self, leaves: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """Leaf rows to pairs (a, b): without comp a spanning forest of each task's candidates, else all that cross components."""
         if comp is None:
-            rows = rows.withColumn("comp", F.col("uid"))
-        else:
+            rows = leaves.withColumn("comp", F.col("uid"))
+        else:  # only leaves that hold two components
             of = comp.select(F.col("id").alias("__id"), "component")
-            rows = rows.join(of, rows["uid"] == of["__id"], "left").withColumn("comp", F.coalesce("component", "uid")).drop("__id", "component")
-        rows = rows.select("node", "uid", "comp", "sig").mapInArrow(_to_sketch, "node long, uid long, comp long, sketch binary")
-        sorted_rows = rows.repartition("node").sortWithinPartitions("node")
-        threshold = self.percent / 100
-        return sorted_rows.mapInArrow(lambda it: _pairs(it, threshold, spanning), "a long, b long").distinct()
+            rows = leaves.join(of, leaves["uid"] == of["__id"], "left").withColumn("comp", F.coalesce("component", "uid")).drop("__id", "component")
+            mixed = rows.groupBy("leaf").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("leaf").alias("__leaf"))
+            rows = common.materialise(rows.join(mixed, rows["leaf"] == mixed["__leaf"], "left_semi"), "mixed")
+            # where each set stands, at most once a node: of the leaves that two sets share, one reports the pair
+            stands = rows.groupBy("uid").agg(F.flatten(F.collect_set(F.array("node", F.when(F.col("wide"), 0).otherwise(F.col("leaf"))))).alias("places")).withColumnRenamed("uid", "__at")
+            rows = rows.join(stands, rows["uid"] == stands["__at"]).drop("__at")
+        sketch = self.classes.select(F.col("uid").alias("__uid"), "n", "sig", "odd").mapInArrow(_to_sketch, "__uid long, n long, sketch binary, odd binary")
+        rows = rows.join(sketch, rows["uid"] == sketch["__uid"]).drop("__uid")
+        sorted_rows = rows.repartition("leaf").sortWithinPartitions("leaf")
+        threshold, spanning = self.percent / 100, comp is None
+        pairs = sorted_rows.mapInArrow(lambda it: _pairs(it, threshold, spanning), "a long, b long")
+        return pairs.distinct() if spanning else pairs
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) with linked, by their full sets."""
@@ -308,12 +407,11 @@ class _Join:
     def run(self) -> DataFrame:
         """(setkey, least_doc of the component) of each distinct set."""
         leaves, chunked = self.nodes()
-        both = leaves if chunked is None else leaves.union(chunked.select(F.col("leaf").alias("node"), "uid"))
-        both = common.materialise(both, "leaves")
-        tried = self.confirmed(common.materialise(self.candidates(both, None, True), "pairs"))
+        both = common.materialise(leaves if chunked is None else leaves.union(chunked), "leaves")
+        tried = self.confirmed(common.materialise(self.candidates(both, None), "pairs"))
         comp = common.materialise(components(tried.filter("linked")), "components")
-        more = both if chunked is None else both.union(self._rest(chunked, comp))
-        pairs = self.candidates(more, comp, False)
+        more = both if chunked is None else _once(both.union(self._rest(chunked, comp)))
+        pairs = self.candidates(more, comp)
         seen = tried.filter("not linked").select(F.col("a").alias("__a"), F.col("b").alias("__b"))
         pairs = common.materialise(pairs.join(seen, (pairs["a"] == seen["__a"]) & (pairs["b"] == seen["__b"]), "left_anti"), "pairs")
         if pairs.limit(1).count():
@@ -332,15 +430,20 @@ class _Join:
         rows = chunked.join(of, chunked["uid"] == of["__id"], "left").withColumn("comp", F.coalesce("component", "uid")).drop("__id", "component")
         main = rows.groupBy("node", "comp").agg(F.countDistinct("uid").alias("n")).groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").withColumnRenamed("node", "__node")
         out = rows.join(main, rows["node"] == main["__node"]).filter("comp != main").select("node", "uid").distinct()
-        leaves = chunked.select(F.col("node").alias("__node"), "leaf").distinct()
-        return out.join(leaves, out["node"] == leaves["__node"]).select(F.col("leaf").alias("node"), "uid")
+        leaves = chunked.select(F.col("node").alias("__node"), "leaf", "first").distinct()
+        return out.join(leaves, out["node"] == leaves["__node"]).select("node", "leaf", "uid", F.lit(True).alias("wide"), "first")
 
 
 def _to_sketch(batches):
     for batch in batches:
         if batch.num_rows:
-            sketch = _sketch(_signatures(batch.column("sig")))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "uid", "comp")] + [pa.array([r.tobytes() for r in sketch], pa.binary())], names=["node", "uid", "comp", "sketch"])
+            sketch = (_signatures(batch.column("sig")) & 0xFF).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("__uid"), batch.column("n"), pa.array([r.tobytes() for r in sketch], pa.binary()), batch.column("odd")], names=["__uid", "n", "sketch", "odd"])
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Leaf rows with each set once a leaf, wide if it is so anywhere there."""
+    return rows.groupBy("node", "leaf", "uid").agg(F.max("wide").alias("wide"), F.max("first").alias("first"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
