@@ -73,7 +73,8 @@ def fan(edges: DataFrame) -> DataFrame:
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.agg(F.count("*").alias("node_count")).join(edges.agg(F.count("*").alias("edge_count")), F.lit(True))
+    both = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(edges.select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.coalesce(F.sum("e"), F.lit(0)).alias("edge_count"))
 
 
 def merge_graphs(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

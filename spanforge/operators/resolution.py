@@ -39,12 +39,11 @@ def resolve(manifests: DataFrame, requests: DataFrame, preferred: DataFrame | No
     language null: not supported; provider null: automatic. preferred (language, provider) ranks first.
     Columns: request_id, selection_mode, outcome, selected_provider, refusal_reason, candidates (by provider).
     """
-    m = manifests.select(F.col("name").alias("__name"), "languages", "capabilities")
-    can = F.array_contains("capabilities", F.col("capability"))
+    m = manifests.select(F.col("name").alias("__name"), "languages", F.explode(F.array_distinct("capabilities")).alias("__capability"))
     # names of all manifests tell an unknown provider from one without the capability
-    known = m.select(F.col("__name").alias("__known"))
+    known = manifests.select(F.col("name").alias("__known")).distinct()
     asked = requests.join(known, requests["provider"] == known["__known"], "left")
-    pairs = asked.join(m, can, "left")
+    pairs = asked.join(m, asked["capability"] == m["__capability"], "left")
     speaks = F.coalesce(F.exists("languages", lambda x: F.lower(x) == F.lower(F.col("language"))), F.lit(False))
     pairs = pairs.withColumn("__speaks", speaks)
     if preferred is not None:
