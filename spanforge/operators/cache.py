@@ -1,0 +1,52 @@
+"""A driver-side cache of small results by file revision, with counters.
+
+Spark's own caching (persist) holds tables; this holds what a session asks for again and again,
+such as the card at a position. A new revision of a file drops the file's older entries.
+"""
+
+from __future__ import annotations
+
+from collections import OrderedDict
+from collections.abc import Callable, Hashable
+from threading import RLock
+from typing import Any, NamedTuple
+
+#: Fixed value: entries a cache holds.
+CAPACITY = 128
+
+
+class Key(NamedTuple):
+    path: str
+    content_hash: str
+    language: str
+    detail: str
+    line: int
+    column: int
+
+
+class RevisionCache:
+    """Least recently used entries go first. One caller computes a missing entry, others wait."""
+
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity, self.hits, self.misses = capacity, 0, 0
+        self._entries: OrderedDict[Hashable, Any] = OrderedDict()
+        self._lock = RLock()
+
+    def __len__(self) -> int:
+        return len(self._entries)
+
+    def get(self, key: Key, compute: Callable[[], Any]) -> Any:
+        with self._lock:
+            if key in self._entries:
+                self.hits += 1
+                self._entries.move_to_end(key)
+                return self._entries[key]
+            self.misses += 1
+            value = compute()
+            for old in [k for k in self._entries if k.path == key.path and k.content_hash != key.content_hash]:
+                del self._entries[old]
+            if self.capacity > 0:
+                self._entries[key] = value
+                while len(self._entries) > self.capacity:
+                    self._entries.popitem(last=False)
+            return value

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,17 @@ class EngineConfig:
     enable_hcl: bool = False
 
 
+def check_regexes(formula: fm.Decorated) -> None:
+    """Regexes are compiled before anything runs."""
+    for d in formula.walk():
+        found = [d.node.pattern] if isinstance(d.node, fm.Regex) else []
+        for rx in found + [c.regex for c in d.where if isinstance(c, fm.MetavariableRegex)]:
+            try:
+                re.compile(rx)
+            except re.error as e:
+                raise fail(dx.SCHEMA_INVALID, f"bad regex: {e}", d.span) from None
+
+
 @dataclass(frozen=True)
 class QueryPlan:
     rule_id: str
@@ -49,6 +61,7 @@ class Engine:
     def _plans(self, rule: Rule) -> list[QueryPlan]:
         formula = formula_of(rule)
         fm.validate(formula)
+        check_regexes(formula)
         for language in rule.languages:
             if language not in LANGUAGES and language not in ("html", "prose", "generic", "regex"):
                 raise fail(dx.SCHEMA_INVALID, f"unsupported language `{language}`", rule.span)
@@ -57,6 +70,7 @@ class Engine:
     def compile_dsl(self, rule_id: str, language: str, text: str) -> QueryPlan:
         formula = parse_expression(text)
         fm.validate(formula)
+        check_regexes(formula)
         return QueryPlan(rule_id, language, formula)
 
     def execute(self, plans: list[QueryPlan] | QueryPlan, sources: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
-from spanforge.operators import cards, deltas, graph, patch, resolution, slices
+from spanforge.operators import cache, cards, deltas, graph, patch, resolution, slices
 from spanforge.sources import files, jsonl, lsp
 from spanforge.streaming import requests as streaming
 
@@ -301,3 +301,15 @@ def test_streaming(spark, tmp_path):
     assert [(r.uri, r.text) for r in streaming.latest_documents(events).collect()] == [("u", "b")]
     rev = spark.createDataFrame([("u", "h"), ("u", "h"), ("u", "i")], "uri string, content_hash string")
     assert streaming.fresh_revisions(rev).count() == 2
+
+
+def test_revision_cache():
+    c = cache.RevisionCache(2)
+    key = lambda path, rev, line=1: cache.Key(path, rev, "python", "full", line, 1)
+    assert [c.get(key("a", "1"), lambda: n) for n in (1, 2)] == [1, 1] and (c.hits, c.misses, len(c)) == (1, 1, 1)
+    c.get(key("b", "1"), lambda: 3)
+    c.get(key("a", "1"), lambda: 4)
+    c.get(key("c", "1"), lambda: 5)  # b is the least recently used
+    assert c.get(key("b", "1"), lambda: 6) == 6 and len(c) == 2
+    c.get(key("b", "2"), lambda: 7)
+    assert c.get(key("b", "2"), lambda: 8) == 7 and len(c) == 2

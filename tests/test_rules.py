@@ -90,6 +90,8 @@ def test_typo_in_patterns_becomes_a_constraint():
         (HEAD + "    pattern-either: [{patterns: [{pattern: a}, {pattern-not: b}]}]\n", dx.INVALID_NOT_IN_OR),
         (HEAD + "    patterns: [{pattern-not: a}]\n", dx.MISSING_POSITIVE_TERM),
         (HEAD + "    patterns: []\n", dx.MISSING_POSITIVE_TERM),
+        (HEAD + "    pattern-regex: '('\n", dx.SCHEMA_INVALID),
+        (HEAD + "    patterns: [{pattern: a}, {metavariable-regex: {metavariable: $X, regex: '['}}]\n", dx.SCHEMA_INVALID),
         (HEAD + "    r2c-internal-project-depends-on: {namespace: pypi}\n", dx.SCHEMA_INVALID),
     ],
 )
