@@ -19,6 +19,44 @@ def fragments(docs: DataFrame, pack: Callable, buckets: int) -> DataFrame:
     return docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: pack(it, buckets), packing_blobs.BLOB_SCHEMA)
 
 
+#: A minimiser with this many distinct fragments is hot: its windows are dealt by a second key.
+HOT_FRAGMENTS = 20_000
+#: Hot minimisers known to the tasks, the most frequent first (8 bytes each).
+MOST_HOT = 100_000
+#: Distinct fragments in a chunk from which a task reports a minimiser.
+REPORTED = 4
+
+
+def hot_minimisers(docs: DataFrame, runs: Callable) -> np.ndarray:
+    """Sorted hashes of minimisers that many different fragments share, such as those of a line in a third of all documents.
+
+    runs: batches to (minimiser hash, fragment hash) arrays of a chunk each. Equal fragments of a chunk count
+    once, as they travel once. A task reports what it sees REPORTED times in a chunk, so what goes
+    unreported is spread so thinly that its bucket gets fewer fragments than that from each chunk.
+    """
+
+    def report(batches):
+        for minimiser, fragment in runs(batches):
+            if not len(minimiser):
+                continue
+            order = np.lexsort((fragment, minimiser))
+            m, f = minimiser[order], fragment[order]
+            new = np.append(True, (m[1:] != m[:-1]) | (f[1:] != f[:-1]))
+            keys, counts = np.unique(m[new], return_counts=True)
+            some = counts >= REPORTED
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
+
+    counts = docs.select("doc_id", "__rk", "text").mapInArrow(report, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    hot = counts.filter(F.col("n") >= HOT_FRAGMENTS).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["h"] for r in hot], np.int64).view(np.uint64))
+
+
+def is_hot(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(hashes), bool)
+    return hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
+
+
 def bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The bodies of one bucket after another, from rows sorted by bucket."""
     now, bodies = None, []
@@ -62,8 +100,9 @@ def span_lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text, empty for null."""
-    for x in column.cast(pa.large_binary()):
-        yield x.as_py() or b""
+    for x in column:
+        body = x.as_buffer()  # no copy of the column
+        yield body.to_pybytes() if body is not None else b""
 
 
 def big(column) -> pa.Array:

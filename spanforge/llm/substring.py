@@ -15,7 +15,9 @@ doc_id and text are read; other columns pass through untouched.
 
 Scale: a bucket holds about BUCKET_BYTES of packed strings, their number follows the
 corpus. Copies within a chunk of CHUNK_BYTES collapse before the shuffle, so a passage in a
-third of all documents sends one string a chunk and some four bytes a copy.
+third of all documents sends one string a chunk and some four bytes a copy. What stands around
+such a passage differs from copy to copy, though, and shares its minimiser: a first pass finds
+these hot minimisers, and their windows travel one by one, dealt by a hash of the whole window.
 """
 
 from __future__ import annotations
@@ -38,20 +40,25 @@ SEGMENT_WORDS = 100_000
 _LOW = np.uint64((1 << 23) - 1)
 
 
-def _super_kmers(raw: bytes, window: int):
-    """Of segments of single-spaced words, one a line: (first byte, end byte, segment, first word in segment, minimiser hash) arrays."""
+def _super_kmers(raw: bytes, window: int, hot: np.ndarray):
+    """Of segments of single-spaced words, one a line: (first byte, end byte, segment, first word in segment, bucket hash, fragment hash) arrays.
+
+    The windows of a hot minimiser travel one by one, dealt by a hash of the whole window.
+    """
     buf = np.frombuffer(raw, np.uint8)
     ends = np.flatnonzero((buf == 32) | (buf == 10))
     n = len(ends)
     empty = np.empty(0, np.int64)
     if n < window:
-        return empty, empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     starts = np.empty(n, np.int64)
     starts[0], starts[1:] = 0, ends[:-1] + 1
     last = buf[ends] == 10
     segment = np.zeros(n, np.int64)
     segment[1:] = np.cumsum(last[:-1])
-    h = common.range_hash(buf, starts, ends)
+    prefix, inverse = common.prefix_hash(buf)
+    hashed = lambda a, b: common.mix((prefix[b] - prefix[a]) * inverse[a])
+    h = hashed(starts, ends)
     gram = min(GRAM, window)
     g = h[: n - gram + 1].copy()
     for k in range(1, gram):
@@ -66,18 +73,62 @@ def _super_kmers(raw: bytes, window: int):
     stop = np.ones(len(low), bool)
     stop[:-1] = new[1:] | ~ok[1:]
     end = np.flatnonzero(ok & stop)
+    key = common.mix(low[at] >> np.uint64(23))
+    if (some := spans.is_hot(key, hot)).any():
+        alone = np.concatenate([np.arange(a, b + 1) for a, b in zip(at[some], end[some])])
+        key = np.concatenate((key[~some], hashed(starts[alone], ends[alone + window - 1])))
+        at, end = np.concatenate((at[~some], alone)), np.concatenate((end[~some], alone))
     base = np.searchsorted(segment, segment[at])
-    return starts[at], ends[end + window - 1], segment[at], at - base, common.mix(low[at] >> np.uint64(23))
+    s, e = starts[at], ends[end + window - 1]
+    return s, e, segment[at], at - base, key, hashed(s, e)
+
+
+def _segments(batches, window: int):
+    """Lists of (bytes of a segment, doc id, row key, first word), about HASH_BYTES each."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), spans.texts(batch.column(2))):
+            words = text.split()
+            if doc is None or len(words) < window:
+                continue
+            for at in range(0, len(words) - window + 1, SEGMENT_WORDS):
+                part = b" ".join(words[at : at + SEGMENT_WORDS + window - 1])
+                held.append((part, doc, key, at))
+                size += len(part)
+                if size >= HASH_BYTES:
+                    yield held, size
+                    held, size = [], 0
+    if held:
+        yield held, size
+
 
+def _lines(held: list[tuple]) -> bytes:
+    return b"\n".join(x[0] for x in held) + b"\n"
 
-def _pack(batches, buckets: int, window: int):
-    held: list[tuple] = []  # segments to hash: (bytes, doc id, row key, first word)
+
+def _hashes(batches, window: int):
+    """(minimiser hash, fragment hash) of each chunk's super-k-mers."""
+    ready: list[tuple] = []
+    total = 0
+    none = np.empty(0, np.uint64)
+    for held, size in _segments(batches, window):
+        ready.append(_super_kmers(_lines(held), window, none)[4:])
+        total += size
+        if total >= CHUNK_BYTES:
+            yield tuple(map(np.concatenate, zip(*ready)))
+            ready, total = [], 0
+    if ready:
+        yield tuple(map(np.concatenate, zip(*ready)))
+
+
+def _pack(batches, buckets: int, window: int, hot: np.ndarray):
     ready: list[tuple] = []  # arrays of fragments
-    size = total = 0
+    total = 0
 
-    def runs():
-        raw = b"\n".join(x[0] for x in held) + b"\n"
-        s, e, seg, word, h = _super_kmers(raw, window)
+    def runs(held):
+        raw = _lines(held)
+        s, e, seg, word, h, _ = _super_kmers(raw, window, hot)
         ids, keys, base = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
         frags = [raw[a:b] for a, b in zip(s.tolist(), e.tolist())]
         return frags, ids[seg], keys[seg], base[seg] + word, (h % np.uint64(buckets)).astype(np.int64)
@@ -89,23 +140,12 @@ def _pack(batches, buckets: int, window: int):
         out = [(bucket, packing_blobs.put([frags[k] for k in part.tolist()], ids[part], keys[part], place[part], zero[part])) for bucket, part in packing_blobs.by_bucket(where)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "body"])
 
-    for batch in batches:
-        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), spans.texts(batch.column(2))):
-            words = text.split()
-            if doc is None or len(words) < window:
-                continue
-            for at in range(0, len(words) - window + 1, SEGMENT_WORDS):
-                part = b" ".join(words[at : at + SEGMENT_WORDS + window - 1])
-                held.append((part, doc, key, at))
-                size += len(part)
-                if size >= HASH_BYTES:
-                    ready.append(runs())
-                    held, total, size = [], total + size, 0
-                if total >= CHUNK_BYTES:
-                    yield flush()
-                    ready, total = [], 0
-    if held:
-        ready.append(runs())
+    for held, size in _segments(batches, window):
+        ready.append(runs(held))
+        total += size
+        if total >= CHUNK_BYTES:
+            yield flush()
+            ready, total = [], 0
     if ready:
         yield flush()
 
@@ -208,7 +248,8 @@ def _solve(bodies: list[bytes], window: int):
 def removed_word_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (doc_id, __rk, span): word spans, start << 32 | end, covered by windows that start in a smaller doc_id too. docs needs __rk."""
     buckets = common.pieces(3 * common.text_bytes(docs), BUCKET_BYTES)
-    packed = spans.fragments(docs, lambda it, n: _pack(it, n, window), buckets)
+    hot = spans.hot_minimisers(docs, lambda it: _hashes(it, window))
+    packed = spans.fragments(docs, lambda it, n: _pack(it, n, window, hot), buckets)
     return spans.find_spans(packed, lambda bodies: _solve(bodies, window), buckets)
 
 
