@@ -42,7 +42,7 @@ _LINES = """lines AS (
   FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'i': i})) AS l FROM documents WHERE lang = 'en'))"""
 
 
-@query("SELECT source, count(*) AS docs, sum(len(regexp_extract_all(text, 'th[a-z]+'))) AS hits FROM documents WHERE lang = 'en' GROUP BY source")
+@query("SELECT source, count(*) AS docs, sum(len(regexp_extract_all(text, 'th[a-z]+')))::BIGINT AS hits FROM documents WHERE lang = 'en' GROUP BY source")
 def regex_atom_counts(spark, sf_dir):
     """Matches of a regex by source, counted without leaving the JVM."""
     docs = _t(spark, sf_dir, "documents").filter("lang = 'en'")
@@ -141,7 +141,7 @@ def match_cap_per_rule(spark, sf_dir):
 
 @query(f"""WITH {_LINES},
 p AS (SELECT doc_id, strlen(text) // 2 AS at FROM documents WHERE lang = 'en')
-SELECT p.doc_id, p.at, l.line, l.s AS start_byte FROM p JOIN lines l ON l.doc_id = p.doc_id AND l.s <= p.at AND p.at < l.s + strlen(l.text) + 1""")
+SELECT p.doc_id, p.at, l.line::INTEGER AS line, l.s::BIGINT AS start_byte FROM p JOIN lines l ON l.doc_id = p.doc_id AND l.s <= p.at AND p.at < l.s + strlen(l.text) + 1""")
 def point_in_interval_argmin(spark, sf_dir):
     """The smallest interval that holds a byte."""
     docs = _t(spark, sf_dir, "documents").filter("lang = 'en'")
@@ -153,7 +153,7 @@ def point_in_interval_argmin(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS t FROM events),
 g AS (SELECT *, CASE WHEN t <= lag(t) OVER (PARTITION BY user_id ORDER BY t) + 86400 THEN 0 ELSE 1 END AS new FROM e),
 s AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS grp FROM g)
-SELECT user_id, grp AS "group", min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM s GROUP BY ALL""")
+SELECT user_id, grp::BIGINT AS "group", min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM s GROUP BY ALL""")
 def consecutive_groups(spark, sf_dir):
     """Rows that follow each other closely."""
     e = _t(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
@@ -161,7 +161,7 @@ def consecutive_groups(spark, sf_dir):
     return g.groupBy("user_id", "group").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, l.i - 1 AS line, strlen(l.t) AS bytes, coalesce(sum(strlen(l.t) + 1) OVER (PARTITION BY doc_id ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_byte
+@query("""SELECT doc_id, (l.i - 1)::INTEGER AS line, strlen(l.t)::INTEGER AS bytes, coalesce(sum(strlen(l.t) + 1) OVER (PARTITION BY doc_id ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte
 FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'i': i})) AS l FROM documents)""")
 def line_offsets(spark, sf_dir):
     """Start bytes of all lines."""
@@ -222,7 +222,7 @@ def callees_of_node(spark, sf_dir):
     return graph.callees(_edges(spark, sf_dir).distinct(), nodes, 7).select(F.col("id").alias("p_partkey"), "p_name")
 
 
-@query(f"WITH {_EDGES}, x AS (SELECT callee AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT caller, 0, 1 FROM edges) SELECT id, sum(i) AS fan_in, sum(o) AS fan_out FROM x GROUP BY id")
+@query(f"WITH {_EDGES}, x AS (SELECT callee AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT caller, 0, 1 FROM edges) SELECT id, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM x GROUP BY id")
 def fan_in_out(spark, sf_dir):
     """A4."""
     return graph.fan(_edges(spark, sf_dir))
@@ -253,7 +253,7 @@ def _customer_cards(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT n_name AS slice_id, c_name, c_mktsegment, c_custkey = min(c_custkey) OVER (PARTITION BY n_name) AS e, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT slice_id, c_name AS symbol_id, row_number() OVER (PARTITION BY slice_id ORDER BY e DESC, c_mktsegment, c_name, c_custkey) AS place,
+SELECT slice_id, c_name AS symbol_id, (row_number() OVER (PARTITION BY slice_id ORDER BY e DESC, c_mktsegment, c_name, c_custkey))::INTEGER AS place,
   row_number() OVER (PARTITION BY slice_id ORDER BY e DESC, c_mktsegment, c_name, c_custkey) <= 30 AS kept FROM c""")
 def slice_budget_spillover(spark, sf_dir):
     """The card budget of every slice."""
@@ -262,7 +262,7 @@ def slice_budget_spillover(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, l.i AS line, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY l.i) AS rn
 FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'i': i})) AS l FROM documents) WHERE trim(l.t) <> '')
-SELECT doc_id::VARCHAR AS uri, line, n > 8 AS capped FROM d WHERE rn <= 8""")
+SELECT doc_id::VARCHAR AS uri, line::INTEGER AS line, n > 8 AS capped FROM d WHERE rn <= 8""")
 def discovery_cap(spark, sf_dir):
     """The first non-blank lines and whether there were more."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text")
