@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -74,20 +73,26 @@ _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
+#: Tables of this process by size (plain: cached functions would travel to workers by name only).
+_TABLES: dict = {}
+
+
 def _byte_table() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if 0 not in _TABLES:
+        _TABLES[0] = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _TABLES[0]
 
 
-@lru_cache(maxsize=4)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for p in (_P, _P_INV):
-        a = np.full(n, p, np.uint64)
-        a[0] = 1
-        out.append(np.cumprod(a, dtype=np.uint64))
-    return out[0], out[1]
+    """Powers of the hash's base and of its inverse, 2 ** bits of each; the largest table serves smaller ones."""
+    if bits > _TABLES.get("bits", 0):
+        out = []
+        for p in (_P, _P_INV):
+            a = np.full(1 << bits, p, np.uint64)
+            a[0] = 1
+            out.append(np.cumprod(a, dtype=np.uint64))
+        _TABLES["bits"], _TABLES["powers"] = bits, (out[0], out[1])
+    return _TABLES["powers"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
