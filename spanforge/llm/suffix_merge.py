@@ -16,6 +16,9 @@ are never compared or sorted again. Boundaries noted in each round give the comm
 prefixes: after LENGTH / SYMBOL rounds the blocks of two or more places are exactly the
 repeated intervals of LENGTH bytes.
 
+What stands around a passage that very many documents share differs from copy to copy but shares
+its minimiser; a first pass finds such hot minimisers, and their runs are cut and dealt by a longer substring too.
+
 Rules for odd input: null text is empty; texts under LENGTH bytes lose nothing; matches
 never cross documents; rows with equal ids are documents of their own; rows with a null id
 take part like any other; very long texts are cut into overlapping segments; an empty table
@@ -40,6 +43,8 @@ CHUNK_BYTES = 16 << 20
 HASH_BYTES = 1 << 18
 BUCKET_BYTES = 16 << 20
 SEGMENT_BYTES = HASH_BYTES
+#: Bytes of the longer substring by which the windows of hot minimisers are dealt.
+LONG_GRAM = 128
 #: Bytes of contested fragments merged at once; their symbols then have 16-bit ranks.
 MERGE_BYTES = 60_000
 SHARDS = 8
@@ -48,34 +53,84 @@ _LOW = np.uint64((1 << 20) - 1)
 _NO_ID = -(1 << 62)
 
 
-def _minimiser_runs(raw: bytes, starts: np.ndarray, length: int, gram: int):
-    """Of texts laid end to end (starts: of each, and the end): (text, first byte, end byte, gram's place in the fragment, hash) of each run of windows."""
+def _minimiser_runs(raw: bytes, starts: np.ndarray, length: int, gram: int, hot: np.ndarray):
+    """Of texts laid end to end (starts: of each, and the end): (text, first byte, end byte, gram's place in the fragment, bucket hash, fragment hash) of each run of windows.
+
+    Runs of a hot minimiser are cut where the smallest LONG_GRAM-byte substring changes, and dealt by both.
+    """
     buf = np.frombuffer(raw, np.uint8)
     n = len(buf)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     s, inverse = common.prefix_hash(buf)
-    g = common.mix((s[gram:] - s[:-gram]) * inverse[: n - gram + 1])
-    key = (g & ~_LOW) | np.arange(len(g), dtype=np.uint64)
-    low = common.sliding_min(key, length - gram + 1)
+
+    def smallest(size):
+        g = common.mix((s[size:] - s[:-size]) * inverse[: n - size + 1])
+        return common.sliding_min((g & ~_LOW) | np.arange(len(g), dtype=np.uint64), length - size + 1)
+
+    low = smallest(gram)
     ok = text[: n - length + 1] == text[length - 1 :]
     new = np.ones(len(low), bool)
     new[1:] = (low[1:] != low[:-1]) | ~ok[:-1]
+    at = np.flatnonzero(ok & new)
+    key = common.mix(low[at] >> np.uint64(20))
+    if (some := spans.is_hot(key, hot)).any():
+        every = np.zeros(len(low), bool)
+        every[ok] = np.repeat(some, np.diff(np.append(np.flatnonzero((ok & new)[ok]), ok.sum())))
+        long = smallest(min(LONG_GRAM, length))
+        new[1:] |= every[1:] & (long[1:] != long[:-1])
+        at = np.flatnonzero(ok & new)
+        key = common.mix(low[at] >> np.uint64(20))
+        key = np.where(every[at], common.mix(key ^ (long[at] >> np.uint64(20))), key)
     stop = np.ones(len(low), bool)
     stop[:-1] = new[1:] | ~ok[1:]
-    at, end = np.flatnonzero(ok & new), np.flatnonzero(ok & stop)
+    end = np.flatnonzero(ok & stop) + length
     place = (low[at] & _LOW).astype(np.int64)
-    return text[at], at, end + length, place - at, common.mix(low[at] >> np.uint64(20))
+    return text[at], at, end, place - at, key, common.mix((s[end] - s[at]) * inverse[at])
+
 
+def _segments(batches, length: int):
+    """Lists of (bytes of a segment, doc id, row key, first byte), about HASH_BYTES each."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), spans.texts(batch.column(2))):
+            for at in range(0, len(text) - length + 1, SEGMENT_BYTES):
+                part = text[at : at + SEGMENT_BYTES + length - 1]
+                held.append((part, doc, key, at))
+                size += len(part)
+                if size >= HASH_BYTES:
+                    yield held, size
+                    held, size = [], 0
+    if held:
+        yield held, size
 
-def _pack(batches, buckets: int, length: int, gram: int):
-    held: list[tuple] = []  # segments to hash
+
+def _laid(held: list[tuple]) -> tuple[bytes, np.ndarray]:
+    return b"".join(x[0] for x in held), np.cumsum([0] + [len(x[0]) for x in held])
+
+
+def _hashes(batches, length: int, gram: int):
+    """(minimiser hash, fragment hash) of each chunk's runs."""
+    ready: list[tuple] = []
+    total = 0
+    none = np.empty(0, np.uint64)
+    for held, size in _segments(batches, length):
+        ready.append(_minimiser_runs(*_laid(held), length, gram, none)[4:])
+        total += size
+        if total >= CHUNK_BYTES:
+            yield tuple(map(np.concatenate, zip(*ready)))
+            ready, total = [], 0
+    if ready:
+        yield tuple(map(np.concatenate, zip(*ready)))
+
+
+def _pack(batches, buckets: int, length: int, gram: int, hot: np.ndarray):
     ready: list[tuple] = []  # arrays of fragments
-    size = total = 0
+    total = 0
 
-    def runs():
-        raw = b"".join(x[0] for x in held)
-        starts = np.cumsum([0] + [len(x[0]) for x in held])
-        text, a, b, place, h = _minimiser_runs(raw, starts, length, gram)
+    def runs(held):
+        raw, starts = _laid(held)
+        text, a, b, place, h, _ = _minimiser_runs(raw, starts, length, gram, hot)
         ids, keys, base = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
         frags = [raw[i:j] for i, j in zip(a.tolist(), b.tolist())]
         return frags, ids[text], keys[text], base[text] + a - starts[text], place, (h % np.uint64(buckets)).astype(np.int64)
@@ -86,38 +141,32 @@ def _pack(batches, buckets: int, length: int, gram: int):
         out = [(bucket, packing_blobs.put([frags[k] for k in part.tolist()], ids[part], keys[part], at[part], place[part])) for bucket, part in packing_blobs.by_bucket(where)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "body"])
 
-    for batch in batches:
-        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), spans.texts(batch.column(2))):
-            for at in range(0, len(text) - length + 1, SEGMENT_BYTES):
-                part = text[at : at + SEGMENT_BYTES + length - 1]
-                held.append((part, doc, key, at))
-                size += len(part)
-                if size >= HASH_BYTES:
-                    ready.append(runs())
-                    held, total, size = [], total + size, 0
-                if total >= CHUNK_BYTES:
-                    yield flush()
-                    ready, total = [], 0
-    if held:
-        ready.append(runs())
+    for held, size in _segments(batches, length):
+        ready.append(runs(held))
+        total += size
+        if total >= CHUNK_BYTES:
+            yield flush()
+            ready, total = [], 0
     if ready:
         yield flush()
 
 
 def _stable_order(x: np.ndarray) -> np.ndarray:
     """Stable order by linear-time passes over 16 bits each."""
-    if x.max(initial=0) < 1 << 16:
-        return np.argsort(x.astype(np.uint16), kind="stable")
+    if x.dtype == np.uint16:
+        return np.argsort(x, kind="stable")
     order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
     return order[np.argsort((x[order] >> 16).astype(np.uint16), kind="stable")]
 
 
-def _ranked(x: np.ndarray) -> np.ndarray:
-    order = np.argsort(x, kind="stable")
-    new = np.zeros(len(x), np.int64)
-    new[1:] = np.cumsum(x[order][1:] != x[order][:-1])
-    out = np.empty(len(x), np.int64)
-    out[order] = new
+def _ranked(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Dense ranks, from the order and the keys it sorts by."""
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    out = np.empty(len(order), keys[0].dtype if keys[0].dtype == np.uint16 else np.int64)
+    out[order] = np.cumsum(new)
     return out
 
 
@@ -135,26 +184,32 @@ def repeated_starts(frags: list[bytes], shard_of: list[int], length: int = LENGT
     frag = np.repeat(np.arange(len(frags)), stride)
     offset = np.arange(n) - start[frag]
     whole = offset <= lens[frag] - SYMBOL  # else the empty suffix that ends a phase
-    sym = np.zeros(n, np.int64)
-    sym[whole] = 1 + _ranked(symbol[whole])
+    kind = np.uint16 if n < 1 << 16 else np.int64  # ranks stay below n
+    order = np.argsort(symbol[whole], kind="stable")
+    sym = np.zeros(n, kind)
+    sym[whole] = 1 + _ranked(order, symbol[whole])
     shard = np.asarray(shard_of, np.int64)[frag]
     # each shard's suffix order, by doubling, and its transform: the symbol before each suffix (0: none)
-    rank, span, top = sym, SYMBOL, n + 1
+    rank, span = sym, SYMBOL
     follow = np.where(whole, np.arange(n) + SYMBOL, n)
     while span < length:
-        rank = _ranked(rank * top + np.append(rank + 1, 0)[follow])
+        after = np.append(rank + 1, 0).astype(kind)[follow]
+        order = _stable_order(after)
+        order = order[_stable_order(rank[order])]
+        rank = _ranked(order, rank, after)
         follow, span = np.append(follow, n)[follow], span * 2
-    suffixes = np.lexsort((rank, shard))
+    suffixes = _stable_order(rank)
+    suffixes = suffixes[np.argsort(shard[suffixes].astype(np.uint8), kind="stable")]
     before = np.where(offset >= SYMBOL, sym[np.maximum(np.arange(n) - SYMBOL, 0)], 0)[suffixes]
     # the merge: only shard numbers are interleaved
     z = shard[suffixes].astype(np.uint8)
     block = np.zeros(n, np.int64)
-    read = np.empty(n, np.int64)
+    read = np.empty(n, kind)
     for _ in range(rounds):
         read[np.argsort(z, kind="stable")] = before
         order = _stable_order(read)
         sym_now, came = read[order], block[order]
-        new = np.zeros(n, np.int64)
+        new = np.zeros(n, bool)
         new[1:] = (sym_now[1:] != sym_now[:-1]) | (came[1:] != came[:-1])
         z, block = z[order], np.cumsum(new)
     count = np.bincount(block)
@@ -244,7 +299,8 @@ def repeated_byte_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length % SYMBOL or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of {SYMBOL} and at least {2 * GRAM}")
     buckets = common.pieces(4 * common.text_bytes(docs), BUCKET_BYTES)
-    packed = spans.fragments(docs, lambda it, n: _pack(it, n, length, GRAM), buckets)
+    hot = spans.hot_minimisers(docs, lambda it: _hashes(it, length, GRAM))
+    packed = spans.fragments(docs, lambda it, n: _pack(it, n, length, GRAM, hot), buckets)
     return spans.find_spans(packed, lambda bodies: _solve(bodies, length, GRAM), buckets)
 
 
