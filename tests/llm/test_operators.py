@@ -429,3 +429,18 @@ def test_masked_lm_gradients():
         w[name][place] += 1e-5
         assert (loss() - base) / 1e-5 == pytest.approx(steps[name][place], rel=2e-2), name
         w[name][place] = before[name][place]
+
+
+def test_functions_travel_by_value(tmp_path):
+    """Workers need no copy of the package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    functions = [substring._pack, substring._solve, suffix_merge._pack, suffix_merge._solve, minhash._sign, minhash._pairs, minhash._confirm, embedding._windows, embedding._count, quality._measure, chat._format, warc._write, warc._read, masked_lm._train, masked_lm._score, components._forests]
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(functions))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = f"import pickle, sys; assert len(pickle.load(open({str(tmp_path / 'f')!r}, 'rb'))) == {len(functions)}; assert 'spanforge' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd="/", env=env, check=True)
