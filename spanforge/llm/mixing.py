@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, unique_ids
+from .common import WORD_PATTERN, materialise, unique_ids
 from .running import running_total, same
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -62,6 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, source, size, more) to the same rows with source_size, target and passes (times taken, 0 to repeats)."""
+    docs = materialise(docs, "sizes")  # texts are read and counted once
     shuffled = docs.withColumn("__h", shuffle_key(seed))
     targets = source_targets(docs.select("source", "size"), weights, share, repeats)
     cum = running_total(shuffled, ["source"], ["__h", "doc_id", "size"], "size", "__cum", targets)
