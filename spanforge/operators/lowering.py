@@ -116,21 +116,21 @@ def empty(sources: DataFrame) -> DataFrame:
     return sources.sparkSession.createDataFrame([], SPAN_SCHEMA)
 
 
-def lower(d: fm.Decorated, sources: DataFrame, language: str) -> DataFrame:
-    """sources (uri, text) to the matches of a formula."""
+def lower(d: fm.Decorated, sources: DataFrame, language: str, deep: int = matcher.MAX_DEEP_NODES) -> DataFrame:
+    """sources (uri, text) to the matches of a formula. deep: nodes that one search below a node may visit."""
     node = d.node
     if isinstance(node, fm.Pattern):
         if language not in _trees():
             raise fail(dx.UNSUPPORTED_MODE, f"no tree provider for {language}", d.span)
-        out = matcher.match_sources(sources, node.text, language, expression=True).select(*MATCH_COLUMNS)
+        out = matcher.match_sources(sources, node.text, language, expression=True, deep=deep).select(*MATCH_COLUMNS)
     elif isinstance(node, fm.Regex):
         out = regex_spans(sources, node.pattern)
     elif isinstance(node, fm.TreeQuery):
         out = query_spans(sources, node.query, language) if language in _trees() else empty(sources)
     elif isinstance(node, fm.And):
-        out = _conjunction(node, sources, language)
+        out = _conjunction(node, sources, language, deep)
     elif isinstance(node, fm.Or):
-        branches = [lower(b, sources, language) for b in node.branches if fm.is_positive(b)]
+        branches = [lower(b, sources, language, deep) for b in node.branches if fm.is_positive(b)]
         out = dedupe(_union(branches)) if branches else empty(sources)
     else:
         return empty(sources)  # a constraint without an anchor has no matches
@@ -155,26 +155,26 @@ def dedupe(matches: DataFrame) -> DataFrame:
     return matches.dropDuplicates(["uri", "start_byte", "end_byte", "captures"])
 
 
-def _conjunction(node: fm.And, sources: DataFrame, language: str) -> DataFrame:
+def _conjunction(node: fm.And, sources: DataFrame, language: str, deep: int) -> DataFrame:
     positive = [b for b in node.branches if fm.is_positive(b)]
     if not positive:
         return empty(sources)
-    out, bound = lower(positive[0], sources, language), names_of(positive[0], language)
+    out, bound = lower(positive[0], sources, language, deep), names_of(positive[0], language)
     for other in positive[1:]:
         names = names_of(other, language)
-        out = _also(out, lower(other, sources, language), bound & names, names - bound)
+        out = _also(out, lower(other, sources, language, deep), bound & names, names - bound)
         bound |= names
     for b in node.branches:
         if isinstance(b.node, (fm.Inside, fm.Anywhere)):
-            out = _context(out, b.node, sources, language, bound, False)
+            out = _context(out, b.node, sources, language, deep, bound, False)
         elif isinstance(b.node, fm.Not):
             inner = b.node.inner
             if isinstance(inner.node, (fm.Inside, fm.Anywhere)):
-                out = _context(out, inner.node, sources, language, bound, True)
+                out = _context(out, inner.node, sources, language, deep, bound, True)
             elif isinstance(inner.node, fm.Not):
-                out = spans.overlapping(out, lower(inner.node.inner, sources, language))
+                out = spans.overlapping(out, lower(inner.node.inner, sources, language, deep))
             else:
-                out = _without(out, lower(inner, sources, language), bound & names_of(inner, language))
+                out = _without(out, lower(inner, sources, language, deep), bound & names_of(inner, language))
     return out
 
 
@@ -206,8 +206,8 @@ def _also(anchors: DataFrame, others: DataFrame, shared: set[str], new: set[str]
     return joined.withColumn("captures", F.array_sort(F.concat("captures", more))).select(*MATCH_COLUMNS)
 
 
-def _context(anchors: DataFrame, node: fm.Inside | fm.Anywhere, sources: DataFrame, language: str, bound: set[str], negate: bool) -> DataFrame:
-    others = lower(node.inner, sources, language)
+def _context(anchors: DataFrame, node: fm.Inside | fm.Anywhere, sources: DataFrame, language: str, deep: int, bound: set[str], negate: bool) -> DataFrame:
+    others = lower(node.inner, sources, language, deep)
     shared = bound & names_of(node.inner, language)
     inside = isinstance(node, fm.Inside)
     if not shared:

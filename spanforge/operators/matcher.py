@@ -154,9 +154,9 @@ class Match:
 
 
 class _Matcher:
-    def __init__(self, pattern: Compiled, tree: Tree):
+    def __init__(self, pattern: Compiled, tree: Tree, deep: int = MAX_DEEP_NODES):
         self.p, self.t = pattern, tree
-        self.budget = MAX_DEEP_NODES
+        self.budget = deep
 
     def variable(self, node: Node) -> tuple[str, Metavariable] | None:
         """The metavariable a pattern node stands for, also when it is the node's only named child."""
@@ -239,14 +239,14 @@ class _Matcher:
         return go(0, 0, found)
 
 
-def find_all(pattern: Compiled, tree: Tree) -> list[Match]:
+def find_all(pattern: Compiled, tree: Tree, deep: int = MAX_DEEP_NODES) -> list[Match]:
     """Every match in pre-order, nested ones too."""
     var = _Matcher(pattern, tree).variable(pattern.root)
     out = []
     for n in tree.root.walk():
         if var is None and n.kind != pattern.root.kind:
             continue
-        m = _Matcher(pattern, tree)
+        m = _Matcher(pattern, tree, deep)
         if (found := m.match(pattern.root, n, {})) is not None:
             out.append(Match(n.kind, n.start, n.end, found))
     return out
@@ -264,7 +264,7 @@ MATCH_SCHEMA = "uri string, kind string, text string, start_byte long, end_byte
 _MATCH_KINDS = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 6, pa.list_(CAPTURE)]
 
 
-def match_sources(sources: DataFrame, pattern: str, language: str, first_only: bool = False, expression: bool = False) -> DataFrame:
+def match_sources(sources: DataFrame, pattern: str, language: str, first_only: bool = False, expression: bool = False, deep: int = MAX_DEEP_NODES) -> DataFrame:
     """sources (uri, text) to matches, 1-based positions, captures sorted by name."""
     compile_pattern(pattern, language, expression)  # errors belong to the driver
 
@@ -275,7 +275,7 @@ def match_sources(sources: DataFrame, pattern: str, language: str, first_only: b
             for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist()):
                 tree = parse(text or "", language)
                 starts = tree.line_starts()
-                found = [m for m in [find_first(compiled, tree)] if m] if first_only else find_all(compiled, tree)
+                found = [m for m in [find_first(compiled, tree)] if m] if first_only else find_all(compiled, tree, deep)
                 for m in found:
                     (r0, c0), (r1, c1) = position(starts, m.start), position(starts, m.end)
                     captures = [{"name": f"${k}", "kind": v.kind, "text": v.text, "start_byte": v.start, "end_byte": v.end} for k, v in sorted(m.captures.items())]

@@ -88,7 +88,7 @@ class Engine:
             if p.language == "hcl" and not self.config.enable_hcl:
                 raise fail(dx.UNSUPPORTED_MODE, "hcl is not enabled")
             own = sources.filter(F.col("lang") == p.language) if "lang" in sources.columns else sources
-            found = lowering.lower(p.formula, own, p.language).select(*lowering.MATCH_COLUMNS)
+            found = lowering.lower(p.formula, own, p.language, self.config.max_deep_search_nodes).select(*lowering.MATCH_COLUMNS)
             found = found.select(F.lit(p.rule_id).alias("rule_id"), F.lit(p.language).alias("language"), *lowering.MATCH_COLUMNS, F.lit(p.message).cast("string").alias("message"), F.lit(p.severity).cast("string").alias("severity"), F.lit(p.formula.fix).cast("string").alias("fix"))
             out = found if out is None else out.unionByName(found)
         return lowering.cap_capture_text(lowering.cap(out, self.config.max_matches_per_rule), self.config.max_capture_text_bytes)

@@ -169,6 +169,8 @@ def test_captures_focus_and_names(sources):
     assert [(r.start_byte, r.end_byte) for r in focus] == [(7, 8), (17, 18)]
     inside = run(sources, 'pattern("foo($$$ARGS)") where { metavariable-pattern("$ARGS", "name") }', max_capture_text_bytes=3)
     assert all(c.text is None for r in inside for c in r.captures)
+    deep = 'pattern("if $C: <... print($X, $Y) ...>")'
+    assert len(run(sources, deep)) == 1 and run(sources, deep, max_deep_search_nodes=1) == []
     with pytest.raises(RuleError) as e:
         run(sources, 'pattern("foo($X)") where { metavariable-type("$X") }')
     assert e.value.code == "E_UNSUPPORTED_CONSTRAINT"

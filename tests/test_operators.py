@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
-from spanforge.operators import cache, cards, deltas, graph, patch, resolution, slices
+from spanforge.operators import cache, cards, deltas, graph, observe, patch, resolution, slices
 from spanforge.sources import files, jsonl, lsp
 from spanforge.streaming import requests as streaming
 
@@ -313,3 +313,18 @@ def test_revision_cache():
     assert c.get(key("b", "1"), lambda: 6) == 6 and len(c) == 2
     c.get(key("b", "2"), lambda: 7)
     assert c.get(key("b", "2"), lambda: 8) == 7 and len(c) == 2
+
+
+def test_requests_end_to_end(spark):
+    src = spark.createDataFrame([("file:///d/g.py", PY), ("file:///t.txt", "x")], "uri string, text string")
+    lines = PY.split("\n")
+    at = next(k for k, x in enumerate(lines, 1) if "return x" in x)
+    asked = spark.createDataFrame([(1, "file:///d/g.py", at, 5), (2, "file:///d/g.py", 1, 1), (3, "file:///d/g.py", 3, 1), (4, "file:///d/g.py", 999, 1), (5, "file:///t.txt", 1, 1)], "request_id int, uri string, line int, column int")
+    got = {r.request_id: r for r in observe.get_card(src, asked).collect()}
+    assert {k: (r.status, r.reason, r.card and r.card.symbol.name) for k, r in got.items()} == {
+        1: ("success", None, "greet"), 2: ("success", None, "g"), 3: ("refusal", "no_symbol_at_position", None), 4: ("refusal", "position_out_of_range", None), 5: ("refusal", "unsupported_language", None),
+    }
+    request = slices.SliceRequest("file:///d/g.py", at, 5, max_cards=2)
+    out = {r.request_id: r for r in observe.graph_slice(src, asked.filter("request_id in (1, 4)"), request).collect()}
+    assert [c.name for c in out[1].cards] == ["greet", "A"] and len(out[1].frontier) == 1 and out[1].truncated
+    assert out[4].status == "refusal"
