@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .mixing import SEED, shuffle_key, word_count
 from .running import running_total
 
@@ -72,7 +73,7 @@ def best_edges(lengths: list[int], counts: list[int], buckets: int) -> list[int]
 
 def pack(docs: DataFrame, buckets: int = N_BUCKETS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
     """docs (doc_id, n_tokens) to doc_id, n_tokens, bucket, padded_tokens, batch (within the bucket), slot."""
-    rows = docs.select("doc_id", "n_tokens").withColumn("__edge", bin_edge(F.col("n_tokens")))
+    rows = materialise(docs.select("doc_id", "n_tokens"), "lengths").withColumn("__edge", bin_edge(F.col("n_tokens")))
     histogram = rows.groupBy("__edge").count().orderBy("__edge").collect()  # bounded by the bins
     edges = best_edges([r["__edge"] for r in histogram], [r["count"] for r in histogram], buckets) or [0]
     at = F.lit(0)
