@@ -26,8 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/") if root else _LOCAL_CHECKPOINTS
 
 
+#: Tables and archives that this process has written to the shared folder.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what this process has written; call it when no result that reads it is needed any more."""
+    while _PATHS:
+        drop_path(spark, _PATHS.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

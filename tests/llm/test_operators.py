@@ -444,3 +444,14 @@ def test_functions_travel_by_value(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     code = f"import pickle, sys; assert len(pickle.load(open({str(tmp_path / 'f')!r}, 'rb'))) == {len(functions)}; assert 'spanforge' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], cwd="/", env=env, check=True)
+
+
+def test_tables_are_dropped_on_demand(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(common, "_PATHS", [])
+    df = common.materialise(spark.range(3), "some")
+    path = common._PATHS[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    common.drop_tables(spark)
+    assert not os.path.exists(path) and common._PATHS == []
