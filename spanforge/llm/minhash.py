@@ -348,7 +348,8 @@ class _Join:
         leaves, dense, level = [], [], DEPTH
         while True:
             rows = common.materialise(rows, "nodes")
-            counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("node", "__node")
+            # a table of its own, so that the join has two exchanges and Spark can split a node that holds very many rows
+            counts = common.materialise(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("node", "__node"), "counts")
             sized = common.materialise(rows.join(counts, rows["node"] == counts["__node"]).drop("__node"), "sized")
             leaves.append(sized.filter(f"n <= {LEAF}").select("node", F.col("node").alias("leaf"), "uid", F.lit(False).alias("wide"), F.lit(True).alias("first")))
             close = F.coalesce(F.col("n") >= DENSE * F.col("above"), F.lit(False)) | F.lit(level >= MAX_DEPTH)
