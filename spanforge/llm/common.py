@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,16 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn("__rk", F.lit(0).cast("long") if unique_ids(df) else F.xxhash64("text"))
 
 
+def tidy(rows):
+    """rows; then gives the memory that Arrow and the C library keep for reuse back to the system, as workers stay on idle."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: nothing to do
+        pass
+
+
 def pieces(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 

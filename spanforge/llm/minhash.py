@@ -333,7 +333,7 @@ class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.size, self.percent = size, percent
         self.docs = docs
-        signed = docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: _sign(it, size), _SIGNED)
+        signed = docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: common.tidy(_sign(it, size)), _SIGNED)
         self.signed = common.materialise(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
         known = self.signed.filter("setkey is not null and doc_id is not null")
         classes = known.groupBy("setkey").agg(F.min("row").alias("uid"), F.min("doc_id").alias("least_doc"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n"), F.min_by(F.struct("doc_id", "__rk"), "row").alias("at"))
@@ -387,7 +387,7 @@ class _Join:
         rows = rows.join(sketch, rows["uid"] == sketch["__uid"]).drop("__uid")
         sorted_rows = rows.repartition("leaf").sortWithinPartitions("leaf")
         threshold, spanning = self.percent / 100, comp is None
-        pairs = sorted_rows.mapInArrow(lambda it: _pairs(it, threshold, spanning), "a long, b long")
+        pairs = sorted_rows.mapInArrow(lambda it: common.tidy(_pairs(it, threshold, spanning)), "a long, b long")
         return pairs.distinct() if spanning else pairs
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -398,12 +398,12 @@ class _Join:
         docs = self.docs.select("doc_id", "__rk", "text")
         texts = docs.join(at, (docs["doc_id"] == at["__doc"]) & (docs["__rk"] == at["__key"])).select("uid", "text")
         size = self.size
-        sets = common.materialise(texts.mapInArrow(lambda it: _pack_sets(it, size), "uid long, members binary").dropDuplicates(["uid"]), "sets")
+        sets = common.materialise(texts.mapInArrow(lambda it: common.tidy(_pack_sets(it, size)), "uid long, members binary").dropDuplicates(["uid"]), "sets")
         x, y = sets.select(F.col("uid").alias("__a"), F.col("members").alias("x")), sets.select(F.col("uid").alias("__b"), F.col("members").alias("y"))
         full = pairs.join(y, pairs["b"] == y["__b"]).select("a", "b", "y")
         full = full.join(x, full["a"] == x["__a"]).select("a", "b", "x", "y")
         percent = self.percent
-        return common.materialise(full.mapInArrow(lambda it: _confirm(it, percent), "a long, b long, linked boolean"), "confirmed")
+        return common.materialise(full.mapInArrow(lambda it: common.tidy(_confirm(it, percent)), "a long, b long, linked boolean"), "confirmed")
 
     def run(self) -> DataFrame:
         """(setkey, least_doc of the component) of each distinct set."""

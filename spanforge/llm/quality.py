@@ -93,7 +93,7 @@ def _measure(batches):
 def _verdicts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, __rk, source, text) to a row for each: counts, gone (hashes of removed lines, null: none), kept."""
     schema = f"doc_id long, __rk long, source string, {_COUNTS}, text_hash long, lines array<long>, sizes array<long>"
-    rows = docs.select("doc_id", "__rk", "source", "text").mapInArrow(_measure, schema)
+    rows = docs.select("doc_id", "__rk", "source", "text").mapInArrow(lambda it: common.tidy(_measure(it)), schema)
     rows = common.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "measured")
     distinct = rows.filter(F.size("lines") > 0).groupBy("source", "text_hash").agg(F.first(F.array_distinct("lines")).alias("lines"))
     hosts = rows.groupBy("source").agg(F.count_distinct("text_hash").alias("docs")).withColumnRenamed("source", "__host")
@@ -130,7 +130,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
         return text.combine(gone, lambda t, g: t if t is None or g is None else cut_lines(t, g))
 
     touched = F.col("__gone").isNotNull()
-    out = joined.withColumn("text", F.when(touched, cut("text", "__gone")).otherwise(F.col("text")))
+    out = joined.withColumn("text", F.when(touched, cut(F.when(touched, F.col("text")), "__gone")).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)

@@ -16,7 +16,7 @@ SPAN_SCHEMA = "doc_id long, __rk long, span long"
 
 def fragments(docs: DataFrame, pack: Callable, buckets: int) -> DataFrame:
     """docs (doc_id, __rk, text) to one row for each chunk of documents and bucket."""
-    return docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: pack(it, buckets), packing_blobs.BLOB_SCHEMA)
+    return docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: common.tidy(pack(it, buckets)), packing_blobs.BLOB_SCHEMA)
 
 
 #: A minimiser with this many distinct fragments is hot: its windows are dealt by a second key.
@@ -46,7 +46,7 @@ def hot_minimisers(docs: DataFrame, runs: Callable) -> np.ndarray:
             some = counts >= REPORTED
             yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
 
-    counts = docs.select("doc_id", "__rk", "text").mapInArrow(report, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: common.tidy(report(it)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     hot = counts.filter(F.col("n") >= HOT_FRAGMENTS).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
     return np.sort(np.array([r["h"] for r in hot], np.int64).view(np.uint64))
 
@@ -81,7 +81,7 @@ def find_spans(packed: DataFrame, solve: Callable[[list[bytes]], Iterator[tuple]
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(span)], names=["doc_id", "__rk", "span"])
 
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, SPAN_SCHEMA)
+    return dealt.mapInArrow(lambda it: common.tidy(run(it)), SPAN_SCHEMA)
 
 
 def join_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def substring_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     joined = with_spans(docs.select("doc_id", "text"), window)
-    return joined.select("doc_id", "text", "__spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("doc_id", "text", "__spans").mapInArrow(lambda it: common.tidy(_digest(it)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_words(text: bytes, gone: np.ndarray) -> bytes:
@@ -303,7 +303,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(text, gone):
         return text.combine(gone, lambda t, g: t if t is None or g is None or not len(g) else cut_words(t.encode(), np.asarray(g)).decode())
 
-    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")))
+    touched = F.col("__spans").isNotNull()  # other texts don't go to Python
+    out = joined.withColumn("text", F.when(touched, cut(F.when(touched, F.col("text")), "__spans")).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)

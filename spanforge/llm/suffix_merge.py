@@ -314,4 +314,4 @@ def suffix_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     numbered = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     joined = spans.join_spans(numbered, repeated_byte_spans(numbered, length))
     joined = joined.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
-    return joined.select("doc_id", "text", "__spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "__spans").mapInArrow(lambda it: common.tidy(_digest(it)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
