@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in numpy.
 
-The vocabulary is the VOCAB most frequent words of the whole corpus; other words go to
-BUCKETS hashed ids. The network sees SIDE words on each side of a masked word, embeds them by
+The vocabulary is every word that occurs at least 1/OFTEN times the root of the corpus's
+words, so it grows with about that root, and is the VOCAB most frequent words where those are more. Other words go to
+hashed buckets, whose number grows with the vocabulary; such a word's probability is its bucket's times its share
+of the bucket in the corpus, by the counts of all words (a word never counted: as if once). The network sees SIDE words on each side of a masked word, embeds them by
 position, and predicts the masked id in two steps, class and member of the class, each a
 softmax over about the root of the vocabulary. A document's score is the sum of the
 conditional log-probabilities of all its words, each masked in turn.
@@ -9,7 +11,8 @@ conditional log-probabilities of all its words, each masked in turn.
 Training covers every document: in each round every task starts from the round's
 weights, makes one pass over its texts with one in MASK positions masked (another residue
 each round), and returns its weights. Their average, weighted by masked positions, is formed by a
-grouped aggregate over blocks of parameters; the driver only sees the average, whose size is fixed.
+grouped aggregate over blocks of parameters; the driver only sees the average and the vocabulary, which grow with the
+root of the corpus. Counts of the words outside it stay a table, joined to their occurrences by a 64-bit hash.
 
 Rules for odd input: null or wordless texts score 0 with mean null; rows with equal ids
 are scored one by one; very long texts are taken in pieces of PIECE words with their
@@ -18,19 +21,25 @@ context; an empty table gives an empty result. Columns beside doc_id and text ar
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from zlib import crc32
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, spans
 
+#: The least sizes, as of a small corpus.
 VOCAB = 2175
 BUCKETS = 128
 CLASS = 48
+#: A word of the vocabulary occurs at least isqrt(words of the corpus) // OFTEN times; it has so many words for each bucket.
+OFTEN = 8
+SPREAD = 16
 DIM = 32
 SIDE = 2
 MASK = 8
@@ -41,37 +50,52 @@ RATE = 0.1
 PIECE = 200_000
 BLOCK = 4096
 
-#: Ids: 0 stands for no word (before the first and after the last), then VOCAB words, then hashed ids.
+#: Ids: 0 stands for no word (before the first and after the last), then the vocabulary, then hashed ids.
 SIZE = 1 + VOCAB + BUCKETS
-CLASSES = -(-SIZE // CLASS)
-_SHAPES = {"embed": (2 * SIDE, SIZE, DIM), "bias": (DIM,), "to_class": (DIM, CLASSES), "class_bias": (CLASSES,), "class_embed": (CLASSES, DIM), "to_member": (DIM, CLASS), "member_bias": (CLASSES, CLASS)}
-PARAMETERS = sum(int(np.prod(s)) for s in _SHAPES.values())
+SIZES = (VOCAB, BUCKETS)
 
 
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+def sizes_for(vocab: int) -> tuple[int, int]:
+    """Words of the vocabulary and buckets."""
+    vocab = max(VOCAB, vocab)
+    return vocab, max(BUCKETS, vocab // SPREAD)
+
+
+def shapes(sizes: tuple[int, int]) -> dict[str, tuple]:
+    size = 1 + sum(sizes)
+    members = max(CLASS, math.isqrt(size - 1) + 1)
+    classes = -(-size // members)
+    return {"embed": (2 * SIDE, size, DIM), "bias": (DIM,), "to_class": (DIM, classes), "class_bias": (classes,), "class_embed": (classes, DIM), "to_member": (DIM, members), "member_bias": (classes, members)}
+
+
+def n_parameters(sizes: tuple[int, int]) -> int:
+    return sum(math.prod(s) for s in shapes(sizes).values())
+
+
+def unpack(flat: np.ndarray, sizes: tuple[int, int] = SIZES) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
+    for name, shape in shapes(sizes).items():
+        n = math.prod(shape)
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def initial() -> np.ndarray:
-    flat = np.zeros(PARAMETERS, np.float32)
-    w, rng = unpack(flat), np.random.default_rng(31)
+def initial(sizes: tuple[int, int] = SIZES) -> np.ndarray:
+    flat = np.zeros(n_parameters(sizes), np.float32)
+    w, rng = unpack(flat, sizes), np.random.default_rng(31)
     for name in ("embed", "to_class", "class_embed", "to_member"):
         w[name][...] = rng.standard_normal(w[name].shape, dtype=np.float32) * 0.1
     return flat
 
 
-def unigram_biases(flat: np.ndarray, counts: list[int], rest: int) -> None:
-    """Sets the biases so that, before training, words are predicted by their corpus frequency."""
-    n = np.full(CLASSES * CLASS, 1e-3)
+def unigram_biases(flat: np.ndarray, counts: list[int], rest: np.ndarray, sizes: tuple[int, int]) -> None:
+    """Sets the biases so that, before training, words and buckets (counts: rest) are predicted by their corpus frequency."""
+    w = unpack(flat, sizes)
+    n = np.full(w["member_bias"].size, 1e-3)
     n[1 : 1 + len(counts)] += counts
-    n[1 + VOCAB : SIZE] += rest / BUCKETS
-    n = n.reshape(CLASSES, CLASS)
-    w = unpack(flat)
+    n[1 + sizes[0] : 1 + sum(sizes)] += rest
+    n = n.reshape(w["member_bias"].shape)
     w["class_bias"][...] = np.log(n.sum(1) / n.sum())
     w["member_bias"][...] = np.log(n / n.sum(1, keepdims=True))
 
@@ -91,7 +115,7 @@ def _forward(w: dict, ids: np.ndarray, at: np.ndarray):
         h += w["embed"][p][ids[at + k]]
     np.tanh(h, out=h)
     target = ids[at]
-    c, m = target // CLASS, target % CLASS
+    c, m = np.divmod(target, w["to_member"].shape[1])
     pc = _softmax(h @ w["to_class"] + w["class_bias"])
     g = h + w["class_embed"][c]
     pm = _softmax(g @ w["to_member"] + w["member_bias"][c])
@@ -141,15 +165,25 @@ def train_step(w: dict, squares: dict, ids: np.ndarray, at: np.ndarray) -> None:
         _descend_rows(w["embed"][p], squares["embed"][p], ids[at + k], dh)
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
 class Vocabulary:
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], sizes: tuple[int, int]):
         self.ids = {x: k + 1 for k, x in enumerate(words)}
+        self.sizes = sizes
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Ids with SIDE zeros around them."""
-        get, out = self.ids.get, np.zeros(len(words) + 2 * SIDE, np.int64)
-        out[SIDE : SIDE + len(words)] = [i if (i := get(x)) else 1 + VOCAB + crc32(x) % BUCKETS for x in words]
-        return out
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with SIDE zeros around them, hashes of the words that aren't in the vocabulary."""
+        get, (vocab, buckets) = self.ids.get, self.sizes
+        out = np.zeros(len(words) + 2 * SIDE, np.int64)
+        ids = out[SIDE : SIDE + len(words)]
+        ids[...] = [get(x, 0) for x in words]
+        new = np.flatnonzero(ids == 0)
+        unknown = np.array([word_hash(words[k]) for k in new.tolist()], np.int64)
+        ids[new] = 1 + vocab + unknown % buckets
+        return out, unknown
 
 
 def _pieces(words: list[bytes]):
@@ -157,9 +191,9 @@ def _pieces(words: list[bytes]):
         yield words[at : at + PIECE]
 
 
-def _train(batches, words: list[bytes], start: bytes, turn: int):
-    vocabulary, flat, seen = Vocabulary(words), np.frombuffer(start, np.float32).copy(), 0
-    w, squares = unpack(flat), unpack(np.full(PARAMETERS, 1e-4, np.float32))
+def _train(batches, words: list[bytes], sizes: tuple[int, int], start: bytes, turn: int):
+    vocabulary, flat, seen = Vocabulary(words, sizes), np.frombuffer(start, np.float32).copy(), 0
+    w, squares = unpack(flat, sizes), unpack(np.full(len(flat), 1e-4, np.float32), sizes)
     held: list[np.ndarray] = []
     size = 0
 
@@ -174,7 +208,7 @@ def _train(batches, words: list[bytes], start: bytes, turn: int):
     for batch in batches:
         for text in spans.texts(batch.column("text")):
             for part in _pieces(text.split()):
-                held.append(vocabulary(part))
+                held.append(vocabulary(part)[0])
                 size += len(part)
                 if size >= MASK * TRAIN_BATCH:
                     seen += step()
@@ -182,7 +216,7 @@ def _train(batches, words: list[bytes], start: bytes, turn: int):
     if held:
         seen += step()
     if seen:
-        blocks = range(0, PARAMETERS, BLOCK)
+        blocks = range(0, len(flat), BLOCK)
         body = [(flat[k : k + BLOCK] * np.float32(seen)).tobytes() for k in blocks]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(body)), pa.int32()), pa.array(np.full(len(body), seen)), pa.array(body, pa.binary())], names=["block", "seen", "body"])
 
@@ -209,7 +243,7 @@ def _count_words(batches):
     counts: Counter = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([word_hash(x) for x in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "hash", "n"])
 
     for batch in batches:
         for text in spans.texts(batch.column("text")):
@@ -221,27 +255,54 @@ def _count_words(batches):
         yield out()
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    """Vocabulary and parameters, from all of docs (text)."""
-    texts = docs.select("text")
-    counts = texts.mapInArrow(lambda it: common.tidy(_count_words(it)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Lexicon(NamedTuple):
+    words: list[bytes]
+    sizes: tuple[int, int]
+    rest: np.ndarray  # occurrences in each bucket
+    counts: DataFrame  # hash, n of the words outside the vocabulary that occur more than once
+
+
+def lexicon(texts: DataFrame) -> tuple[Lexicon, list[int]]:
+    """What is counted in all of texts, and the counts of the vocabulary."""
+    counts = texts.mapInArrow(lambda it: common.tidy(_count_words(it)), "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
     counts = common.materialise(counts, "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB).collect()  # VOCAB rows
-    words, n = [bytes(r["word"]) for r in top], [r["n"] for r in top]
-    flat = initial()
-    unigram_biases(flat, n, (counts.agg(F.sum("n")).first()[0] or 0) - sum(n))
+    least = max(1, math.isqrt(counts.agg(F.sum("n")).first()[0] or 0) // OFTEN)
+    sizes = sizes_for(counts.filter(F.col("n") >= least).count())
+    vocab, buckets = sizes
+    top = counts.orderBy(F.desc("n"), "word").limit(vocab).collect()  # grows with the root of the corpus
+    rest = np.zeros(buckets)
+    rows = counts.groupBy(F.pmod("hash", F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n"))
+    for r in rows.collect():
+        rest[r["bucket"]] = r["n"]
+    for r in top:
+        rest[r["hash"] % buckets] -= r["n"]
+    # Where the least count of the vocabulary is reached, words in it may be left in the table; they are never looked up.
+    few = counts.filter((F.col("n") > 1) & (F.col("n") <= (top[-1]["n"] if top else 0))).groupBy("hash").agg(F.sum("n").alias("n"))
+    return Lexicon([bytes(r["word"]) for r in top], sizes, rest, few), [r["n"] for r in top]
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Lexicon, np.ndarray]:
+    """Vocabulary with counts, and parameters, from all of docs (text)."""
+    texts = docs.select("text")
+    known, n = lexicon(texts)
+    words, sizes = known.words, known.sizes
+    flat = initial(sizes)
+    unigram_biases(flat, n, known.rest, sizes)
     for turn in range(rounds):
         start = flat.tobytes()
-        parts = texts.mapInArrow(lambda it, s=start, t=turn: common.tidy(_train(it, words, s, t)), "block int, seen long, body binary")
+        parts = texts.mapInArrow(lambda it, s=start, t=turn: common.tidy(_train(it, words, sizes, s, t)), "block int, seen long, body binary")
         summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_average, "block int, body binary")
         found = {r["block"]: r["body"] for r in summed.collect()}  # one copy of the parameters
         if found:
             flat = np.frombuffer(b"".join(found[k] for k in sorted(found)), np.float32)
-    return words, flat
+    return known, flat
 
 
-def _score(batches, words: list[bytes], body: bytes):
-    vocabulary, w = Vocabulary(words), unpack(np.frombuffer(body, np.float32))
+def _score(batches, words: list[bytes], sizes: tuple[int, int], rest: np.ndarray, body: bytes):
+    """Sums by the network, a word outside the vocabulary taken as one of the occurrences in its bucket (and one more, of words never counted); the hashes of such words."""
+    vocabulary, w = Vocabulary(words, sizes), unpack(np.frombuffer(body, np.float32), sizes)
+    one = np.zeros(1 + sum(sizes))
+    one[1 + sizes[0] :] = np.log(rest + 1)
     for batch in batches:
         counts: list[int] = []
         held, owner, size = [], [], 0
@@ -251,15 +312,21 @@ def _score(batches, words: list[bytes], body: bytes):
             at = np.flatnonzero(ids)
             doc = np.repeat(owner, [len(x) for x in held])[at]
             lp = np.concatenate([log_probabilities(w, ids, at[k : k + BATCH]) for k in range(0, len(at), BATCH)])
-            np.add.at(total, doc, lp)
-            np.add.at(in_vocabulary, doc, ids[at] <= VOCAB)
+            np.add.at(total, doc, lp - one[ids[at]])
+            np.add.at(in_vocabulary, doc, ids[at] <= sizes[0])
 
         total, in_vocabulary = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        unknown: list[np.ndarray] = []
+        ends = np.zeros(batch.num_rows + 1, np.int32)
         for k, text in enumerate(spans.texts(batch.column("text"))):
             tokens = text.split()
             counts.append(len(tokens))
+            ends[k + 1] = ends[k]
             for part in _pieces(tokens):
-                held.append(vocabulary(part))
+                ids, new = vocabulary(part)
+                held.append(ids)
+                unknown.append(new)
+                ends[k + 1] += len(new)
                 owner.append(k)
                 size += len(part)
                 if size >= 8 * BATCH:
@@ -267,15 +334,20 @@ def _score(batches, words: list[bytes], body: bytes):
                     held, owner, size = [], [], 0
         if held:
             flush()
-        sums, known = total.tolist(), in_vocabulary.tolist()
-        mean = [s / n if n else None for s, n in zip(sums, counts)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "n_in_vocabulary", "pseudo_log_likelihood", "mean_log_probability"])
+        hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(unknown) if unknown else [], pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(in_vocabulary), pa.array(total), hashes], names=["doc_id", "n_words", "n_in_vocabulary", "total", "unknown"])
 
 
-def score(docs: DataFrame, words: list[bytes], flat: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, known: Lexicon, flat: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_in_vocabulary, pseudo_log_likelihood, mean_log_probability of every document."""
-    body = flat.astype(np.float32).tobytes()
-    return docs.select("doc_id", "text").mapInArrow(lambda it: common.tidy(_score(it, words, body)), "doc_id long, n_words long, n_in_vocabulary long, pseudo_log_likelihood double, mean_log_probability double")
+    body, (words, sizes, rest, counts) = flat.astype(np.float32).tobytes(), known
+    rows = docs.select("doc_id", "text").mapInArrow(lambda it: common.tidy(_score(it, words, sizes, rest, body)), "doc_id long, n_words long, n_in_vocabulary long, total double, unknown array<long>")
+    rows = common.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    unknown = rows.select("row", F.explode("unknown").alias("__hash"))
+    shares = unknown.join(counts, F.col("__hash") == F.col("hash")).groupBy("row").agg(F.sum(F.log("n")).alias("shares")).withColumnRenamed("row", "__row")
+    total = F.col("total") + F.coalesce("shares", F.lit(0.0))
+    joined = rows.drop("unknown").join(shares, F.col("row") == F.col("__row"), "left")
+    return joined.select("doc_id", "n_words", "n_in_vocabulary", total.alias("pseudo_log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

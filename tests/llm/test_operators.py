@@ -455,3 +455,27 @@ def test_tables_are_dropped_on_demand(spark, monkeypatch):
     assert df.count() == 3 and os.path.isdir(path)
     common.drop_tables(spark)
     assert not os.path.exists(path) and common._PATHS == []
+
+
+def test_masked_lm_scores_unknown_words_by_their_share(spark, monkeypatch):
+    """Words outside the vocabulary: a rare one scores below one often seen, and the shares of a bucket sum to one."""
+    monkeypatch.setattr(masked_lm, "VOCAB", 1)
+    monkeypatch.setattr(masked_lm, "BUCKETS", 1)
+    monkeypatch.setattr(masked_lm, "OFTEN", 1)
+    df = spark.createDataFrame([(k, "the " * 200 + "real " * 4 + ("gibberish" if k == 0 else "")) for k in range(5)], "doc_id long, text string")
+    known, flat = masked_lm.fit(df, rounds=0)
+    assert known.words[0] == b"the"
+    score = {r.doc_id: r.pseudo_log_likelihood for r in masked_lm.score(spark.createDataFrame([(0, "real"), (1, "gibberish"), (2, "never")], "doc_id long, text string"), known, flat).collect()}
+    assert b"real" not in known.words
+    assert score[0] - score[1] == pytest.approx(np.log(20)) and score[1] == pytest.approx(score[2])
+
+
+def test_masked_lm_vocabulary_grows(spark):
+    """Every word over the minimum count is in the vocabulary, however many there are; the buckets follow."""
+    words = [f"w{k}" for k in range(5000)]
+    df = spark.createDataFrame([(k, " ".join(words)) for k in range(80)], "doc_id long, text string")
+    known, flat = masked_lm.fit(df, rounds=0)
+    assert len(known.words) == 5000 and known.sizes == (5000, 5000 // masked_lm.SPREAD)
+    assert flat.size == masked_lm.n_parameters(known.sizes) and known.rest.sum() == 0
+    got = masked_lm.score(df, known, flat).collect()
+    assert all(r.n_in_vocabulary == r.n_words == 5000 for r in got)
