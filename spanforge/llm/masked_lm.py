@@ -8,9 +8,9 @@ position, and predicts the masked id in two steps, class and member of the class
 softmax over about the root of the vocabulary. A document's score is the sum of the
 conditional log-probabilities of all its words, each masked in turn.
 
-Training covers every document: in each round every task starts from the round's
-weights, makes one pass over its texts with one in MASK positions masked (another residue
-each round), and returns its weights. Their average, weighted by masked positions, is formed by a
+Training covers every word: the rounds share out the residues, so that each is trained on (more than MASK rounds
+begin anew). In each round every task starts from the round's
+weights, makes one pass over its texts with some residues of the positions modulo MASK masked, and returns its weights. Their average, weighted by masked positions, is formed by a
 grouped aggregate over blocks of parameters; the driver only sees the average and the vocabulary, which grow with the
 root of the corpus. Counts of the words outside it stay a table, joined to their occurrences by a 64-bit hash.
 
@@ -174,8 +174,16 @@ class Vocabulary:
         self.ids = {x: k + 1 for k, x in enumerate(words)}
         self.sizes = sizes
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids with SIDE zeros around them, hashes of the words that aren't in the vocabulary."""
+    def __call__(self, words: list[bytes], before: list[bytes] = [], after: list[bytes] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+        """Ids with SIDE ids of the words before and after around them (zeros: none), hashes of the words that aren't in the vocabulary."""
+        if before or after:
+            out = np.zeros(len(words) + 2 * SIDE, np.int64)
+            near = self(before + after)[0][SIDE:-SIDE]
+            inner, unknown = self(words)
+            out[SIDE:-SIDE] = inner[SIDE:-SIDE]
+            out[SIDE - len(before) : SIDE] = near[: len(before)]
+            out[SIDE + len(words) : SIDE + len(words) + len(after)] = near[len(before) :]
+            return out, unknown
         get, (vocab, buckets) = self.ids.get, self.sizes
         out = np.zeros(len(words) + 2 * SIDE, np.int64)
         ids = out[SIDE : SIDE + len(words)]
@@ -187,11 +195,27 @@ class Vocabulary:
 
 
 def _pieces(words: list[bytes]):
+    """Words of each piece, the SIDE before and the SIDE after it."""
     for at in range(0, len(words), PIECE):
-        yield words[at : at + PIECE]
+        yield words[at : at + PIECE], words[max(0, at - SIDE) : at], words[at + PIECE : at + PIECE + SIDE]
 
 
-def _train(batches, words: list[bytes], sizes: tuple[int, int], start: bytes, turn: int):
+def _inner(held: list[np.ndarray]) -> np.ndarray:
+    """Positions of the pieces' own words in their joined ids."""
+    inside = np.ones(sum(map(len, held)), bool)
+    ends = np.cumsum([len(x) for x in held])
+    for k in range(SIDE):
+        inside[ends - 1 - k] = False
+        inside[ends - [len(x) for x in held] + k] = False
+    return np.flatnonzero(inside)
+
+
+def residues(turn: int, rounds: int) -> list[int]:
+    """Those trained on in a round."""
+    return list(range(turn % MASK, MASK, rounds))
+
+
+def _train(batches, words: list[bytes], sizes: tuple[int, int], start: bytes, turn: int, rounds: int):
     vocabulary, flat, seen = Vocabulary(words, sizes), np.frombuffer(start, np.float32).copy(), 0
     w, squares = unpack(flat, sizes), unpack(np.full(len(flat), 1e-4, np.float32), sizes)
     held: list[np.ndarray] = []
@@ -199,16 +223,18 @@ def _train(batches, words: list[bytes], sizes: tuple[int, int], start: bytes, tu
 
     def step():
         ids = np.concatenate(held)
-        at = np.flatnonzero(ids)
-        at = at[at % MASK == turn % MASK]
-        for k in range(0, len(at), TRAIN_BATCH):
-            train_step(w, squares, ids, at[k : k + TRAIN_BATCH])
-        return len(at)
+        own, n = _inner(held), 0
+        for residue in residues(turn, rounds):
+            at = own[own % MASK == residue]
+            for k in range(0, len(at), TRAIN_BATCH):
+                train_step(w, squares, ids, at[k : k + TRAIN_BATCH])
+            n += len(at)
+        return n
 
     for batch in batches:
         for text in spans.texts(batch.column("text")):
-            for part in _pieces(text.split()):
-                held.append(vocabulary(part)[0])
+            for part, *near in _pieces(text.split()):
+                held.append(vocabulary(part, *near)[0])
                 size += len(part)
                 if size >= MASK * TRAIN_BATCH:
                     seen += step()
@@ -290,7 +316,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Lexicon, np.ndarray]:
     unigram_biases(flat, n, known.rest, sizes)
     for turn in range(rounds):
         start = flat.tobytes()
-        parts = texts.mapInArrow(lambda it, s=start, t=turn: common.tidy(_train(it, words, sizes, s, t)), "block int, seen long, body binary")
+        parts = texts.mapInArrow(lambda it, s=start, t=turn: common.tidy(_train(it, words, sizes, s, t, rounds)), "block int, seen long, body binary")
         summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_average, "block int, body binary")
         found = {r["block"]: r["body"] for r in summed.collect()}  # one copy of the parameters
         if found:
@@ -309,7 +335,7 @@ def _score(batches, words: list[bytes], sizes: tuple[int, int], rest: np.ndarray
 
         def flush():
             ids = np.concatenate(held)
-            at = np.flatnonzero(ids)
+            at = _inner(held)
             doc = np.repeat(owner, [len(x) for x in held])[at]
             lp = np.concatenate([log_probabilities(w, ids, at[k : k + BATCH]) for k in range(0, len(at), BATCH)])
             np.add.at(total, doc, lp - one[ids[at]])
@@ -322,8 +348,8 @@ def _score(batches, words: list[bytes], sizes: tuple[int, int], rest: np.ndarray
             tokens = text.split()
             counts.append(len(tokens))
             ends[k + 1] = ends[k]
-            for part in _pieces(tokens):
-                ids, new = vocabulary(part)
+            for part, *near in _pieces(tokens):
+                ids, new = vocabulary(part, *near)
                 held.append(ids)
                 unknown.append(new)
                 ends[k + 1] += len(new)

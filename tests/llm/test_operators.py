@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -479,3 +480,31 @@ def test_masked_lm_vocabulary_grows(spark):
     assert flat.size == masked_lm.n_parameters(known.sizes) and known.rest.sum() == 0
     got = masked_lm.score(df, known, flat).collect()
     assert all(r.n_in_vocabulary == r.n_words == 5000 for r in got)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3, 8])
+def test_masked_lm_trains_on_every_word(monkeypatch, rounds):
+    """Over the rounds each word is a target once, also where a text is cut, with its own neighbours."""
+    seen = []
+
+    def step(w, squares, ids, at):
+        seen.extend(tuple(ids[k - masked_lm.SIDE : k + masked_lm.SIDE + 1].tolist()) for k in at)
+
+    monkeypatch.setattr(masked_lm, "train_step", step)
+    monkeypatch.setattr(masked_lm, "PIECE", 7)
+    words = [f"w{k}".encode() for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b" ".join(words).decode(), "w3"])], names=["text"])
+    start = masked_lm.initial().tobytes()
+    for turn in range(rounds):
+        list(masked_lm._train([batch], words, masked_lm.SIZES, start, turn, rounds))
+    ids = [0, 0, *range(1, 51), 0, 0]
+    assert sorted(seen) == sorted([tuple(ids[k : k + 5]) for k in range(50)] + [(0, 0, 4, 0, 0)])
+
+
+def test_masked_lm_pieces_keep_their_neighbours(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(40))) for k in range(1, 6)], "doc_id long, text string")
+    known, flat = masked_lm.fit(df)
+    whole = {r.doc_id: r.pseudo_log_likelihood for r in masked_lm.score(df, known, flat).collect()}
+    monkeypatch.setattr(masked_lm, "PIECE", 3)
+    cut = {r.doc_id: r.pseudo_log_likelihood for r in masked_lm.score(df, known, flat).collect()}
+    assert all(cut[k] == pytest.approx(whole[k], rel=1e-6) for k in whole)
