@@ -508,3 +508,19 @@ def test_masked_lm_pieces_keep_their_neighbours(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "PIECE", 3)
     cut = {r.doc_id: r.pseudo_log_likelihood for r in masked_lm.score(df, known, flat).collect()}
     assert all(cut[k] == pytest.approx(whole[k], rel=1e-6) for k in whole)
+
+
+def test_embedding_windows_cross_partitions(spark, monkeypatch):
+    """Each vector is compared with the WINDOW that follow it, over the ends of partitions and runs."""
+    monkeypatch.setattr(embedding, "WINDOW", 3)
+    monkeypatch.setattr(embedding, "SPAN", 4)
+    vec = np.array([1.0, 2.0]).tobytes()
+    rows = spark.createDataFrame([(0, 2, bytes([k]), k, vec) for k in range(40)], "turn int, dim int, key binary, uid long, vec binary")
+    placed = rows.repartitionByRange(7, "key").sortWithinPartitions("key")
+    spans_of = {}
+    for r in embedding._runs(placed).collect():
+        spans_of.setdefault(r.span, []).append(r.uid)
+    assert all({k, k + j} <= set(spans_of[k // 4]) for k in range(40) for j in range(1, 4) if k + j < 40)
+    links = embedding._runs(placed).mapInArrow(lambda it: embedding._windows(it, 0.95), "a long, b long")
+    roots = {x.component for x in components.components(links).collect()}
+    assert roots == {0}
