@@ -3,18 +3,19 @@
 Two occurrences of a LENGTH-byte string have equal bytes, hence the same minimiser (the
 GRAM-byte substring with the smallest hash, leftmost of equals) at the same place. So every
 run of windows with one minimiser travels as one fragment to the bucket of its minimiser,
-and no match leaves its bucket. Equal fragments are collapsed to one with a count; a
-fragment whose minimiser no other text shares holds no string that is elsewhere, so only
-contested minimisers need suffix order.
-
-For these, each shard (fragments of a batch, dealt in turn) gets its Burrows-Wheeler
-transform over super-symbols of SYMBOL bytes, one phase for each offset modulo SYMBOL.
-The transforms are then merged by refining an interleave: it holds only the shard of each
-merged place; every round reads each shard's transform in its own order, deals the places
-to the symbols read, stably, and so extends the agreed prefix by one symbol. Shard suffixes
-are never compared or sorted again. Boundaries noted in each round give the common
-prefixes: after LENGTH / SYMBOL rounds the blocks of two or more places are exactly the
-repeated intervals of LENGTH bytes.
+and no match leaves its bucket. A fragment whose minimiser occurs nowhere else holds no
+string that is elsewhere; all others are merged.
+
+A shard is what a run of chunks of the corpus sent to the bucket. Each shard's fragments (equal
+ones collapsed to one with a count) are sorted by themselves, without a byte of another shard,
+which gives the shard's Burrows-Wheeler transform over super-symbols of SYMBOL bytes, one
+phase for each offset modulo SYMBOL. The transforms are merged by refining an interleave,
+which holds only the shard of each merged place: every round reads each shard's transform in
+its own order, deals the places to the symbols read, stably, and so extends the agreed prefix
+by one symbol. No suffixes of different shards are ever compared. The round in which a
+boundary first shows is the common prefix of the places on its sides; the intervals between
+boundaries of fewer than LENGTH / SYMBOL rounds are the repeated intervals, and those whose
+places stand for two or more occurrences mark what repeats.
 
 What stands around a passage that very many documents share differs from copy to copy but shares
 its minimiser; a first pass finds such hot minimisers, and their runs are cut and dealt by a longer substring too.
@@ -22,12 +23,14 @@ its minimiser; a first pass finds such hot minimisers, and their runs are cut an
 Rules for odd input: null text is empty; texts under LENGTH bytes lose nothing; matches
 never cross documents; rows with equal ids are documents of their own; rows with a null id
 take part like any other; very long texts are cut into overlapping segments; an empty table
-gives an empty result.
+gives an empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,7 @@ BUCKET_BYTES = 16 << 20
 SEGMENT_BYTES = HASH_BYTES
 #: Bytes of the longer substring by which the windows of hot minimisers are dealt.
 LONG_GRAM = 128
-#: Bytes of contested fragments merged at once; their symbols then have 16-bit ranks.
+#: Bytes merged at once; their symbols then have 16-bit codes. The fragments of one minimiser that pass it are cut by a longer substring first.
 MERGE_BYTES = 60_000
 SHARDS = 8
 _LOW = np.uint64((1 << 20) - 1)
@@ -165,61 +168,93 @@ def _ranked(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
-    out = np.empty(len(order), keys[0].dtype if keys[0].dtype == np.uint16 else np.int64)
+    out = np.empty(len(order), np.uint16 if keys[0].dtype == np.uint16 else np.int32)
     out[order] = np.cumsum(new)
     return out
 
 
-def repeated_starts(frags: list[bytes], shard_of: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each fragment, whether the length bytes from each of its windows' starts also start elsewhere among the fragments."""
-    rounds = length // SYMBOL
-    lens = np.array([len(f) for f in frags])
+class Shard(NamedTuple):
+    alphabet: np.ndarray  # its super-symbols, ascending
+    before: np.ndarray  # its transform: 1 + the place in the alphabet of the symbol before each suffix, in the shard's order (0: none)
+    owner: np.ndarray  # the fragment of each suffix, in that order
+    offset: np.ndarray  # and where it starts there
+
+
+def transform(frags: list[bytes], length: int = LENGTH) -> Shard:
+    """Suffix order (by length bytes at least) and transform of one shard, from its own fragments alone."""
+    lens = np.array([len(f) for f in frags], np.int32)
     stride = lens + SYMBOL  # room for the SYMBOL ends of a fragment's phases
-    start = np.cumsum(stride) - stride
+    start = (np.cumsum(stride) - stride).astype(np.int32)
     n = int(stride.sum())
     buf = np.frombuffer(b"".join(f + bytes(SYMBOL) for f in frags) + bytes(SYMBOL), np.uint8).astype(np.uint64)
     symbol = np.zeros(n, np.uint64)
     for k in range(SYMBOL):
         symbol = (symbol << np.uint64(8)) | buf[k : k + n]
-    frag = np.repeat(np.arange(len(frags)), stride)
-    offset = np.arange(n) - start[frag]
-    whole = offset <= lens[frag] - SYMBOL  # else the empty suffix that ends a phase
-    kind = np.uint16 if n < 1 << 16 else np.int64  # ranks stay below n
-    order = np.argsort(symbol[whole], kind="stable")
-    sym = np.zeros(n, kind)
-    sym[whole] = 1 + _ranked(order, symbol[whole])
-    shard = np.asarray(shard_of, np.int64)[frag]
-    # each shard's suffix order, by doubling, and its transform: the symbol before each suffix (0: none)
+    owner = np.repeat(np.arange(len(frags), dtype=np.int32), stride)
+    offset = np.arange(n, dtype=np.int32) - start[owner]
+    whole = offset <= lens[owner] - SYMBOL  # else the empty suffix that ends a phase
+    alphabet, code = np.unique(symbol[whole], return_inverse=True)
+    sym = np.zeros(n, np.uint16 if n < (1 << 16) - 1 else np.int32)  # ranks stay below n
+    sym[whole] = code + 1
     rank, span = sym, SYMBOL
-    follow = np.where(whole, np.arange(n) + SYMBOL, n)
+    follow = np.where(whole, np.arange(n, dtype=np.int32) + SYMBOL, n)
     while span < length:
-        after = np.append(rank + 1, 0).astype(kind)[follow]
+        after = np.append(rank + 1, 0).astype(sym.dtype)[follow]
         order = _stable_order(after)
         order = order[_stable_order(rank[order])]
         rank = _ranked(order, rank, after)
         follow, span = np.append(follow, n)[follow], span * 2
-    suffixes = _stable_order(rank)
-    suffixes = suffixes[np.argsort(shard[suffixes].astype(np.uint8), kind="stable")]
-    before = np.where(offset >= SYMBOL, sym[np.maximum(np.arange(n) - SYMBOL, 0)], 0)[suffixes]
-    # the merge: only shard numbers are interleaved
-    z = shard[suffixes].astype(np.uint8)
-    block = np.zeros(n, np.int64)
+    order = _stable_order(rank)
+    before = np.where(offset >= SYMBOL, sym[np.arange(n) - SYMBOL], 0)[order]
+    return Shard(alphabet, before.astype(sym.dtype), owner[order], offset[order])
+
+
+def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merge: the shard of each place, and the symbols that it has in common with the place before (rounds: that many or more)."""
+    alphabet = np.unique(np.concatenate([s.alphabet for s in shards]))  # a code of symbols for all shards, like that of bytes
+    kind = np.uint16 if len(alphabet) < (1 << 16) - 1 else np.int32
+    before = np.concatenate([np.append(0, 1 + np.searchsorted(alphabet, s.alphabet)).astype(kind)[s.before] for s in shards])
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.before) for s in shards])
+    n = len(z)
+    shared = np.full(n, rounds, np.int32)
+    shared[:1] = 0
+    block = np.zeros(n, np.int32)
     read = np.empty(n, kind)
-    for _ in range(rounds):
+    for turn in range(rounds):
         read[np.argsort(z, kind="stable")] = before
         order = _stable_order(read)
-        sym_now, came = read[order], block[order]
+        now, came = read[order], block[order]
         new = np.zeros(n, bool)
-        new[1:] = (sym_now[1:] != sym_now[:-1]) | (came[1:] != came[:-1])
-        z, block = z[order], np.cumsum(new)
-    count = np.bincount(block)
-    many = np.zeros(n, bool)
+        new[1:] = (now[1:] != now[:-1]) | (came[1:] != came[:-1])
+        shared[new & (shared == rounds)] = turn
+        z, block = z[order], np.cumsum(new, dtype=np.int32)
+    return z, shared
+
+
+def repeated_starts(frags: list[bytes], shard_of: list[int], length: int = LENGTH, copies: list[int] | None = None) -> list[np.ndarray]:
+    """For each fragment, whether the length bytes from each of its windows' starts also start elsewhere among the fragments.
+
+    copies: how often each fragment occurs.
+    """
+    shard = np.asarray(shard_of)
+    members = [np.flatnonzero(shard == s) for s in np.unique(shard)]
+    shards = [transform([frags[k] for k in part], length) for part in members]
+    z, shared = interleave(shards, length // SYMBOL)
     # the interleave tells shard and turn of each place, hence the suffix
-    turn = np.empty(n, np.int64)
-    turn[np.argsort(z, kind="stable")] = suffixes
-    many[turn] = count[block] > 1
-    many &= offset <= lens[frag] - length
-    return [many[a : a + k - length + 1] for a, k in zip(start.tolist(), lens.tolist())]
+    owner = np.empty(len(z), np.int32)
+    offset = np.empty(len(z), np.int32)
+    turn = np.argsort(z, kind="stable")
+    owner[turn] = np.concatenate([part.astype(np.int32)[s.owner] for part, s in zip(members, shards)])
+    offset[turn] = np.concatenate([s.offset for s in shards])
+    interval = np.cumsum(shared < length // SYMBOL, dtype=np.int32)
+    weight = np.ones(len(frags)) if copies is None else np.asarray(copies, np.float64)
+    many = np.bincount(interval, weight[owner])[interval] > 1
+    lens = np.array([len(f) for f in frags])
+    starts = np.cumsum(lens) - lens
+    flags = np.zeros(int(lens.sum()), bool)
+    inside = offset < lens[owner]
+    flags[starts[owner[inside]] + offset[inside]] = many[inside]
+    return [flags[a : a + k - length + 1] for a, k in zip(starts.tolist(), lens.tolist())]
 
 
 def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,55 +262,92 @@ def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+class _Merges:
+    """Collects fragments until they are worth a merge; found: runs of repeated starts of each entry (entry to (first, end) arrays)."""
+
+    def __init__(self, length: int):
+        self.length, self.size = length, 0
+        self.held: list[tuple] = []
+        self.found: dict[int, list] = {}
+
+    def add(self, group: list[tuple]) -> None:
+        """group: (bytes, shard, copies, entry, place of the first byte in the entry) of all fragments with one minimiser."""
+        if sum(g[2] for g in group) < 2:
+            return
+        size = sum(len(g[0]) for g in group)
+        if self.held and self.size + size > MERGE_BYTES:
+            self.flush()
+        self.held += group
+        self.size += size
+        if self.size >= MERGE_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        held, self.held, self.size = self.held, [], 0
+        if held:
+            flags = repeated_starts([h[0] for h in held], [h[1] for h in held], self.length, [h[2] for h in held])
+            for (_, _, _, entry, at), f in zip(held, flags):
+                if f.any():
+                    a, b = _runs_of(f)
+                    self.found.setdefault(entry, []).append((a + at, b + at))
+
+
+def _cut(group: list[tuple], length: int) -> Iterator[list[tuple]]:
+    """The fragments of a minimiser that has very many, by the smallest LONG_GRAM-byte substring of their windows."""
+    raw = b"".join(g[0] for g in group)
+    starts = np.cumsum([0] + [len(g[0]) for g in group])
+    text, a, b, _, key, _ = _minimiser_runs(raw, starts, length, min(LONG_GRAM, length), np.empty(0, np.uint64))
+    order = np.argsort(key, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(key[order].view(np.int64))) + 1):
+        yield [(raw[a[k] : b[k]], *group[text[k]][1:4], int(a[k] - starts[text[k]])) for k in part.tolist()]
+
+
 def _solve(bodies: list[bytes], length: int, gram: int):
-    seen: dict[bytes, int] = {}
     copies: list[int] = []
-    anchors: dict[bytes, list[int]] = {}
-    parts = []
-    for body in bodies:
+    anchors: dict[bytes, list[tuple[int, bytes]]] = {}
+    shard_of: list[int] = []
+    parts, now, seen = [], -1, {}
+    for turn, body in enumerate(bodies):
+        if (shard := turn * SHARDS // len(bodies)) != now:
+            now, seen = shard, {}  # fragments collapse inside their shard
         frags, place, which, *_ = packing_blobs.get(body)
         own = []
         for f, p, c in zip(frags, place.tolist(), np.bincount(which, minlength=len(frags)).tolist()):
-            k = seen.setdefault(f, len(seen))
-            if k == len(copies):
+            if (k := seen.get(f)) is None:
+                k = seen[f] = len(copies)
                 copies.append(0)
-                anchors.setdefault(f[p : p + gram], []).append(k)
+                shard_of.append(shard)
+                anchors.setdefault(f[p : p + gram], []).append((k, f))
             copies[k] += c
             own.append(k)
         parts.append(np.array(own, np.int64))
-    frags = list(seen)
-    some: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    held: list[int] = []
-    size = 0
-
-    def merge():
-        found = repeated_starts([frags[k] for k in held], [i % SHARDS for i in range(len(held))], length)
-        for k, flags in zip(held, found):
-            if copies[k] == 1 and flags.any():
-                some[k] = _runs_of(flags)
-
-    for group in anchors.values():
-        if len(group) > 1 and any(copies[k] == 1 for k in group):
-            held += group
-            size += sum(len(frags[k]) for k in group)
-            if size >= MERGE_BYTES:
-                merge()
-                held, size = [], 0
-    if held:
-        merge()
-    lens, repeated = np.array([len(f) for f in frags], np.int64), np.array(copies) > 1
+    merges = _Merges(length)
+    while anchors:
+        _, members = anchors.popitem()
+        if len(members) == 1 and copies[members[0][0]] == 1:
+            continue
+        group = [(f, shard_of[k], copies[k], k, 0) for k, f in members]
+        if len(group) > 1 and sum(len(g[0]) for g in group) > MERGE_BYTES:
+            for part in _cut(group, length):
+                merges.add(part)
+        else:
+            merges.add(group)
+    merges.flush()
+    # the runs of all entries one after another
+    runs = [(k, a, b) for k, found in merges.found.items() for a, b in found]
+    entry = np.repeat(np.array([k for k, _, _ in runs], np.int64), [len(a) for _, a, _ in runs])
+    first, end = (np.concatenate([r[c] for r in runs]) if runs else np.empty(0, np.int64) for c in (1, 2))
+    order = np.argsort(entry, kind="stable")
+    first, end = first[order], end[order] - 1 + length
+    count = np.bincount(entry, minlength=len(copies))
+    start = np.cumsum(count) - count
     for body, own in zip(bodies, parts):
         _, _, which, ids, keys, offsets = packing_blobs.get(body)
         u = own[which]
-        whole = repeated[u]
-        yield ids[whole], keys[whole], (offsets[whole] << 32) | (offsets[whole] + lens[u[whole]])
-        out = [[], [], []]
-        for r in np.flatnonzero(~whole).tolist():
-            if (runs := some.get(int(u[r]))) is not None:
-                out[0] += [ids[r]] * len(runs[0])
-                out[1] += [keys[r]] * len(runs[0])
-                out[2] += (((offsets[r] + runs[0]) << 32) | (offsets[r] + runs[1] - 1 + length)).tolist()
-        yield tuple(np.array(x, np.int64) for x in out)
+        n = count[u]
+        row = np.repeat(np.arange(len(u)), n)
+        at = start[u[row]] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        yield ids[row], keys[row], ((offsets[row] + first[at]) << 32) | (offsets[row] + end[at])
 
 
 def _digest(batches):
