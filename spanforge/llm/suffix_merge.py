@@ -6,9 +6,9 @@ run of windows with one minimiser travels as one fragment to the bucket of its m
 and no match leaves its bucket. A fragment whose minimiser occurs nowhere else holds no
 string that is elsewhere; all others are merged.
 
-A shard is what a run of chunks of the corpus sent to the bucket. Each shard's fragments (equal
-ones collapsed to one with a count) are sorted by themselves, without a byte of another shard,
-which gives the shard's Burrows-Wheeler transform over super-symbols of SYMBOL bytes, one
+A shard is what a run of chunks of the corpus sent to the bucket; equal fragments are collapsed to
+one with a count, in the first shard that holds it. Each shard's fragments are sorted by
+themselves, without a byte of another shard, which gives the shard's Burrows-Wheeler transform over super-symbols of SYMBOL bytes, one
 phase for each offset modulo SYMBOL. The transforms are merged by refining an interleave,
 which holds only the shard of each merged place: every round reads each shard's transform in
 its own order, deals the places to the symbols read, stably, and so extends the agreed prefix
@@ -306,17 +306,16 @@ def _solve(bodies: list[bytes], length: int, gram: int):
     copies: list[int] = []
     anchors: dict[bytes, list[tuple[int, bytes]]] = {}
     shard_of: list[int] = []
-    parts, now, seen = [], -1, {}
+    seen: dict[bytes, int] = {}
+    parts = []
     for turn, body in enumerate(bodies):
-        if (shard := turn * SHARDS // len(bodies)) != now:
-            now, seen = shard, {}  # fragments collapse inside their shard
         frags, place, which, *_ = packing_blobs.get(body)
         own = []
         for f, p, c in zip(frags, place.tolist(), np.bincount(which, minlength=len(frags)).tolist()):
             if (k := seen.get(f)) is None:
                 k = seen[f] = len(copies)
                 copies.append(0)
-                shard_of.append(shard)
+                shard_of.append(turn * SHARDS // len(bodies))
                 anchors.setdefault(f[p : p + gram], []).append((k, f))
             copies[k] += c
             own.append(k)
