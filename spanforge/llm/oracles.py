@@ -71,6 +71,20 @@ words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FR
 kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS t, count(*) AS n FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
+#: Bytes as pairs of hex digits; texts are cut into pieces first, so that no window is sought in a long string.
+SUFFIX = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+pieces AS (SELECT doc_id, pos, substring(h, 2 * pos + 1, 2 * (256 + 199)) AS p FROM (SELECT doc_id, h, unnest(range(0, n - 199, 256)) AS pos FROM d WHERE n >= 200)),
+win AS (SELECT doc_id, pos + i AS pos, md5_number(substring(p, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, pos, p, unnest(range(0, least(256, len(p) // 2 - 199))) AS i FROM pieces)),
+again AS (SELECT doc_id, pos FROM win JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) USING (g)),
+runs AS (SELECT doc_id, min(pos) AS a, max(pos) + 200 AS b FROM (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+  FROM (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 200 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY doc_id, run),
+cut AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce(max(runs.b), 0), d.n FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id, d.n),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * cut.a + 1, 2 * (cut.b - cut.a)), '' ORDER BY cut.a) AS k FROM cut JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
 MIXING = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
@@ -91,6 +105,7 @@ SQL = {
     "op5_quality_rules": QUALITY,
     "op6_minhash_near_dedup": NEAR,
     "op7_chat_formatting": CHAT,
+    "op8_suffix_array_dedup": SUFFIX,
     "op9_substring_dedup": SUBSTRING,
     "op10_mixing": MIXING,
 }
