@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import math
+import re
 import uuid
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 #: arguments splits on exactly these six bytes (str.split() would split on more).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Used by a local session that names no folder; executors of a cluster share no such folder.
 _LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
@@ -23,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share; a local one only where a local session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else _LOCAL_CHECKPOINTS
+    if root:
+        return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _LOCAL_CHECKPOINTS
 
 
 #: Tables and archives that this process has written to the shared folder.
@@ -86,6 +92,20 @@ def tidy(rows):
         pass
 
 
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_parts(text: bytes, size: int = 1 << 20):
+    """The words of text, in lists of about size bytes, so that a very long text is never a list of words at once."""
+    at = 0
+    while at < len(text):
+        cut = _WHITE.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        if words := text[at:end].split():
+            yield words
+        at = end
+
+
 def pieces(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 

@@ -30,8 +30,8 @@ repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(5) AS t(
 lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
 worded AS (SELECT doc_id, source, text, line, array_to_string(regexp_extract_all({_FOLD.format("line")}, '[^\x20\x09-\x0D]+'), ' ') AS norm FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT text) AS docs FROM documents GROUP BY source),
-often AS (SELECT w.source, norm FROM worded w JOIN hosts h ON w.source IS NOT DISTINCT FROM h.source GROUP BY w.source, norm, docs HAVING count(DISTINCT text) > {quality.LINE_DOCS} AND count(DISTINCT text) > {quality.LINE_SHARE} * docs),
+hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+often AS (SELECT w.source, norm FROM worded w JOIN hosts h ON w.source IS NOT DISTINCT FROM h.source GROUP BY w.source, norm, docs HAVING count(DISTINCT doc_id) > {quality.LINE_DOCS} AND (count(DISTINCT doc_id) > {quality.LINE_ALWAYS} OR count(DISTINCT doc_id) > {quality.LINE_SHARE} * docs)),
 lost AS (SELECT w.doc_id, sum(strlen(line)) AS total, coalesce(sum(strlen(line)) FILTER (o.norm IS NOT NULL), 0) AS gone FROM worded w LEFT JOIN often o ON w.source IS NOT DISTINCT FROM o.source AND w.norm = o.norm GROUP BY w.doc_id),
 b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone > {quality.MAX_LOST} * total, false) AS depleted

@@ -106,15 +106,14 @@ def vectors(rows, threshold=0.95):
     return [(i, links[k], least.get(f.root(k)), i == least.get(f.root(k)) if least.get(f.root(k)) is not None else True) for k, (i, _) in enumerate(rows)]
 
 
-def quality(rows, line_docs=5, share=0.1, most=0.5):
+def quality(rows, always=50, line_docs=5, share=0.05, most=0.5):
     """rows of (id, text, source) to (id, n_words, chars, symbols, dup lines, repeats, failed, kept) of each."""
     norm = lambda line: " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(line))
-    texts, held = defaultdict(set), defaultdict(set)
-    for _, text, source in rows:
-        texts[source].add(text or "")
+    docs, held = Counter(source for *_, source in rows), defaultdict(set)
+    for k, (_, text, source) in enumerate(rows):
         for line in (text or "").split("\n"):
             if words(line):
-                held[source, norm(line)].add(text)
+                held[source, norm(line)].add(k)
     out = []
     for i, text, source in rows:
         w = words(text)
@@ -122,7 +121,7 @@ def quality(rows, line_docs=5, share=0.1, most=0.5):
         c = Counter(grams)
         cover = {k + j for k, g in enumerate(grams) if c[g] > 1 for j in range(5)}
         lines = [x for x in (text or "").split("\n") if words(x)]
-        often = [x for x in lines if len(held[source, norm(x)]) > max(line_docs, share * len(texts[source]))]
+        often = [x for x in lines if (n := len(held[source, norm(x)])) > line_docs and (n > always or n > share * docs[source])]
         size = lambda xs: sum(len(x.encode()) for x in xs)
         failed = len(w) < 10 or 100 * len(cover) > 20 * len(w)
         out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover), failed, not failed and size(often) <= most * size(lines)))

@@ -524,3 +524,50 @@ def test_embedding_windows_cross_partitions(spark, monkeypatch):
     links = embedding._runs(placed).mapInArrow(lambda it: embedding._windows(it, 0.95), "a long, b long")
     roots = {x.component for x in components.components(links).collect()}
     assert roots == {0}
+
+
+def test_quality_counts_documents_not_texts(spark):
+    """Copies count; a line in a few per cent of a large host goes, one in a few documents stays."""
+    own = lambda k, n: " ".join(f"t{k}w{j}" for j in range(n))
+    rows = [(k, own(k, 30), "big") for k in range(2000)]
+    rows += [(3000 + k, "seen by few per cent of the host\n" + own(3000 + k, 30), "big") for k in range(60)]
+    rows += [(4000 + k, "seen by fifty at most\n" + own(4000 + k, 30), "big") for k in range(50)]
+    rows += [(5000 + k, own(5000, 30), "big") for k in range(60)] + [(6000 + k, own(6000, 30), "big") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in quality.quality_filter(df).collect()}
+    assert out[3000] == own(3000, 30) and out[4000].startswith("seen by fifty")
+    assert not any(5000 <= k < 5060 for k in out) and all(6000 + k in out for k in range(40))
+    got = {r.doc_id: r.kept for r in quality.quality_digest(df).collect()}
+    assert {w[0]: w[-1] for w in brute.quality(rows)} == got
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B b", "b  B", "ü|", " \t", "\x0b", "#", "a b c d e f", ""]), max_size=60))
+def test_quality_of_long_texts(lines):
+    """Very long texts are counted from hashes, in parts, with the same results."""
+    text = "\n".join(lines).encode()
+    counts, hashes = quality.base_counts(text), quality.line_hashes(text)
+    assert quality._long_counts(text) == counts
+    long = quality.LONG
+    quality.LONG = 1
+    try:
+        assert quality.line_hashes(text) == hashes and quality.base_counts(text) == counts
+    finally:
+        quality.LONG = long
+    assert [x for part in common.word_parts(text, 5) for x in part] == text.split()
+
+
+@pytest.mark.parametrize("call", ["quality.base_counts(t)", "quality.line_hashes(t)"])
+def test_memory_of_a_very_long_text(call):
+    """100 MB in less than 1 GB."""
+    import subprocess
+    import sys
+
+    code = f"""import resource, numpy as np
+from spanforge.llm import minhash, quality
+r = np.random.default_rng(1)
+t = b" ".join(b"%d" % x for x in r.integers(0, 10**6, 1 << 18).tolist())
+t = (t + b"\\n") * (100_000_000 // len(t))
+{call}
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 1000
