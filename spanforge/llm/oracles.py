@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat, quality
 from .mixing import BUDGET_SHARE, MAX_REPEATS, SEED, WEIGHTS
+from .packing import BUDGET, N_BUCKETS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -15,6 +16,18 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 1000 A
        CASE WHEN n >= 1000 AND page_id < most THEN most END AS refers_to, url
 FROM p LEFT JOIN m ON p.d = m.d"""
 
+#: dp: the least cost of the first j lengths in k buckets, and where the last of them begins.
+PACKING = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, len({_WORDS}) AS n_tokens, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+e AS (SELECT row_number() OVER (ORDER BY edge) AS j, edge, (sum(c) OVER (ORDER BY edge))::BIGINT AS n FROM (SELECT n_tokens AS edge, count(*) AS c FROM d WHERE n_tokens <= {BUDGET} GROUP BY 1)),
+dp AS (SELECT 1 AS k, j, edge * n AS cost, 0::BIGINT AS i FROM e UNION ALL
+  SELECT k + 1, j, best.cost, -best.i FROM (SELECT dp.k, e.j, min({{'cost': dp.cost + e.edge * (e.n - p.n), 'i': -dp.j}}) AS best FROM dp JOIN e p ON p.j = dp.j JOIN e ON e.j > dp.j WHERE dp.k < {N_BUCKETS} GROUP BY dp.k, e.j)),
+chosen AS (SELECT * FROM dp WHERE j = (SELECT max(j) FROM e) AND k = (SELECT max(k) FROM dp) UNION ALL SELECT dp.* FROM chosen JOIN dp ON dp.k = chosen.k - 1 AND dp.j = chosen.i),
+edges AS (SELECT edge, row_number() OVER (ORDER BY edge) - 1 AS bucket FROM chosen JOIN e USING (j)),
+b AS (SELECT doc_id, n_tokens, h, (SELECT count(*) FROM edges WHERE edge < n_tokens)::INT AS bucket FROM d),
+r AS (SELECT b.*, coalesce(edge, n_tokens) AS padded_tokens, row_number() OVER (PARTITION BY b.bucket ORDER BY h, doc_id, n_tokens) - 1 AS place FROM b LEFT JOIN edges ON edges.bucket = b.bucket)
+SELECT doc_id, n_tokens, bucket, padded_tokens, place // greatest(1, {BUDGET} // greatest(padded_tokens, 1)) AS batch, place % greatest(1, {BUDGET} // greatest(padded_tokens, 1)) AS slot FROM r"""
+
 EMBEDDING = """
 WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
@@ -101,6 +114,7 @@ SELECT x.doc_id, x.size, x.source_size, x.target, (coalesce(passes, 0) * x.size)
 
 SQL = {
     "op1_warc": WARC,
+    "op2_packing": PACKING,
     "op4_embedding_near_dedup": EMBEDDING,
     "op5_quality_rules": QUALITY,
     "op6_minhash_near_dedup": NEAR,

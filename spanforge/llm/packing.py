@@ -1,13 +1,16 @@
 """Packing: optimal length buckets by dynamic programming, token-budget batches inside each.
 
-A histogram of all lengths (long ones in steps of 1 / STEPS of themselves, so that it has a
-bounded number of bins; the sums in the bins are exact) goes to the driver, where dynamic
-programming with a convex hull chooses the N_BUCKETS upper edges that minimise all padding.
-Documents of a bucket, shuffled by a hash, are dealt to batches of budget // edge documents,
-so a padded batch keeps the budget; a document longer than the budget is a batch by itself.
+The exact histogram of all lengths up to the budget (at most one bin for each length, so its
+size is bounded by the budget) goes to the driver, where dynamic programming with a convex hull
+chooses the N_BUCKETS upper edges that minimise all padding; of equally good ones it takes those whose
+lower neighbours are longest. Documents of a bucket, shuffled by a hash, are dealt to
+batches of budget // edge documents, so a padded batch keeps the budget. Documents longer than the budget form
+a last bucket, in which each is an unpadded batch by itself.
 
 Rules for odd input: null or wordless texts have length 0 and go to the first bucket;
-rows with equal ids are packed one by one; an empty table gives an empty result.
+rows with equal ids are packed one by one, in the order of their hash, id and length (ties are equal rows); very long texts
+are counted in the JVM without a list of words; columns beside doc_id and text aren't read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,18 +25,10 @@ from .running import running_total
 
 N_BUCKETS = 16
 BUDGET = 32_768
-#: Lengths up to 2 * STEPS have bins of their own.
-STEPS = 512
-
-
-def bin_edge(length):
-    """The upper edge of a length's bin: itself up to 2 * STEPS, then a multiple of a power of two."""
-    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / STEPS))))
-    return (F.ceil(length / step) * step).cast("long")
 
 
 def best_edges(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
-    """Upper edges (a subset of lengths, ascending) of at most so many buckets with the least sum of edge * count."""
+    """Upper edges (a subset of lengths, ascending) of at most so many buckets with the least sum of edge * count; ties: the longest edge below, from the top down."""
     edge = [int(x) for x in lengths]
     n = [0, *np.cumsum(counts, dtype=object).tolist()]
     m = len(edge)
@@ -73,14 +68,14 @@ def best_edges(lengths: list[int], counts: list[int], buckets: int) -> list[int]
 
 def pack(docs: DataFrame, buckets: int = N_BUCKETS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
     """docs (doc_id, n_tokens) to doc_id, n_tokens, bucket, padded_tokens, batch (within the bucket), slot."""
-    rows = materialise(docs.select("doc_id", "n_tokens"), "lengths").withColumn("__edge", bin_edge(F.col("n_tokens")))
-    histogram = rows.groupBy("__edge").count().orderBy("__edge").collect()  # bounded by the bins
-    edges = best_edges([r["__edge"] for r in histogram], [r["count"] for r in histogram], buckets) or [0]
+    rows = materialise(docs.select("doc_id", "n_tokens"), "lengths")
+    histogram = rows.filter(F.col("n_tokens") <= budget).groupBy("n_tokens").count().orderBy("n_tokens").collect()  # budget + 1 rows at most
+    edges = best_edges([r["n_tokens"] for r in histogram], [r["count"] for r in histogram], buckets)
     at = F.lit(0)
-    for e in edges[:-1]:
-        at = at + (F.col("__edge") > e).cast("int")
-    top = F.element_at(F.array(*(F.lit(int(e)) for e in edges)), F.col("bucket") + 1).cast("long")
-    rows = rows.withColumn("bucket", at).withColumn("padded_tokens", top).withColumns({"__h": shuffle_key(seed), "__one": F.lit(1).cast("long")})
+    for e in edges:
+        at = at + (F.col("n_tokens") > e).cast("int")
+    top = F.get(F.array(*(F.lit(int(e)).cast("long") for e in edges)).cast("array<long>"), F.col("bucket"))
+    rows = rows.withColumn("bucket", at).withColumn("padded_tokens", F.coalesce(top, F.col("n_tokens"))).withColumns({"__h": shuffle_key(seed), "__one": F.lit(1).cast("long")})
     ranked = running_total(rows, ["bucket"], ["__h", "doc_id", "n_tokens"], "__one", "__rank")
     each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest("padded_tokens", F.lit(1))))
     place = F.col("__rank") - 1

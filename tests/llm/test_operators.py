@@ -387,11 +387,18 @@ def test_best_edges_are_optimal(histogram, buckets):
     assert cost(got) == best and len(got) <= buckets
 
 
-def test_bin_edges_bound_lengths(spark):
-    df = spark.range(1, 20000, 7).withColumn("e", packing.bin_edge(packing.F.col("id")))
-    for r in df.collect():
-        assert r.e >= r.id and (r.e == r.id if r.id <= 1024 else r.e - r.id < r.id / 256)
-    assert df.select("e").distinct().count() < 3500
+def test_packing_keeps_the_budget(spark):
+    """Lengths near and over the budget: no padded batch passes it but that of one longer document."""
+    lengths = list(range(1, 60)) + [75, 80, 85, 99, 100, 101, 250, 250]
+    rows = [(k, " ".join(["w"] * n)) for k, n in enumerate(lengths)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3, budget=100).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.bucket, r.batch] += r.padded_tokens
+        assert r.padded_tokens >= r.n_tokens and (r.padded_tokens <= 100 or r.padded_tokens == r.n_tokens)
+    assert all(n <= 100 or (r := [x for x in got if (x.bucket, x.batch) == at]) and len(r) == 1 and r[0].n_tokens == n for at, n in sizes.items())
+    edges = {r.bucket: r.padded_tokens for r in got if r.n_tokens <= 100}
+    assert all(e == max(r.n_tokens for r in got if r.bucket == b) for b, e in edges.items())
 
 
 def test_masked_lm_learns_held_out_text(spark, nothing):
