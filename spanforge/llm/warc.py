@@ -10,7 +10,7 @@ id) and revisits that refer to it.
 
 Rules for odd input: null html is an empty payload; a null url is written as an empty target;
 line ends in urls are percent-encoded; rows that repeat the largest id of a payload are all
-responses; a null id counts as smaller than any and is read back as null; an empty table gives an empty
+responses; very long payloads are one record, held by a task at a time; a null id counts as smaller than any and is read back as null; an empty table gives an empty
 result. Only page_id, url and html are read.
 
 Lost executors: an archive's name is new for each attempt and only finished attempts commit their
@@ -37,6 +37,8 @@ ARCHIVE_BYTES = 256 << 20
 #: Ranges closer than GAP bytes are one read of at most READ bytes (a longer record is a read by itself).
 GAP = 64 << 10
 READ = 8 << 20
+#: Archive bytes that a task reads back.
+TASK_BYTES = 8 << 20
 
 INDEX_SCHEMA = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -170,7 +172,8 @@ def _read(batches, folder: str):
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the given index rows (select any of them first)."""
-    dealt = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = common.pieces(index.agg(F.sum("length")).first()[0] or 0, TASK_BYTES)  # index rows are small whatever they point to
+    dealt = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(lambda it: _read(it, folder), RECORD_SCHEMA)
 
 
