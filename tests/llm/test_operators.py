@@ -578,3 +578,26 @@ t = (t + b"\\n") * (100_000_000 // len(t))
 {call}
 print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"""
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 1000
+
+
+@pytest.mark.parametrize("common_part", [0.0, 1.0])
+def test_embedding_recall_at_scale(spark, common_part):
+    """Isolated pairs just over the threshold among 50,000 vectors, spread evenly or about a common direction."""
+    r = np.random.default_rng(8)
+    n, pairs, dim = 50_000, 1000, 32
+    x = r.standard_normal((n, dim)) + common_part
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = r.standard_normal((pairs, dim))
+    step -= (step * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    x[pairs : 2 * pairs] = 0.951 * x[:pairs] + np.sqrt(1 - 0.951**2) * step
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {row.vec_id: row.component_id for row in embedding.embedding_near_duplicates(frame).collect()}
+    assert sum(got[k] == got[pairs + k] for k in range(pairs)) >= 0.99 * pairs
+
+
+def test_embedding_passes_grow():
+    none, some = np.zeros(64), np.full(64, np.sqrt(0.5 / 64))
+    assert embedding.passes_for(100, none, 0.95) == embedding.PASSES
+    assert embedding.passes_for(10**8, none, 0.95) > embedding.passes_for(10**6, none, 0.95) > embedding.PASSES
+    assert embedding.passes_for(10**6, some, 0.95) > embedding.passes_for(10**6, none, 0.95)
