@@ -9,7 +9,8 @@ together miss a link with probability below 1e-5. Nodes of at most LEAF sets are
 exhaustively. A large node of which DENSE or more comes from its parent holds sets that are close to
 each other, which branching would not separate: it is dealt into parts of PART sets that all get
 the same HUBS sets and are compared exhaustively, and what is not linked to the node's main
-component is afterwards compared with every part of that node.
+component is afterwards compared, on full sets, with itself and that component in pairs of tiles of TILE sets. No node
+is compared in one task, and such a pair of tiles reports a spanning forest of its links only.
 
 Comparisons go by two sketches: a parity sketch of ODD_BITS bits, whose Hamming distance
 bounds the symmetric difference, then the low bytes of the minhash values; both pass what is within
@@ -21,9 +22,12 @@ pair of candidates between components is left unconfirmed.
 Rules for odd input: equal sets are one set with many documents and are linked; null or
 wordless texts have the empty set and link with nothing; documents with fewer words than a
 shingle have one shingle, the whole sequence; rows with equal ids are documents of their own;
-documents with a null id get a null component and are kept; very long texts are taken whole;
+documents with a null id get a null component and are kept; very long texts are hashed in parts;
 an empty table gives an empty result. Columns beside doc_id and text aren't read.
 
+Sets that are close to each other but not linked, such as pages of one template, have to be compared with each other at any
+depth, as branching hardly tells 0.75 from 0.8; m of them take m * m / 2 comparisons, in tiles, and m / TILE copies of a set.
+
 Scale: rows of 16 bytes are dealt to nodes; sketches follow only for nodes of two or more
 sets; full sets travel only for candidates. Equal copies and hubs are the groups that can hold
 a third of all rows: the first are collapsed by a partial aggregate, the second are dealt into leaves.
@@ -53,11 +57,16 @@ LEAF = 64
 DENSE = 0.5
 PART = 1024
 HUBS = 4
+#: Sets in a tile, and shingles counted at once.
+TILE = 512
+COLUMNS = 4096
 #: Candidate pairs that a task holds before it takes a spanning forest of them.
 HELD_PAIRS = 200_000
 ODD_BITS = 1024
 SIGMAS = 4.0
 SLICE_BYTES = 1 << 20
+#: Texts from this length on are hashed in parts.
+LONG = 4 << 20
 
 _SIGNED = "doc_id long, __rk long, n_shingles long, setkey binary, sig binary, odd binary"
 
@@ -66,8 +75,7 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(77).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles (words lower-cased in ASCII)."""
+def _hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
     rows = [x.lower().split() for x in texts]
     count = np.array([len(w) for w in rows], np.int64)
     raw = b" ".join(b" ".join(w) for w in rows if w) + b" "
@@ -90,6 +98,28 @@ def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def _long_hashes(text: bytes, size: int) -> np.ndarray:
+    """The same of one very long text, from parts that overlap by a shingle less a word."""
+    out, kept, few = [], [], True
+    for words in common.word_parts(text, SLICE_BYTES):
+        few, words = few and not out and len(kept) + len(words) < size, kept + words
+        if len(words) >= size:
+            out.append(_hashes([b" ".join(words)], size)[0])
+        kept = words[max(0, len(words) - size + 1) :]
+        if len(out) >= 16:  # repeats go as they come
+            out = [np.unique(np.concatenate(out))]
+    if few:
+        return _hashes([b" ".join(kept)], size)[0]
+    return np.unique(np.concatenate(out))
+
+
+def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles (words lower-cased in ASCII)."""
+    if sum(map(len, texts)) > LONG:
+        return [_long_hashes(x, size) if len(x) > LONG else _hashes([x], size)[0] for x in texts]
+    return _hashes(texts, size)
+
+
 def parity_sketch(members: np.ndarray) -> np.ndarray:
     """ODD_BITS bits, each the parity of the number of members hashed to it."""
     place = ((members * np.uint64(0xA24BAED4963EE407)) >> np.uint64(40)) % np.uint64(ODD_BITS)
@@ -307,6 +337,79 @@ def _pairs(batches, threshold: float, spanning: bool):
             yield chosen(found, rows)
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y, by products of their membership columns."""
+    code = np.unique(np.concatenate(x)), np.unique(np.concatenate(y))
+    both = np.intersect1d(*code, assume_unique=True)
+    out = np.zeros((len(x), len(y)), np.float32)
+
+    def places(sets):
+        row = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        row, at = row[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    (r1, c1), (r2, c2) = places(x), places(y)
+    for a in range(0, len(both), COLUMNS):
+        n = min(COLUMNS, len(both) - a)
+        sides = []
+        for r, c, m in ((r1, c1, len(x)), (r2, c2, len(y))):
+            i, j = np.searchsorted(c, (a, a + n))
+            block = np.zeros((m, n), np.float32)
+            block[r[i:j], c[i:j] - a] = 1
+            sides.append(block)
+        out += sides[0] @ sides[1].T  # counts are exact below 2 ** 24
+    return out
+
+
+def _tile_links(batches, percent: int):
+    """Of pairs of tiles (rows sorted by tile: tile, side, uid, comp, members), links that join components: a spanning forest."""
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while (w := parent.get(v, v)) != v:
+            parent[v] = parent.get(w, w)
+            v = w
+        return v
+
+    def solve(rows):
+        side = np.array([r[1] for r in rows])
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        n, comp = np.array([len(v) for v in sets], np.int64), [r[3] for r in rows]
+        first = np.flatnonzero(side <= 1)
+        second = np.flatnonzero(side == 2) if (side == 2).any() else first
+        if not len(first):
+            return []
+        k = _shared([sets[i] for i in first], [sets[j] for j in second]).astype(np.int64)
+        i, j = np.nonzero(100 * k >= percent * (n[first][:, None] + n[second][None, :] - k))
+        out = []
+        for a, b in zip(first[i].tolist(), second[j].tolist()):
+            p, q = root(comp[a]), root(comp[b])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((rows[a][2], rows[b][2]))
+        return out
+
+    def batch_of(found):
+        a, b = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != now and rows:
+                if found := solve(rows):
+                    yield batch_of(found)
+                rows = []
+            now = row[0]
+            rows.append(row)
+    if rows and (found := solve(rows)):
+        yield batch_of(found)
+
+
 def _pack_sets(batches, size: int):
     for batch in batches:
         for at, texts in _slices(batch, "text"):
@@ -390,15 +493,18 @@ class _Join:
         pairs = sorted_rows.mapInArrow(lambda it: common.tidy(_pairs(it, threshold, spanning)), "a long, b long")
         return pairs.distinct() if spanning else pairs
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with linked, by their full sets."""
-        ids = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """uid, members of distinct uids: full sets, from the texts."""
         at = self.classes.select(F.col("uid").alias("__uid"), "at.*").withColumnsRenamed({"doc_id": "__doc", "__rk": "__key"})
         at = ids.join(at, ids["uid"] == at["__uid"]).drop("__uid")
         docs = self.docs.select("doc_id", "__rk", "text")
         texts = docs.join(at, (docs["doc_id"] == at["__doc"]) & (docs["__rk"] == at["__key"])).select("uid", "text")
         size = self.size
-        sets = common.materialise(texts.mapInArrow(lambda it: common.tidy(_pack_sets(it, size)), "uid long, members binary").dropDuplicates(["uid"]), "sets")
+        return common.materialise(texts.mapInArrow(lambda it: common.tidy(_pack_sets(it, size)), "uid long, members binary").dropDuplicates(["uid"]), "sets")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with linked, by their full sets."""
+        sets = self.sets(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
         x, y = sets.select(F.col("uid").alias("__a"), F.col("members").alias("x")), sets.select(F.col("uid").alias("__b"), F.col("members").alias("y"))
         full = pairs.join(y, pairs["b"] == y["__b"]).select("a", "b", "y")
         full = full.join(x, full["a"] == x["__a"]).select("a", "b", "x", "y")
@@ -411,28 +517,51 @@ class _Join:
         both = common.materialise(leaves if chunked is None else leaves.union(chunked), "leaves")
         tried = self.confirmed(common.materialise(self.candidates(both, None), "pairs"))
         comp = common.materialise(components(tried.filter("linked")), "components")
-        more = both if chunked is None else _once(both.union(self._rest(chunked, comp)))
-        pairs = self.candidates(more, comp)
+        pairs = self.candidates(leaves, comp)
         seen = tried.filter("not linked").select(F.col("a").alias("__a"), F.col("b").alias("__b"))
         pairs = common.materialise(pairs.join(seen, (pairs["a"] == seen["__a"]) & (pairs["b"] == seen["__b"]), "left_anti"), "pairs")
+        more = []
         if pairs.limit(1).count():
-            again = self.confirmed(pairs)
-            links = tried.filter("linked").select("a", "b").union(again.filter("linked").select("a", "b"))
-            if again.filter("linked").limit(1).count():
-                comp = common.materialise(components(links), "components")
+            more.append(self.confirmed(pairs).filter("linked").select("a", "b"))
+        if chunked is not None and (rest := self._rest(chunked, comp)) is not None:
+            more.append(rest)
+        if more:
+            links = _union(more)
+            if links.limit(1).count():
+                comp = common.materialise(components(tried.filter("linked").select("a", "b").union(links)), "components")
         of = comp.select(F.col("id").alias("__id"), "component")
         joined = self.classes.select("setkey", "uid", "least_doc").join(of, F.col("uid") == F.col("__id"), "left").withColumn("comp", F.coalesce("component", "uid"))
         least = joined.groupBy("comp").agg(F.min("least_doc").alias("component_id")).withColumnRenamed("comp", "__comp")
         return joined.join(least, joined["comp"] == least["__comp"]).select(F.col("setkey").alias("__set"), "component_id", "comp")
 
-    def _rest(self, chunked: DataFrame, comp: DataFrame) -> DataFrame:
-        """Sets outside the component of their node's first hub, in every leaf of that node."""
+    def _rest(self, chunked: DataFrame, comp: DataFrame) -> DataFrame | None:
+        """Links (a, b) of sets outside the main component of their dense node with each other and with that component."""
         of = comp.select(F.col("id").alias("__id"), "component")
-        rows = chunked.join(of, chunked["uid"] == of["__id"], "left").withColumn("comp", F.coalesce("component", "uid")).drop("__id", "component")
-        main = rows.groupBy("node", "comp").agg(F.countDistinct("uid").alias("n")).groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").withColumnRenamed("node", "__node")
-        out = rows.join(main, rows["node"] == main["__node"]).filter("comp != main").select("node", "uid").distinct()
-        leaves = chunked.select(F.col("node").alias("__node"), "leaf", "first").distinct()
-        return out.join(leaves, out["node"] == leaves["__node"]).select("node", "leaf", "uid", F.lit(True).alias("wide"), "first")
+        rows = chunked.select("node", "uid").distinct()
+        rows = rows.join(of, rows["uid"] == of["__id"], "left").withColumn("comp", F.coalesce("component", "uid")).drop("__id", "component")
+        sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+        tiles = lambda c: F.ceil(c / F.lit(TILE)).cast("long")
+        main = main.select(F.col("node").alias("__node"), "main", tiles(F.col("n") - F.col("n_main")).alias("own"), tiles(F.col("n_main")).alias("others"))
+        rows = common.materialise(rows.join(main, rows["node"] == main["__node"]).drop("__node"), "rest")
+        if rows.limit(1).count() == 0:
+            return None
+        numbers = lambda c: F.sequence(F.lit(0).cast("long"), c - 1)
+        tile = lambda c: F.pmod(F.xxhash64("uid", "node"), c)
+        key = lambda kind, i, j: F.xxhash64(F.lit(kind), "node", i, j).alias("tile")
+        rest = rows.filter("comp != main").withColumn("mine", tile(F.col("own")))
+        each = rest.withColumn("other", F.explode(numbers(F.col("own"))))
+        side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+        within = each.select(key("within", F.least("mine", "other"), F.greatest("mine", "other")), side.alias("side"), "uid", "comp")
+        across = rest.withColumn("other", F.explode(numbers(F.col("others")))).select(key("across", F.col("mine"), F.col("other")), F.lit(1).alias("side"), "uid", "comp")
+        kept = rows.filter("comp = main").withColumn("mine", tile(F.col("others"))).withColumn("other", F.explode(numbers(F.col("own"))))
+        kept = kept.select(key("across", F.col("other"), F.col("mine")), F.lit(2).alias("side"), "uid", "comp")
+        dealt = within.union(across).union(kept)
+        sets = self.sets(rows.select("uid").distinct()).withColumnRenamed("uid", "__uid")
+        whole = dealt.join(sets, dealt["uid"] == sets["__uid"]).select("tile", "side", "uid", "comp", "members")
+        percent = self.percent
+        found = whole.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: common.tidy(_tile_links(it, percent)), "a long, b long")
+        return common.materialise(found, "rest-links")
 
 
 def _to_sketch(batches):

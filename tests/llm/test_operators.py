@@ -564,7 +564,7 @@ def test_quality_of_long_texts(lines):
     assert [x for part in common.word_parts(text, 5) for x in part] == text.split()
 
 
-@pytest.mark.parametrize("call", ["quality.base_counts(t)", "quality.line_hashes(t)"])
+@pytest.mark.parametrize("call", ["quality.base_counts(t)", "quality.line_hashes(t)", "minhash.shingle_hashes([t], 5)"])
 def test_memory_of_a_very_long_text(call):
     """100 MB in less than 1 GB."""
     import subprocess
@@ -601,3 +601,34 @@ def test_embedding_passes_grow():
     assert embedding.passes_for(100, none, 0.95) == embedding.PASSES
     assert embedding.passes_for(10**8, none, 0.95) > embedding.passes_for(10**6, none, 0.95) > embedding.PASSES
     assert embedding.passes_for(10**6, some, 0.95) > embedding.passes_for(10**6, none, 0.95)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "cc", "dd", " ", "\n"]), max_size=50), st.integers(1, 4))
+def test_shingles_of_long_texts(words, size):
+    """Very long texts are hashed in parts, to the same set."""
+    text = " ".join(words).encode()
+    want = minhash.shingle_hashes([b"x y z", text, b""], size)
+    old = minhash.LONG, minhash.SLICE_BYTES
+    minhash.LONG, minhash.SLICE_BYTES = 1, 3
+    try:
+        got = minhash.shingle_hashes([b"x y z", text, b""], size)
+    finally:
+        minhash.LONG, minhash.SLICE_BYTES = old
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
+def test_templates_in_tiles(spark, monkeypatch):
+    """A dense node of sets that don't link, but for some: compared whole, in tiles, from which a forest of links comes."""
+    for name, value in (("TILE", 40), ("COLUMNS", 64), ("LEAF", 16), ("PART", 32)):
+        monkeypatch.setattr(minhash, name, value)
+    base = " ".join(f"q{k}" for k in range(170))
+    rows = [(k, base + " " + " ".join(f"u{k}x{j}" for j in range(29))) for k in range(200)]
+    rows += [(1000 + k, f"{rows[k][1]} {rows[k + 1][1][-30:]} v{k}") for k in range(0, 200, 9)]
+    seen: list = []
+    rest = minhash._Join._rest
+    monkeypatch.setattr(minhash._Join, "_rest", lambda *a: seen.append(out := rest(*a)) or out)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicate_digest(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    want = brute.near([(k, k, t) for k, t in rows], 2)
+    assert got == {k: c for k, (_, c) in want.items()}
+    assert seen and seen[0] is not None
