@@ -50,7 +50,7 @@ SEGMENT_BYTES = HASH_BYTES
 LONG_GRAM = 128
 #: Bytes merged at once; their symbols then have 16-bit codes. The fragments of one minimiser that pass it are cut by a longer substring first.
 MERGE_BYTES = 60_000
-SHARDS = 8
+SHARDS = 4
 _LOW = np.uint64((1 << 20) - 1)
 #: Stands for a null id on the way.
 _NO_ID = -(1 << 62)
@@ -209,6 +209,11 @@ def transform(frags: list[bytes], length: int = LENGTH) -> Shard:
     return Shard(alphabet, before.astype(sym.dtype), owner[order], offset[order])
 
 
+def _by_shard(z: np.ndarray, shards: int) -> np.ndarray:
+    """The places of each shard after those of the one before."""
+    return np.concatenate([np.flatnonzero(z == s) for s in range(shards)])
+
+
 def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The merge: the shard of each place, and the symbols that it has in common with the place before (rounds: that many or more)."""
     alphabet = np.unique(np.concatenate([s.alphabet for s in shards]))  # a code of symbols for all shards, like that of bytes
@@ -216,18 +221,19 @@ def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray
     before = np.concatenate([np.append(0, 1 + np.searchsorted(alphabet, s.alphabet)).astype(kind)[s.before] for s in shards])
     z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.before) for s in shards])
     n = len(z)
-    shared = np.full(n, rounds, np.int32)
+    shared = np.full(n, rounds, np.uint16)
     shared[:1] = 0
     block = np.zeros(n, np.int32)
     read = np.empty(n, kind)
+    new = np.zeros(n, bool)
     for turn in range(rounds):
-        read[np.argsort(z, kind="stable")] = before
+        read[_by_shard(z, len(shards))] = before
         order = _stable_order(read)
-        now, came = read[order], block[order]
-        new = np.zeros(n, bool)
-        new[1:] = (now[1:] != now[:-1]) | (came[1:] != came[:-1])
+        now, came = read.take(order), block.take(order)
+        np.not_equal(now[1:], now[:-1], out=new[1:])
+        new[1:] |= came[1:] != came[:-1]
         shared[new & (shared == rounds)] = turn
-        z, block = z[order], np.cumsum(new, dtype=np.int32)
+        z, block = z.take(order), new.cumsum(dtype=np.int32)
     return z, shared
 
 
@@ -243,7 +249,7 @@ def repeated_starts(frags: list[bytes], shard_of: list[int], length: int = LENGT
     # the interleave tells shard and turn of each place, hence the suffix
     owner = np.empty(len(z), np.int32)
     offset = np.empty(len(z), np.int32)
-    turn = np.argsort(z, kind="stable")
+    turn = _by_shard(z, len(shards))
     owner[turn] = np.concatenate([part.astype(np.int32)[s.owner] for part, s in zip(members, shards)])
     offset[turn] = np.concatenate([s.offset for s in shards])
     interval = np.cumsum(shared < length // SYMBOL, dtype=np.int32)
