@@ -56,6 +56,16 @@ def byte_offset(text: str | Column, line: Column, column: Column) -> Column:
     return F.when(ok, F.octet_length(F.substring(text, F.lit(1), at.cast("int"))))
 
 
+def position_errors(requests: DataFrame) -> DataFrame:
+    """requests (position: "line:column", text) to one row: how many positions can't be read, and how many have no place in the text."""
+    parts = F.regexp_extract_all("position", F.lit(r"^\s*([0-9]+):([0-9]+)\s*$"), F.lit(1)), F.regexp_extract_all("position", F.lit(r"^\s*([0-9]+):([0-9]+)\s*$"), F.lit(2))
+    line, column = (F.get(p, F.lit(0)).try_cast("int") for p in parts)
+    read = F.coalesce((line >= 1) & (column >= 1), F.lit(False))
+    at = byte_offset("text", line, column)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return requests.agg(count(~read).alias("parse_errors"), count(read & at.isNull()).alias("conversion_errors"))
+
+
 def utf16_length(text: str | Column) -> Column:
     """UTF-16 code units: characters, and one more for each beyond the basic plane."""
     text = _col(text)

@@ -66,6 +66,12 @@ def find_node(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.filter((F.col("name") == name) | (qualified_name() == name)).orderBy("id").limit(1)
 
 
+def prepare_roots(items: DataFrame, path: str, line: int, character: int) -> DataFrame:
+    """Ids of the call-hierarchy items whose selection starts at a position (0-based)."""
+    nodes = items_to_nodes(items)
+    return nodes.filter((F.col("path") == path) & (F.col("position.line") == line) & (F.col("position.column") == character)).select("id").distinct()
+
+
 def fan(edges: DataFrame) -> DataFrame:
     """id, fan_in, fan_out, in one shuffle."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("callee").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("caller").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x")).select("x.*")

@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.trees import PROVIDERS, parse, position
@@ -133,31 +133,47 @@ def apply_blocks(text: str, blocks) -> str:
     return text
 
 
-def apply_patch(sources: DataFrame, patch: str) -> DataFrame:
-    """sources (uri, text) to the patched files: uri, op, text (null: deleted), error.
+_OPERATION = "path string, op string, content string, blocks array<struct<search:string,replace:string>>"
+
+
+def operations(spark, patch: str) -> DataFrame:
+    """The operations of a patch as rows (path, op, content, blocks); of several for a path the last one counts."""
+    rows = {o.path: (o.path, o.op, o.content, list(o.blocks)) for o in parse_patch(patch)}
+    return spark.createDataFrame(list(rows.values()), _OPERATION)
+
+
+def apply_operations(sources: DataFrame, ops: DataFrame) -> DataFrame:
+    """sources (uri, text) and one operation a path to uri, op, text (null: deleted), error.
 
-    The patch is small and travels with the tasks; a file that a modify or delete names must exist, one that a create names must not.
+    A file that a modify or delete names must exist, one that a create names must not.
     """
-    ops = {o.path: o for o in parse_patch(patch)}
-    spark = sources.sparkSession
-    wanted = spark.createDataFrame([(p, o.op) for p, o in ops.items()], "path string, op string")
-    joined = F.broadcast(wanted).join(sources.select("uri", "text"), F.col("path") == F.col("uri"), "left")
-
-    @F.udf("struct<text:string,error:string>")
-    def patched(path, found, text):
-        o = ops[path]
-        if o.op == "create":
-            return (None, "file exists") if found else (o.content, None)
-        if not found:
-            return None, "file not found"
-        if o.op == "delete":
-            return None, None
-        try:
-            return apply_blocks(text or "", o.blocks), None
-        except PatchError as e:
-            return None, str(e)
-
-    return joined.select(F.col("path").alias("uri"), "op", patched("path", F.col("uri").isNotNull(), "text").alias("r")).select("uri", "op", "r.text", "r.error")
+    files = sources.select("uri", "text")
+    joined = ops.join(files, ops["path"] == files["uri"], "left").select("path", "op", "content", "blocks", F.col("uri").isNotNull().alias("found"), "text")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, op, content, blocks, found, text in zip(*(c.to_pylist() for c in batch.columns)):
+                new, error = None, None
+                if op == "create":
+                    new, error = (None, "file exists") if found else (content, None)
+                elif not found:
+                    error = "file not found"
+                elif op == "modify":
+                    try:
+                        new = apply_blocks(text or "", [(x["search"], x["replace"]) for x in blocks])
+                    except PatchError as e:
+                        error = str(e)
+                rows.append((path, op, new, error))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["uri", "op", "text", "error"])
+
+    return joined.mapInArrow(run, "uri string, op string, text string, error string")
+
+
+def apply_patch(sources: DataFrame, patch: str) -> DataFrame:
+    """A patch, which one request carries, applied to sources (uri, text): uri, op, text, error."""
+    return apply_operations(sources, operations(sources.sparkSession, patch))
 
 
 def patch_summary(result: DataFrame) -> DataFrame:
@@ -193,14 +209,18 @@ def edit_sources(sources: DataFrame, edits: DataFrame) -> DataFrame:
     e = F.struct("start_line", "start_column", "end_line", "end_column", "new_text")
     grouped = edits.groupBy("uri").agg(F.collect_list(e).alias("edits"))
 
-    @F.udf("struct<text:string,error:string>")
-    def edited(text, found):
-        try:
-            return apply_edits(text or "", [tuple(x) for x in found]), None
-        except PatchError as err:
-            return None, str(err)
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for uri, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    rows.append((uri, apply_edits(text or "", [tuple(x.values()) for x in found]), None))
+                except PatchError as err:
+                    rows.append((uri, None, str(err)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["uri", "text", "error"])
 
-    return sources.join(grouped, "uri").select("uri", edited("text", "edits").alias("r")).select("uri", "r.text", "r.error")
+    return sources.join(grouped, "uri").select("uri", "text", "edits").mapInArrow(run, "uri string, text string, error string")
 
 
 # -- locks and commits -----------------------------------------------------------------
@@ -245,6 +265,5 @@ def verified_commit(changes: DataFrame, baseline: DataFrame | None, updated: Dat
         return "syntactic_failure"
     if updated is not None and new_diagnostics(baseline, updated).limit(1).count():
         return "semantic_failure"
-    seen = Observation("commit")
-    changes.observe(seen, F.count("*").alias("files")).write.mode("errorifexists").parquet(path)
+    changes.write.mode("errorifexists").parquet(path)
     return "committed"

@@ -46,16 +46,14 @@ def overlapping(anchors: DataFrame, others: DataFrame, negate: bool = False) ->
     return _done(rows.withColumn("__hit", hit), anchors, ~F.col("__hit") if negate else F.col("__hit"))
 
 
-def same_file(anchors: DataFrame, others: DataFrame) -> DataFrame:
-    return anchors.join(others.select("uri").distinct(), "uri", "left_semi")
-
-
 def innermost(points: DataFrame, intervals: DataFrame, key: str = "uri", point: str = "at") -> DataFrame:
     """For each point the smallest interval that holds it (ties: first in order), or nulls.
 
     points (key, point, ...), intervals (key, start_byte, end_byte, ord, ...).
     """
-    named = intervals.withColumnsRenamed({key: "__key"})
+    columns, named = points.columns, intervals.withColumnsRenamed({key: "__key"})
+    # equal points are points of their own: each gets a number among its equals before the join
+    points = points.withColumn("__twin", F.row_number().over(W.partitionBy(*columns).orderBy(F.lit(0))))
     joined = points.join(named, (points[key] == named["__key"]) & (F.col("start_byte") <= F.col(point)) & (F.col(point) < F.col("end_byte")), "left").drop("__key")
-    best = W.partitionBy(*points.columns).orderBy((F.col("end_byte") - F.col("start_byte")).asc_nulls_last(), "ord")
-    return joined.withColumn("__rn", F.row_number().over(best)).filter("__rn = 1").drop("__rn")
+    best = W.partitionBy(*columns, "__twin").orderBy((F.col("end_byte") - F.col("start_byte")).asc_nulls_last(), "ord")
+    return joined.withColumn("__rn", F.row_number().over(best)).filter("__rn = 1").drop("__rn", "__twin")

@@ -17,7 +17,7 @@ from .rules import LANGUAGES, Rule, formula_of, parse_rules
 
 @dataclass(frozen=True)
 class EngineConfig:
-    max_matches_per_rule: int = 10_000
+    max_matches_per_rule: int | None = 10_000  # None: all, without a sort of a rule's matches
     max_capture_text_bytes: int = 1_048_576
     max_deep_search_nodes: int = 100_000
     enable_hcl: bool = False
@@ -91,4 +91,6 @@ class Engine:
             found = lowering.lower(p.formula, own, p.language, self.config.max_deep_search_nodes).select(*lowering.MATCH_COLUMNS)
             found = found.select(F.lit(p.rule_id).alias("rule_id"), F.lit(p.language).alias("language"), *lowering.MATCH_COLUMNS, F.lit(p.message).cast("string").alias("message"), F.lit(p.severity).cast("string").alias("severity"), F.lit(p.formula.fix).cast("string").alias("fix"))
             out = found if out is None else out.unionByName(found)
-        return lowering.cap_capture_text(lowering.cap(out, self.config.max_matches_per_rule), self.config.max_capture_text_bytes)
+        if self.config.max_matches_per_rule is not None:
+            out = lowering.cap(out, self.config.max_matches_per_rule)
+        return lowering.cap_capture_text(out, self.config.max_capture_text_bytes)

@@ -31,29 +31,29 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as sources."""
-    return _t(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("uri"), "text")
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sources."""
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text")
 
 
 _LINES = """lines AS (
   SELECT doc_id, l.i - 1 AS line, l.t AS text,
          coalesce(sum(strlen(l.t) + 1) OVER (PARTITION BY doc_id ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'i': i})) AS l FROM documents WHERE lang = 'en'))"""
+  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'i': i})) AS l FROM documents))"""
 
 
-@query("SELECT source, count(*) AS docs, sum(len(regexp_extract_all(text, 'th[a-z]+')))::BIGINT AS hits FROM documents WHERE lang = 'en' GROUP BY source")
+@query("SELECT source, count(*) AS docs, sum(len(regexp_extract_all(text, 'th[a-z]+')))::BIGINT AS hits FROM documents GROUP BY source")
 def regex_atom_counts(spark, sf_dir):
     """Matches of a regex by source, counted without leaving the JVM."""
-    docs = _t(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = _t(spark, sf_dir, "documents")
     return docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.regexp_count("text", F.lit("th[a-z]+"))).cast("long").alias("hits"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+ing') AS m FROM documents WHERE lang = 'en')
+@query("""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+ing') AS m FROM documents)
 SELECT doc_id::VARCHAR AS uri, count(*) AS n, min(strlen(x)) AS shortest, max(strlen(x)) AS longest FROM (SELECT doc_id, unnest(m) AS x FROM d) GROUP BY doc_id""")
 def regex_spans_by_file(spark, sf_dir):
     """exact byte spans of a regex atom through the engine's own atom."""
-    found = lowering.regex_spans(_english(spark, sf_dir), "[A-Z][a-z]+ing")
+    found = lowering.regex_spans(_sources(spark, sf_dir), "[A-Z][a-z]+ing")
     size = F.col("end_byte") - F.col("start_byte")
     return found.groupBy("uri").agg(F.count("*").alias("n"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
 
@@ -65,7 +65,7 @@ rules:
     languages: [prose]
     severity: WARNING
     patterns:
-      - pattern-regex: '\bthe [a-z]+'
+      - pattern-regex: 'the [a-z]+'
       - pattern-not-inside: {pattern-regex: '(?m)^And[^\n]*'}
       - pattern-inside: {pattern-regex: '(?m)^[^\n]{40,}'}
 """
@@ -73,12 +73,12 @@ rules:
 
 @query(f"""WITH {_LINES},
 hits AS (SELECT doc_id, count(*) AS n FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '\\bthe [a-z]+')) AS m FROM lines WHERE NOT starts_with(text, 'And') AND length(text) >= 40) GROUP BY doc_id)
+  SELECT doc_id, unnest(regexp_extract_all(text, 'the [a-z]+')) AS m FROM lines WHERE NOT starts_with(text, 'And') AND length(text) >= 40) GROUP BY doc_id)
 SELECT 'th-outside-first-line' AS rule_id, doc_id::VARCHAR AS uri, n FROM hits""")
 def formula_and_not_inside(spark, sf_dir):
     """A YAML rule to sweeps over spans."""
     plans = Engine().compile_yaml(RULE)
-    found = Engine(EngineConfig(max_matches_per_rule=1 << 40)).execute(plans, _english(spark, sf_dir))
+    found = Engine(EngineConfig(max_matches_per_rule=None)).execute(plans, _sources(spark, sf_dir))
     return found.groupBy("rule_id", "uri").agg(F.count("*").alias("n"))
 
 
@@ -88,16 +88,16 @@ SELECT doc_id::VARCHAR AS uri, count(*) AS n FROM (
 def formula_or_dedupe(spark, sf_dir):
     """A disjunction, one row for each span and captures."""
     plan = Engine().compile_dsl("r", "prose", r'regex("(?m)^And[^\n]*$") or regex("(?m)^[^\n]*the\\.$")')
-    found = lowering.lower(plan.formula, _english(spark, sf_dir), "prose")
+    found = lowering.lower(plan.formula, _sources(spark, sf_dir), "prose")
     return found.groupBy("uri").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id::VARCHAR AS uri, count(*) AS n FROM documents WHERE lang = 'en' AND contains(text, 'license') GROUP BY doc_id
+@query("""SELECT doc_id::VARCHAR AS uri, count(*) AS n FROM documents WHERE contains(text, 'license') GROUP BY doc_id
 UNION ALL SELECT doc_id::VARCHAR, 0 FROM documents WHERE false""")
 def formula_anywhere(spark, sf_dir):
     """Anchors of files in which something else occurs."""
     plan = Engine().compile_dsl("r", "prose", r'regex("\\A") and anywhere(regex("license"))')
-    return lowering.lower(plan.formula, _english(spark, sf_dir), "prose").groupBy("uri").agg(F.count("*").alias("n"))
+    return lowering.lower(plan.formula, _sources(spark, sf_dir), "prose").groupBy("uri").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_LINES},
@@ -107,7 +107,7 @@ SELECT doc_id::VARCHAR AS uri, count(*) AS n FROM w WHERE NOT EXISTS (SELECT 1 F
 def formula_not_overlap(spark, sf_dir):
     """Anchors that no negative match overlaps."""
     plan = Engine().compile_dsl("r", "prose", r'regex("(?m)^[^\n]+") and not regex("license")')
-    return lowering.lower(plan.formula, _english(spark, sf_dir), "prose").groupBy("uri").agg(F.count("*").alias("n"))
+    return lowering.lower(plan.formula, _sources(spark, sf_dir), "prose").groupBy("uri").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE regexp_matches(json_extract_string(props, '$.k'), '^1[0-9]$') GROUP BY event_type")
@@ -120,15 +120,6 @@ def metavar_regex_filter(spark, sf_dir):
     return lowering.constrain(props.withColumn("captures", captures), MetavariableRegex("$X", "1[0-9]$"), props, "prose").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o.o_orderkey, o.o_custkey, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
-WHERE o.o_orderpriority = '1-URGENT' AND l.l_returnflag = 'R' GROUP BY ALL""")
-def metavar_unify_join(spark, sf_dir):
-    """Matches of two patterns that share a metavariable."""
-    a = _t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    b = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return a.join(b, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "n")
-
-
 @query("""WITH m AS (SELECT 'r1' AS rule_id, doc_id FROM documents WHERE contains(text, 'the') UNION ALL SELECT 'r2', doc_id FROM documents WHERE contains(text, 'von'))
 SELECT rule_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id) AS rn FROM m) WHERE rn <= 25""")
 def match_cap_per_rule(spark, sf_dir):
@@ -140,11 +131,11 @@ def match_cap_per_rule(spark, sf_dir):
 
 
 @query(f"""WITH {_LINES},
-p AS (SELECT doc_id, strlen(text) // 2 AS at FROM documents WHERE lang = 'en')
+p AS (SELECT doc_id, strlen(text) // 2 AS at FROM documents)
 SELECT p.doc_id, p.at, l.line::INTEGER AS line, l.s::BIGINT AS start_byte FROM p JOIN lines l ON l.doc_id = p.doc_id AND l.s <= p.at AND p.at < l.s + strlen(l.text) + 1""")
 def point_in_interval_argmin(spark, sf_dir):
     """The smallest interval that holds a byte."""
-    docs = _t(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = _t(spark, sf_dir, "documents")
     lines = tx.lines(docs, "doc_id").select("doc_id", "line", "start_byte", (F.col("start_byte") + F.octet_length("text") + 1).alias("end_byte"), F.col("line").alias("ord"))
     points = docs.select("doc_id", F.floor(F.octet_length("text") / 2).alias("at"))
     return spans.innermost(points, lines, key="doc_id").filter("line is not null").select("doc_id", "at", "line", "start_byte")
@@ -350,13 +341,6 @@ def capability_merge(spark, sf_dir):
     return resolution.merge_capabilities(adv, over)
 
 
-@query("SELECT conv_id, turn, upper(role) AS name, length(text) - length(replace(text, chr(10), '')) + 1 AS branches FROM conversations WHERE role = 'assistant'")
-def cyclomatic_counts(spark, sf_dir):
-    """One more than the branches of an entity."""
-    c = _t(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return c.select("conv_id", "turn", F.upper("role").alias("name"), (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("branches"))
-
-
 @query("""SELECT page_id::VARCHAR AS uri, len(regexp_extract_all(html, '<a href=')) AS n FROM pages WHERE contains(html, '<a href=')""")
 def html_structural_match(spark, sf_dir):
     """Elements by structure, counted by page."""
@@ -365,7 +349,7 @@ def html_structural_match(spark, sf_dir):
     return found.groupBy("uri").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""SELECT page_id::VARCHAR AS uri, len(regexp_extract_all(html, '<title>[^<]+</title>')) AS replacements, regexp_matches(html, '<title>[^<]+</title>') AS changed, sha256(regexp_replace(html, '<title>([^<]+)</title>', '<title>[\1]</title>', 'g')) AS content_hash FROM pages""")
 def rewrite_apply(spark, sf_dir):
     """Headings rewritten by a template."""
     pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("uri"), F.col("html").alias("text"))
@@ -373,25 +357,32 @@ def rewrite_apply(spark, sf_dir):
     return out.select("uri", "replacements", "changed", tx.content_hash("text").alias("content_hash"))
 
 
-@query("""SELECT doc_id::VARCHAR AS uri, 'modify' AS op, sha256('patched' || substr(text, strpos(text, chr(10)))) AS content_hash, NULL::VARCHAR AS error FROM documents
-WHERE doc_id IN (SELECT doc_id FROM documents WHERE strpos(text, chr(10)) > 1 ORDER BY doc_id LIMIT 20)""")
+@query("""SELECT doc_id::VARCHAR AS uri, 'modify' AS op, sha256('patched' || substr(text, strpos(text, chr(10)))) AS content_hash, NULL::VARCHAR AS error FROM documents WHERE strpos(text, chr(10)) > 1""")
 def patch_apply(spark, sf_dir):
-    """Search and replace blocks on twenty files."""
-    docs = _t(spark, sf_dir, "documents")
-    some = docs.filter("instr(text, '\\n') > 1").select("doc_id", F.substring_index("text", "\n", 1).alias("first")).orderBy("doc_id").limit(20).collect()
-    text = "".join(f"diff --git a/{r.doc_id} b/{r.doc_id}\n{patch.SEARCH}\n{r.first}\n{patch.SEPARATOR}\npatched\n{patch.REPLACE}\n" for r in some)
-    out = patch.apply_patch(docs.select(F.col("doc_id").cast("string").alias("uri"), "text"), text)
-    return out.select("uri", "op", tx.content_hash("text").alias("content_hash"), "error")
+    """A search and replace block for the first line of every file that has several."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text")
+    first = F.concat(F.substring_index("text", "\n", 1), F.lit("\n"))
+    blocks = F.array(F.struct(first.alias("search"), F.lit("patched\n").alias("replace")))
+    ops = docs.filter("instr(text, '\\n') > 1").select(F.col("uri").alias("path"), F.lit("modify").alias("op"), F.lit(None).cast("string").alias("content"), blocks.alias("blocks"))
+    return patch.apply_operations(docs, ops).select("uri", "op", tx.content_hash("text").alias("content_hash"), "error")
 
 
 @query("""SELECT doc_id::VARCHAR AS uri, 'line' AS kind, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0)) AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0)) > 0""")
 def prose_tree_lines(spark, sf_dir):
     """A tree as node rows."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text")
-    return trees.nodes(docs, "prose").filter("kind = 'line'").groupBy("uri", "kind").agg(F.count("*").alias("n"))
-
-
-@query()
+    return trees.nodes(docs, "prose", ("line",), ("uri", "kind")).groupBy("uri", "kind").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH l AS (SELECT conv_id || ':' || turn AS uri, text, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'i': i})) AS l FROM conversations),
+s AS (SELECT uri, text, l.i AS start_line, unnest(list_transform(regexp_extract_all(l.t, '[^.!?]+[.!?]*'), lambda x, i: {'t': x, 'i': i})) AS s FROM l),
+f AS (SELECT uri, min({'line': start_line, 'i': s.i, 'whole': text, 't': s.t}) AS m FROM s WHERE len(regexp_extract_all(s.t, '[^	
+
+ ]+')) = 3 AND regexp_extract_all(s.t, '[^	
+
+ ]+')[2] = 'of' GROUP BY uri)
+SELECT uri, m.t AS text, strlen(substr(m.whole, 1, strpos(m.whole, m.t) - 1))::BIGINT AS start_byte, m.line AS start_line,
+  (strlen(substr(m.whole, 1, strpos(m.whole, m.t) - 1)) - strlen(array_to_string(string_split(m.whole, chr(10))[1:m.line - 1], chr(10))) - (m.line > 1)::INT + 1)::BIGINT AS start_column FROM f""")
 def prose_pattern_first(spark, sf_dir):
     """The first match of a pattern with metavariables in each conversation."""
     c = _t(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("uri"), "text")
@@ -409,3 +400,6 @@ def bounded_suggestions(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formula_and_not_inside(spark, sf_dir)
+
+
+from . import source_queries  # noqa: E402, F401  (registers its queries)

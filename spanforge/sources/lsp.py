@@ -5,44 +5,19 @@ Definitions come as one location, a list, or links; all become 1-based rows.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-RESPONSE_SCHEMA = "request_id string, method string, result string"
 _POSITION = "struct<line:long,character:long>"
 _RANGE = f"struct<start:{_POSITION},end:{_POSITION}>"
 
 
-class ResponseReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
-                r = json.loads(line)
-                yield r.get("request_id"), r.get("method"), json.dumps(r.get("result"))
-
-
-class ResponseSource(DataSource):
-    """spark.dataSource.register(ResponseSource); spark.read.format("lsp_responses").option("paths", "a.jsonl,b.jsonl")"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "lsp_responses"
-
-    def schema(self) -> str:
-        return RESPONSE_SCHEMA
-
-    def reader(self, schema) -> ResponseReader:
-        return ResponseReader(self.options["paths"].split(","))
+def read_responses(spark: SparkSession, *paths: str) -> DataFrame:
+    """Recorded responses, a JSON object a line, from any storage Spark reads: request_id, method, result (its JSON text)."""
+    line = F.parse_json("value")
+    field_of = lambda name: F.try_variant_get(line, f"$.{name}", "string")
+    result = F.coalesce(F.to_json(F.try_variant_get(line, "$.result", "variant")), F.lit("null"))
+    return spark.read.text(list(paths)).filter(F.trim("value") != "").select(field_of("request_id").alias("request_id"), field_of("method").alias("method"), result.alias("result"))
 
 
 def definitions(responses: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names; a local one only where Spark itself is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else "file:///tmp/checkpoints"
+    if root:
+        return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/checkpoints"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -319,6 +319,9 @@ def _statements(children: list[Node], raw: bytes, items: dict) -> list[Node]:
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+_REFERENCE = re.compile(r"&#?[0-9A-Za-z]*;?")
+
+
 class _Html(HTMLParser):
     def __init__(self, text: str):
         super().__init__(convert_charrefs=False)
@@ -378,22 +381,34 @@ class _Html(HTMLParser):
         node.children.append(Node("end_tag", self.at(s), self.at(e)))
         node.end = self.at(e)
 
-    def handle_data(self, data):
+    def piece(self, length: int, blank: bool = False) -> None:
+        """Text of the source as it stands; pieces without a gap are one text."""
         s = self.here()
-        if data.strip():
-            self.stack[-1].children.append(Node("text", self.at(s), self.at(s + len(data))))
+        kids = self.stack[-1].children
+        if kids and kids[-1].kind == "text" and kids[-1].end == self.at(s):
+            kids[-1].end = self.at(s + length)
+        elif not blank:
+            kids.append(Node("text", self.at(s), self.at(s + length)))
+
+    def handle_data(self, data):
+        self.piece(len(data), not data.strip())
+
+    def handle_entityref(self, name):
+        self.piece(_REFERENCE.match(self.text, self.here()).end() - self.here())
+
+    handle_charref = handle_entityref
 
     def handle_comment(self, data):
         s = self.here()
         self.stack[-1].children.append(Node("comment", self.at(s), self.at(min(s + len(data) + 7, len(self.text)))))
 
 
-def _prose(text: str) -> Node:
+def _prose(text: str, lines_only: bool = False) -> Node:
     raw = text.encode()
     root = Node("document", 0, len(raw))
     for line in re.finditer(rb"[^\n]+", raw):
         node = Node("line", line.start(), line.end())
-        for s in re.finditer(rb"[^.!?]+[.!?]*", line[0]):
+        for s in re.finditer(rb"[^.!?]+[.!?]*", b"" if lines_only else line[0]):
             if s[0].strip():
                 sentence = Node("sentence", line.start() + s.start(), line.start() + s.end())
                 sentence.children = [Node("word", line.start() + s.start() + w.start(), line.start() + s.start() + w.end()) for w in re.finditer(rb"[^\s]+", s[0])]
@@ -439,13 +454,25 @@ def node_rows(uri: str, tree: Tree) -> Iterator[tuple]:
     return (tuple(r) for r in rows)
 
 
-def nodes(sources: DataFrame, language: str) -> DataFrame:
-    """sources (uri, text) to node rows."""
+def nodes(sources: DataFrame, language: str, kinds: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """sources (uri, text) to node rows; of the given kinds and columns only, which saves building the rest."""
+    names = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
+    wanted = names if columns is None else list(columns)
+    at = [names.index(c) for c in wanted]
+    schema = ", ".join(NODE_SCHEMA.split(", ")[k] for k in at)
+    # lines alone need no sentences and words, whose number only shows in ids
+    lines_only = language == "prose" and kinds is not None and set(kinds) <= {"document", "line"} and not {"node_id", "parent_id", "subtree_last_id", "text"} & set(wanted)
 
     def run(batches):
         for batch in batches:
+            held: list[list] = [[] for _ in at]
             for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist()):
-                cols = list(zip(*node_rows(uri, parse(text or "", language))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _NODE_KINDS)], names=[x.split()[0] for x in NODE_SCHEMA.split(", ")])
-
-    return sources.select("uri", "text").mapInArrow(run, NODE_SCHEMA)
+                tree = Tree(_prose(text or "", True), (text or "").encode(), language) if lines_only else parse(text or "", language)
+                for row in node_rows(uri, tree):
+                    if kinds is None or row[4] in kinds:
+                        for out, k in zip(held, at):
+                            out.append(row[k])
+            if held[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, _NODE_KINDS[k]) for c, k in zip(held, at)], names=wanted)
+
+    return sources.select("uri", "text").mapInArrow(run, schema)

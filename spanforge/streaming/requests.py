@@ -36,8 +36,9 @@ def serve(requests: DataFrame, handlers: dict[tuple[str, str], Callable[[DataFra
 
 def latest_documents(events: DataFrame) -> DataFrame:
     """Document events (uri, version, kind: open, change or close, text) to each open document's last text; batch or streaming (update mode)."""
-    last = events.groupBy("uri").agg(F.max(F.struct("version", "kind", "text")).alias("last"))
-    return last.filter("last.kind <> 'close'").select("uri", "last.version", "last.text")
+    turn = F.array_position(F.array(F.lit("open"), F.lit("change"), F.lit("close")), F.col("kind")).alias("turn")  # at one version a close comes last
+    last = events.groupBy("uri").agg(F.max(F.struct("version", turn, "text")).alias("last"))
+    return last.filter("last.turn <> 3").select("uri", "last.version", "last.text")
 
 
 def fresh_revisions(sources: DataFrame, watermark: str = "1 hour") -> DataFrame:

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
-from spanforge.operators import cache, cards, deltas, graph, observe, patch, resolution, slices
-from spanforge.sources import files, jsonl, lsp
+from spanforge.operators import cache, cards, deltas, graph, observe, patch, resolution, slices, spans
+from spanforge.sources import files, jsonl, lsp, trees
 from spanforge.streaming import requests as streaming
 
 MODIFY = "diff --git a/x b/x\n<<<<<<< SEARCH\nold\n=======\nnew\n>>>>>>> REPLACE\n"
@@ -257,8 +257,7 @@ def test_lsp_source(spark, tmp_path):
     span = {"start": {"line": 2, "character": 3}, "end": {"line": 2, "character": 9}}
     rows = [{"request_id": "1", "method": "definition", "result": {"uri": "file:///a", "range": span}}, {"request_id": "2", "method": "definition", "result": [{"targetUri": "file:///b", "targetSelectionRange": span}, {"uri": "file:///a", "range": span}, {"uri": "file:///b", "range": span}]}, {"request_id": "3", "method": "definition", "result": None}]
     (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, rows)))
-    spark.dataSource.register(lsp.ResponseSource)
-    df = spark.read.format("lsp_responses").option("paths", str(tmp_path / "r.jsonl")).load()
+    df = lsp.read_responses(spark, str(tmp_path / "r.jsonl"))
     got = lsp.definitions(df)
     assert sorted((r.request_id, r.uri, r.line, r.column) for r in got.collect()) == [("1", "file:///a", 3, 4), ("2", "file:///a", 3, 4), ("2", "file:///b", 3, 4), ("2", "file:///b", 3, 4)]
     groups = lsp.group_locations(got.filter("request_id = '2'")).orderBy("first").collect()
@@ -328,3 +327,43 @@ def test_requests_end_to_end(spark):
     out = {r.request_id: r for r in observe.graph_slice(src, asked.filter("request_id in (1, 4)"), request).collect()}
     assert [c.name for c in out[1].cards] == ["greet", "A"] and len(out[1].frontier) == 1 and out[1].truncated
     assert out[4].status == "refusal"
+
+
+def test_equal_points_stay(spark):
+    points = spark.createDataFrame([("f", 3), ("f", 3), ("f", 50)], "uri string, at int")
+    intervals = spark.createDataFrame([("f", 0, 9, 0, "a"), ("f", 2, 5, 1, "b")], "uri string, start_byte int, end_byte int, ord int, name string")
+    assert sorted((r.at, r.name) for r in spans.innermost(points, intervals).collect()) == [(3, "b"), (3, "b"), (50, None)]
+
+
+def test_lines_without_their_words(spark):
+    docs = spark.createDataFrame([("u", "one two. three\n\nfour"), ("v", ""), ("w", None)], "uri string, text string")
+    kept = ("uri", "ord", "start_byte", "end_row", "end_col")
+    want = trees.nodes(docs, "prose").filter("kind = 'line'").select(*kept)
+    assert sorted(map(tuple, trees.nodes(docs, "prose", ("line",), kept).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_matches_without_a_cap(spark):
+    from spanforge.plans.engine import Engine, EngineConfig
+
+    engine = Engine(EngineConfig(max_matches_per_rule=None))
+    sources = spark.createDataFrame([("u", "a a a")], "uri string, text string")
+    found = engine.execute(engine.compile_dsl("r", "prose", 'regex("a")'), sources)
+    assert found.count() == 3 and "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_only_a_local_session_may_lack_a_shared_folder():
+    from types import SimpleNamespace
+
+    from spanforge.sources import storage
+
+    session = lambda master, root: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: root), sparkContext=SimpleNamespace(master=master))
+    assert storage.shared_dir(session("local[4]", None)).startswith("file:")
+    assert storage.shared_dir(session("spark://m:7077", "hdfs://x/")) == "hdfs://x"
+    for master in ("spark://m:7077", "local-cluster[3,2,1000]", "yarn"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(session(master, None))
+
+
+def test_html_texts_keep_their_references():
+    tree = trees.parse("<p>a &amp; b &#228;</p><p> &nbsp; </p><script>x &amp; y</script>", "html")
+    assert [tree.text(n) for n in tree.root.walk() if n.kind == "text"] == ["a &amp; b &#228;", "&nbsp; ", "x &amp; y"]
