@@ -2,12 +2,14 @@
 
 A record's fingerprint is a hash of its nested field paths (with the kind of each leaf). The
 registry maps the fingerprints of known layouts to mappings, which say where turns and
-their roles are; optional fields give a layout several fingerprints. Canonical turns are then
+their roles are; optional fields give a layout several fingerprints. A fingerprint that is new, as of a record with fields
+beside those of its layout, is resolved once by a task: of the layouts whose fields it has, all of them texts, the one
+with the most. Canonical turns are then
 written by a template that marks turns, escapes control strings inside texts reversibly,
 and records the spans of assistant text, the loss mask.
 
-Rules for odd input: null text or role is empty; a record whose fingerprint is unknown, or that is no
-JSON, has null formatted output and layout "unknown"; an empty conversation formats to nothing; texts
+Rules for odd input: null text or role is empty; fields that no layout names are passed over; a record with the fields of
+no layout, or that is no JSON, has null formatted output and layout "unknown"; an empty conversation formats to nothing; texts
 may hold any control string, and turns that tie are ordered by role and text; an empty
 table gives an empty result. Extra columns are passed over.
 """
@@ -41,6 +43,10 @@ MAPPINGS = {
 }
 
 
+#: Fingerprints that a task remembers.
+FINGERPRINTS = 10_000
+
+
 def paths(value, at: str = "") -> set[str]:
     """Nested field paths with the kind of each leaf; array elements share a path."""
     if isinstance(value, dict):
@@ -72,6 +78,28 @@ def registry(mappings: dict = MAPPINGS) -> dict[str, str]:
     return out
 
 
+def resolve(found: set[str], mappings: dict = MAPPINGS) -> str | None:
+    """The layout whose fields are all there, as texts, whatever fields are there too; of several the one with the most, the first of equals."""
+    found = {re.sub(":null$", ":text", p) for p in found}
+
+    def texts(field: str) -> bool | None:
+        own = {p for p in found if p.startswith(field) and p[len(field) : len(field) + 1] in (":", ".", "[", "{")}
+        return own == {f"{field}:text"} if own else None
+
+    best, most = None, 0
+    for name, m in mappings.items():
+        if "each" in m:
+            each = f".{m['each']}[]"
+            plain = not any(p == each or p.startswith(f"{each}:") or p.startswith(f"{each}[") for p in found)
+            n = 2 if plain and texts(f"{each}.{m['role']}") and texts(f"{each}.{m['text']}") else 1 if each in found else 0
+        else:
+            fields = [(texts(f".{f.removesuffix('?')}"), f.endswith("?")) for _, f in m["turns"]]
+            n = sum(bool(t) for t, _ in fields) if all(t or (t is None and optional) for t, optional in fields) else 0
+        if n > most:
+            best, most = name, n
+    return best
+
+
 def canonical(record: dict, mapping: dict) -> list[tuple[str, str]]:
     """(role, text) turns of a record."""
     roles = mapping.get("roles", {})
@@ -132,7 +160,7 @@ FORMATTED_SCHEMA = "conv_id long, layout string, formatted string, loss array<st
 
 
 def _format(batches, mappings: dict):
-    known = registry(mappings)
+    known: dict[str, str | None] = dict(registry(mappings))
     loss_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         layouts, texts, losses = [], [], []
@@ -141,7 +169,14 @@ def _format(batches, mappings: dict):
                 record = json.loads(body) if body is not None else None
             except ValueError:
                 record = None
-            name = known.get(fingerprint(paths(record))) if isinstance(record, dict) else None
+            name = None
+            if isinstance(record, dict):
+                found = paths(record)
+                if (mark := fingerprint(found)) not in known:
+                    if len(known) > FINGERPRINTS:
+                        known = registry(mappings)
+                    known[mark] = resolve(found, mappings)
+                name = known[mark]
             text, loss = render(canonical(record, mappings[name])) if name else (None, None)
             layouts.append(name or "unknown")
             texts.append(text)

@@ -632,3 +632,21 @@ def test_templates_in_tiles(spark, monkeypatch):
     want = brute.near([(k, k, t) for k, t in rows], 2)
     assert got == {k: c for k, (_, c) in want.items()}
     assert seen and seen[0] is not None
+
+
+def test_chat_layouts_with_other_fields(spark):
+    """Fields that no layout names don't hide a layout; fields of another kind do."""
+    records = [
+        ({"id": 3, "meta": {"source": "x"}, "messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": None}]}, "messages", [("user", "u"), ("assistant", "")]),
+        ({"instruction": "i", "output": "o", "tags": ["a"], "score": 1.5}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"prompt": "p", "completion": "c", "system": "s", "question": "q"}, "prompt", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        ({"id": 1, "messages": []}, "messages", []),
+        ({"messages": [{"role": "user", "content": [{"type": "text"}]}]}, "unknown", None),
+        ({"messages": ["plain", {"role": "user", "content": "u"}]}, "unknown", None),
+        ({"instruction": 5, "output": "o"}, "unknown", None),
+        ({"prompt": "p", "id": 1}, "unknown", None),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in enumerate(records)], "conv_id long, record string")
+    got = {r.conv_id: r for r in chat.format_records(df).collect()}
+    for k, (_, layout, turns) in enumerate(records):
+        assert got[k].layout == layout and (chat.parse(got[k].formatted) if got[k].formatted is not None else None) == turns
