@@ -8,11 +8,14 @@ position, and predicts the masked id in two steps, class and member of the class
 softmax over about the root of the vocabulary. A document's score is the sum of the
 conditional log-probabilities of all its words, each masked in turn.
 
-Training covers every word: the rounds share out the residues, so that each is trained on (more than MASK rounds
-begin anew). In each round every task starts from the round's
-weights, makes one pass over its texts with some residues of the positions modulo MASK masked, and returns its weights. Their average, weighted by masked positions, is formed by a
-grouped aggregate over blocks of parameters; the driver only sees the average and the vocabulary, which grow with the
-root of the corpus. Counts of the words outside it stay a table, joined to their occurrences by a 64-bit hash.
+The words of all texts are looked up once; their ids, two or four bytes a word, are a table that training and scoring
+read. Training covers every word: the rounds share out the residues, so that each is trained on (more than MASK rounds
+begin anew). In each round every shard starts from the round's
+weights, makes one pass over its texts with some residues of the positions modulo MASK masked, and returns its weights. Shards are
+dealt and ordered by a hash of id and text and their number follows from the count of words, so the result doesn't depend on
+how the input is partitioned. The average of their weights, weighted by masked positions, is formed by a
+grouped sum over blocks of parameters; the driver only sees the average and the vocabulary, which grow with the
+root of the corpus, and so do the shards. Counts of the words outside it stay a table, joined to their occurrences by a 64-bit hash.
 
 Rules for odd input: null or wordless texts score 0 with mean null; rows with equal ids
 are scored one by one; very long texts are taken in pieces of PIECE words with their
@@ -22,16 +25,15 @@ context; an empty table gives an empty result. Columns beside doc_id and text ar
 from __future__ import annotations
 
 import math
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, spans
+from . import common
 
 #: The least sizes, as of a small corpus.
 VOCAB = 2175
@@ -45,10 +47,14 @@ SIDE = 2
 MASK = 8
 ROUNDS = 2
 BATCH = 2048
-TRAIN_BATCH = 512
+TRAIN_BATCH = 1024
+#: Words of a shard: this many at least, and SHARD_ROOTS times the root of the corpus's words.
+SHARD_WORDS = 1 << 21
+SHARD_ROOTS = 64
 RATE = 0.1
 PIECE = 200_000
 BLOCK = 4096
+SLICE_BYTES = 4 << 20
 
 #: Ids: 0 stands for no word (before the first and after the last), then the vocabulary, then hashed ids.
 SIZE = 1 + VOCAB + BUCKETS
@@ -116,16 +122,16 @@ def _forward(w: dict, ids: np.ndarray, at: np.ndarray):
     np.tanh(h, out=h)
     target = ids[at]
     c, m = np.divmod(target, w["to_member"].shape[1])
-    pc = _softmax(h @ w["to_class"] + w["class_bias"])
+    pk = _softmax(h @ w["to_class"] + w["class_bias"])
     g = h + w["class_embed"][c]
     pm = _softmax(g @ w["to_member"] + w["member_bias"][c])
-    return h, c, m, pc, g, pm
+    return h, c, m, pk, g, pm
 
 
 def log_probabilities(w: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    _, c, m, pc, _, pm = _forward(w, ids, at)
+    _, c, m, pk, _, pm = _forward(w, ids, at)
     row = np.arange(len(at))
-    return np.log(np.maximum(pc[row, c], 1e-30)).astype(np.float64) + np.log(np.maximum(pm[row, m], 1e-30)).astype(np.float64)
+    return np.log(np.maximum(pk[row, c], 1e-30)).astype(np.float64) + np.log(np.maximum(pm[row, m], 1e-30)).astype(np.float64)
 
 
 def _descend(w: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
@@ -135,11 +141,11 @@ def _descend(w: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
 
 
 def _descend_rows(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """The same for the rows that a batch touches."""
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
+    """The same for the rows that a batch touches; values: a row of them for each of rows, or again from the first on where rows has more."""
+    order = np.sort(rows << 20 | np.arange(len(rows)))
+    r, order = order >> 20, order & 0xFFFFF
     first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    at, gradient = r[first], np.add.reduceat(values[order], first, axis=0)
+    at, gradient = r[first], np.add.reduceat(values[order % len(values)], first, axis=0)
     new = squares[at] + gradient * gradient
     squares[at] = new
     w[at] -= RATE * gradient / np.sqrt(new + 1e-6)
@@ -147,57 +153,90 @@ def _descend_rows(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, values:
 
 def train_step(w: dict, squares: dict, ids: np.ndarray, at: np.ndarray) -> None:
     """One step on the masked positions."""
-    h, c, m, pc, g, pm = _forward(w, ids, at)
+    h, c, m, pk, g, pm = _forward(w, ids, at)
     row = np.arange(len(at))
-    pc[row, c] -= 1
+    pk[row, c] -= 1
     pm[row, m] -= 1
-    pc /= len(at)
+    pk /= len(at)
     pm /= len(at)
     dg = pm @ w["to_member"].T
-    dh = (pc @ w["to_class"].T + dg) * (1 - h * h)
+    dh = (pk @ w["to_class"].T + dg) * (1 - h * h)
     _descend(w["to_member"], squares["to_member"], g.T @ pm)
-    _descend(w["to_class"], squares["to_class"], h.T @ pc)
-    _descend(w["class_bias"], squares["class_bias"], pc.sum(0))
+    _descend(w["to_class"], squares["to_class"], h.T @ pk)
+    _descend(w["class_bias"], squares["class_bias"], pk.sum(0))
     _descend(w["bias"], squares["bias"], dh.sum(0))
-    _descend_rows(w["member_bias"], squares["member_bias"], c, pm)
-    _descend_rows(w["class_embed"], squares["class_embed"], c, dg)
-    for p, k in enumerate(k for k in range(-SIDE, SIDE + 1) if k):
-        _descend_rows(w["embed"][p], squares["embed"][p], ids[at + k], dh)
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
-class Vocabulary:
-    def __init__(self, words: list[bytes], sizes: tuple[int, int]):
-        self.ids = {x: k + 1 for k, x in enumerate(words)}
-        self.sizes = sizes
-
-    def __call__(self, words: list[bytes], before: list[bytes] = [], after: list[bytes] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-        """Ids with SIDE ids of the words before and after around them (zeros: none), hashes of the words that aren't in the vocabulary."""
-        if before or after:
-            out = np.zeros(len(words) + 2 * SIDE, np.int64)
-            near = self(before + after)[0][SIDE:-SIDE]
-            inner, unknown = self(words)
-            out[SIDE:-SIDE] = inner[SIDE:-SIDE]
-            out[SIDE - len(before) : SIDE] = near[: len(before)]
-            out[SIDE + len(words) : SIDE + len(words) + len(after)] = near[len(before) :]
-            return out, unknown
-        get, (vocab, buckets) = self.ids.get, self.sizes
-        out = np.zeros(len(words) + 2 * SIDE, np.int64)
-        ids = out[SIDE : SIDE + len(words)]
-        ids[...] = [get(x, 0) for x in words]
-        new = np.flatnonzero(ids == 0)
-        unknown = np.array([word_hash(words[k]) for k in new.tolist()], np.int64)
-        ids[new] = 1 + vocab + unknown % buckets
-        return out, unknown
-
-
-def _pieces(words: list[bytes]):
-    """Words of each piece, the SIDE before and the SIDE after it."""
-    for at in range(0, len(words), PIECE):
-        yield words[at : at + PIECE], words[max(0, at - SIDE) : at], words[at + PIECE : at + PIECE + SIDE]
+    chosen = np.zeros((len(at), len(w["class_bias"])), pk.dtype)
+    chosen[row, c] = 1
+    _descend(w["member_bias"], squares["member_bias"], chosen.T @ pm)
+    _descend(w["class_embed"], squares["class_embed"], chosen.T @ dg)
+    size = w["embed"].shape[1]
+    near = np.concatenate([p * size + ids[at + k] for p, k in enumerate(k for k in range(-SIDE, SIDE + 1) if k)])
+    _descend_rows(w["embed"].reshape(-1, DIM), squares["embed"].reshape(-1, DIM), near, dh)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, 1 << 16):  # in pieces that stay in the processor's cache
+        part = ends[a : a + (1 << 16) + 1]
+        out[a : a + len(part) - 1] = common.range_hash(raw[part[0] : part[-1]], part[:-1] - part[0], part[1:] - part[0])
+    return out.view(np.int64)
+
+
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch of texts one after another, and where those of each text begin (and the end)."""
+    lists = pc.ascii_split_whitespace(column)
+    flat = lists.flatten()
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some), np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)))[ends]
+
+
+def _slices(batch: pa.RecordBatch):
+    """Rows of a batch of about SLICE_BYTES text at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def id_kind(sizes: tuple[int, int]):
+    return np.uint16 if sum(sizes) < 1 << 16 else np.uint32
+
+
+def _tokenise(batches, words: list[bytes], sizes: tuple[int, int]):
+    """doc_id, key, n_words, ids, unknown (hashes of the words outside the vocabulary, in order) of each text."""
+    known = pa.array([x.decode() for x in words], pa.string())
+    vocab, buckets = sizes
+    for whole in batches:
+        for batch in _slices(whole):
+            found, ends = split_words(batch.column("text"))
+            ids = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy().astype(np.int64) + 1
+            new = ids == 0
+            unknown = word_hashes(found.filter(pa.array(new)))
+            ids[new] = 1 + vocab + unknown % buckets
+            kind = id_kind(sizes)
+            at = np.concatenate(([0], np.cumsum(new)))[ends].astype(np.int32)
+            body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((ends * np.dtype(kind).itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(ends)), body, pa.ListArray.from_arrays(pa.array(at), pa.array(unknown))], names=["doc_id", "key", "n_words", "ids", "unknown"])
+
+
+def _pieces(body: bytes, sizes: tuple[int, int]):
+    """Ids of at most PIECE words at a time, between those of the SIDE words before and after (zeros: none)."""
+    ids = np.frombuffer(body, id_kind(sizes))
+    whole = np.zeros(len(ids) + 2 * SIDE, np.int64)
+    whole[SIDE : SIDE + len(ids)] = ids
+    for at in range(0, len(ids), PIECE):
+        yield whole[at : at + PIECE + 2 * SIDE]
 
 
 def _inner(held: list[np.ndarray]) -> np.ndarray:
@@ -215,11 +254,10 @@ def residues(turn: int, rounds: int) -> list[int]:
     return list(range(turn % MASK, MASK, rounds))
 
 
-def _train(batches, words: list[bytes], sizes: tuple[int, int], start: bytes, turn: int, rounds: int):
-    vocabulary, flat, seen = Vocabulary(words, sizes), np.frombuffer(start, np.float32).copy(), 0
-    w, squares = unpack(flat, sizes), unpack(np.full(len(flat), 1e-4, np.float32), sizes)
-    held: list[np.ndarray] = []
-    size = 0
+def _train(batches, sizes: tuple[int, int], start: bytes, turn: int, rounds: int):
+    """batches (shard, ids), sorted by shard, to the blocks of each shard's weights, multiplied by the positions trained on."""
+    now, held, size, seen = None, [], 0, 0
+    flat = squares = None
 
     def step():
         ids = np.concatenate(held)
@@ -227,32 +265,42 @@ def _train(batches, words: list[bytes], sizes: tuple[int, int], start: bytes, tu
         for residue in residues(turn, rounds):
             at = own[own % MASK == residue]
             for k in range(0, len(at), TRAIN_BATCH):
-                train_step(w, squares, ids, at[k : k + TRAIN_BATCH])
+                train_step(unpack(flat, sizes), unpack(squares, sizes), ids, at[k : k + TRAIN_BATCH])
             n += len(at)
         return n
 
+    def blocks():
+        body = [(flat[k : k + BLOCK] * np.float32(seen)).tobytes() for k in range(0, len(flat), BLOCK)]
+        n = len(body)
+        return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(np.full(n, now, np.int64)), pa.array(np.full(n, seen)), pa.array(body, pa.binary())], names=["block", "shard", "seen", "body"])
+
     for batch in batches:
-        for text in spans.texts(batch.column("text")):
-            for part, *near in _pieces(text.split()):
-                held.append(vocabulary(part, *near)[0])
-                size += len(part)
+        for shard, body in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()):
+            if shard != now:
+                if held:
+                    seen += step()
+                if seen:
+                    yield blocks()
+                now, held, size, seen = shard, [], 0, 0
+                flat, squares = np.frombuffer(start, np.float32).copy(), np.full(len(start) // 4, 1e-4, np.float32)
+            for part in _pieces(body, sizes):
+                held.append(part)
+                size += len(part) - 2 * SIDE
                 if size >= MASK * TRAIN_BATCH:
                     seen += step()
                     held, size = [], 0
     if held:
         seen += step()
     if seen:
-        blocks = range(0, len(flat), BLOCK)
-        body = [(flat[k : k + BLOCK] * np.float32(seen)).tobytes() for k in blocks]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(body)), pa.int32()), pa.array(np.full(len(body), seen)), pa.array(body, pa.binary())], names=["block", "seen", "body"])
+        yield blocks()
 
 
 def _average(batches):
-    """Sums of blocks of one task: (block, seen, body), from rows sorted by block."""
+    """Sums of blocks of one task: (block, shard, seen, body), from rows sorted by block and shard."""
     now, total, seen = None, None, 0
     out = []
     for batch in batches:
-        for block, n, body in zip(*(c.to_pylist() for c in batch.columns)):
+        for block, _, n, body in zip(*(c.to_pylist() for c in batch.columns)):
             if block != now:
                 if now is not None:
                     out.append((now, (total / seen).astype(np.float32).tobytes()))
@@ -265,25 +313,19 @@ def _average(batches):
 
 
 def _count_words(batches):
-    """Word counts of a task; the table of counts is written out whenever it grows large."""
-    counts: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([word_hash(x) for x in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "hash", "n"])
-
-    for batch in batches:
-        for text in spans.texts(batch.column("text")):
-            counts.update(text.split())
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+    """Word counts of each batch of texts."""
+    for whole in batches:
+        for batch in _slices(whole):
+            found = pc.value_counts(split_words(batch.column("text"))[0])
+            words = found.field("values")
+            if len(words):
+                yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(word_hashes(words)), found.field("counts")], names=["word", "hash", "n"])
 
 
 class Lexicon(NamedTuple):
     words: list[bytes]
     sizes: tuple[int, int]
+    total: int  # words of the corpus
     rest: np.ndarray  # occurrences in each bucket
     counts: DataFrame  # hash, n of the words outside the vocabulary that occur more than once
 
@@ -292,7 +334,8 @@ def lexicon(texts: DataFrame) -> tuple[Lexicon, list[int]]:
     """What is counted in all of texts, and the counts of the vocabulary."""
     counts = texts.mapInArrow(lambda it: common.tidy(_count_words(it)), "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
     counts = common.materialise(counts, "word-counts")
-    least = max(1, math.isqrt(counts.agg(F.sum("n")).first()[0] or 0) // OFTEN)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(1, math.isqrt(total) // OFTEN)
     sizes = sizes_for(counts.filter(F.col("n") >= least).count())
     vocab, buckets = sizes
     top = counts.orderBy(F.desc("n"), "word").limit(vocab).collect()  # grows with the root of the corpus
@@ -304,33 +347,48 @@ def lexicon(texts: DataFrame) -> tuple[Lexicon, list[int]]:
         rest[r["hash"] % buckets] -= r["n"]
     # Where the least count of the vocabulary is reached, words in it may be left in the table; they are never looked up.
     few = counts.filter((F.col("n") > 1) & (F.col("n") <= (top[-1]["n"] if top else 0))).groupBy("hash").agg(F.sum("n").alias("n"))
-    return Lexicon([bytes(r["word"]) for r in top], sizes, rest, few), [r["n"] for r in top]
+    return Lexicon([bytes(r["word"]) for r in top], sizes, total, rest, few), [r["n"] for r in top]
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Lexicon, np.ndarray]:
-    """Vocabulary with counts, and parameters, from all of docs (text)."""
-    texts = docs.select("text")
-    known, n = lexicon(texts)
+def tokens(docs: DataFrame, known: Lexicon) -> DataFrame:
+    """doc_id, key (of id and text), n_words, ids, unknown of every document, as a table."""
     words, sizes = known.words, known.sizes
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = rows.mapInArrow(lambda it: common.tidy(_tokenise(it, words, sizes)), "doc_id long, key long, n_words long, ids binary, unknown array<long>")
+    return common.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+
+
+def train(rows: DataFrame, known: Lexicon, counts: list[int], rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters, from the tokens of all documents."""
+    sizes = known.sizes
     flat = initial(sizes)
-    unigram_biases(flat, n, known.rest, sizes)
+    unigram_biases(flat, counts, known.rest, sizes)
+    shards = common.pieces(known.total, max(SHARD_WORDS, SHARD_ROOTS * math.isqrt(known.total)))
+    dealt = rows.filter("n_words > 0").select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "ids")
+    dealt = dealt.repartition(2 * shards, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
     for turn in range(rounds):
         start = flat.tobytes()
-        parts = texts.mapInArrow(lambda it, s=start, t=turn: common.tidy(_train(it, words, sizes, s, t, rounds)), "block int, seen long, body binary")
-        summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_average, "block int, body binary")
+        parts = dealt.mapInArrow(lambda it, s=start, t=turn: common.tidy(_train(it, sizes, s, t, rounds)), "block int, shard long, seen long, body binary")
+        summed = parts.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_average, "block int, body binary")
         found = {r["block"]: r["body"] for r in summed.collect()}  # one copy of the parameters
         if found:
             flat = np.frombuffer(b"".join(found[k] for k in sorted(found)), np.float32)
-    return known, flat
+    return flat
 
 
-def _score(batches, words: list[bytes], sizes: tuple[int, int], rest: np.ndarray, body: bytes):
-    """Sums by the network, a word outside the vocabulary taken as one of the occurrences in its bucket (and one more, of words never counted); the hashes of such words."""
-    vocabulary, w = Vocabulary(words, sizes), unpack(np.frombuffer(body, np.float32), sizes)
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Lexicon, np.ndarray]:
+    """Vocabulary with counts, and parameters, from all of docs (doc_id, text)."""
+    known, n = lexicon(docs.select("text"))
+    return known, train(tokens(docs, known), known, n, rounds)
+
+
+def _score(batches, sizes: tuple[int, int], rest: np.ndarray, body: bytes):
+    """Sums by the network, a word outside the vocabulary taken as one of the occurrences in its bucket (and one more, of words never counted)."""
+    w = unpack(np.frombuffer(body, np.float32), sizes)
     one = np.zeros(1 + sum(sizes))
     one[1 + sizes[0] :] = np.log(rest + 1)
     for batch in batches:
-        counts: list[int] = []
+        total, in_vocabulary = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         held, owner, size = [], [], 0
 
         def flush():
@@ -338,21 +396,12 @@ def _score(batches, words: list[bytes], sizes: tuple[int, int], rest: np.ndarray
             at = _inner(held)
             doc = np.repeat(owner, [len(x) for x in held])[at]
             lp = np.concatenate([log_probabilities(w, ids, at[k : k + BATCH]) for k in range(0, len(at), BATCH)])
-            np.add.at(total, doc, lp - one[ids[at]])
-            np.add.at(in_vocabulary, doc, ids[at] <= sizes[0])
+            total[:] += np.bincount(doc, lp - one[ids[at]], len(total))
+            in_vocabulary[:] += np.bincount(doc, ids[at] <= sizes[0], len(total)).astype(np.int64)
 
-        total, in_vocabulary = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-        unknown: list[np.ndarray] = []
-        ends = np.zeros(batch.num_rows + 1, np.int32)
-        for k, text in enumerate(spans.texts(batch.column("text"))):
-            tokens = text.split()
-            counts.append(len(tokens))
-            ends[k + 1] = ends[k]
-            for part, *near in _pieces(tokens):
-                ids, new = vocabulary(part, *near)
-                held.append(ids)
-                unknown.append(new)
-                ends[k + 1] += len(new)
+        for k, ids in enumerate(batch.column("ids").to_pylist()):
+            for part in _pieces(ids, sizes):
+                held.append(part)
                 owner.append(k)
                 size += len(part)
                 if size >= 8 * BATCH:
@@ -360,22 +409,27 @@ def _score(batches, words: list[bytes], sizes: tuple[int, int], rest: np.ndarray
                     held, owner, size = [], [], 0
         if held:
             flush()
-        hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(unknown) if unknown else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(in_vocabulary), pa.array(total), hashes], names=["doc_id", "n_words", "n_in_vocabulary", "total", "unknown"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_words")), pa.array(in_vocabulary), pa.array(total)], names=["row", "doc_id", "n_words", "n_in_vocabulary", "total"])
 
 
-def score(docs: DataFrame, known: Lexicon, flat: np.ndarray) -> DataFrame:
-    """doc_id, n_words, n_in_vocabulary, pseudo_log_likelihood, mean_log_probability of every document."""
-    body, (words, sizes, rest, counts) = flat.astype(np.float32).tobytes(), known
-    rows = docs.select("doc_id", "text").mapInArrow(lambda it: common.tidy(_score(it, words, sizes, rest, body)), "doc_id long, n_words long, n_in_vocabulary long, total double, unknown array<long>")
-    rows = common.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+def score_tokens(rows: DataFrame, known: Lexicon, flat: np.ndarray) -> DataFrame:
+    """The scores of a table of tokens."""
+    body, sizes, rest = flat.astype(np.float32).tobytes(), known.sizes, known.rest
+    scored = rows.select("row", "doc_id", "n_words", "ids").mapInArrow(lambda it: common.tidy(_score(it, sizes, rest, body)), "row long, doc_id long, n_words long, n_in_vocabulary long, total double")
     unknown = rows.select("row", F.explode("unknown").alias("__hash"))
-    shares = unknown.join(counts, F.col("__hash") == F.col("hash")).groupBy("row").agg(F.sum(F.log("n")).alias("shares")).withColumnRenamed("row", "__row")
+    shares = unknown.join(known.counts, F.col("__hash") == F.col("hash")).groupBy("row").agg(F.sum(F.log("n")).alias("shares")).withColumnRenamed("row", "__row")
     total = F.col("total") + F.coalesce("shares", F.lit(0.0))
-    joined = rows.drop("unknown").join(shares, F.col("row") == F.col("__row"), "left")
+    joined = scored.join(shares, F.col("row") == F.col("__row"), "left")
     return joined.select("doc_id", "n_words", "n_in_vocabulary", total.alias("pseudo_log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))
 
 
+def score(docs: DataFrame, known: Lexicon, flat: np.ndarray) -> DataFrame:
+    """doc_id, n_words, n_in_vocabulary, pseudo_log_likelihood, mean_log_probability of every document."""
+    return score_tokens(tokens(docs, known), known, flat)
+
+
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Fits on all documents, then scores them all."""
-    return score(docs, *fit(docs, rounds))
+    known, n = lexicon(docs.select("text"))
+    rows = tokens(docs, known)
+    return score_tokens(rows, known, train(rows, known, n, rounds))

@@ -500,10 +500,12 @@ def test_masked_lm_trains_on_every_word(monkeypatch, rounds):
     monkeypatch.setattr(masked_lm, "train_step", step)
     monkeypatch.setattr(masked_lm, "PIECE", 7)
     words = [f"w{k}".encode() for k in range(50)]
-    batch = pa.RecordBatch.from_arrays([pa.array([b" ".join(words).decode(), "w3"])], names=["text"])
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([b" ".join(words).decode(), "w3"])], names=["doc_id", "key", "text"])
+    (batch,) = masked_lm._tokenise([texts], words, masked_lm.SIZES)
+    batch = batch.append_column("shard", pa.array([0, 1]))
     start = masked_lm.initial().tobytes()
     for turn in range(rounds):
-        list(masked_lm._train([batch], words, masked_lm.SIZES, start, turn, rounds))
+        list(masked_lm._train([batch], masked_lm.SIZES, start, turn, rounds))
     ids = [0, 0, *range(1, 51), 0, 0]
     assert sorted(seen) == sorted([tuple(ids[k : k + 5]) for k in range(50)] + [(0, 0, 4, 0, 0)])
 
@@ -650,3 +652,52 @@ def test_chat_layouts_with_other_fields(spark):
     got = {r.conv_id: r for r in chat.format_records(df).collect()}
     for k, (_, layout, turns) in enumerate(records):
         assert got[k].layout == layout and (chat.parse(got[k].formatted) if got[k].formatted is not None else None) == turns
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab\t\n\x0b \x1c\x85\u00a0é日")), max_size=12) | st.none(), max_size=6))
+def test_words_of_a_batch(texts):
+    words, ends = masked_lm.split_words(pa.array(texts, pa.string()))
+    got = [x.encode() for x in words.to_pylist()]
+    assert [got[a:b] for a, b in zip(ends, ends[1:])] == [(x or "").encode().split() for x in texts]
+    assert len(set(zip(got, masked_lm.word_hashes(words).tolist()))) == len(set(got)) == len(set(masked_lm.word_hashes(words).tolist()))
+
+
+def test_masked_lm_scores_again_plainly(spark, monkeypatch):
+    """Every score again from the parameters, a word at a time; the same for any partitioning."""
+    monkeypatch.setattr(masked_lm, "VOCAB", 20)
+    monkeypatch.setattr(masked_lm, "BUCKETS", 4)
+    monkeypatch.setattr(masked_lm, "SHARD_WORDS", 300)
+    r = random.Random(4)
+    rows = [(k, " ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(1, 40)))) for k in range(60)] + [(100, None), (101, " \n"), (102, "never_seen w0 w1"), (102, "never_seen w0 w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known, flat = masked_lm.fit(df.repartition(1))
+    assert np.array_equal(flat, masked_lm.fit(df.repartition(5))[1])
+    counts = Counter(x for _, t in rows for x in brute.words(t))
+    w, ids = masked_lm.unpack(flat.astype(np.float64), known.sizes), {x.decode(): k + 1 for k, x in enumerate(known.words)}
+    bucket = lambda x: int(masked_lm.word_hashes(pa.array([x]))[0] % known.sizes[1])
+    members = w["to_member"].shape[1]
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    for row in masked_lm.score(df, known, flat).collect():
+        text = next(t for k, t in rows if k == row.doc_id)
+        tokens = brute.words(text)
+        number = lambda x: ids[x] if x in ids else 1 + known.sizes[0] + bucket(x)
+        near = [0, 0, *map(number, tokens), 0, 0]
+        want = 0.0
+        for k, x in enumerate(tokens):
+            h = np.tanh(w["bias"] + sum(w["embed"][p][near[k + 2 + d]] for p, d in enumerate((-2, -1, 1, 2))))
+            c, m = divmod(near[k + 2], members)
+            want += np.log(softmax(h @ w["to_class"] + w["class_bias"])[c]) + np.log(softmax((h + w["class_embed"][c]) @ w["to_member"] + w["member_bias"][c])[m])
+            if x not in ids:
+                inside = sum(n for y, n in counts.items() if y not in ids and bucket(y) == bucket(x))
+                want += np.log(counts[x]) - np.log(inside + 1)
+        assert row.n_words == len(tokens) and row.pseudo_log_likelihood == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_masked_lm_unknown_words_lower_the_score(spark):
+    r = random.Random(9)
+    common_words = [f"c{k}" for k in range(300)]
+    rows = [(k, " ".join(r.choice(common_words) for _ in range(80))) for k in range(400)]
+    rare = [(1000 + k, " ".join(f"z{k}x{j}" if j % 2 else x for j, x in enumerate(rows[k][1].split()))) for k in range(20)]
+    known, flat = masked_lm.fit(spark.createDataFrame(rows + [(5000 + k, " ".join(f"u{k}y{j}" for j in range(80))) for k in range(200)], "doc_id long, text string"))
+    got = {x.doc_id: x.mean_log_probability for x in masked_lm.score(spark.createDataFrame(rows[:20] + rare, "doc_id long, text string"), known, flat).collect()}
+    assert sum(known.sizes) < 16_500 and all(got[1000 + k] < got[k] for k in range(20))
