@@ -46,7 +46,7 @@ DIM = 32
 SIDE = 2
 MASK = 8
 ROUNDS = 2
-BATCH = 2048
+BATCH = 1024
 TRAIN_BATCH = 1024
 #: Words of a shard: this many at least, and SHARD_ROOTS times the root of the corpus's words.
 SHARD_WORDS = 1 << 21
@@ -106,32 +106,55 @@ def unigram_biases(flat: np.ndarray, counts: list[int], rest: np.ndarray, sizes:
     w["member_bias"][...] = np.log(n / n.sum(1, keepdims=True))
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _bounded(x: np.ndarray) -> None:
+    """Shifts rows of logits to a largest value of 0 where any is too large to be exponentiated as it is."""
+    if max(x.max(), -x.min()) > 60:
+        x -= x.max(1, keepdims=True)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    _bounded(x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= _row_sums(x)[:, None]
     return x
 
 
-def _forward(w: dict, ids: np.ndarray, at: np.ndarray):
-    """Hidden state, class probabilities, state with the class, member probabilities at the padded positions."""
-    h = np.broadcast_to(w["bias"], (len(at), DIM)).copy()
+def _hidden(w: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The state made of the words around each of the padded positions."""
     places = [k for k in range(-SIDE, SIDE + 1) if k]
-    for p, k in enumerate(places):
-        h += w["embed"][p][ids[at + k]]
-    np.tanh(h, out=h)
-    target = ids[at]
-    c, m = np.divmod(target, w["to_member"].shape[1])
-    pk = _softmax(h @ w["to_class"] + w["class_bias"])
-    g = h + w["class_embed"][c]
-    pm = _softmax(g @ w["to_member"] + w["member_bias"][c])
-    return h, c, m, pk, g, pm
+    h = w["embed"][0].take(ids[at + places[0]], axis=0)
+    for p, k in enumerate(places[1:], 1):
+        h += w["embed"][p].take(ids[at + k], axis=0)
+    h += w["bias"]
+    return np.tanh(h, out=h)
+
+
+def _logits(w: dict, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of the classes, the state with the class c, logits of its members."""
+    x = h @ w["to_class"]
+    x += w["class_bias"]
+    g = h + w["class_embed"].take(c, axis=0)
+    y = g @ w["to_member"]
+    y += w["member_bias"].take(c, axis=0)
+    return x, g, y
+
+
+def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Logarithms of the softmax of each row of x (which is overwritten) at a column."""
+    _bounded(x)
+    picked = x[np.arange(len(x)), column].astype(np.float64)
+    np.exp(x, out=x)
+    return picked - np.log(_row_sums(x))
 
 
 def log_probabilities(w: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    _, c, m, pk, _, pm = _forward(w, ids, at)
-    row = np.arange(len(at))
-    return np.log(np.maximum(pk[row, c], 1e-30)).astype(np.float64) + np.log(np.maximum(pm[row, m], 1e-30)).astype(np.float64)
+    c, m = np.divmod(ids[at], w["to_member"].shape[1])
+    x, _, y = _logits(w, _hidden(w, ids, at), c)
+    return _log_softmax_at(x, c) + _log_softmax_at(y, m)
 
 
 def _descend(w: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
@@ -153,22 +176,25 @@ def _descend_rows(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, values:
 
 def train_step(w: dict, squares: dict, ids: np.ndarray, at: np.ndarray) -> None:
     """One step on the masked positions."""
-    h, c, m, pk, g, pm = _forward(w, ids, at)
-    row = np.arange(len(at))
+    c, m = np.divmod(ids[at], w["to_member"].shape[1])
+    h = _hidden(w, ids, at)
+    x, g, y = _logits(w, h, c)
+    pk, pm = _softmax(x), _softmax(y)
+    row, part = np.arange(len(at)), h.dtype.type(1 / len(at))
     pk[row, c] -= 1
     pm[row, m] -= 1
-    pk /= len(at)
-    pm /= len(at)
     dg = pm @ w["to_member"].T
-    dh = (pk @ w["to_class"].T + dg) * (1 - h * h)
-    _descend(w["to_member"], squares["to_member"], g.T @ pm)
-    _descend(w["to_class"], squares["to_class"], h.T @ pk)
-    _descend(w["class_bias"], squares["class_bias"], pk.sum(0))
-    _descend(w["bias"], squares["bias"], dh.sum(0))
+    dh = pk @ w["to_class"].T
+    dh += dg
+    dh *= (1 - h * h) * part
+    _descend(w["to_member"], squares["to_member"], g.T @ pm * part)
+    _descend(w["to_class"], squares["to_class"], h.T @ pk * part)
+    _descend(w["class_bias"], squares["class_bias"], np.ones(len(pk), pk.dtype) @ pk * part)
+    _descend(w["bias"], squares["bias"], np.ones(len(dh), dh.dtype) @ dh)
     chosen = np.zeros((len(at), len(w["class_bias"])), pk.dtype)
     chosen[row, c] = 1
-    _descend(w["member_bias"], squares["member_bias"], chosen.T @ pm)
-    _descend(w["class_embed"], squares["class_embed"], chosen.T @ dg)
+    _descend(w["member_bias"], squares["member_bias"], chosen.T @ pm * part)
+    _descend(w["class_embed"], squares["class_embed"], chosen.T @ dg * part)
     size = w["embed"].shape[1]
     near = np.concatenate([p * size + ids[at + k] for p, k in enumerate(k for k in range(-SIDE, SIDE + 1) if k)])
     _descend_rows(w["embed"].reshape(-1, DIM), squares["embed"].reshape(-1, DIM), near, dh)
@@ -261,11 +287,12 @@ def _train(batches, sizes: tuple[int, int], start: bytes, turn: int, rounds: int
 
     def step():
         ids = np.concatenate(held)
-        own, n = _inner(held), 0
+        own, n, w, own_squares = _inner(held), 0, unpack(flat, sizes), unpack(squares, sizes)
         for residue in residues(turn, rounds):
             at = own[own % MASK == residue]
-            for k in range(0, len(at), TRAIN_BATCH):
-                train_step(unpack(flat, sizes), unpack(squares, sizes), ids, at[k : k + TRAIN_BATCH])
+            for part in np.array_split(at, max(1, round(len(at) / TRAIN_BATCH))):
+                if len(part):
+                    train_step(w, own_squares, ids, part)
             n += len(at)
         return n
 
