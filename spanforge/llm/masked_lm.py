@@ -15,7 +15,8 @@ weights, makes one pass over its texts with some residues of the positions modul
 dealt and ordered by a hash of id and text and their number follows from the count of words, so the result doesn't depend on
 how the input is partitioned. The average of their weights, weighted by masked positions, is formed by a
 grouped sum over blocks of parameters; the driver only sees the average and the vocabulary, which grow with the
-root of the corpus, and so do the shards. Counts of the words outside it stay a table, joined to their occurrences by a 64-bit hash.
+root of the corpus, and so do the shards. Counts of the words outside the vocabulary stay a table: a slice of texts asks for those of its
+distinct words by 64-bit hash, a bucket of hashes at a time, and adds up the answers for each text.
 
 Rules for odd input: null or wordless texts score 0 with mean null; rows with equal ids
 are scored one by one; very long texts are taken in pieces of PIECE words with their
@@ -30,10 +31,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, packing_blobs
 
 #: The least sizes, as of a small corpus.
 VOCAB = 2175
@@ -49,12 +51,15 @@ ROUNDS = 2
 BATCH = 1024
 TRAIN_BATCH = 1024
 #: Words of a shard: this many at least, and SHARD_ROOTS times the root of the corpus's words.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 22
 SHARD_ROOTS = 64
 RATE = 0.1
 PIECE = 200_000
 BLOCK = 4096
-SLICE_BYTES = 4 << 20
+#: Text looked up at once; counts held before they go out; distinct words of a bucket of counts.
+SLICE_BYTES = 16 << 20
+HELD_COUNTS = 500_000
+BUCKET_WORDS = 1 << 20
 
 #: Ids: 0 stands for no word (before the first and after the last), then the vocabulary, then hashed ids.
 SIZE = 1 + VOCAB + BUCKETS
@@ -239,21 +244,107 @@ def id_kind(sizes: tuple[int, int]):
     return np.uint16 if sum(sizes) < 1 << 16 else np.uint32
 
 
-def _tokenise(batches, words: list[bytes], sizes: tuple[int, int]):
-    """doc_id, key, n_words, ids, unknown (hashes of the words outside the vocabulary, in order) of each text."""
+_TOKENS = "asks boolean, doc_id long, key long, n_words long, ids binary, unknown binary, slice long, bucket int, body binary"
+_TOKEN_KINDS = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+_TOKEN_NAMES = [x.split()[0] for x in _TOKENS.split(", ")]
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of values, from each of ends to the next, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _tokenise(batches, words: list[bytes], sizes: tuple[int, int], buckets: int = 1):
+    """A row for each text: ids, and for its words outside the vocabulary their places in the slice's list of distinct ones; that list, by bucket, in rows of its own."""
     known = pa.array([x.decode() for x in words], pa.string())
-    vocab, buckets = sizes
+    vocab, hashed = sizes
+    context, number = TaskContext.get(), 0
     for whole in batches:
         for batch in _slices(whole):
+            name = (context.partitionId() if context else 0) << 32 | number
+            number += 1
             found, ends = split_words(batch.column("text"))
             ids = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy().astype(np.int64) + 1
             new = ids == 0
             unknown = word_hashes(found.filter(pa.array(new)))
-            ids[new] = 1 + vocab + unknown % buckets
-            kind = id_kind(sizes)
-            at = np.concatenate(([0], np.cumsum(new)))[ends].astype(np.int32)
-            body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((ends * np.dtype(kind).itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(ends)), body, pa.ListArray.from_arrays(pa.array(at), pa.array(unknown))], names=["doc_id", "key", "n_words", "ids", "unknown"])
+            ids[new] = 1 + vocab + unknown % hashed
+            distinct, place = np.unique(unknown.view(np.uint64), return_inverse=True)
+            bucket = (distinct % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            n = batch.num_rows
+            at = np.concatenate(([0], np.cumsum(new)))[ends]
+            none = lambda kind, n=n: pa.nulls(n, kind)
+            texts = [pa.array(np.zeros(n, bool)), batch.column("doc_id"), batch.column("key"), pa.array(np.diff(ends)), _binaries(ids.astype(id_kind(sizes)), ends), _binaries(rank[place], at), pa.array(np.full(n, name)), none(pa.int32()), none(pa.binary())]
+            yield pa.RecordBatch.from_arrays(texts, names=_TOKEN_NAMES)
+            if len(distinct):
+                asked = np.unique(bucket)
+                first = np.concatenate((np.searchsorted(bucket[order], asked), [len(order)]))
+                m = len(asked)
+                rows = [pa.array(np.ones(m, bool)), *(pa.nulls(m, k) for k in _TOKEN_KINDS[1:6]), pa.array(np.full(m, name)), pa.array(asked), _binaries(distinct[order], first)]
+                yield pa.RecordBatch.from_arrays(rows, names=_TOKEN_NAMES)
+
+
+def _pack_counts(batches, buckets: int):
+    """Counts (hash, n) to rows (bucket, slice: -1, body: hashes, then counts)."""
+    held, size = [], 0
+
+    def out():
+        h, n = (np.concatenate(x) for x in zip(*held))
+        rows = [(b, h[k].tobytes() + n[k].tobytes()) for b, k in packing_blobs.by_bucket((h % np.uint64(buckets)).astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "slice", "body"])
+
+    for batch in batches:
+        held.append((batch.column("hash").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+        size += batch.num_rows
+        if size >= HELD_COUNTS:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _answer(batches):
+    """Rows (bucket, slice, body), sorted by bucket and slice: the logarithms of the counts of each slice's words; of words counted once or never, 0."""
+    now, counts, table = None, [], None
+    for batch in batches:
+        out = []
+        for bucket, name, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                now, counts, table = bucket, [], None
+            if name < 0:
+                counts.append(np.frombuffer(body, np.uint64).reshape(2, -1))
+                continue
+            if table is None:
+                h, n = np.concatenate(counts, axis=1) if counts else np.empty((2, 0), np.uint64)
+                order = np.argsort(h)
+                table, counts = (h[order], np.log(n[order].astype(np.float64)).astype(np.float32)), []
+            asked = np.frombuffer(body, np.uint64)
+            at = np.minimum(np.searchsorted(table[0], asked), max(0, len(table[0]) - 1))
+            found = np.where(table[0][at] == asked, table[1][at], np.float32(0)) if len(table[0]) else np.zeros(len(asked), np.float32)
+            out.append((name, bucket, found.tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["slice", "bucket", "body"])
+
+
+def _shares(batches):
+    """Rows (slice, bucket, row, body), sorted by slice and bucket, texts last: the sum of the answers for the words of each text."""
+    now, parts, table = None, [], None
+    for batch in batches:
+        rows, sums = [], []
+        for name, _, row, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if name != now:
+                now, parts, table = name, [], None
+            if row is None:
+                parts.append(body)
+                continue
+            if table is None:
+                table, parts = np.frombuffer(b"".join(parts), np.float32).astype(np.float64), []
+            rows.append(row)
+            sums.append(float(table[np.frombuffer(body, np.uint32)].sum()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sums, pa.float64())], names=["__row", "shares"])
 
 
 def _pieces(body: bytes, sizes: tuple[int, int]):
@@ -340,19 +431,32 @@ def _average(batches):
 
 
 def _count_words(batches):
-    """Word counts of each batch of texts."""
+    """Word counts of a task; they go out whenever many are held."""
+    held: list[pa.Table] = []
+
+    def out():
+        total = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        words = total.column("word").combine_chunks()
+        words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
+        return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(word_hashes(words)), total.column("n_sum").combine_chunks()], names=["word", "hash", "n"])
+
     for whole in batches:
         for batch in _slices(whole):
             found = pc.value_counts(split_words(batch.column("text"))[0])
-            words = found.field("values")
-            if len(words):
-                yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(word_hashes(words)), found.field("counts")], names=["word", "hash", "n"])
+            if len(found):
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                if sum(map(len, held)) > HELD_COUNTS:
+                    yield out()
+                    held.clear()
+    if held:
+        yield out()
 
 
 class Lexicon(NamedTuple):
     words: list[bytes]
     sizes: tuple[int, int]
     total: int  # words of the corpus
+    distinct: int
     rest: np.ndarray  # occurrences in each bucket
     counts: DataFrame  # hash, n of the words outside the vocabulary that occur more than once
 
@@ -361,7 +465,7 @@ def lexicon(texts: DataFrame) -> tuple[Lexicon, list[int]]:
     """What is counted in all of texts, and the counts of the vocabulary."""
     counts = texts.mapInArrow(lambda it: common.tidy(_count_words(it)), "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
     counts = common.materialise(counts, "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, math.isqrt(total) // OFTEN)
     sizes = sizes_for(counts.filter(F.col("n") >= least).count())
     vocab, buckets = sizes
@@ -374,15 +478,25 @@ def lexicon(texts: DataFrame) -> tuple[Lexicon, list[int]]:
         rest[r["hash"] % buckets] -= r["n"]
     # Where the least count of the vocabulary is reached, words in it may be left in the table; they are never looked up.
     few = counts.filter((F.col("n") > 1) & (F.col("n") <= (top[-1]["n"] if top else 0))).groupBy("hash").agg(F.sum("n").alias("n"))
-    return Lexicon([bytes(r["word"]) for r in top], sizes, total, rest, few), [r["n"] for r in top]
+    return Lexicon([bytes(r["word"]) for r in top], sizes, total, distinct, rest, few), [r["n"] for r in top]
+
+
+def n_shards(known: Lexicon) -> int:
+    return common.pieces(known.total, max(SHARD_WORDS, SHARD_ROOTS * math.isqrt(known.total)))
+
+
+def n_buckets(known: Lexicon) -> int:
+    return common.pieces(known.distinct, BUCKET_WORDS)
 
 
 def tokens(docs: DataFrame, known: Lexicon) -> DataFrame:
-    """doc_id, key (of id and text), n_words, ids, unknown of every document, as a table."""
-    words, sizes = known.words, known.sizes
+    """The tokens of every document and what is asked of the counts, as a table with rows in order of shard and key (of id and text)."""
+    (words, sizes), shards, buckets = known[:2], n_shards(known), n_buckets(known)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    rows = rows.mapInArrow(lambda it: common.tidy(_tokenise(it, words, sizes)), "doc_id long, key long, n_words long, ids binary, unknown array<long>")
-    return common.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows = rows.mapInArrow(lambda it: common.tidy(_tokenise(it, words, sizes, buckets)), _TOKENS)
+    rows = rows.withColumn("shard", F.pmod(F.coalesce("key", "slice"), F.lit(shards)))
+    dealt = rows.repartition(2 * shards, "shard").sortWithinPartitions("shard", "key")
+    return common.materialise(dealt.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
 def train(rows: DataFrame, known: Lexicon, counts: list[int], rounds: int = ROUNDS) -> np.ndarray:
@@ -390,9 +504,7 @@ def train(rows: DataFrame, known: Lexicon, counts: list[int], rounds: int = ROUN
     sizes = known.sizes
     flat = initial(sizes)
     unigram_biases(flat, counts, known.rest, sizes)
-    shards = common.pieces(known.total, max(SHARD_WORDS, SHARD_ROOTS * math.isqrt(known.total)))
-    dealt = rows.filter("n_words > 0").select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "ids")
-    dealt = dealt.repartition(2 * shards, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+    dealt = rows.filter("not asks and n_words > 0").select("shard", "ids")
     for turn in range(rounds):
         start = flat.tobytes()
         parts = dealt.mapInArrow(lambda it, s=start, t=turn: common.tidy(_train(it, sizes, s, t, rounds)), "block int, shard long, seen long, body binary")
@@ -442,9 +554,15 @@ def _score(batches, sizes: tuple[int, int], rest: np.ndarray, body: bytes):
 def score_tokens(rows: DataFrame, known: Lexicon, flat: np.ndarray) -> DataFrame:
     """The scores of a table of tokens."""
     body, sizes, rest = flat.astype(np.float32).tobytes(), known.sizes, known.rest
-    scored = rows.select("row", "doc_id", "n_words", "ids").mapInArrow(lambda it: common.tidy(_score(it, sizes, rest, body)), "row long, doc_id long, n_words long, n_in_vocabulary long, total double")
-    unknown = rows.select("row", F.explode("unknown").alias("__hash"))
-    shares = unknown.join(known.counts, F.col("__hash") == F.col("hash")).groupBy("row").agg(F.sum(F.log("n")).alias("shares")).withColumnRenamed("row", "__row")
+    texts = rows.filter("not asks")
+    scored = texts.select("row", "doc_id", "n_words", "ids").mapInArrow(lambda it: common.tidy(_score(it, sizes, rest, body)), "row long, doc_id long, n_words long, n_in_vocabulary long, total double")
+    buckets = n_buckets(known)
+    counts = known.counts.select("hash", "n").mapInArrow(lambda it: _pack_counts(it, buckets), "bucket int, slice long, body binary")
+    asked = counts.union(rows.filter("asks").select("bucket", "slice", "body"))
+    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(lambda it: common.tidy(_answer(it)), "slice long, bucket int, body binary")
+    own = texts.filter(F.octet_length("unknown") > 0).select("slice", F.lit(None).cast("int").alias("bucket"), "row", F.col("unknown").alias("body"))
+    both = answers.select("slice", "bucket", F.lit(None).cast("long").alias("row"), "body").union(own)
+    shares = both.repartition("slice").sortWithinPartitions("slice", F.col("bucket").asc_nulls_last()).mapInArrow(lambda it: common.tidy(_shares(it)), "__row long, shares double")
     total = F.col("total") + F.coalesce("shares", F.lit(0.0))
     joined = scored.join(shares, F.col("row") == F.col("__row"), "left")
     return joined.select("doc_id", "n_words", "n_in_vocabulary", total.alias("pseudo_log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))

@@ -501,7 +501,7 @@ def test_masked_lm_trains_on_every_word(monkeypatch, rounds):
     monkeypatch.setattr(masked_lm, "PIECE", 7)
     words = [f"w{k}".encode() for k in range(50)]
     texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([b" ".join(words).decode(), "w3"])], names=["doc_id", "key", "text"])
-    (batch,) = masked_lm._tokenise([texts], words, masked_lm.SIZES)
+    (batch,) = masked_lm._tokenise([texts], words, masked_lm.SIZES)  # every word is in the vocabulary
     batch = batch.append_column("shard", pa.array([0, 1]))
     start = masked_lm.initial().tobytes()
     for turn in range(rounds):
@@ -667,6 +667,9 @@ def test_masked_lm_scores_again_plainly(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "VOCAB", 20)
     monkeypatch.setattr(masked_lm, "BUCKETS", 4)
     monkeypatch.setattr(masked_lm, "SHARD_WORDS", 300)
+    monkeypatch.setattr(masked_lm, "BUCKET_WORDS", 7)
+    monkeypatch.setattr(masked_lm, "SLICE_BYTES", 200)
+    monkeypatch.setattr(masked_lm, "HELD_COUNTS", 10)
     r = random.Random(4)
     rows = [(k, " ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(1, 40)))) for k in range(60)] + [(100, None), (101, " \n"), (102, "never_seen w0 w1"), (102, "never_seen w0 w1")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
