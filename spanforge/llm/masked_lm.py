@@ -58,7 +58,7 @@ PIECE = 200_000
 BLOCK = 4096
 #: Text looked up at once; counts held before they go out; distinct words of a bucket of counts.
 SLICE_BYTES = 16 << 20
-HELD_COUNTS = 500_000
+HELD_COUNTS = 2_000_000
 BUCKET_WORDS = 1 << 20
 
 #: Ids: 0 stands for no word (before the first and after the last), then the vocabulary, then hashed ids.
@@ -173,10 +173,15 @@ def _descend_rows(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, values:
     order = np.sort(rows << 20 | np.arange(len(rows)))
     r, order = order >> 20, order & 0xFFFFF
     first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    at, gradient = r[first], np.add.reduceat(values[order % len(values)], first, axis=0)
-    new = squares[at] + gradient * gradient
+    at, gradient = r[first], np.add.reduceat(values.take(order % len(values), axis=0), first, axis=0)
+    new = gradient * gradient
+    new += squares.take(at, axis=0)
     squares[at] = new
-    w[at] -= RATE * gradient / np.sqrt(new + 1e-6)
+    new += 1e-6
+    gradient /= np.sqrt(new, out=new)
+    gradient *= -RATE
+    gradient += w.take(at, axis=0)
+    w[at] = gradient
 
 
 def train_step(w: dict, squares: dict, ids: np.ndarray, at: np.ndarray) -> None:
