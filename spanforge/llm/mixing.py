@@ -12,7 +12,8 @@ and cut where the words taken reach the budget. So every source is served in pro
 target, and ends within a document of it.
 
 Rules for odd input: a null or wordless text has size 0 and is never taken; null sources are
-one source; rows with equal ids are documents of their own; an empty table gives an empty
+one source; rows with equal ids are documents of their own; very long texts are only counted, in the JVM; columns that
+clash with names used here are kept as they are, as all of these begin with two underscores; an empty table gives an empty
 result. Ties in finish time are broken by source, pass, hash and id, so reruns agree.
 """
 
@@ -42,21 +43,19 @@ def shuffle_key(seed: int = SEED):
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE, repeats: int = MAX_REPEATS) -> DataFrame:
     """sizes (source, size) to one row a source: source, rank, source_size, target."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # the windows below run over one row for each source
-    ranked = per.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("__one", F.lit(1).cast("long"))
+    ranked = running_total(per, [], ["source"], "__one", "rank").drop("__one")  # range-sorted, as there may be as many sources as hosts
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     rows = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(repeats)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = W.orderBy("ratio", "rank")
-    rows = rows.withColumns({
-        "budget": F.sum("source_size").over(W.partitionBy()) * share,
-        "capped": F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
-        "open": F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing)),
-    })
-    level = (F.col("budget") - F.col("capped")) / F.col("open")
-    rows = rows.withColumn("level", F.min_by(F.when(level <= F.col("ratio"), level), F.when(level <= F.col("ratio"), F.struct("ratio", "rank"))).over(W.partitionBy()))
+    rows = running_total(rows, [], ["ratio", "rank"], "cap", "caps")
+    rows = running_total(rows, [], ["ratio", "rank"], "weight", "weights")
+    whole = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * share, F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # the level if this source and all with larger ratios are below their caps
+    rows = rows.withColumn("level", (F.lit(float(whole[0])) - (F.col("caps") - F.col("cap"))) / (F.lit(float(whole[1])) - (F.col("weights") - F.col("weight"))))
+    best = rows.filter("level <= ratio").agg(F.min(F.struct("ratio", "rank", "level")).alias("b")).first()["b"]
+    level = F.lit(None if best is None else best["level"]).cast("double")
     # rounding alone can leave no source under the level: then all are at their caps
-    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    target = F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))
     return rows.select("source", "rank", "source_size", target.alias("target"))
 
 
