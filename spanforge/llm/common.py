@@ -43,10 +43,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _PATHS[-1]
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes what this process has written; call it when no result that reads it is needed any more."""
-    while _PATHS:
-        drop_path(spark, _PATHS.pop())
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what this process has written, but for the first since and the last keep tables; call it when no result that reads them is needed any more."""
+    for path in _PATHS[since : len(_PATHS) - keep]:
+        drop_path(spark, path)
+        _PATHS.remove(path)
+
+
+def written() -> int:
+    """How many tables this process has written and not dropped."""
+    return len(_PATHS)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

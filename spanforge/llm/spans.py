@@ -23,16 +23,19 @@ def fragments(docs: DataFrame, pack: Callable, buckets: int) -> DataFrame:
 HOT_FRAGMENTS = 20_000
 #: Hot minimisers known to the tasks, the most frequent first (8 bytes each).
 MOST_HOT = 100_000
-#: Distinct fragments in a chunk from which a task reports a minimiser.
+#: Distinct fragments in a chunk from which a task reports a minimiser's count; of those with fewer it reports one fragment in THIN, chosen by hash, as THIN.
 REPORTED = 4
+THIN = 64
+#: Tasks that solve buckets; with more buckets a task solves one after another.
+MOST_PARTITIONS = 50_000
 
 
 def hot_minimisers(docs: DataFrame, runs: Callable) -> np.ndarray:
     """Sorted hashes of minimisers that many different fragments share, such as those of a line in a third of all documents.
 
     runs: batches to (minimiser hash, fragment hash) arrays of a chunk each. Equal fragments of a chunk count
-    once, as they travel once. A task reports what it sees REPORTED times in a chunk, so what goes
-    unreported is spread so thinly that its bucket gets fewer fragments than that from each chunk.
+    once, as they travel once. A minimiser that no chunk sees often is found by the share of its fragments that is reported.
+    The counts decide how windows are dealt, never what is found.
     """
 
     def report(batches):
@@ -44,7 +47,9 @@ def hot_minimisers(docs: DataFrame, runs: Callable) -> np.ndarray:
             new = np.append(True, (m[1:] != m[:-1]) | (f[1:] != f[:-1]))
             keys, counts = np.unique(m[new], return_counts=True)
             some = counts >= REPORTED
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
+            thin = m[new][np.repeat(~some, counts) & (f[new] % np.uint64(THIN) == 0)]
+            both = np.concatenate((keys[some], thin)), np.concatenate((counts[some], np.full(len(thin), THIN)))
+            yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1])], names=["h", "n"])
 
     counts = docs.select("doc_id", "__rk", "text").mapInArrow(lambda it: common.tidy(report(it)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     hot = counts.filter(F.col("n") >= HOT_FRAGMENTS).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
@@ -80,7 +85,7 @@ def find_spans(packed: DataFrame, solve: Callable[[list[bytes]], Iterator[tuple]
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(span)], names=["doc_id", "__rk", "span"])
 
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda it: common.tidy(run(it)), SPAN_SCHEMA)
 
 

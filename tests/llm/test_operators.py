@@ -704,3 +704,15 @@ def test_masked_lm_unknown_words_lower_the_score(spark):
     known, flat = masked_lm.fit(spark.createDataFrame(rows + [(5000 + k, " ".join(f"u{k}y{j}" for j in range(80))) for k in range(200)], "doc_id long, text string"))
     got = {x.doc_id: x.mean_log_probability for x in masked_lm.score(spark.createDataFrame(rows[:20] + rare, "doc_id long, text string"), known, flat).collect()}
     assert sum(known.sizes) < 16_500 and all(got[1000 + k] < got[k] for k in range(20))
+
+
+def test_thin_hot_minimisers_are_found(docs, monkeypatch):
+    """A minimiser that no chunk sees often is found by its reported share; results stay the same."""
+    df, rows = docs
+    monkeypatch.setattr(spans, "HOT_FRAGMENTS", 2)
+    monkeypatch.setattr(spans, "REPORTED", 10**6)
+    monkeypatch.setattr(spans, "THIN", 2)
+    monkeypatch.setattr(spans, "MOST_PARTITIONS", 2)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 4000)
+    assert len(spans.hot_minimisers(spans.prepared(df.select("doc_id", "text")), lambda it: substring._hashes(it, 13)))
+    same(substring.substring_digest(df).collect(), brute.substring([r[:2] for r in rows]))
