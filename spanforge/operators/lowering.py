@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..plans import diagnostics as dx
 from ..plans import formula as fm
 from ..plans.diagnostics import fail
+from ..sources.storage import materialise
 from ..sources.trees import parse
 from . import matcher, spans, tree_query
 
@@ -54,79 +57,136 @@ def capture(name: str) -> Column:
     return F.get(F.filter("captures", lambda c: c["name"] == name), F.lit(0))
 
 
-def regex_spans(sources: DataFrame, pattern: str) -> DataFrame:
-    """Every match of a regex in whole texts, with byte spans; groups are captures."""
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        raise fail(dx.SCHEMA_INVALID, f"bad regex: {e}") from None
+def _regex_rows(rx: re.Pattern, uri: str, text: str) -> Iterator[tuple]:
+    label = {k: n for n, k in rx.groupindex.items()}
+    plain = text.isascii()
+    at, byte = 0, 0
+    for m in rx.finditer(text):
+        if plain:
+            s, e = m.span()
+            base = 0
+        else:
+            byte += len(text[at : m.start()].encode())
+            at, s = m.start(), byte
+            e = s + len(m[0].encode())
+            base = s
+        found = []
+        for k in range(1, rx.groups + 1):
+            if m[k] is None:
+                continue
+            gs = m.start(k) if plain else base + len(text[m.start() : m.start(k)].encode())
+            c = {"kind": "regex", "text": m[k], "start_byte": gs, "end_byte": gs + len(m[k].encode())}
+            found += [{"name": f"${n}"} | c for n in ((str(k), label[k]) if k in label else (str(k),))]
+        yield uri, s, e, m[0], sorted(found, key=lambda c: c["name"])
+
+
+def _query_rows(compiled, uri: str, tree) -> Iterator[tuple]:
+    for node, found in tree_query.find(compiled, tree):
+        captures = sorted(({"name": f"${n}", "kind": c.kind, "text": tree.text(c), "start_byte": c.start, "end_byte": c.end} for n, c in found), key=lambda c: c["name"])
+        yield uri, node.start, node.end, tree.text(node), captures
+
+
+def _pattern_rows(compiled, uri: str, tree, deep: int) -> Iterator[tuple]:
+    for m in matcher.find_all(compiled, tree, deep):
+        captures = [{"name": f"${k}", "kind": v.kind, "text": v.text, "start_byte": v.start, "end_byte": v.end} for k, v in sorted(m.captures.items())]
+        yield uri, m.start, m.end, tree.source[m.start : m.end].decode(errors="replace"), captures
+
+
+#: An atom: its class, its text.
+Atom = tuple[type, str]
+
+
+def atom_of(node: fm.Formula) -> Atom | None:
+    if isinstance(node, fm.Pattern):
+        return fm.Pattern, node.text
+    if isinstance(node, fm.Regex):
+        return fm.Regex, node.pattern
+    return (fm.TreeQuery, node.query) if isinstance(node, fm.TreeQuery) else None
+
+
+def scan(sources: DataFrame, atoms: list[Atom], language: str, deep: int = matcher.MAX_DEEP_NODES) -> DataFrame:
+    """sources (uri, text) to the matches of all atoms, with column atom, their place in the list; a file is read and parsed once."""
+
+    def compile_all() -> list:  # errors belong to the driver
+        out = []
+        for kind, text in atoms:
+            if kind is fm.Pattern:
+                out.append(matcher.compile_pattern(text, language, True))
+            elif kind is fm.Regex:
+                try:
+                    out.append(re.compile(text))
+                except re.error as e:
+                    raise fail(dx.SCHEMA_INVALID, f"bad regex: {e}") from None
+            else:
+                out.append(tree_query.compile_query(text) if language in _trees() else None)
+        return out
+
+    compile_all()
+    trees_wanted = any(kind is not fm.Regex for kind, _ in atoms) and language in _trees()
 
     def run(batches):
-        rx = re.compile(pattern)
-        label = {k: n for n, k in rx.groupindex.items()}
+        compiled = compile_all()
         for batch in batches:
             rows = []
             for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist()):
-                if text is None:
-                    continue
-                plain = text.isascii()
-                at, byte = 0, 0
-                for m in rx.finditer(text):
-                    if plain:
-                        s, e = m.span()
-                        base = 0
+                tree = parse(text or "", language) if trees_wanted else None
+                for k, ((kind, _), c) in enumerate(zip(atoms, compiled)):
+                    if kind is fm.Regex:
+                        found = _regex_rows(c, uri, text) if text is not None else ()
+                    elif kind is fm.Pattern:
+                        found = _pattern_rows(c, uri, tree, deep)
                     else:
-                        byte += len(text[at : m.start()].encode())
-                        at, s = m.start(), byte
-                        e = s + len(m[0].encode())
-                        base = s
-                    found = []
-                    for k in range(1, rx.groups + 1):
-                        if m[k] is None:
-                            continue
-                        gs = m.start(k) if plain else base + len(text[m.start() : m.start(k)].encode())
-                        c = {"kind": "regex", "text": m[k], "start_byte": gs, "end_byte": gs + len(m[k].encode())}
-                        found += [{"name": f"${n}"} | c for n in ((str(k), label[k]) if k in label else (str(k),))]
-                    rows.append((uri, s, e, m[0], sorted(found, key=lambda c: c["name"])))
+                        found = _query_rows(c, uri, tree) if c is not None else ()
+                    rows += [(*r, k) for r in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=MATCH_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*_KINDS, pa.int32()])], names=[*MATCH_COLUMNS, "atom"])
 
-    return sources.select("uri", "text").mapInArrow(run, SPAN_SCHEMA)
+    return sources.select("uri", "text").mapInArrow(run, f"{SPAN_SCHEMA}, atom int")
+
+
+def regex_spans(sources: DataFrame, pattern: str) -> DataFrame:
+    """Every match of a regex in whole texts, with byte spans; groups are captures."""
+    return scan(sources, [(fm.Regex, pattern)], "regex").drop("atom")
 
 
 def query_spans(sources: DataFrame, query: str, language: str) -> DataFrame:
-    tree_query.compile_query(query)
+    return scan(sources, [(fm.TreeQuery, query)], language).drop("atom")
 
-    def run(batches):
-        compiled = tree_query.compile_query(query)
-        for batch in batches:
-            rows = []
-            for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist()):
-                tree = parse(text or "", language)
-                for node, found in tree_query.find(compiled, tree):
-                    captures = sorted(({"name": f"${n}", "kind": c.kind, "text": tree.text(c), "start_byte": c.start, "end_byte": c.end} for n, c in found), key=lambda c: c["name"])
-                    rows.append((uri, node.start, node.end, tree.text(node), captures))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=MATCH_COLUMNS)
 
-    return sources.select("uri", "text").mapInArrow(run, SPAN_SCHEMA)
+class Scanned(NamedTuple):
+    """Sources whose atoms have been looked for in one pass."""
+
+    sources: DataFrame
+    matches: DataFrame
+    atoms: list[Atom]
+
+    @property
+    def sparkSession(self):  # noqa: N802
+        return self.sources.sparkSession
+
+
+def scanned(formulas: list[fm.Decorated], sources: DataFrame, language: str, deep: int = matcher.MAX_DEEP_NODES) -> Scanned | DataFrame:
+    """The sources with the matches of all atoms of the formulas as a table, a folder for each atom; sources themselves if there is one atom only."""
+    atoms = list(dict.fromkeys(a for f in formulas for d in f.walk() if (a := atom_of(d.node)) is not None))
+    if len(atoms) < 2 or any(kind is fm.Pattern for kind, _ in atoms) and language not in _trees():
+        return sources
+    return Scanned(sources, materialise(scan(sources, atoms, language, deep), "atoms", "atom"), atoms)
 
 
 def empty(sources: DataFrame) -> DataFrame:
     return sources.sparkSession.createDataFrame([], SPAN_SCHEMA)
 
 
-def lower(d: fm.Decorated, sources: DataFrame, language: str, deep: int = matcher.MAX_DEEP_NODES) -> DataFrame:
+def lower(d: fm.Decorated, sources: DataFrame | Scanned, language: str, deep: int = matcher.MAX_DEEP_NODES) -> DataFrame:
     """sources (uri, text) to the matches of a formula. deep: nodes that one search below a node may visit."""
     node = d.node
-    if isinstance(node, fm.Pattern):
-        if language not in _trees():
+    if (atom := atom_of(node)) is not None:
+        if atom[0] is fm.Pattern and language not in _trees():
             raise fail(dx.UNSUPPORTED_MODE, f"no tree provider for {language}", d.span)
-        out = matcher.match_sources(sources, node.text, language, expression=True, deep=deep).select(*MATCH_COLUMNS)
-    elif isinstance(node, fm.Regex):
-        out = regex_spans(sources, node.pattern)
-    elif isinstance(node, fm.TreeQuery):
-        out = query_spans(sources, node.query, language) if language in _trees() else empty(sources)
+        if isinstance(sources, Scanned):
+            out = sources.matches.filter(F.col("atom") == sources.atoms.index(atom)).select(*MATCH_COLUMNS)
+        else:
+            out = scan(sources, [atom], language, deep).drop("atom")
     elif isinstance(node, fm.And):
         out = _conjunction(node, sources, language, deep)
     elif isinstance(node, fm.Or):

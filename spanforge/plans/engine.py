@@ -83,12 +83,17 @@ class Engine:
         plans = [plans] if isinstance(plans, QueryPlan) else list(plans)
         if not plans:
             raise ValueError("no plans to execute")
-        out = None
+        out, deep = None, self.config.max_deep_search_nodes
+        if any(p.language == "hcl" for p in plans) and not self.config.enable_hcl:
+            raise fail(dx.UNSUPPORTED_MODE, "hcl is not enabled")
+        # all atoms of all plans of a language are looked for in one pass over its files
+        read = {}
+        for language in dict.fromkeys(p.language for p in plans):
+            own = sources.filter(F.col("lang") == language) if "lang" in sources.columns else sources
+            read[language] = lowering.scanned([p.formula for p in plans if p.language == language], own, language, deep)
         for p in plans:
-            if p.language == "hcl" and not self.config.enable_hcl:
-                raise fail(dx.UNSUPPORTED_MODE, "hcl is not enabled")
-            own = sources.filter(F.col("lang") == p.language) if "lang" in sources.columns else sources
-            found = lowering.lower(p.formula, own, p.language, self.config.max_deep_search_nodes).select(*lowering.MATCH_COLUMNS)
+            own = read[p.language]
+            found = lowering.lower(p.formula, own, p.language, deep).select(*lowering.MATCH_COLUMNS)
             found = found.select(F.lit(p.rule_id).alias("rule_id"), F.lit(p.language).alias("language"), *lowering.MATCH_COLUMNS, F.lit(p.message).cast("string").alias("message"), F.lit(p.severity).cast("string").alias("severity"), F.lit(p.formula.fix).cast("string").alias("fix"))
             out = found if out is None else out.unionByName(found)
         if self.config.max_matches_per_rule is not None:

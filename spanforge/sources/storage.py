@@ -18,8 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and reads it back: an iterative plan stays flat, and lost executors lose no part of it."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df once and reads it back: an iterative plan stays flat, and lost executors lose no part of it. by: a column with a folder for each value."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from spanforge.operators import lowering
 from spanforge.plans import formula as fm
+from spanforge.plans.engine import Engine
 
 ATOMS = ["a+", "b", "ab", "c[ab]*", "(?m)^[^\n]*", "a[^\n]*b"]
 atom = st.sampled_from(ATOMS).map(lambda p: fm.bare(fm.Regex(p)))
@@ -54,3 +55,16 @@ def test_lowering_agrees_with_a_plain_evaluator(spark, formula, files):
     src = spark.createDataFrame([(str(k), t) for k, t in enumerate(files)], "uri string, text string")
     got = {(r.uri, r.start_byte, r.end_byte) for r in lowering.lower(formula, src, "prose").collect()}
     assert got == {(str(k), s, e) for k, t in enumerate(files) for s, e in evaluate(formula, t)}
+
+
+def test_all_atoms_in_one_pass(spark):
+    """Plans that share files read them once: one scan of the sources, whatever the number of atoms."""
+    engine = Engine()
+    plans = [engine.compile_dsl(f"r{k}", "prose", f'regex("a{k}") and not regex("b{k}")') for k in range(3)] + [engine.compile_dsl("p", "prose", 'pattern("$A of $B")')]
+    rows = [("u", "a0 a1 b1. one of two"), ("v", "a2"), ("w", None)]
+    sources = spark.createDataFrame(rows, "uri string, text string")
+    together = engine.execute(plans, sources)
+    alone = [r for p in plans for r in lowering.lower(p.formula, sources, "prose").collect()]
+    assert sorted((r.uri, r.start_byte, r.end_byte) for r in together.collect()) == sorted((r.uri, r.start_byte, r.end_byte) for r in alone)
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "atom" in plan
