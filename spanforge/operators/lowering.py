@@ -295,7 +295,7 @@ _COMPARISON = re.compile(r"\s*(?:int\()?(\$[A-Z_][A-Z0-9_]*)\)?\s*(==|!=|<=|>=|<
 def constrain(matches: DataFrame, c: fm.Constraint, sources: DataFrame, language: str) -> DataFrame:
     if isinstance(c, fm.MetavariableRegex):
         name = c.metavariable if c.metavariable.startswith("$") else f"${c.metavariable}"
-        return matches.filter(F.coalesce(capture(name)["text"].rlike(f"^(?:{c.regex})"), F.lit(False)))
+        return matches.filter(_matches(c.regex)(capture(name)["text"]))
     if isinstance(c, fm.MetavariablePattern):
         return _capture_pattern(matches, c, language)
     payload = json.loads(c.payload)
@@ -318,6 +318,17 @@ def constrain(matches: DataFrame, c: fm.Constraint, sources: DataFrame, language
     raise fail(dx.UNSUPPORTED_CONSTRAINT, f"constraint `{key}` can't be executed")
 
 
+def _matches(regex: str):
+    """Whether a text begins with a match, in the dialect of regex atoms and of the checks before anything runs."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts):
+        rx = re.compile(regex)
+        return texts.map(lambda t: t is not None and rx.match(t) is not None)
+
+    return holds
+
+
 def _capture_pattern(matches: DataFrame, c: fm.MetavariablePattern, language: str) -> DataFrame:
     """A capture's own text is parsed and searched; rows without a match go."""
     matcher.compile_pattern(c.pattern, language, True)

@@ -200,13 +200,15 @@ class _Matcher:
         return self.sequence(self.kids(p), self.kids(t), t, found)
 
     def below(self, inner: Compiled, t: Node, found: dict) -> dict | None:
-        sub = _Matcher(inner, self.t)
+        sub = _Matcher(inner, self.t, self.budget)  # one budget, however deep patterns nest
         for n in t.walk():
-            self.budget -= 1
-            if self.budget < 0:
-                return None
+            sub.budget -= 1
+            if sub.budget < 0:
+                break
             if (r := sub.match(inner.root, n, found)) is not None:
+                self.budget = sub.budget
                 return r
+        self.budget = sub.budget
         return None
 
     def sequence(self, ps: list[Node], ts: list[Node], parent: Node, found: dict) -> dict | None:
@@ -252,9 +254,9 @@ def find_all(pattern: Compiled, tree: Tree, deep: int = MAX_DEEP_NODES) -> list[
     return out
 
 
-def find_first(pattern: Compiled, tree: Tree) -> Match | None:
+def find_first(pattern: Compiled, tree: Tree, deep: int = MAX_DEEP_NODES) -> Match | None:
     for n in tree.root.walk():
-        if (found := _Matcher(pattern, tree).match(pattern.root, n, {})) is not None:
+        if (found := _Matcher(pattern, tree, deep).match(pattern.root, n, {})) is not None:
             return Match(n.kind, n.start, n.end, found)
     return None
 
@@ -275,7 +277,7 @@ def match_sources(sources: DataFrame, pattern: str, language: str, first_only: b
             for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist()):
                 tree = parse(text or "", language)
                 starts = tree.line_starts()
-                found = [m for m in [find_first(compiled, tree)] if m] if first_only else find_all(compiled, tree, deep)
+                found = [m for m in [find_first(compiled, tree, deep)] if m] if first_only else find_all(compiled, tree, deep)
                 for m in found:
                     (r0, c0), (r1, c1) = position(starts, m.start), position(starts, m.end)
                     captures = [{"name": f"${k}", "kind": v.kind, "text": v.text, "start_byte": v.start, "end_byte": v.end} for k, v in sorted(m.captures.items())]

@@ -48,7 +48,7 @@ def resolve(manifests: DataFrame, requests: DataFrame, preferred: DataFrame | No
     pairs = pairs.withColumn("__speaks", speaks)
     if preferred is not None:
         p = preferred.select(F.col("language").alias("__pl"), F.col("provider").alias("__pp"))
-        pairs = pairs.join(F.broadcast(p), (F.lower("language") == F.lower("__pl")) & (F.col("__name") == F.col("__pp")), "left").withColumn("__rank", F.when(F.col("__pp").isNotNull(), 0).otherwise(1)).drop("__pl", "__pp")
+        pairs = pairs.join(p, (F.lower("language") == F.lower("__pl")) & (F.col("__name") == F.col("__pp")), "left").withColumn("__rank", F.when(F.col("__pp").isNotNull(), 0).otherwise(1)).drop("__pl", "__pp")
     else:
         pairs = pairs.withColumn("__rank", F.lit(1))
     explicit = F.col("provider").isNotNull()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.jsonl import parse_requests
+from ..sources.jsonl import parse_requests, responses
 
 
 def request_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +16,7 @@ def request_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def serve(requests: DataFrame, handlers: dict[tuple[str, str], Callable[[DataFrame], DataFrame]], checkpoint: str, sink: str):
-    """Runs each batch's requests by their (domain, operation) and appends JSON lines to sink; unhandled ones are answered as not implemented."""
+    """Runs each batch's requests by their (domain, operation) and appends a stream line and an exit line for each to sink; unhandled ones are answered as not implemented."""
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
@@ -28,7 +28,9 @@ def serve(requests: DataFrame, handlers: dict[tuple[str, str], Callable[[DataFra
             out = out.unionByName(handle(df.filter(F.col("error").isNull() & mine)).select("domain", "operation", "data", "status"))
         rest = df.filter(F.col("error").isNull() & ~known)
         out = out.unionByName(rest.select("domain", "operation", F.lit("not yet implemented").alias("data"), F.lit(1).alias("status")))
-        out.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(sink)
+        numbered = out.select(F.monotonically_increasing_id().alias("answer"), "data", "status")
+        lines = responses(numbered).sortWithinPartitions("answer", "ord")  # an answer's lines stay in one partition, one after the other
+        lines.select("value").write.mode("append").text(sink)
         df.unpersist()
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -180,3 +180,15 @@ def test_regex_spans_count_bytes(spark):
     src = spark.createDataFrame([("u", "aé\nbéé x")], "uri string, text string")
     got = lowering.regex_spans(src, "b(é+)").collect()[0]
     assert (got.start_byte, got.end_byte, got.captures[0].start_byte, got.captures[0].end_byte) == (4, 9, 5, 9)
+
+
+def test_constraint_regexes_speak_the_dialect_that_is_checked(spark):
+    """Named groups in Python's spelling pass the check and run."""
+    sources = spark.createDataFrame([("u", "ab12 cd")], "uri string, text string")
+    assert len(run(sources, r'regex("(?P<W>[a-z]+[0-9]*)") where { metavariable-regex("$W", "(?P<x>[a-z])b") }')) == 1
+
+
+def test_first_match_within_a_budget():
+    tree = trees.parse("if a:\n    print(1, 2)\n", "python")
+    compiled = matcher.compile_pattern("if $C: <... print($X, $Y) ...>", "python", True)
+    assert matcher.find_first(compiled, tree) is not None and matcher.find_first(compiled, tree, 1) is None

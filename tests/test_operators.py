@@ -294,8 +294,10 @@ def test_streaming(spark, tmp_path):
     handler = lambda df: df.select("domain", "operation", F.lit("done").alias("data"), F.lit(0).alias("status"))
     q = streaming.serve(streaming.request_stream(spark, str(tmp_path / "in")), {("observe", "grep"): handler}, str(tmp_path / "cp"), str(tmp_path / "out")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = sorted(json.loads(r.value)["data"] for r in spark.read.text(str(tmp_path / "out")).collect())
-    assert got == ["done", "not yet implemented", "unknown domain: no"]
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [x["kind"] for x in lines] == ["stream", "exit"] * 3  # the two lines of an answer follow each other
+    got = sorted((a["data"], b["status"]) for a, b in zip(lines[::2], lines[1::2]))
+    assert got == [("done", 0), ("not yet implemented", 1), ("unknown domain: no", 1)]
     events = spark.createDataFrame([("u", 1, "open", "a"), ("u", 2, "change", "b"), ("v", 1, "open", "c"), ("v", 2, "close", None)], "uri string, version int, kind string, text string")
     assert [(r.uri, r.text) for r in streaming.latest_documents(events).collect()] == [("u", "b")]
     rev = spark.createDataFrame([("u", "h"), ("u", "h"), ("u", "i")], "uri string, content_hash string")
