@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 # Defaults and limits of a slice.
 MAX_CARDS, MAX_EDGES, MAX_TOKENS, DEPTH, MIN_CONFIDENCE, DISCOVERY = 30, 200, 4000, 2, 0.5, 256
 EDGE_TYPES = ("call", "import", "config")
@@ -139,13 +141,16 @@ SCORE_WEIGHTS = {"confidence": 1.0, "fan_in": 0.3, "proximity": 0.5, "cost": -0.
 
 
 def priority_slice(edges: DataFrame, costs: DataFrame, entry: str, request: SliceRequest) -> DataFrame:
-    """Multi-hop slice: (id, depth, score, kept) from an entry symbol, best score first, within depth, cards and tokens.
+    """Multi-hop slice: (id, depth, score, kept) from an entry symbol, best score first, within depth, cards, edges and tokens.
 
-    edges (caller, callee, confidence), costs (id, tokens). One bounded join for each hop; a node keeps the
-    depth at which it is first seen. The node limit cuts each hop's front, so what a hop expands is at most max_cards.
+    edges (caller, callee, confidence, and type, if edges of some types only are wanted), costs (id, tokens). One bounded join for each
+    hop; a node keeps the depth at which it is first seen. A hop goes on from its best max_cards nodes at most, and from
+    no more than max_edges leaves; all other nodes that it reaches are spillover: rows that aren't kept.
     """
     spark = edges.sparkSession
     usable = edges.filter(F.col("confidence") >= request.min_confidence)
+    if "type" in edges.columns:
+        usable = usable.filter(F.col("type").isin(*request.edge_types))
     fans = usable.groupBy("callee").agg(F.count("*").alias("fan_in")).withColumnRenamed("callee", "__fan")
     ends = []
     if request.direction in ("out", "both"):
@@ -153,8 +158,8 @@ def priority_slice(edges: DataFrame, costs: DataFrame, entry: str, request: Slic
     if request.direction in ("in", "both"):
         ends.append(usable.select(F.col("callee").alias("__at"), F.col("caller").alias("id"), "confidence"))
     steps = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
-    seen = {entry: (0, float("inf"))}  # at most depth * max_cards ids that are kept or spilled next
-    front = [entry]
+    seen = {entry: (0, float("inf"))}  # at most depth * max_cards ids
+    front, spills, left = [entry], None, request.max_edges
     for depth in range(1, request.depth + 1):
         at = spark.createDataFrame([(x,) for x in front], "__from string")
         found = steps.join(F.broadcast(at), steps["__at"].cast("string") == at["__from"]).groupBy("id").agg(F.max("confidence").alias("confidence"))
@@ -163,12 +168,13 @@ def priority_slice(edges: DataFrame, costs: DataFrame, entry: str, request: Slic
         tokens = costs.select(F.col("id").alias("__cost"), "tokens")
         found = found.join(tokens, found["id"] == tokens["__cost"], "left")
         score = w["confidence"] * F.col("confidence") + w["fan_in"] * F.log1p(F.coalesce("fan_in", F.lit(0))) + w["proximity"] / depth + w["cost"] * F.coalesce("tokens", F.lit(0))
-        rows = found.filter(~F.col("id").cast("string").isin(list(seen))).select(F.col("id").cast("string").alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(request.max_cards + 1).collect()
-        front = []
-        for r in rows:
-            seen[r["id"]] = (depth, r["score"])
-            front.append(r["id"])
-        front = front[: request.max_cards]
+        new = found.filter(~F.col("id").cast("string").isin(list(seen)))
+        new = materialise(new.select(F.col("id").cast("string").alias("id"), F.lit(depth).alias("depth"), score.alias("score")), "reached")
+        rows = new.orderBy(F.desc("score"), "id").limit(max(0, min(request.max_cards, left))).collect()
+        front = [r["id"] for r in rows]
+        seen |= {r["id"]: (depth, r["score"]) for r in rows}
+        left -= len(front)
+        spills = new if spills is None else spills.unionByName(new)
         if not front:
             break
     out = spark.createDataFrame([(k, d, s) for k, (d, s) in seen.items()], "id string, depth int, score double")
@@ -177,4 +183,8 @@ def priority_slice(edges: DataFrame, costs: DataFrame, entry: str, request: Slic
     order = W.orderBy(F.desc("score"), "depth", "id")
     total = F.sum(F.coalesce("tokens", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0))
     kept = (F.row_number().over(order) <= request.max_cards) & ((total <= request.max_tokens) | (F.col("id") == entry))
-    return out.withColumn("kept", kept).select("id", "depth", "score", "kept")
+    out = out.withColumn("kept", kept).select("id", "depth", "score", "kept")
+    if spills is None:
+        return out
+    first = spills.filter(~F.col("id").isin(list(seen))).groupBy("id").agg(F.min_by(F.struct("depth", "score"), "depth").alias("f"))
+    return out.unionByName(first.select("id", "f.depth", "f.score", F.lit(False).alias("kept")))

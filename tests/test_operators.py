@@ -136,6 +136,14 @@ def test_priority_slice(spark):
     both = slices.SliceRequest("file:///u", 1, 1, depth=1, max_cards=9, max_tokens=25)
     got = {x.id: x.kept for x in slices.priority_slice(edges, costs, "e", both).collect()}
     assert got == {"e": True, "a": True, "b": False, "x": False}
+    # what a hop doesn't go on from is spillover, all of it; edges of other types don't count
+    wide = spark.createDataFrame([("e", f"n{k:02}", 0.9 - k / 100, "call") for k in range(9)] + [("e", "t", 0.95, "config"), ("n00", "m", 0.9, "call"), ("n08", "z", 0.9, "call")], "caller string, callee string, confidence double, type string")
+    few = slices.SliceRequest("file:///u", 1, 1, depth=2, direction="out", max_cards=4, edge_types=("call",))
+    got = {x.id: (x.depth, x.kept) for x in slices.priority_slice(wide, costs, "e", few).collect()}
+    assert got == {"e": (0, True), "m": (2, False)} | {f"n{k:02}": (1, k < 3) for k in range(9)}
+    two = slices.SliceRequest("file:///u", 1, 1, depth=2, direction="out", max_edges=2, edge_types=("call",))
+    got = {x.id: (x.depth, x.kept) for x in slices.priority_slice(wide, costs, "e", two).collect()}
+    assert got == {"e": (0, True), "m": (2, False)} | {f"n{k:02}": (1, k < 2) for k in range(9)}
 
 
 PY = '''import os
