@@ -112,6 +112,32 @@ run AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, k, cum, h, doc_id ROWS
 n AS (SELECT doc_id, h, count(*) AS passes FROM run WHERE total <= (SELECT sum(size) * {BUDGET_SHARE} FROM d) GROUP BY ALL)
 SELECT x.doc_id, x.size, x.source_size, x.target, (coalesce(passes, 0) * x.size)::BIGINT AS taken FROM x LEFT JOIN n ON n.doc_id = x.doc_id"""
 
+#: crc: the table of the byte-wise checksum. v: rows after damage, numbered in order. go: the least (cost, audit, text) of each state
+#: (a: nothing yet, s: after system, u: after user, e: after assistant) after each row; inserts close a layer.
+REPAIR = rf"""
+WITH RECURSIVE bits AS (SELECT range AS b, range AS c, 0 AS i FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE i = 8),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(key) + 1), lambda i: ord(key[i])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds, range(2) AS copies(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+v AS (SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+tally AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+  count_if(before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM v GROUP BY conv_id),
+go AS (SELECT conv_id, 0::BIGINT AS i, {{'k': 0::BIGINT, 'w': '', 't': []::VARCHAR[]}} AS a, NULL::STRUCT(k BIGINT, w VARCHAR, t VARCHAR[]) AS s, {{'k': 3::BIGINT, 'w': 'I', 't': ['user:']}} AS u, {{'k': 6::BIGINT, 'w': 'II', 't': ['user:', 'assistant:']}} AS e FROM tally
+  UNION ALL SELECT conv_id, i, a, s, u2, list_min(list_filter([e1, {{'k': u2.k + 3, 'w': u2.w || 'I', 't': u2.t || ['assistant:']}}], lambda x: x.k IS NOT NULL)) FROM (
+    SELECT conv_id, i, a, s, e1, list_min(list_filter([u1] || list_transform([a, s, e1], lambda x: {{'k': x.k + 3, 'w': x.w || 'I', 't': x.t || ['user:']}}), lambda x: x.k IS NOT NULL)) AS u2 FROM (
+      SELECT go.conv_id, v.i, {{'k': go.a.k + 4, 'w': go.a.w || 'D', 't': go.a.t}} AS a,
+        list_min(list_filter([{{'k': go.s.k + 4, 'w': go.s.w || 'D', 't': go.s.t}}, CASE WHEN fault IN (0, 3) AND c = 's' THEN {{'k': go.a.k + fault, 'w': go.a.w || 'K', 't': go.a.t || [role || ':' || text]}} END], lambda x: x.k IS NOT NULL)) AS s,
+        list_min(list_filter([{{'k': go.u.k + 4, 'w': go.u.w || 'D', 't': go.u.t}}] || list_transform([go.a, go.s, go.e], lambda x: CASE WHEN fault IN (0, 3) THEN {{'k': x.k + fault + CASE WHEN c = 'u' THEN 0 ELSE 3 END, 'w': x.w || CASE WHEN c = 'u' THEN 'K' ELSE 'R' END, 't': x.t || [CASE WHEN c = 'u' THEN role ELSE 'user' END || ':' || text]}} END), lambda x: x.k IS NOT NULL)) AS u1,
+        list_min(list_filter([{{'k': go.e.k + 4, 'w': go.e.w || 'D', 't': go.e.t}}, CASE WHEN fault IN (0, 3) THEN {{'k': go.u.k + fault + CASE WHEN c = 'a' THEN 0 ELSE 3 END, 'w': go.u.w || CASE WHEN c = 'a' THEN 'K' ELSE 'R' END, 't': go.u.t || [CASE WHEN c = 'a' THEN role ELSE 'assistant' END || ':' || text]}} END], lambda x: x.k IS NOT NULL)) AS e1
+      FROM go JOIN v ON v.conv_id IS NOT DISTINCT FROM go.conv_id AND v.i = go.i + 1))),
+best AS (SELECT t.*, least(go.a, go.e) AS x FROM go JOIN tally t ON t.conv_id IS NOT DISTINCT FROM go.conv_id AND go.i = t.n)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(x.k, 0) AS cost, coalesce(x.w, '') AS audit, sha256(coalesce(array_to_string(x.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 SQL = {
     "op1_warc": WARC,
     "op2_packing": PACKING,
@@ -122,4 +148,5 @@ SQL = {
     "op8_suffix_array_dedup": SUFFIX,
     "op9_substring_dedup": SUBSTRING,
     "op10_mixing": MIXING,
+    "op12_structure_repair": REPAIR,
 }

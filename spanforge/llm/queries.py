@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding, masked_lm, minhash, mixing, oracles, packing, quality, substring, suffix_merge, warc
+from . import chat, embedding, masked_lm, minhash, mixing, oracles, packing, quality, repair, substring, suffix_merge, toxicity, warc, whitening
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -68,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
+        "op11_whitening": op11_whitening,
+        "op12_structure_repair": op12_structure_repair,
+        "op13_toxicity": op13_toxicity,
     }
 
 
