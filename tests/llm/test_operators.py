@@ -519,18 +519,17 @@ def test_masked_lm_pieces_keep_their_neighbours(spark, monkeypatch):
     assert all(cut[k] == pytest.approx(whole[k], rel=1e-6) for k in whole)
 
 
-def test_embedding_windows_cross_partitions(spark, monkeypatch):
-    """Each vector is compared with the WINDOW that follow it, over the ends of partitions and runs."""
-    monkeypatch.setattr(embedding, "WINDOW", 3)
-    monkeypatch.setattr(embedding, "SPAN", 4)
+def test_embedding_windows_cross_partitions(spark):
+    """Each vector is compared with the window that follows it, over the ends of partitions and runs."""
     vec = np.array([1.0, 2.0]).tobytes()
     rows = spark.createDataFrame([(0, 2, bytes([k]), k, vec) for k in range(40)], "turn int, dim int, key binary, uid long, vec binary")
-    placed = rows.repartitionByRange(7, "key").sortWithinPartitions("key")
+    placed = rows.drop("vec").repartitionByRange(7, "key").sortWithinPartitions("key")
     spans_of = {}
-    for r in embedding._runs(placed).collect():
+    for r in embedding._runs(placed, rows, 3).collect():
         spans_of.setdefault(r.span, []).append(r.uid)
-    assert all({k, k + j} <= set(spans_of[k // 4]) for k in range(40) for j in range(1, 4) if k + j < 40)
-    links = embedding._runs(placed).mapInArrow(lambda it: embedding._windows(it, 0.95), "a long, b long")
+    each = 3 * embedding.SPAN
+    assert all({k, k + j} <= set(spans_of[k // each]) for k in range(40) for j in range(1, 4) if k + j < 40)
+    links = embedding._runs(placed, rows, 3).mapInArrow(lambda it: embedding._windows(it, 0.95, 3, np.float64), "a long, b long")
     roots = {x.component for x in components.components(links).collect()}
     assert roots == {0}
 
@@ -598,11 +597,35 @@ def test_embedding_recall_at_scale(spark, common_part):
     assert sum(got[k] == got[pairs + k] for k in range(pairs)) >= 0.99 * pairs
 
 
-def test_embedding_passes_grow():
-    none, some = np.zeros(64), np.full(64, np.sqrt(0.5 / 64))
-    assert embedding.passes_for(100, none, 0.95) == embedding.PASSES
-    assert embedding.passes_for(10**8, none, 0.95) > embedding.passes_for(10**6, none, 0.95) > embedding.PASSES
-    assert embedding.passes_for(10**6, some, 0.95) > embedding.passes_for(10**6, none, 0.95)
+@pytest.mark.parametrize("clusters", [4, 40, 400])
+def test_embedding_recall_in_clusters(spark, clusters):
+    """1,000 pairs just over the threshold among 40,000 vectors in dense clusters."""
+    r = np.random.default_rng(clusters)
+    n, pairs, dim = 40_000, 1000, 64
+    centres = r.standard_normal((clusters, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.sqrt(0.9) * centres[np.arange(n) % clusters]
+    off = r.standard_normal((n, dim))
+    x += np.sqrt(0.1) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = r.standard_normal((pairs, dim))
+    step -= (step * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    x[-pairs:] = 0.951 * x[:pairs] + np.sqrt(1 - 0.951**2) * step
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {row.vec_id: row.component_id for row in embedding.embedding_near_duplicates(frame).collect()}
+    assert sum(got[k] == got[n - pairs + k] for k in range(pairs)) >= 0.99 * pairs
+
+
+@pytest.mark.parametrize("shared", [0.98, 0.99, 1.0])
+def test_embedding_one_direction(spark, shared):
+    """Vectors about one direction, copies of one vector among them."""
+    r = np.random.default_rng(2)
+    base = r.standard_normal(16)
+    x = [(base / np.linalg.norm(base) * np.sqrt(shared) + np.sqrt(1 - shared) * v / np.linalg.norm(v)).tolist() for v in r.standard_normal((200, 16))] + [base.tolist()] * 100
+    rows = list(enumerate(x))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(embedding.embedding_near_duplicates(frame).select("vec_id", "n_links", "component_id", "kept").collect(), brute.vectors(rows))
 
 
 @settings(max_examples=60, deadline=None)
