@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import math
 import re
 import uuid
@@ -112,6 +113,26 @@ def word_parts(text: bytes, size: int = 1 << 20):
         at = end
 
 
+#: Columns of documents that operators work with; any other column of the caller is out of their sight.
+_OWN = frozenset({"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def keeping_columns(operator):
+    """An operator from documents to documents, for callers with further columns of any name: these travel in one struct and come back as they were."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        own = [c for c in docs.columns if c.lower() in _OWN]
+        rest = {c: f"c{k}" for k, c in enumerate(docs.columns) if c.lower() not in _OWN}
+        if not rest:
+            return operator(docs, *args, **kw)
+        packed = F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in rest.items()))
+        out = operator(docs.select(*own, packed.alias("__rest")), *args, **kw)
+        return out.select(*(F.col("__rest")[rest[c]].alias(c) if c in rest else F.col(c) for c in docs.columns))
+
+    return run
+
+
 def pieces(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 

@@ -599,6 +599,7 @@ def near_duplicate_digest(docs: DataFrame, size: int = 2, percent: int = 80) ->
     return near_duplicates(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@common.keeping_columns
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group; of rows that share the smallest id one stays."""
     names = docs.columns

@@ -12,8 +12,8 @@ and cut where the words taken reach the budget. So every source is served in pro
 target, and ends within a document of it.
 
 Rules for odd input: a null or wordless text has size 0 and is never taken; null sources are
-one source; rows with equal ids are documents of their own; very long texts are only counted, in the JVM; columns that
-clash with names used here are kept as they are, as all of these begin with two underscores; an empty table gives an empty
+one source; rows with equal ids are documents of their own; very long texts are only counted, in the JVM; further columns
+of the caller travel in one struct, whatever their names; an empty table gives an empty
 result. Ties in finish time are broken by source, pass, hash and id, so reruns agree.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, unique_ids
+from .common import WORD_PATTERN, keeping_columns, materialise, unique_ids
 from .running import running_total, same
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -87,6 +87,7 @@ def mix_counts(docs: DataFrame, **kw) -> DataFrame:
     return mix(sizes, **kw).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
 
 
+@keeping_columns
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
     names = docs.columns

@@ -178,6 +178,7 @@ def cut_lines(text: str, gone) -> str:
     return b"\n".join(x for x in text.encode().split(b"\n") if line_hash(x) not in gone).decode()
 
 
+@common.keeping_columns
 def quality_filter(docs: DataFrame) -> DataFrame:
     """docs that pass, without their frequent lines (n_chars, where there is one, brought up to date)."""
     names = docs.columns

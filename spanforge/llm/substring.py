@@ -294,6 +294,7 @@ def cut_words(text: bytes, gone: np.ndarray) -> bytes:
     return buf[keep].tobytes()
 
 
+@common.keeping_columns
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with removed words cut out of text (and n_chars, where there is one, brought up to date)."""
     names = docs.columns

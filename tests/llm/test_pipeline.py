@@ -65,18 +65,21 @@ def test_odd_inputs_end_to_end(spark, small, tmp_path):
     """Nulls in any column, empty and long texts, repeated ids and rows, columns with clashing names, an empty table."""
     text = " ".join(f"word{k}" for k in range(40))
     schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, __x int, n_words string, passes string"
+    clashing = ["__rk", "__id", "__key", "__gone", "__t", "__n", "__RANK", "Row", "size", "__rest", "a.b", "kept", "__spans"]
+    clash = [f"own {c}" for c in clashing]
+    schema += "".join(f", `{c}` string" for c in clashing)
     rows = [(k, f"{text} own {k} " + " ".join(f"d{k}x{j}" for j in range(60)), "en", ["a", "b", None][k % 3], 9) for k in range(12)]
     rows += [(20, None, None, None, None), (21, "", "en", "a", 0), (None, rows[0][1], None, "a", None), (None, None, None, None, None), rows[3], rows[3], (3, rows[5][1] + " tail", "en", "b", 1)]
     rows += [(30, " ".join(f"long{k}" for k in range(40_000)), "en", "a", 1), (31, "\n \t", "en", "a", 1)]
     for name, part in (("odd", rows), ("none", [])):
-        spark.createDataFrame([(*r, "clash", 1, "clash", "clash") for r in part], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(*r, "clash", 1, "clash", "clash", *clash) for r in part], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
     for k, (_, f) in enumerate(corpus_pipeline.STAGES[:-1]):
         docs = spark.createDataFrame(f(spark, docs, small).collect(), schema)
         if k == 0:
             texts = [(r[0], r[1], r[3]) for r in rows]
             assert {r.doc_id for r in docs.collect()} == {w[0] for w in brute.quality(texts) if w[-1]}
-        assert all(r.component_id == "clash" and r.passes == "clash" for r in docs.collect())
+        assert all(r.component_id == "clash" and r.passes == "clash" and list(r)[9:] == clash for r in docs.collect())
     out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in docs.collect()) and any(r.doc_id == 30 for r in out)
     assert all(r.n_tokens <= r.padded_tokens for r in out)
