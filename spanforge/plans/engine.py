@@ -73,6 +73,11 @@ class Engine:
         check_regexes(formula)
         return QueryPlan(rule_id, language, formula)
 
+    def executable(self, plans: list[QueryPlan]) -> None:
+        """Raises if this engine's configuration doesn't run one of the plans."""
+        if any(p.language == "hcl" for p in plans) and not self.config.enable_hcl:
+            raise fail(dx.UNSUPPORTED_MODE, "hcl is not enabled")
+
     def execute(self, plans: list[QueryPlan] | QueryPlan, sources: DataFrame) -> DataFrame:
         """sources (uri, text, and lang if plans of several languages meet) to matches.
 
@@ -84,8 +89,7 @@ class Engine:
         if not plans:
             raise ValueError("no plans to execute")
         out, deep = None, self.config.max_deep_search_nodes
-        if any(p.language == "hcl" for p in plans) and not self.config.enable_hcl:
-            raise fail(dx.UNSUPPORTED_MODE, "hcl is not enabled")
+        self.executable(plans)
         # all atoms of all plans of a language are looked for in one pass over its files
         read = {}
         for language in dict.fromkeys(p.language for p in plans):

@@ -402,4 +402,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formula_and_not_inside(spark, sf_dir)
 
 
-from . import history_queries, source_queries  # noqa: E402, F401  (these register their queries)
+from . import history_queries, rule_queries, source_queries  # noqa: E402, F401  (these register their queries)
