@@ -118,6 +118,25 @@ def _walk(edges: DataFrame, roots: DataFrame, depth: int, down: bool) -> DataFra
     return out
 
 
+def path_edges(edges: DataFrame, roots: DataFrame, depth: int, down: bool) -> DataFrame:
+    """caller, callee, depth, paths: in how many ways an edge is crossed at each hop, over all ways from the roots (id).
+
+    Nothing is marked as seen: a diamond counts its lower edges twice, a cycle is gone round until depth ends. Equal edges are ways of their own. A hop carries
+    one number for each symbol, summed before the shuffle, not the ways themselves.
+    """
+    near, far = ("caller", "callee") if down else ("callee", "caller")
+    ways = edges.groupBy("caller", "callee").agg(F.count("*").alias("times"))
+    front, out = roots.select(F.col("id").alias("__at")).distinct().withColumn("__n", F.lit(1).cast("decimal(38,0)")), None
+    for hop in range(1, depth + 1):
+        crossed = ways.join(front, ways[near] == front["__at"]).select("caller", "callee", F.lit(hop).alias("depth"), (F.col("times").cast("decimal(18,0)") * F.col("__n")).cast("decimal(38,0)").alias("paths"))
+        crossed = materialise(crossed, "paths")
+        out = crossed if out is None else out.unionByName(crossed)
+        front = crossed.groupBy(F.col(far).alias("__at")).agg(F.sum("paths").cast("decimal(38,0)").alias("__n"))
+    if out is None:
+        out = edges.select("caller", "callee").limit(0).withColumns({"depth": F.lit(0), "paths": F.lit(0).cast("decimal(38,0)")})
+    return out
+
+
 def callers_graph(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Callers of callers of roots (id), up to depth hops."""
     return _walk(edges, roots, depth, False)

@@ -165,12 +165,17 @@ class Scanned(NamedTuple):
         return self.sources.sparkSession
 
 
+#: Folders that the matches of a scan are dealt to, so that many rules don't make many small files.
+FOLDERS = 32
+
+
 def scanned(formulas: list[fm.Decorated], sources: DataFrame, language: str, deep: int = matcher.MAX_DEEP_NODES) -> Scanned | DataFrame:
-    """The sources with the matches of all atoms of the formulas as a table, a folder for each atom; sources themselves if there is one atom only."""
+    """The sources with the matches of all atoms of the formulas as a table, dealt to FOLDERS folders by atom; sources themselves if there is one atom only."""
     atoms = list(dict.fromkeys(a for f in formulas for d in f.walk() if (a := atom_of(d.node)) is not None))
     if len(atoms) < 2 or any(kind is fm.Pattern for kind, _ in atoms) and language not in _trees():
         return sources
-    return Scanned(sources, materialise(scan(sources, atoms, language, deep), "atoms", "atom"), atoms)
+    found = scan(sources, atoms, language, deep).withColumn("folder", F.pmod("atom", F.lit(FOLDERS)))
+    return Scanned(sources, materialise(found, "atoms", "folder"), atoms)
 
 
 def empty(sources: DataFrame) -> DataFrame:
@@ -184,7 +189,8 @@ def lower(d: fm.Decorated, sources: DataFrame | Scanned, language: str, deep: in
         if atom[0] is fm.Pattern and language not in _trees():
             raise fail(dx.UNSUPPORTED_MODE, f"no tree provider for {language}", d.span)
         if isinstance(sources, Scanned):
-            out = sources.matches.filter(F.col("atom") == sources.atoms.index(atom)).select(*MATCH_COLUMNS)
+            k = sources.atoms.index(atom)
+            out = sources.matches.filter((F.col("folder") == k % FOLDERS) & (F.col("atom") == k)).select(*MATCH_COLUMNS)
         else:
             out = scan(sources, [atom], language, deep).drop("atom")
     elif isinstance(node, fm.And):
@@ -350,9 +356,26 @@ def focus(matches: DataFrame, names: list[str]) -> DataFrame:
 
 
 def cap(matches: DataFrame, most: int, partition: str = "rule_id") -> DataFrame:
-    """The first matches of each rule, by uri and span."""
-    order = W.partitionBy(partition).orderBy("uri", "start_byte", "end_byte")
-    return matches.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= most).drop("__rn")
+    """The first matches of each rule, by uri and span.
+
+    Matches are written once and counted. Only rules with more than most are sorted, over all tasks; whole partitions
+    are kept up to the one in which a rule's last match lies, and in that one alone rows are ranked.
+    """
+    found = materialise(matches, "matches")
+    over = found.groupBy(partition).count().filter(F.col("count") > most).select(F.col(partition).alias("__over"))
+    over = materialise(over, "over")
+    if not over.limit(1).count():
+        return found
+    order = ["uri", "start_byte", "end_byte"]
+    many = found.join(over, F.col(partition) == F.col("__over"), "left_semi").repartitionByRange(partition, *order)
+    many = materialise(many.withColumn("__part", F.spark_partition_id()), "ranged")
+    sizes = many.groupBy(F.col(partition).alias("__rule"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))  # about a row for each partition and rule
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__rule").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = many.join(sizes.withColumn("__before", before), (F.col(partition) == F.col("__rule")) & (F.col("__part") == F.col("__p"))).filter(F.col("__before") < most)
+    whole = placed.filter(F.col("__before") + F.col("__n") <= most)
+    last = placed.filter(F.col("__before") + F.col("__n") > most).withColumn("__rn", F.row_number().over(W.partitionBy(partition).orderBy(*order))).filter(F.col("__before") + F.col("__rn") <= most)
+    few = found.join(over, F.col(partition) == F.col("__over"), "left_anti")
+    return few.unionByName(whole.select(*found.columns)).unionByName(last.select(*found.columns))
 
 
 def cap_capture_text(matches: DataFrame, most: int) -> DataFrame:

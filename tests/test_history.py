@@ -131,3 +131,28 @@ def test_tables_are_dropped(spark):
 
         assert os.path.exists(path)
     assert not os.path.exists(path) and path not in storage._PATHS
+
+
+def test_paths_are_counted(spark):
+    from spanforge.operators import graph
+
+    edges = [("r", "a"), ("r", "b"), ("a", "z"), ("b", "z"), ("z", "y"), ("y", "z"), ("a", "z")]
+    found = graph.path_edges(spark.createDataFrame(edges, CALLS), spark.createDataFrame([("r",), ("r",)], "id string"), 5, True).collect()
+    got = {(x.caller, x.callee, x.depth): int(x.paths) for x in found}
+    assert got["r", "a", 1] == 1 and got["a", "z", 2] == 2 and got["b", "z", 2] == 1 and got["z", "y", 3] == 3 and got["y", "z", 4] == 3 and got["z", "y", 5] == 3
+    up = graph.path_edges(spark.createDataFrame(edges, CALLS), spark.createDataFrame([("y",)], "id string"), 3, False).collect()
+    assert {(x.caller, x.callee): int(x.paths) for x in up if x.depth == 3} == {("r", "a"): 2, ("r", "b"): 1, ("z", "y"): 1}
+    assert graph.path_edges(spark.createDataFrame(edges, CALLS), spark.createDataFrame([("y",)], "id string"), 0, False).count() == 0
+
+
+def test_cap_sorts_only_rules_beyond_it(spark):
+    from spanforge.operators import lowering
+
+    rows = [(rule, f"u{k % 7}", k, k + 1) for rule, n in (("big", 500), ("small", 5), ("even", 20)) for k in range(n)]
+    df = spark.createDataFrame(rows, "rule_id string, uri string, start_byte long, end_byte long").repartition(5)
+    capped = lowering.cap(df, 20)
+    want = [r for rule in ("big", "small", "even") for r in sorted(x for x in rows if x[0] == rule)[:20]]
+    assert sorted(map(tuple, capped.collect())) == sorted(want)
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert sorted(map(tuple, lowering.cap(df, 500).collect())) == sorted(rows)
