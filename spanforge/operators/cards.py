@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.files import spread
 from ..sources.trees import Node, Tree, parse, position
 from .slices import DETAIL
 from .spans import innermost
@@ -295,7 +296,7 @@ def entities(sources: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _ENTITY_KINDS)], names=_ENTITY_NAMES)
 
-    return sources.select("uri", "lang", "text").mapInArrow(run, ENTITY_SCHEMA)
+    return spread(sources.select("uri", "lang", "text")).mapInArrow(run, ENTITY_SCHEMA)
 
 
 def symbol_id() -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..plans import diagnostics as dx
 from ..plans import formula as fm
 from ..plans.diagnostics import fail
+from ..sources.files import spread
 from ..sources.storage import materialise
 from ..sources.trees import parse
 from . import matcher, spans, tree_query
@@ -121,7 +122,8 @@ def scan(sources: DataFrame, atoms: list[Atom], language: str, deep: int = match
                 out.append(tree_query.compile_query(text) if language in _trees() else None)
         return out
 
-    compile_all()
+    # texts without the words of any atom are not read at all, those of an atom's not searched for it
+    needs = [matcher.literals(c) if kind is fm.Pattern else [] for (kind, _), c in zip(atoms, compile_all())]
     trees_wanted = any(kind is not fm.Regex for kind, _ in atoms) and language in _trees()
 
     def run(batches):
@@ -129,8 +131,12 @@ def scan(sources: DataFrame, atoms: list[Atom], language: str, deep: int = match
         for batch in batches:
             rows = []
             for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist()):
-                tree = parse(text or "", language) if trees_wanted else None
+                told = [all(w in (text or "") for w in words) for words in needs]
+                wanted = trees_wanted and any(t and kind is not fm.Regex for t, (kind, _) in zip(told, atoms))
+                tree = parse(text or "", language) if wanted else None
                 for k, ((kind, _), c) in enumerate(zip(atoms, compiled)):
+                    if not told[k]:
+                        continue
                     if kind is fm.Regex:
                         found = _regex_rows(c, uri, text) if text is not None else ()
                     elif kind is fm.Pattern:
@@ -141,7 +147,8 @@ def scan(sources: DataFrame, atoms: list[Atom], language: str, deep: int = match
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*_KINDS, pa.int32()])], names=[*MATCH_COLUMNS, "atom"])
 
-    return sources.select("uri", "text").mapInArrow(run, f"{SPAN_SCHEMA}, atom int")
+    read = matcher.holding(sources.select("uri", "text"), needs)
+    return (spread(read) if trees_wanted else read).mapInArrow(run, f"{SPAN_SCHEMA}, atom int")
 
 
 def regex_spans(sources: DataFrame, pattern: str) -> DataFrame:

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans import diagnostics as dx
 from ..plans.diagnostics import fail
+from ..sources.files import spread
 from ..sources.trees import Node, Tree, parse, position
 
 _MARK = "__SPAN_METAVAR_"
@@ -77,6 +80,12 @@ class Compiled:
     variables: dict[str, Metavariable]
     deep: dict[str, Compiled]
     extended: bool
+    #: What each of the pattern's own nodes stands for, once asked.
+    stands: dict[int, tuple | None] = field(default_factory=dict, compare=False, repr=False)
+
+    @cached_property
+    def needs(self) -> list[str]:
+        return literals(self)
 
     def names(self) -> list[str]:
         return [v.name for v in self.variables.values() if v.name not in ("_", "")] + [n for d in self.deep.values() for n in d.names()]
@@ -160,6 +169,12 @@ class _Matcher:
 
     def variable(self, node: Node) -> tuple[str, Metavariable] | None:
         """The metavariable a pattern node stands for, also when it is the node's only named child."""
+        known = self.p.stands
+        if id(node) not in known:
+            known[id(node)] = self._variable(node)
+        return known[id(node)]
+
+    def _variable(self, node: Node) -> tuple[str, Metavariable] | None:
         while True:
             m = _PLACEHOLDER.match(self.p.tree.text(node)) if not node.children else None
             if m:
@@ -241,6 +256,37 @@ class _Matcher:
         return go(0, 0, found)
 
 
+def literals(pattern: Compiled) -> list[str]:
+    """Words that a text must hold for the pattern to match in it: leaves are compared as they are, so any that isn't under a metavariable is one."""
+    found, own = set(), _Matcher(pattern, pattern.tree)
+
+    def go(node: Node) -> None:
+        if v := own.variable(node):
+            if v[0] in pattern.deep:
+                found.update(literals(pattern.deep[v[0]]))
+        elif node.children:
+            for c in own.kids(node):
+                go(c)
+        elif node.kind not in _COMMENTS and re.fullmatch(r"[^\W\d]\w+", text := pattern.tree.text(node)):
+            found.add(text)
+
+    go(pattern.root)
+    return sorted(found)
+
+
+def holding(sources: DataFrame, needs: list[list[str]]) -> DataFrame:
+    """The sources that hold all words of one of the lists at least: the others needn't be parsed. An empty list is held by all."""
+    if not all(needs):
+        return sources
+    cond = F.lit(False)
+    for words in needs:
+        one = F.lit(True)
+        for w in words:
+            one = one & F.contains("text", F.lit(w))
+        cond = cond | one
+    return sources.filter(cond)
+
+
 def find_all(pattern: Compiled, tree: Tree, deep: int = MAX_DEEP_NODES) -> list[Match]:
     """Every match in pre-order, nested ones too."""
     var = _Matcher(pattern, tree).variable(pattern.root)
@@ -268,7 +314,7 @@ _MATCH_KINDS = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 6, pa.lis
 
 def match_sources(sources: DataFrame, pattern: str, language: str, first_only: bool = False, expression: bool = False, deep: int = MAX_DEEP_NODES) -> DataFrame:
     """sources (uri, text) to matches, 1-based positions, captures sorted by name."""
-    compile_pattern(pattern, language, expression)  # errors belong to the driver
+    needs = [literals(compile_pattern(pattern, language, expression))]  # errors belong to the driver
 
     def run(batches):
         compiled = compile_pattern(pattern, language, expression)
@@ -285,4 +331,4 @@ def match_sources(sources: DataFrame, pattern: str, language: str, first_only: b
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _MATCH_KINDS)], names=[x.split()[0] for x in MATCH_SCHEMA.split(", ", 9)])
 
-    return sources.select("uri", "text").mapInArrow(run, MATCH_SCHEMA)
+    return spread(holding(sources.select("uri", "text"), needs)).mapInArrow(run, MATCH_SCHEMA)

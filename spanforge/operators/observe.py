@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_offset, language_of
+from ..sources.storage import materialise
 from . import cards, slices
 from .slices import SliceRequest
 
@@ -21,8 +22,15 @@ def _located(sources: DataFrame, requests: DataFrame) -> DataFrame:
     return j.withColumn("lang", language_of("uri")).withColumn("at", at.cast("long")).drop("text")
 
 
-def _with_language(sources: DataFrame) -> DataFrame:
-    return sources.select("uri", language_of("uri").alias("lang"), "text")
+def _asked(sources: DataFrame, requests: DataFrame) -> DataFrame:
+    """The sources that a request is about, with their language: no other file is parsed."""
+    uris = requests.select(F.col("uri").alias("__asked")).distinct()
+    return sources.join(uris, sources["uri"] == uris["__asked"], "left_semi").select("uri", language_of("uri").alias("lang"), "text")
+
+
+def _entities(sources: DataFrame, requests: DataFrame) -> DataFrame:
+    """The entities of these sources, written, as several parts of an answer read them."""
+    return materialise(cards.entities(_asked(sources, requests)), "entities")
 
 
 def _entries(sources: DataFrame, requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +46,7 @@ def _entries(sources: DataFrame, requests: DataFrame, found: DataFrame) -> tuple
 
 def get_card(sources: DataFrame, requests: DataFrame, detail: str = "structure") -> DataFrame:
     """request_id, status (success or refusal), reason, card."""
-    found = cards.entities(_with_language(sources))
+    found = _entities(sources, requests)
     hit, refused = _entries(sources, requests, found)
     card = cards.cards(hit.drop("at"), detail)
     keyed = hit.select("request_id", cards.symbol_id().alias("__symbol"))
@@ -52,7 +60,7 @@ def graph_slice(sources: DataFrame, requests: DataFrame, request: SliceRequest)
 
     Siblings are the entities that the first non-blank lines of the file lie in.
     """
-    found = cards.entities(_with_language(sources))
+    found = _entities(sources, requests)
     hit, refused = _entries(sources, requests, found)
     lines = slices.discovery_lines(sources).select("uri", (F.col("line") - 1).alias("__line"), "capped")
     own = found.filter("kind <> 'Module'").withColumn("symbol_id", cards.symbol_id())

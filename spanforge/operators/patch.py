@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from ..sources.trees import PROVIDERS, parse, position
 
 # The marker lines of a patch.
@@ -249,7 +250,7 @@ def syntactic_lock(sources: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["uri", "line", "column", "kind", "context"])
 
-    return sources.select("uri", "language", "text").mapInArrow(run, "uri string, line long, column long, kind string, context string")
+    return spread(sources.select("uri", "language", "text")).mapInArrow(run, "uri string, line long, column long, kind string, context string")
 
 
 def verified_commit(changes: DataFrame, baseline: DataFrame | None, updated: DataFrame | None, path: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..plans import diagnostics as dx
 from ..plans.diagnostics import fail
+from ..sources.files import spread
 from ..sources.trees import parse
 from . import matcher
 
@@ -52,6 +53,8 @@ def substitute(template: str, captures: dict[str, str]) -> str:
 
 def rewrite_text(text: str, compiled: matcher.Compiled, replacement: str) -> tuple[str, int]:
     """The new text and the number of matches; of nested matches only the outermost is replaced."""
+    if not all(w in text for w in compiled.needs):
+        return text, 0
     tree = parse(text, compiled.language)
     found = matcher.find_all(compiled, tree)
     raw, out, at = tree.source, [], 0
@@ -82,4 +85,4 @@ def apply_all(sources: DataFrame, rules: list[RewriteRule]) -> DataFrame:
                 changed.append(text != (old or ""))
             yield pa.RecordBatch.from_arrays([batch.column("uri"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(changed, pa.bool_())], names=["uri", "text", "replacements", "changed"])
 
-    return sources.select("uri", "text").mapInArrow(run, "uri string, text string, replacements long, changed boolean")
+    return spread(sources.select("uri", "text")).mapInArrow(run, "uri string, text string, replacements long, changed boolean")

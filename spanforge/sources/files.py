@@ -27,3 +27,12 @@ def read_sources(spark: SparkSession, *uris: str, pattern: str | None = None) ->
 def write_sources(df: DataFrame, path: str) -> None:
     """Contents as a table; the write is atomic as a whole through Spark's commit protocol."""
     df.select("uri", "text").write.mode("errorifexists").parquet(path)
+
+
+def spread(sources: DataFrame, by: str = "uri") -> DataFrame:
+    """sources over all cores, for parsing: dealt anew by their uri if they come from fewer files than there are cores, as they are otherwise."""
+    spark = sources.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(sources.inputFiles()) >= cores:
+        return sources
+    return sources.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), by)

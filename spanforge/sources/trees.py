@@ -20,6 +20,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .files import spread
+
 
 @dataclass
 class Node:
@@ -475,4 +477,4 @@ def nodes(sources: DataFrame, language: str, kinds: tuple[str, ...] | None = Non
             if held[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, _NODE_KINDS[k]) for c, k in zip(held, at)], names=wanted)
 
-    return sources.select("uri", "text").mapInArrow(run, schema)
+    return spread(sources.select("uri", "text")).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from spanforge.operators import lowering
 from spanforge.plans import formula as fm
-from spanforge.plans.engine import Engine
+from spanforge.plans.engine import Engine, EngineConfig
 
 ATOMS = ["a+", "b", "ab", "c[ab]*", "(?m)^[^\n]*", "a[^\n]*b"]
 atom = st.sampled_from(ATOMS).map(lambda p: fm.bare(fm.Regex(p)))
@@ -66,5 +66,20 @@ def test_all_atoms_in_one_pass(spark):
     together = engine.execute(plans, sources)
     alone = [r for p in plans for r in lowering.lower(p.formula, sources, "prose").collect()]
     assert sorted((r.uri, r.start_byte, r.end_byte) for r in together.collect()) == sorted((r.uri, r.start_byte, r.end_byte) for r in alone)
-    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in together._jdf.queryExecution().executedPlan().toString()
+    plan = Engine(EngineConfig(max_matches_per_rule=None)).execute(plans, sources)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "atom" in plan
+
+
+def test_files_without_a_patterns_words_are_not_read(spark):
+    """The words are looked for by a filter before any Python; results are the same."""
+    from spanforge.operators import matcher
+
+    compiled = matcher.compile_pattern("use($X, make(1), $$$R)", "python")
+    assert compiled.needs == ["make", "use"] and matcher.compile_pattern("$X", "python").needs == []
+    rows = [(f"f{k}.py", ["use(a, make(1), b)\n", "use(a)\n", "x = 1\n", None, "# use make\n", "use(a, make( 1 ))\n"][k % 6]) for k in range(60)]
+    sources = spark.createDataFrame(rows, "uri string, text string")
+    found = matcher.match_sources(sources, "use($X, make(1), $$$R)", "python")
+    assert sorted(r.uri for r in found.collect()) == sorted(u for k, (u, _) in enumerate(rows) if k % 6 in (0, 5))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Contains")
