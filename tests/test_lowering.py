@@ -77,7 +77,7 @@ def test_files_without_a_patterns_words_are_not_read(spark):
 
     compiled = matcher.compile_pattern("use($X, make(1), $$$R)", "python")
     assert compiled.needs == ["make", "use"] and matcher.compile_pattern("$X", "python").needs == []
-    rows = [(f"f{k}.py", ["use(a, make(1), b)\n", "use(a)\n", "x = 1\n", None, "# use make\n", "use(a, make( 1 ))\n"][k % 6]) for k in range(60)]
+    rows = [(f"f{k}.py", ["use(a, make(1), b)\n", "use(a)\n", "x = 1\n", None, "# use make\n", "use(a, make( 1 ), c, d)\n"][k % 6]) for k in range(60)]
     sources = spark.createDataFrame(rows, "uri string, text string")
     found = matcher.match_sources(sources, "use($X, make(1), $$$R)", "python")
     assert sorted(r.uri for r in found.collect()) == sorted(u for k, (u, _) in enumerate(rows) if k % 6 in (0, 5))
