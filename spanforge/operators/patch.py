@@ -143,33 +143,37 @@ def operations(spark, patch: str) -> DataFrame:
     return spark.createDataFrame(list(rows.values()), _OPERATION)
 
 
+_APPLIED = "patch_id string, uri string, op string, text string, error string"
+
+
+def _applied(batches):
+    """Operations beside the file that they name."""
+    for batch in batches:
+        rows = []
+        for key, path, op, content, blocks, found, old in zip(*(c.to_pylist() for c in batch.columns)):
+            new, error = None, None
+            if op == "create":
+                new, error = (None, "file exists") if found else (content, None)
+            elif not found:
+                error = "file not found"
+            elif op == "modify":
+                try:
+                    new = apply_blocks(old or "", [(x["search"], x["replace"]) for x in blocks])
+                except PatchError as e:
+                    error = str(e)
+            rows.append((key, path, op, new, error))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["patch_id", "uri", "op", "text", "error"])
+
+
 def apply_operations(sources: DataFrame, ops: DataFrame) -> DataFrame:
     """sources (uri, text) and one operation a path to uri, op, text (null: deleted), error.
 
     A file that a modify or delete names must exist, one that a create names must not.
     """
     files = sources.select("uri", "text")
-    joined = ops.join(files, ops["path"] == files["uri"], "left").select("path", "op", "content", "blocks", F.col("uri").isNotNull().alias("found"), "text")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, op, content, blocks, found, text in zip(*(c.to_pylist() for c in batch.columns)):
-                new, error = None, None
-                if op == "create":
-                    new, error = (None, "file exists") if found else (content, None)
-                elif not found:
-                    error = "file not found"
-                elif op == "modify":
-                    try:
-                        new = apply_blocks(text or "", [(x["search"], x["replace"]) for x in blocks])
-                    except PatchError as e:
-                        error = str(e)
-                rows.append((path, op, new, error))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["uri", "op", "text", "error"])
-
-    return joined.mapInArrow(run, "uri string, op string, text string, error string")
+    joined = ops.join(files, ops["path"] == files["uri"], "left").select(F.lit("").alias("patch_id"), "path", "op", "content", "blocks", F.col("uri").isNotNull().alias("found"), F.col("text").alias("old"))
+    return joined.mapInArrow(_applied, _APPLIED).drop("patch_id")
 
 
 def apply_patch(sources: DataFrame, patch: str) -> DataFrame:
@@ -268,3 +272,39 @@ def verified_commit(changes: DataFrame, baseline: DataFrame | None, updated: Dat
         return "semantic_failure"
     changes.write.mode("errorifexists").parquet(path)
     return "committed"
+
+
+# -- many patches ----------------------------------------------------------------------
+
+_PARSED = "patch_id string, path string, op string, content string, blocks array<struct<search:string,replace:string>>, error string"
+
+
+def parse_patches(patches: DataFrame) -> DataFrame:
+    """patches (patch_id, text) to their operations, a row each; a patch that can't be read is one row with an error. Of several operations for a path the last one counts."""
+    block = pa.struct([("search", pa.string()), ("replace", pa.string())])
+    kinds = [pa.string()] * 4 + [pa.list_(block), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column("patch_id").to_pylist(), batch.column("text").to_pylist()):
+                try:
+                    found = {o.path: o for o in parse_patch(text or "")}
+                    rows += [(key, o.path, o.op, o.content, [{"search": s, "replace": r} for s, r in o.blocks], None) for o in found.values()]
+                except PatchError as e:
+                    rows.append((key, None, None, None, None, str(e)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["patch_id", "path", "op", "content", "blocks", "error"])
+
+    return patches.select(F.col("patch_id").cast("string").alias("patch_id"), "text").mapInArrow(run, _PARSED)
+
+
+def apply_patches(sources: DataFrame, patches: DataFrame) -> DataFrame:
+    """Each patch (patch_id, text) applied by itself to sources (uri, text): patch_id, uri, op, text, error; an unreadable one gives its error without a uri."""
+    parsed = parse_patches(patches)
+    ops = parsed.filter("error is null")
+    files = sources.select("uri", F.col("text").alias("old"))
+    joined = ops.join(files, ops["path"] == files["uri"], "left").select("patch_id", "path", "op", "content", "blocks", F.col("uri").isNotNull().alias("found"), "old")
+    done = joined.mapInArrow(_applied, _APPLIED)
+    nothing = F.lit(None).cast("string")
+    return done.unionByName(parsed.filter("error is not null").select("patch_id", nothing.alias("uri"), nothing.alias("op"), nothing.alias("text"), "error"))

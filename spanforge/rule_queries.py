@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import patch
 from .plans.checks import check_rule_files
 from .queries import _t, query
 
@@ -112,3 +113,50 @@ def rule_file_checks(spark, sf_dir):
     text = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
     versions = F.concat("min_version", F.lit("-"), "max_version")
     return found.select("uri", "n_plans", F.coalesce("kind", F.lit("")).alias("kind"), text("atoms"), text("constraints"), F.coalesce("fix", F.lit("")).alias("fix"), F.coalesce("bound_as", versions, F.lit("")).alias("more"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("start_byte", F.lit(-1)).cast("long").alias("start_byte"), F.coalesce("end_byte", F.lit(-1)).cast("long").alias("end_byte"))
+
+
+# -- patches as text -----------------------------------------------------------------------------------
+
+_DIFF, _S, _M, _R = "diff --git a/f@K.py b/f@K.py\n", "<<<<<<< SEARCH\n", "=======\n", ">>>>>>> REPLACE\n"
+#: (patch, then for each of its operations in order of path: path, operation, new text) or (patch, error). Files f@K.py hold "one @K\ntwo\nthree\n"; g@K.py doesn't exist.
+PATCHES = [
+    (_DIFF + _S + "one @K\n" + _M + "ONE @K\n" + _R, ("f@K.py", "modify", "ONE @K\ntwo\nthree\n", "")),
+    (_DIFF + _S + "one @K\n" + _M + "two\n" + _R + _S + "two\n" + _M + "2\n2\n" + _R, ("f@K.py", "modify", "two\n2\n2\nthree\n", "")),
+    ("diff --git a/new/g@K.py b/new/g@K.py\nnew file mode 100644\n--- /dev/null\n+++ b/new/g@K.py\n@@ -0,0 +1,2 @@\n+a @K\n+b\n" + _DIFF + "deleted file mode 100644\n", ("f@K.py", "delete", "", ""), ("new/g@K.py", "create", "a @K\nb\n", "")),
+    (_DIFF + "new file mode 100644\n@@ -0,0 +1 @@\n+x\n", ("f@K.py", "create", "", "file exists")),
+    ('diff --git "a/f@K.py" "b/f@K.py"\n' + _S + "  two  \n" + _M + _R, ("f@K.py", "modify", "", "search block 1 not found")),
+    (_DIFF + _S + "  three\n" + _M + "3\n" + _R, ("f@K.py", "modify", "one @K\ntwo\n3\n", "")),
+    ("diff --git a/g@K.py b/g@K.py\n" + _S + "one\n" + _M + "1\n" + _R, ("g@K.py", "modify", "", "file not found")),
+    (_DIFF + _S + "one @K\n" + _M + "1\n", "f@K.py: unclosed REPLACE block"),
+    (_DIFF + _S + "one @K\n", "f@K.py: unclosed SEARCH block"),
+    (_DIFF + "index 1..2\n", "f@K.py: no SEARCH block"),
+    (_DIFF + "new file mode 100644\n", "f@K.py: a new file needs a hunk"),
+    ("just words @K\n", "a patch starts with `diff --git`"),
+    ("", "empty patch"),
+    ("diff --git a/x b/../f@K.py\n" + _S, "unsafe path: '../f@K.py'"),
+    ("diff --git a/x b/C:/f@K.py\n" + _S, "unsafe path: 'C:/f@K.py'"),
+    ("diff --git a/x b//etc/f@K.py\n" + _S, "unsafe path: '/etc/f@K.py'"),
+]
+
+
+def _patch_sql() -> str:
+    rows = []
+    for k, (_, *found) in enumerate(PATCHES):
+        for one in found:
+            path, op, text, error = ("", "", "", one) if isinstance(one, str) else one
+            rows.append("(" + ", ".join([str(k), *map(_quoted, (path, op, text, error))]) + ")")
+    return f"""WITH c(turn, path, op, text, error) AS (VALUES {", ".join(rows)})
+SELECT p_partkey::VARCHAR AS patch_id, replace(path, '@K', p_partkey::VARCHAR) AS uri, op, replace(text, '@K', p_partkey::VARCHAR) AS text, replace(error, '@K', p_partkey::VARCHAR) AS error FROM part JOIN c ON turn = p_partkey % {len(PATCHES)}"""
+
+
+@query(_patch_sql())
+def patch_texts(spark, sf_dir):
+    """Patch text of several files and blocks, read and applied; unreadable patches and unsafe paths are refused."""
+    key = F.col("p_partkey").cast("string")
+    text = F.element_at(F.array(*(F.lit(p[0]) for p in PATCHES)), (F.col("p_partkey") % len(PATCHES) + 1).cast("int"))
+    p = _t(spark, sf_dir, "part")
+    patches = p.select(key.alias("patch_id"), F.replace(text, F.lit("@K"), key).alias("text"))
+    files = p.select(F.concat(F.lit("f"), key, F.lit(".py")).alias("uri"), F.concat(F.lit("one "), key, F.lit("\ntwo\nthree\n")).alias("text"))
+    found = patch.apply_patches(files, patches)
+    return found.select("patch_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("uri", "op", "text", "error")))
+
