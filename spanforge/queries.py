@@ -76,7 +76,7 @@ hits AS (SELECT doc_id, count(*) AS n FROM (
   SELECT doc_id, unnest(regexp_extract_all(text, 'the [a-z]+')) AS m FROM lines WHERE NOT starts_with(text, 'And') AND length(text) >= 40) GROUP BY doc_id)
 SELECT 'th-outside-first-line' AS rule_id, doc_id::VARCHAR AS uri, n FROM hits""")
 def formula_and_not_inside(spark, sf_dir):
-    """A YAML rule to sweeps over spans."""
+    """A YAML rule to sweeps over spans."""
     plans = Engine().compile_yaml(RULE)
     found = Engine(EngineConfig(max_matches_per_rule=None)).execute(plans, _sources(spark, sf_dir))
     return found.groupBy("rule_id", "uri").agg(F.count("*").alias("n"))
@@ -247,7 +247,7 @@ def _customer_cards(spark, sf_dir):
 SELECT slice_id, c_name AS symbol_id, (row_number() OVER (PARTITION BY slice_id ORDER BY e DESC, c_mktsegment, c_name, c_custkey))::INTEGER AS place,
   row_number() OVER (PARTITION BY slice_id ORDER BY e DESC, c_mktsegment, c_name, c_custkey) <= 30 AS kept FROM c""")
 def slice_budget_spillover(spark, sf_dir):
-    """The card budget of every slice."""
+    """The card budget of every slice."""
     return slices.apply_budget(_customer_cards(spark, sf_dir), 30).select("slice_id", "symbol_id", "place", "kept")
 
 
@@ -311,7 +311,7 @@ def provider_resolution(spark, sf_dir):
 @query("""WITH f AS (SELECT p_partkey, [p_name, p_brand, p_type, p_size::VARCHAR] AS x FROM part)
 SELECT p_partkey, 'sym_' || substr(sha256(list_aggregate(list_transform(x, lambda y: strlen(y) || ':' || y), 'string_agg', '')), 1, 16) AS symbol_id FROM f""")
 def symbol_ids(spark, sf_dir):
-    """Length-prefixed fingerprints."""
+    """Length-prefixed fingerprints."""
     return _t(spark, sf_dir, "part").select("p_partkey", tx.symbol_id("p_name", "p_brand", "p_type", "p_size").alias("symbol_id"))
 
 
@@ -343,7 +343,7 @@ def capability_merge(spark, sf_dir):
 
 @query("""SELECT page_id::VARCHAR AS uri, len(regexp_extract_all(html, '<a href=')) AS n FROM pages WHERE contains(html, '<a href=')""")
 def html_structural_match(spark, sf_dir):
-    """Elements by structure, counted by page."""
+    """Elements by structure, counted by page."""
     pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("uri"), F.col("html").alias("text"))
     found = lowering.query_spans(pages, '(element (start_tag (tag_name) @t) (#eq? @t "a"))', "html")
     return found.groupBy("uri").agg(F.count("*").alias("n"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import patch
+from .functions import text as tx
+from .operators import observe, patch
+from .operators.slices import SliceRequest
 from .plans.checks import check_rule_files
 from .queries import _t, query
 
@@ -160,3 +162,37 @@ def patch_texts(spark, sf_dir):
     found = patch.apply_patches(files, patches)
     return found.select("patch_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("uri", "op", "text", "error")))
 
+
+# -- slices and locks over written files -----------------------------------------------------------------
+
+
+@query("""SELECT 'r' || p_partkey AS request_id, CASE WHEN p_partkey % 5 >= 3 THEN 'refusal' ELSE 'success' END AS status, CASE p_partkey % 5 WHEN 3 THEN 'unsupported_language' WHEN 4 THEN 'position_out_of_range' ELSE '' END AS reason,
+  CASE WHEN p_partkey % 5 >= 3 THEN '' ELSE 'b' || p_partkey || ' a' || p_partkey END AS cards, CASE WHEN p_partkey % 5 >= 3 THEN 0 ELSE 1 END::INT AS spilled, p_partkey % 5 < 3 AS truncated FROM part""")
+def graph_slices(spark, sf_dir):
+    """The slice around a position in a file: the entry, its siblings in order as far as the budget goes, the rest spilled; refusals."""
+    key, turn = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    p = _t(spark, sf_dir, "part")
+    uri = F.concat(F.lit("src/f"), key, F.when(turn == 3, ".txt").otherwise(".py"))
+    text = F.concat(*(F.concat(F.lit(f"def {c}"), key, F.lit("(x):\n    return x\n\n")) for c in "abc"))
+    requests = p.select(F.concat(F.lit("r"), key).alias("request_id"), uri.alias("uri"), F.when(turn == 4, 99).otherwise(4).alias("line"), F.lit(5).alias("column"))
+    found = observe.graph_slice(p.select(uri.alias("uri"), text.alias("text")), requests, SliceRequest("", 1, 1, max_cards=2))
+    names = F.array_join(F.transform("cards", lambda c: c["name"]), " ")
+    return found.select("request_id", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce(names, F.lit("")).alias("cards"), F.coalesce(F.size("frontier"), F.lit(0)).alias("spilled"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, 'é = ' || p_partkey || ' +* 2 # ' || repeat(p_name || ' ', 9) AS line FROM part)
+SELECT 'f' || k || '.py' AS uri, 1::BIGINT AS line, 1::BIGINT AS "column", 'error' AS kind, CASE k % 3 WHEN 0 THEN substr(line, 1, 46) || '...' ELSE 'x = (' || k || chr(10) END AS context FROM p WHERE k % 3 < 2""")
+def lock_contexts(spark, sf_dir):
+    """Where files don't parse, with the text there, cut at a number of bytes."""
+    key, turn = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    long = F.concat(F.lit("é = "), key, F.lit(" +* 2 # "), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(9)), F.lit("\n"))
+    text = F.when(turn == 0, long).when(turn == 1, F.concat(F.lit("x = ("), key, F.lit("\n"))).otherwise(F.concat(F.lit("x = "), key, F.lit("\n")))
+    files = _t(spark, sf_dir, "part").select(F.concat(F.lit("f"), key, F.lit(".py")).alias("uri"), F.lit("python").alias("language"), text.alias("text"))
+    return patch.syntactic_lock(files)
+
+
+@query("""SELECT p_partkey, '{"key":' || p_partkey || CASE WHEN p_size % 2 = 0 THEN ',"name":"' || p_name || ' \\"q\\""' ELSE '' END || '}' AS body, true AS stamped FROM part""")
+def json_and_time(spark, sf_dir):
+    """2.13g, 2.13k: JSON objects without their nulls, and the time as requests stamp it."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(' "q"'))).alias("name"))
+    return p.select("p_partkey", tx.json_compact("key", "name").alias("body"), tx.now_rfc3339().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("stamped"))

@@ -186,7 +186,7 @@ def patch_loose_search(spark, sf_dir):
 
 @query("""SELECT count(*) FILTER (doc_id % 4 = 0 OR doc_id % 4 = 3)::BIGINT AS files_written, count(*) FILTER (doc_id % 4 = 1)::BIGINT AS files_deleted, count(*) FILTER (doc_id % 4 = 2)::BIGINT AS failed FROM documents""")
 def patch_outcomes(spark, sf_dir):
-    """Created, deleted and refused files, summed up."""
+    """Created, deleted and refused files, summed up."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text", "doc_id")
     kind = F.col("doc_id") % 4
     empty = F.array().cast("array<struct<search:string,replace:string>>")
@@ -207,7 +207,7 @@ def text_edits(spark, sf_dir):
 
 @query("""SELECT 'src/part_' || p_partkey || '.py' AS uri, 'error' AS kind FROM part WHERE p_partkey % 4 = 0""")
 def syntax_lock(spark, sf_dir):
-    """Files that don't parse."""
+    """T5: files that don't parse."""
     sources = _calls(spark, sf_dir)
     broken = F.regexp_extract("uri", r"_(\d+)\.", 1).cast("long") % 4 == 0
     found = patch.syntactic_lock(sources.select("uri", F.col("lang").alias("language"), F.when(broken, F.concat("text", F.lit("y = = 2\n"))).otherwise(F.col("text")).alias("text")))
@@ -471,7 +471,7 @@ def document_versions(spark, sf_dir):
 
 @query("""SELECT 'u' || user_id AS uri, sha256(props) AS content_hash FROM events GROUP BY ALL""")
 def revisions_once(spark, sf_dir):
-    """Each revision of a file is worked on once."""
+    """Each revision of a file is worked on once."""
     events = _t(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uri"), tx.content_hash("props").alias("content_hash"), "ts")
     return requests.fresh_revisions(events).select("uri", "content_hash")
 
@@ -479,7 +479,7 @@ def revisions_once(spark, sf_dir):
 @query("""SELECT 'q' || o_orderkey AS request_id, 'file:///m' || (o_custkey % 3) || '.py' AS uri, 0 AS first, 2 AS places, o_orderkey % 50 + 1 AS line FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL SELECT 'q' || o_orderkey, 'file:///one.py', 0, 1, o_orderkey % 50 + 1 FROM orders WHERE o_orderkey % 3 = 1""")
 def definition_locations(spark, sf_dir):
-    """Definitions as one location, a list or links, grouped by file in the order seen."""
+    """Definitions as one location, a list or links, grouped by file in the order seen."""
     k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 3
     at = lambda line: F.concat(F.lit('{"start":{"line":'), line.cast("string"), F.lit(',"character":0},"end":{"line":900,"character":0}}'))
     uri = F.concat(F.lit("file:///m"), (F.col("o_custkey") % 3).cast("string"), F.lit(".py"))
