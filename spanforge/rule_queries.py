@@ -6,6 +6,8 @@ counts bytes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -13,6 +15,8 @@ from .operators import observe, patch
 from .operators.slices import SliceRequest
 from .plans.checks import check_rule_files
 from .queries import _t, query
+from .sources import snapshots
+from .sources.storage import shared_dir
 
 _HEAD = "rules:\n  - id: é@K\n    message: mé@K\n    languages: [python]\n    severity: ERROR\n"
 _SCHEMA, _MODE, _YAML = "E_SCHEMA_INVALID", "E_UNSUPPORTED_MODE", "E_YAML_PARSE"
@@ -196,3 +200,20 @@ def json_and_time(spark, sf_dir):
     """2.13g, 2.13k: JSON objects without their nulls, and the time as requests stamp it."""
     p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(' "q"'))).alias("name"))
     return p.select("p_partkey", tx.json_compact("key", "name").alias("body"), tx.now_rfc3339().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("stamped"))
+
+
+@query("""SELECT doc_id::VARCHAR AS uri, sha256(CASE doc_id % 4 WHEN 1 THEN 'changed ' || doc_id ELSE text END) AS content_hash FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'new/' || doc_id, sha256('new') FROM documents WHERE doc_id % 4 = 2""")
+def snapshot_commits(spark, sf_dir):
+    """All documents committed, then changed, deleted and added to in one commit; a writer that comes late is refused, a rollback is undone."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    docs, turn = _t(spark, sf_dir, "documents").filter("text is not null"), F.col("doc_id") % 4
+    uri = F.col("doc_id").cast("string")
+    snapshots.commit(docs.select(uri.alias("uri"), "text"), root, 0)
+    changed = docs.filter(turn < 2).select(uri.alias("uri"), F.when(turn == 1, F.concat(F.lit("changed "), uri)).alias("text"))
+    snapshots.commit(changed.unionByName(docs.filter(turn == 2).select(F.concat(F.lit("new/"), uri).alias("uri"), F.lit("new").alias("text"))), root, 1)
+    try:
+        snapshots.commit(docs.select(uri.alias("uri"), F.lit("late").alias("text")), root, 1)
+    except snapshots.Conflict:
+        snapshots.roll_back(spark, root, 1, 2)
+        snapshots.roll_back(spark, root, 2, 3)
+    return snapshots.read(spark, root).select("uri", tx.content_hash("text").alias("content_hash"))
