@@ -131,15 +131,33 @@ def import_name(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(t, r"^(use|import|from)\s+", ""))
 
 
+def deletions(word: str, most: int) -> Column:
+    """All strings that a word turns into when up to most characters are deleted, itself included."""
+    shorter = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))).otherwise(F.array().cast("array<string>"))
+
+    def further(acc: Column, _: Column) -> Column:
+        level = F.array_distinct(F.flatten(F.transform(acc["level"], shorter)))
+        return F.struct(level.alias("level"), F.array_union(acc["every"], level).alias("every"))
+
+    start = F.struct(F.array(word).alias("level"), F.array(word).alias("every"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, further)["every"] if most > 0 else F.array(word)
+
+
 def suggestions(words: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     """words (word), known (name) to word, suggestion: the nearest name within most edits, none if two are equally near.
 
-    known is a list of command names; it is broadcast behind Spark's own size check.
+    Two strings within most edits of each other have a string in common that each turns into by most deletions, so candidates
+    come from an equi-join of deletions, and only these are measured. A word has about length ** most / most! of them: most is meant to be small.
+    Repeated words count once; a name that is known twice is equally near to itself.
     """
-    pairs = words.join(known, F.levenshtein("word", "name", most) >= 0, "left").withColumn("d", F.levenshtein("word", "name", most))
-    near = pairs.groupBy("word").agg(F.min(F.struct("d", "name")).alias("best"), F.sort_array(F.collect_list("d")).alias("ds"))
-    alone = (F.size("ds") == 1) | (F.get("ds", F.lit(0)) < F.get("ds", F.lit(1)))
-    return near.select("word", F.when(alone, F.col("best.name")).alias("suggestion"))
+    asked = words.select("word").distinct()
+    names = known.groupBy("name").agg(F.count("*").alias("times"))
+    left = asked.filter(F.col("word").isNotNull()).select("word", F.explode(deletions("word", most)).alias("key"))
+    right = names.filter(F.col("name").isNotNull()).select("name", "times", F.explode(deletions("name", most)).alias("__key"))
+    pairs = left.join(right, F.col("key") == F.col("__key")).select("word", "name", "times").distinct()
+    measured = pairs.withColumn("d", F.levenshtein("word", "name", most)).filter("d >= 0")
+    best = measured.groupBy("word", "d").agg(F.min("name").alias("name"), F.sum("times").alias("n")).groupBy(F.col("word").alias("__word")).agg(F.min(F.struct("d", "name", "n")).alias("best"))
+    return asked.join(best, F.col("word") == F.col("__word"), "left").select("word", F.when(F.col("best.n") == 1, F.col("best.name")).alias("suggestion"))
 
 
 def json_compact(*columns: str) -> Column:

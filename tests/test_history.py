@@ -156,3 +156,29 @@ def test_cap_sorts_only_rules_beyond_it(spark):
     plan = capped._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert sorted(map(tuple, lowering.cap(df, 500).collect())) == sorted(rows)
+
+
+def test_suggestions_by_deletions(spark):
+    """As comparing all pairs, with no nested loop in the plan."""
+    from spanforge.functions import text as tx
+
+    r = random.Random(2)
+    names = ["".join(r.choice("abc") for _ in range(r.randrange(7))) for _ in range(150)] + ["zz", "zz"]
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(8))) for _ in range(80)] + ["zzy", "", None, "qqqqqq", "ab", "ab"]
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    def nearest(w, most):
+        near = sorted((edits(w, n), n) for n in names if edits(w, n) <= most) if w is not None else []
+        return near[0][1] if near and (len(near) == 1 or near[0][0] < near[1][0]) else None
+
+    for most in (0, 1, 2, 3):
+        found = tx.suggestions(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(n,) for n in names], "name string"), most)
+        assert {x.word: x.suggestion for x in found.collect()} == {w: nearest(w, most) for w in words}
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
