@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +37,52 @@ def serve(requests: DataFrame, handlers: dict[tuple[str, str], Callable[[DataFra
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+_KINDS = ("open", "change", "close")
+
+
+def _turn():
+    return F.array_position(F.array(*map(F.lit, _KINDS)), F.col("kind"))
+
+
+def document_changes(events: DataFrame, late: str = "7 days", keep_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """A stream of document events (uri, version, kind, text, ts) to what becomes of each document: uri, version, open, text (null: closed), a row whenever that changes.
+
+    The last event of a document, by version, is held as state, so events that come late, twice or out of order change nothing, a change after its
+    close included; at one version a close comes last. Events more than late behind the newest are dropped; a document is forgotten once the
+    watermark is keep_ms past its last event's batch, and a later event begins it anew. Events without uri or version are dropped.
+    """
+
+    def follow(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rank = lambda e: (e[0], e[1], e[2] is not None, e[2] or "")
+        held = tuple(state.get) if state.exists else None
+        best = held
+        for frame in frames:
+            for version, turn, text in zip(frame["version"], frame["turn"], frame["text"]):
+                event = (int(version), int(turn), None if pd.isna(text) else str(text))
+                if best is None or rank(event) > rank(best):
+                    best = event
+        state.update(best)
+        state.setTimeoutTimestamp(max(0, state.getCurrentWatermarkMs()) + keep_ms)
+        if best != held:
+            version, turn, text = best
+            yield pd.DataFrame({"uri": [key[0]], "version": [version], "open": [turn != 3], "text": pd.Series([None if turn == 3 else text], dtype=object)})
+
+    rows = events.filter("uri is not null and version is not null").select("uri", F.col("version").cast("long").alias("version"), _turn().cast("int").alias("turn"), "text", "ts").withWatermark("ts", late)
+    return rows.groupBy("uri").applyInPandasWithState(follow, "uri string, version long, open boolean, text string", "version long, turn int, text string", "update", "EventTimeTimeout")
+
+
+def open_documents(changes: DataFrame) -> DataFrame:
+    """The documents that are open after all changes (uri, version, open, text): what latest_documents gives for the events."""
+    last = changes.groupBy("uri").agg(F.max(F.struct("version", (~F.col("open")).alias("closed"), "text")).alias("last"))
+    return last.filter("not last.closed").select("uri", "last.version", "last.text")
+
+
 def latest_documents(events: DataFrame) -> DataFrame:
     """Document events (uri, version, kind: open, change or close, text) to each open document's last text; batch or streaming (update mode)."""
-    turn = F.array_position(F.array(F.lit("open"), F.lit("change"), F.lit("close")), F.col("kind")).alias("turn")  # at one version a close comes last
+    turn = _turn().alias("turn")  # at one version a close comes last
     last = events.groupBy("uri").agg(F.max(F.struct("version", turn, "text")).alias("last"))
     return last.filter("last.turn <> 3").select("uri", "last.version", "last.text")
 
