@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import cards, deltas, graph, lowering, matcher, observe, patch, resolution, rewrite, slices
+from .operators import cards, deltas, graph, lowering, matcher, observe, patch, resolution, rewrite, slices, twig
 from .plans.engine import Engine
 from .queries import _t, query
 from .sources import jsonl, lsp, trees
@@ -487,3 +487,39 @@ def definition_locations(spark, sf_dir):
     links = F.concat(F.lit('[{"targetUri":"'), uri, F.lit('","targetSelectionRange":'), at(k % 50), F.lit('},{"uri":"'), uri, F.lit('","range":'), at(k % 50 + 7), F.lit("}]"))
     answers = _t(spark, sf_dir, "orders").select(F.concat(F.lit("q"), k.cast("string")).alias("request_id"), F.lit("definition").alias("method"), F.when(kind == 0, links).when(kind == 1, one).otherwise("null").alias("result"))
     return lsp.group_locations(lsp.definitions(answers)).select("request_id", "uri", F.col("first").cast("int"), F.size("at").alias("places"), F.get("at", F.lit(0))["line"].alias("line"))
+
+
+# -- stored node tables ----------------------------------------------------------------
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("uri"), F.col("html").alias("text"))
+
+
+@query("""WITH p AS (SELECT page_id::VARCHAR AS uri, html, string_split(html, '<li>') AS parts FROM pages),
+s AS (SELECT uri, i, parts[i + 1] AS part, list_sum(list_transform(parts[1:i], lambda x: strlen(x))) + 4 * i AS start_byte FROM (SELECT uri, parts, unnest(range(1, len(parts))) AS i FROM p))
+SELECT uri, start_byte::BIGINT AS start_byte, (start_byte + strlen(regexp_extract(part, '^<a href="[^"]*">[^<]+</a>')))::BIGINT AS end_byte, regexp_extract(part, '^<a href="[^"]*">([^<]+)</a>', 1) AS label
+FROM s WHERE regexp_matches(part, '^<a href="[^"]*">[^<]+</a>')""")
+def tree_query_joins(spark, sf_dir):
+    """Links of list items from a stored node table, by joins of children with parents."""
+    pages = _pages(spark, sf_dir)
+    wanted = """(element (start_tag (tag_name) @outer) (element (start_tag (tag_name) @inner) (text) @label (end_tag)) @link
+      (#eq? @outer "li") (#match? @inner "^[aA]$"))"""
+    found = twig.find(twig.node_table(pages, "html"), pages, wanted)
+    link, label = lowering.capture("$link"), lowering.capture("$label")
+    return found.select("uri", link["start_byte"].alias("start_byte"), link["end_byte"].alias("end_byte"), label["text"].alias("label"))
+
+
+@query("""SELECT page_id::VARCHAR AS uri, n::BIGINT AS links, (n + 4)::BIGINT AS holders, (5 * n)::BIGINT AS pairs, 5::BIGINT AS depth, n::BIGINT AS innermost
+FROM (SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS n FROM pages) WHERE n > 0""")
+def tree_containment(spark, sf_dir):
+    """Elements that hold a link, elements around each link, and the innermost of them, from labels of a stored node table."""
+    nodes = twig.node_table(_pages(spark, sf_dir), "html")
+    elements = nodes.filter("kind = 'element'")
+    a = nodes.filter("kind = 'tag_name' and text = 'a'")
+    starts = nodes.filter("kind = 'start_tag'").join(a.select("uri", F.col("parent_id").alias("node_id")), ["uri", "node_id"], "left_semi")
+    links = elements.join(starts.select("uri", F.col("parent_id").alias("node_id")), ["uri", "node_id"], "left_semi")
+    held = twig.having(elements, links).groupBy("uri").agg(F.count("*").alias("holders"))
+    around = twig.ancestors(links, elements).groupBy("uri").agg(F.count("*").alias("pairs"), F.max("depth").alias("depth"))
+    innermost = twig.ancestors(links, elements, nearest=True).groupBy("uri").agg(F.count("*").alias("innermost"))
+    return links.groupBy("uri").agg(F.count("*").alias("links")).join(held, "uri").join(around, "uri").join(innermost, "uri").select("uri", "links", "holders", "pairs", "depth", "innermost")
