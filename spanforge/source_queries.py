@@ -235,33 +235,55 @@ _PREFIX = lambda kind, name, container: f"'6:python' || {_FIELD(kind)} || {_FIEL
 _PATH = _FIELD("'src/mod_' || k || '.py'")
 
 
-@query(f"""WITH m AS (SELECT p_partkey AS k, p_name AS name, p_size % 4 AS n FROM part),
-e AS (SELECT 'src\\mod_' || k || '.py' AS uri, 'Function' AS kind, 'make_' || k AS name, NULL AS container, 'def make_' || k || '(a: int, b) -> str' AS signature, 'Makes  a ' || name || '.' AS summary, 'deco' AS decorators, '# note on ' || name AS comments,
-    1 + n AS locals, (1 + n)::INT AS cyclomatic, (9 + 2 * n)::BIGINT AS lines, {_SYMBOL.format(_PREFIX("'Function'", "'make_' || k", "''") + " || '1:a3:int1:b0:3:str' || " + _FIELD("'function_definition:2:' || n || ':1'") + " || " + _PATH)} AS symbol_id FROM m
-  UNION ALL SELECT 'src\\mod_' || k || '.py', 'Class', 'Part' || k, NULL, 'class Part' || k, NULL, '', '', NULL, NULL, 3, {_SYMBOL.format(_PREFIX("'Class'", "'Part' || k", "''") + " || '0:' || " + _FIELD("'class_definition:0:0:1'") + " || " + _PATH)} FROM m
-  UNION ALL SELECT 'src\\mod_' || k || '.py', 'Method', 'size', 'Part' || k, 'def size(self, q)', NULL, '', '', 0, 2, 2, {_SYMBOL.format(_PREFIX("'Method'", "'size'", "'Part' || k") + " || '1:q0:0:' || " + _FIELD("'function_definition:1:1:1'") + " || " + _PATH)} FROM m
-  UNION ALL SELECT 'src\\mod_' || k || '.py', 'Module', 'mod_' || k, NULL, NULL, NULL, '', '', NULL, NULL, 2, {_SYMBOL.format(_PREFIX("'Module'", "'mod_' || k", "''") + " || '0:' || " + _FIELD("'module:0:0:0'") + " || " + _PATH)} FROM m)
+@query(f"""WITH m AS (SELECT p_partkey AS k, p_name AS name, p_size AS size, p_size % 4 AS n FROM part),
+e AS (SELECT 'src\\mod_' || k || '.py' AS uri, 'Function' AS kind, 'make_' || k AS name, NULL AS container, 'def make_' || k || '(a: int, b) -> str:' AS signature, 'Makes  a ' || name || '.' AS summary, '@deco(' || size || ')' AS decorators, 'deco' AS plain, 'note on ' || name AS comments,
+    1 + n AS locals, (1 + n)::INT AS cyclomatic, (8 + 2 * n)::BIGINT AS lines, {_SYMBOL.format(_PREFIX("'Function'", "'make_' || k", "''") + " || '1:a3:int1:b0:3:str' || " + _FIELD("'function_definition:2:' || n || ':1'") + " || " + _PATH)} AS symbol_id FROM m
+  UNION ALL SELECT 'src\\mod_' || k || '.py', 'Class', 'Part' || k, NULL, NULL, NULL, '', '', '', 0, 1, 3, {_SYMBOL.format(_PREFIX("'Class'", "'Part' || k", "''") + " || '0:' || " + _FIELD("'class_definition'") + " || " + _PATH)} FROM m
+  UNION ALL SELECT 'src\\mod_' || k || '.py', 'Method', 'size', 'Part' || k, 'def size(self, q):', NULL, '', '', '', 0, 2, 2, {_SYMBOL.format(_PREFIX("'Method'", "'size'", "'Part' || k") + " || '4:self0:1:q0:0:' || " + _FIELD("'function_definition:2:1:1'") + " || " + _PATH)} FROM m
+  UNION ALL SELECT 'src\\mod_' || k || '.py', 'Module', 'mod_' || k, NULL, NULL, NULL, '', '', '', 0, 1, 17 + 2 * n, {_SYMBOL.format(_PREFIX("'Module'", "'mod_' || k", "''") + " || '0:' || " + _FIELD("'module'") + " || " + _PATH)} FROM m)
 SELECT e.*, CASE WHEN kind = 'Module' THEN 'os;lib import a' || n || ' as c' END AS imports FROM e JOIN m ON e.uri = 'src\\mod_' || k || '.py'""")
 def symbol_cards(spark, sf_dir):
     """Cards of every entity of every module."""
     out = cards.cards(cards.entities(_modules(spark, sf_dir)))
     return out.select(
-        "symbol.uri", "symbol.kind", "symbol.name", "symbol.container", "signature.signature", "doc.summary", F.array_join("attachments.decorators", ";").alias("decorators"), F.array_join("attachments.comments", ";").alias("comments"),
+        "symbol.uri", "symbol.kind", "symbol.name", "symbol.container", "signature.signature", "doc.summary", *(F.coalesce(F.array_join(f"attachments.{c}", ";"), F.lit("")).alias(name) for c, name in (("decorators", "decorators"), ("normalized.decorators", "plain"), ("doc_comments", "comments"))),
         F.size("structure.locals").alias("locals"), "metrics.cyclomatic", "metrics.lines", "symbol.symbol_id", F.array_join("interstitial.normalized", ";").alias("imports"),
     )
 
 
-@query("""SELECT 'src/' || s_suppkey || '.rs' AS uri, kind, name, container, params, branches FROM supplier, (VALUES ('Function', 'run', NULL, 2::INT, 1::INT), ('Type', 'Row', NULL, 0, NULL), ('Interface', 'Show', NULL, 0, NULL), ('Method', 'show', 'Row', 1, 2)) AS e(kind, name, container, params, branches)
-UNION ALL SELECT 'src/' || s_suppkey || '.ts', kind, name, container, params, branches FROM supplier, (VALUES ('Function', 'run', NULL, 2, 1), ('Class', 'Row', NULL, 0, NULL), ('Method', 'show', 'Row', 1, 1), ('Interface', 'Show', NULL, 0, NULL), ('Type', 'Id', NULL, 0, NULL)) AS e(kind, name, container, params, branches)""")
+# Shapes of declarations, {k} being the row's key, and what each holds: kind, name, container, parameters, returns, locals, branches.
+_SHAPES = [
+    ("rs", "/// runs {k}\npub fn run{k}(a: u32, b: &str) -> u32 {\n    let x = {k};\n    if x > a { return 1; }\n    x\n}\n", [("Function", "run{k}", None, "a u32,b &str", "u32", "x", "if")]),
+    ("rs", "#[inline]\npub(crate) async fn gen{k}<T: Fn(u32) -> u32, const N: usize>(mut f: T, b: [u8; N]) -> Vec<T> where T: Copy { let (p, mut q) = b; loop { match f(1) { _ => {} } } }\n", [("Function", "gen{k}", None, "f T,b [u8; N]", "Vec<T>", "p,q", "match")]),
+    ("rs", "struct Row{k}<'a, T>(&'a T);\nenum Kind{k} { A, B(u32) }\nunion Bits{k} { a: u8, b: i8 }\ntype Alias{k} = Vec<u8>;\n", [("Type", n, None, "", "", "", "") for n in ("Row{k}", "Kind{k}", "Bits{k}", "Alias{k}")]),
+    ("rs", "pub trait Show{k}: Clone { fn must(&self, n: u32) -> u32; fn may(&self) -> u32 { 1 } }\n", [("Interface", "Show{k}", None, "", "", "", ""), ("Method", "may", "Show{k}", "", "u32", "", "")]),
+    ("rs", "impl<T> Show{k} for Row{k}<'_, T> where T: Clone { fn must(&self, n: u32) -> u32 { for i in 0..n { while i > 2 { break; } } fn inner() { if true {} } 0 } }\n", [("Method", "must", "Row{k}<'_, T>", "n u32", "u32", "", "for,while")]),
+    ("rs", "impl Bits{k} { const Z: u8 = 1; pub const fn new(self: Box<Self>) -> Self { if let Some(y) = None { y } else { self } } }\n", [("Method", "new", "Bits{k}", "self Box<Self>", "Self", "", "if")]),
+    ("rs", "mod nested{k} { pub fn hidden() {} pub mod deeper { struct X; } }\nmacro_rules! mm { () => { fn fake() {} }; }\nextern \"C\" { fn c_fun(a: i32); }\n", [("Module", "nested{k}", None, "", "", "", "")]),
+    ("ts", "// runs {k}\nfunction run{k}(a: number, b?: string, ...rest: string[]): number {\n  const x = {k};\n  if (x > a) { return 1; }\n  return x;\n}\n", [("Function", "run{k}", None, "a : number,b : string,...rest : string[]", ": number", "x", "if")]),
+    ("ts", "async function gen{k}<T extends object>(cb: (x: number) => void, m = \"a, b\"): Promise<T> { for (let i = 0, n = 2; i < n; i++) { switch (i) { case 1: break; } } for (const z of [1]) { while (z) {} } const y = () => { if (1) {} }; function inner() { const no = 1; } }\n", [("Function", "gen{k}", None, "cb : (x: number) => void,m ", ": Promise<T>", "i,n,y", "for,switch,for,while,if")]),
+    ("ts", "@Injectable({ a: {k} })\nclass Row{k}<T> extends Base<T> { private x: number = 1; constructor(private a: A) { super(); } get v(): number { return 1; } @Get(\"/x\") async list(p: string): Promise<T[]> { if (p) {} } static make(): void {} arrow = (q: number) => { if (q) {} }; #hid(z) {} }\n", [("Class", "Row{k}", None, "", "", "", ""), ("Method", "constructor", "Row{k}", "a : A", "", "", ""), ("Method", "v", "Row{k}", "", ": number", "", ""), ("Method", "list", "Row{k}", "p : string", ": Promise<T[]>", "", "if"), ("Method", "make", "Row{k}", "", ": void", "", ""), ("Method", "#hid", "Row{k}", "z ", "", "", "")]),
+    ("ts", "interface Show{k}<T> extends A { n: number; m(x: number): void }\ntype Id{k} = string;\n", [("Interface", "Show{k}", None, "", "", "", ""), ("Type", "Id{k}", None, "", "", "", "")]),
+    ("ts", "export function shown{k}(x: number) { return x; }\nabstract class Shape{k} { area(): number { return 1; } }\nenum Color{k} { Red }\nfunction* items{k}() { yield 1; }\ndeclare function ext{k}(a: number): void;\n", []),
+]
+_quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_SHAPE_ROWS = ", ".join(f"({j}, {', '.join(map(_quoted, (ext, *row)))})" for j, (ext, _, rows) in enumerate(_SHAPES) for row in rows)
+
+
+@query(f"""SELECT 'src/' || s_suppkey || '.' || ext AS uri, kind, replace(name, '{{k}}', s_suppkey::VARCHAR) AS name, replace(container, '{{k}}', s_suppkey::VARCHAR) AS container, params, returns, locals, branches
+FROM supplier JOIN (VALUES {_SHAPE_ROWS}) AS e(j, ext, kind, name, container, params, returns, locals, branches) ON (s_suppkey + j) % 3 <> 0""")
 def brace_entities(spark, sf_dir):
-    """Entities of Rust and TypeScript files; branches of callables."""
-    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
-    rust = F.concat(F.lit("/// runs "), "k", F.lit("\npub fn run(a: u32, b: &str) -> u32 {\n    let x = "), "k", F.lit(";\n    if x > a { return 1; }\n    x\n}\nstruct Row { a: u32 }\ntrait Show { }\nimpl Show for Row {\n    fn show(&self, n: u32) {\n        for i in 0..n { while i > 2 { break; } }\n    }\n}\n"))
-    ts = F.concat(F.lit("// runs "), "k", F.lit("\nfunction run(a: number, b: string): number {\n  const x = "), "k", F.lit(";\n  if (x > a) { return 1; }\n  return x;\n}\nclass Row {\n  show(n: number) { for (const i of [n]) { this.n = i; } }\n}\ninterface Show { n: number }\ntype Id = string;\n"))
-    path = lambda end: F.concat(F.lit("src/"), "k", F.lit(end))
-    sources = s.select(path(".rs").alias("uri"), F.lit("rust").alias("lang"), rust.alias("text")).unionByName(s.select(path(".ts").alias("uri"), F.lit("typescript").alias("lang"), ts.alias("text")))
-    callable_ = F.col("kind").isin("Function", "Method")
-    return cards.entities(sources).select("uri", "kind", "name", "container", F.size("params").alias("params"), F.when(callable_, F.size("branches")).alias("branches"))
+    """Entities of Rust and TypeScript files, each of other shapes of declarations: generics, attributes and decorators, traits and their impls, nested modules, exports."""
+    key = F.col("s_suppkey").cast("string")
+
+    def written(ext: str):
+        parts = [F.when((F.col("s_suppkey") + j) % 3 != 0, F.replace(F.lit(text), F.lit("{k}"), key)).otherwise("") for j, (e, text, _) in enumerate(_SHAPES) if e == ext]
+        language = "rust" if ext == "rs" else "typescript"
+        return _t(spark, sf_dir, "supplier").select(F.concat(F.lit("src/"), key, F.lit(f".{ext}")).alias("uri"), F.lit(language).alias("lang"), F.concat(*parts).alias("text"))
+
+    found = cards.entities(written("rs").unionByName(written("ts")))
+    params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(" "), p["type"])), ",")
+    return found.select("uri", "kind", "name", "container", params.alias("params"), "returns", F.array_join("locals.name", ",").alias("locals"), F.array_join("branches.kind", ",").alias("branches"))
 
 
 @query("""SELECT 'r' || p_partkey AS request_id, CASE p_partkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'success' WHEN 4 THEN 'success' ELSE 'refusal' END AS status,
@@ -276,12 +298,12 @@ def card_at_position(spark, sf_dir):
     return observe.get_card(_modules(spark, sf_dir), asked).select("request_id", "status", "reason", "card.symbol.name")
 
 
-@query("""SELECT 'sym' || s_suppkey AS symbol_id, CASE WHEN s_suppkey % 2 = 0 THEN 'int ' || s_name END AS type, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 4 = 0 END AS deprecated, CASE WHEN s_suppkey % 2 = 0 THEN 'lsp_hover' ELSE 'tree_sitter_degraded_semantic' END AS provenance FROM supplier""")
+@query("""SELECT 'sym' || s_suppkey AS symbol_id, CASE WHEN s_suppkey % 2 = 0 THEN 'int ' || s_name END AS type, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 4 = 0 END AS deprecated, CASE WHEN s_suppkey % 2 = 0 THEN 'tree_sitter;lsp_hover' ELSE 'tree_sitter;tree_sitter_degraded_semantic' END AS provenance FROM supplier""")
 def hover_enrichment(spark, sf_dir):
     """Hovers add a type and change the provenance; cards without one stay as they are."""
     s = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("sym"), F.col("s_suppkey").cast("string")).alias("symbol_id"), "s_name", "s_suppkey")
     hovers = s.filter("s_suppkey % 2 = 0").select("symbol_id", F.concat(F.lit("```python\n\nint "), "s_name", F.lit("\n```\n"), F.when(F.col("s_suppkey") % 4 == 0, "Deprecated.").otherwise("")).alias("text"))
-    out = lsp.enrich_with_hover(s.select("symbol_id", F.array(F.lit("tree_sitter_degraded_semantic")).alias("provenance")), hovers)
+    out = lsp.enrich_with_hover(s.select("symbol_id", F.array(F.lit("tree_sitter"), F.lit("tree_sitter_degraded_semantic")).alias("provenance")), hovers)
     return out.select("symbol_id", "lsp.type", "lsp.deprecated", F.array_join("provenance", ";").alias("provenance"))
 
 

