@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,14 +56,35 @@ def byte_offset(text: str | Column, line: Column, column: Column) -> Column:
     return F.when(ok, F.octet_length(F.substring(text, F.lit(1), at.cast("int"))))
 
 
+def _position(position: str, text: str) -> tuple[Column, Column]:
+    """Whether a "line:column" can be read, and its byte in the text."""
+    parts = (F.regexp_extract_all(position, F.lit(r"^\s*([0-9]+):([0-9]+)\s*$"), F.lit(k)) for k in (1, 2))
+    line, column = (F.get(p, F.lit(0)).try_cast("int") for p in parts)
+    return F.coalesce((line >= 1) & (column >= 1), F.lit(False)), byte_offset(text, line, column)
+
+
+def _position_error(read: Column, at: Column) -> Column:
+    return F.when(~read, "parse").when(at.isNull(), "conversion").otherwise("")
+
+
+def _error_counts(error: Column) -> list[Column]:
+    return [F.coalesce(F.sum((error == kind).cast("long")), F.lit(0)).alias(f"{kind}_errors") for kind in ("parse", "conversion")]
+
+
 def position_errors(requests: DataFrame) -> DataFrame:
     """requests (position: "line:column", text) to one row: how many positions can't be read, and how many have no place in the text."""
-    parts = F.regexp_extract_all("position", F.lit(r"^\s*([0-9]+):([0-9]+)\s*$"), F.lit(1)), F.regexp_extract_all("position", F.lit(r"^\s*([0-9]+):([0-9]+)\s*$"), F.lit(2))
-    line, column = (F.get(p, F.lit(0)).try_cast("int") for p in parts)
-    read = F.coalesce((line >= 1) & (column >= 1), F.lit(False))
-    at = byte_offset("text", line, column)
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    return requests.agg(count(~read).alias("parse_errors"), count(read & at.isNull()).alias("conversion_errors"))
+    return requests.agg(*_error_counts(_position_error(*_position("position", "text"))))
+
+
+def answered_positions(requests: DataFrame, counters: Observation) -> DataFrame:
+    """requests (position, text, ...) without text, with at, the byte of the position, and error (parse, conversion or empty).
+
+    counters gets parse_errors and conversion_errors in the pass that computes the answers; read counters.get after it. A pass that is
+    run again counts again, so what needs the answers twice should write them.
+    """
+    read, at = _position("position", "text")
+    answers = requests.withColumns({"at": F.when(read, at), "error": _position_error(read, at)}).drop("text")
+    return answers.observe(counters, *_error_counts(F.col("error")))
 
 
 def utf16_length(text: str | Column) -> Column:

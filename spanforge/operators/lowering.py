@@ -337,20 +337,23 @@ def _matches(regex: str):
     @F.pandas_udf("boolean")
     def holds(texts):
         rx = re.compile(regex)
-        return texts.map(lambda t: t is not None and rx.match(t) is not None)
+        told = {t: rx.match(t) is not None for t in texts.dropna().unique()}
+        return texts.map(lambda t: told.get(t, False))
 
     return holds
 
 
 def _capture_pattern(matches: DataFrame, c: fm.MetavariablePattern, language: str) -> DataFrame:
-    """A capture's own text is parsed and searched; rows without a match go."""
+    """A capture's own text is parsed and searched, equal texts of a batch once; rows without a match go."""
     matcher.compile_pattern(c.pattern, language, True)
     name = c.metavariable if c.metavariable.startswith("$") else f"${c.metavariable}"
 
     @F.pandas_udf("boolean")
     def holds(texts):
         compiled = matcher.compile_pattern(c.pattern, language, True)
-        return texts.map(lambda t: t is not None and matcher.find_first(compiled, parse(t, language)) is not None)
+        words = matcher.literals(compiled)
+        told = {t: all(w in t for w in words) and matcher.find_first(compiled, parse(t, language)) is not None for t in texts.dropna().unique()}
+        return texts.map(lambda t: told.get(t, False))
 
     return matches.filter(holds(capture(name)["text"]))
 

@@ -7,7 +7,7 @@ says from the row alone what the operators must find.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -414,6 +414,15 @@ def position_error_counts(spark, sf_dir):
     return tx.position_errors(asked)
 
 
+@query("""SELECT doc_id, CASE WHEN k = 2 THEN 0 WHEN k = 1 AND n >= 20 THEN strlen(substr(line, 1, 20)) END AS at, CASE WHEN k = 0 THEN 'parse' WHEN k = 1 AND n < 20 THEN 'conversion' ELSE '' END AS error
+FROM (SELECT doc_id, doc_id % 3 AS k, string_split(text, chr(10))[1] AS line, length(string_split(text, chr(10))[1]) AS n FROM documents)""")
+def position_answers(spark, sf_dir):
+    """Bytes of positions and their errors, counted in the same pass."""
+    kind = F.col("doc_id") % 3
+    asked = _t(spark, sf_dir, "documents").select("doc_id", F.when(kind == 0, "1:x").when(kind == 1, "1:21").otherwise(" 1:1 ").alias("position"), "text")
+    return tx.answered_positions(asked, Observation()).select("doc_id", "at", "error")
+
+
 @query("""SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS summary, (['os.path', 'std::io', 'a, b', 'lib import c'])[(doc_id % 4 + 1)::INT] AS import FROM documents""")
 def summaries_and_imports(spark, sf_dir):
     """E11, E13, 2.13b: first lines with anything on them, import lines without their keywords."""

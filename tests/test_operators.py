@@ -3,10 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
-from spanforge.operators import cache, cards, deltas, graph, observe, patch, resolution, slices, spans
+from spanforge.operators import cards, deltas, graph, observe, patch, resolution, slices, spans
 from spanforge.sources import files, jsonl, lsp, trees
 from spanforge.streaming import requests as streaming
 
@@ -289,6 +290,19 @@ def test_functions(spark):
     assert spark.range(1).select(tx.now_rfc3339()).first()[0].endswith("Z")
 
 
+def test_positions_are_counted_while_they_are_answered(spark):
+    asked = spark.createDataFrame([("1:2", "aé"), ("1:9", "a"), ("x", "a"), ("0:1", "a"), (None, "a"), ("2:1", "a\nb"), ("1:1", None)], "position string, text string")
+    counters, tracker = Observation(), spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    got = [(r.position, r.at, r.error) for r in tx.answered_positions(asked, counters).collect()]
+    assert len(tracker.getJobIdsForGroup(None)) == before + 1
+    assert got == [("1:2", 1, ""), ("1:9", None, "conversion"), ("x", None, "parse"), ("0:1", None, "parse"), (None, None, "parse"), ("2:1", 2, ""), ("1:1", None, "conversion")]
+    assert counters.get == {"parse_errors": 3, "conversion_errors": 2} == tx.position_errors(asked).first().asDict()
+    none = Observation()
+    tx.answered_positions(asked.filter("false"), none).collect()
+    assert none.get == {"parse_errors": 0, "conversion_errors": 0}
+
+
 def test_consecutive_groups(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 5), ("a", 3, 3), ("a", 6, 6), ("a", 9, 9), ("b", 1, 1)], "k string, s int, e int")
     got = [(r.k, r.s, r.group) for r in deltas.consecutive_groups(df, ["k"], "s", "e").orderBy("k", "s").collect()]
@@ -312,18 +326,6 @@ def test_streaming(spark, tmp_path):
     assert streaming.fresh_revisions(rev).count() == 2
 
 
-def test_revision_cache():
-    c = cache.RevisionCache(2)
-    key = lambda path, rev, line=1: cache.Key(path, rev, "python", "full", line, 1)
-    assert [c.get(key("a", "1"), lambda: n) for n in (1, 2)] == [1, 1] and (c.hits, c.misses, len(c)) == (1, 1, 1)
-    c.get(key("b", "1"), lambda: 3)
-    c.get(key("a", "1"), lambda: 4)
-    c.get(key("c", "1"), lambda: 5)  # b is the least recently used
-    assert c.get(key("b", "1"), lambda: 6) == 6 and len(c) == 2
-    c.get(key("b", "2"), lambda: 7)
-    assert c.get(key("b", "2"), lambda: 8) == 7 and len(c) == 2
-
-
 def test_requests_end_to_end(spark):
     src = spark.createDataFrame([("file:///d/g.py", PY), ("file:///t.txt", "x")], "uri string, text string")
     lines = PY.split("\n")
