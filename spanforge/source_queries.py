@@ -420,7 +420,7 @@ def position_answers(spark, sf_dir):
     """Bytes of positions and their errors, counted in the same pass."""
     kind = F.col("doc_id") % 3
     asked = _t(spark, sf_dir, "documents").select("doc_id", F.when(kind == 0, "1:x").when(kind == 1, "1:21").otherwise(" 1:1 ").alias("position"), "text")
-    return tx.answered_positions(asked, Observation()).select("doc_id", "at", "error")
+    return tx.answered_positions(asked, Observation()).select("doc_id", F.col("at").cast("long").alias("at"), "error")
 
 
 @query("""SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS summary, (['os.path', 'std::io', 'a, b', 'lib import c'])[(doc_id % 4 + 1)::INT] AS import FROM documents""")
