@@ -15,7 +15,7 @@ def many_parts(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["constrained_match"])
+@pytest.mark.parametrize("name", ["constrained_match", "metavar_unification"])
 def test_all_matches_are_returned(spark, many_parts, name):
     folder, con = many_parts
     result = con.execute(queries.ORACLES[name])
