@@ -52,7 +52,9 @@ class Engine:
 
     def compile_yaml(self, text: str, uri: str | None = None) -> list[QueryPlan]:
         """One plan for each rule and language; the first problem of the file is raised."""
-        rules = parse_rules(text, uri)
+        return self.compile_rules(parse_rules(text, uri))
+
+    def compile_rules(self, rules: list[Rule]) -> list[QueryPlan]:
         for rule in rules:
             if rule.mode != "search":
                 raise fail(dx.UNSUPPORTED_MODE, f"rule mode `{rule.mode}` can't be executed", rule.mode_span or rule.span, "only `search` rules run")

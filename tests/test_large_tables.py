@@ -23,3 +23,21 @@ def test_all_matches_are_returned(spark, many_parts, name):
     want = sorted(result.fetchall())
     assert len(want) > 10_000
     assert sorted(tuple(r[c] for c in names) for r in queries.QUERIES[name](spark, folder).collect()) == want
+
+
+def test_rule_files_are_composed_once_and_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    import yaml
+
+    from spanforge.plans import checks
+    from spanforge.rule_queries import CASES
+
+    calls = []
+    compose = yaml.composer.Composer.compose_document
+    monkeypatch.setattr(yaml.composer.Composer, "compose_document", lambda self: calls.append(1) or compose(self))
+    texts = [c[0].replace("@K", "7") for c in CASES]
+    for k, text in enumerate(texts):
+        checks.check_file(text, f"{k}.yaml")
+    assert len(calls) <= len(texts)
+    spark.createDataFrame([(f"{k}.yaml", t) for k, t in enumerate(texts * 3)], "uri string, text string").coalesce(1).write.parquet(f"{tmp_path}/rules")
+    found = checks.check_rule_files(spark.read.parquet(f"{tmp_path}/rules"))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 3 * len(texts)
