@@ -41,3 +41,20 @@ def test_rule_files_are_composed_once_and_dealt_to_all_tasks(spark, tmp_path, mo
     spark.createDataFrame([(f"{k}.yaml", t) for k, t in enumerate(texts * 3)], "uri string, text string").coalesce(1).write.parquet(f"{tmp_path}/rules")
     found = checks.check_rule_files(spark.read.parquet(f"{tmp_path}/rules"))
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 3 * len(texts)
+
+
+def test_similarity_join_writes_no_features(spark, tmp_path, monkeypatch):
+    """Features are the bulk of the input: beside the pairs that are compared, only hashes of them go to disk. Copies find all their pairs."""
+    import os
+
+    from spanforge.operators import history
+    from spanforge.sources import storage
+
+    monkeypatch.setattr(storage, "_PATHS", [])
+    size = lambda path: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path.removeprefix("file:")) for f in names)
+    features = "transform(sequence(0, 199), k -> concat('b:', sha2(concat(id % 300, ' ', k), 256)))"
+    spark.range(302).selectExpr("'x' AS kind", "id AS set_id", f"{features} AS features").write.parquet(f"{tmp_path}/sets")
+    sets = spark.read.parquet(f"{tmp_path}/sets")
+    found = history.similar_sets(sets.filter("set_id % 2 = 0 OR set_id = 1"), sets.filter("set_id % 2 = 1 OR set_id = 0"), 0.5)
+    assert sorted((r.b_set, r.a_set, r.similarity) for r in found.collect()) == [(0, 0, 1.0), (1, 1, 1.0), (1, 301, 1.0), (300, 0, 1.0)]
+    assert sum(map(size, storage._PATHS)) < size(f"{tmp_path}/sets") / 10
