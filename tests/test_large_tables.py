@@ -58,3 +58,12 @@ def test_similarity_join_writes_no_features(spark, tmp_path, monkeypatch):
     found = history.similar_sets(sets.filter("set_id % 2 = 0 OR set_id = 1"), sets.filter("set_id % 2 = 1 OR set_id = 0"), 0.5)
     assert sorted((r.b_set, r.a_set, r.similarity) for r in found.collect()) == [(0, 0, 1.0), (1, 1, 1.0), (1, 301, 1.0), (300, 0, 1.0)]
     assert sum(map(size, storage._PATHS)) < size(f"{tmp_path}/sets") / 10
+
+
+def test_a_chain_of_calls_is_built_once(monkeypatch):
+    from spanforge.sources import trees
+
+    made, node = [], trees.Node
+    monkeypatch.setattr(trees, "Node", lambda *a, **b: made.append(1) or node(*a, **b))
+    trees.parse("a" + "()" * 12 + "\n", "python")
+    assert len(made) < 200
