@@ -7,10 +7,9 @@ rows are numbered, and dealt in runs of SPAN windows with the window after each.
 are united to components across the passes. A window bounds what one pass sees of a dense
 group, so links are then counted in full inside each component, by tiles of TILE vectors.
 
-How many passes are needed depends on how the vectors lie: inside a cluster the vectors of a pair at the threshold
-part from each other nearly as fast as from the rest. So it is measured: the links of QUERIES sampled vectors with all are
-found by comparing them, and rounds of PASSES passes, with windows twice as wide each time, go on until RECALL of
-these links (one of each vector) lie inside components, ROUNDS at most. Keys are long, as in a cluster most signs say nothing.
+How much the passes find depends on how the vectors lie: inside a cluster the vectors of a pair at the threshold
+part from each other nearly as fast as from the rest. So an exact check follows: all pairs of distinct vectors are compared, in pairs of tiles, and what
+the passes left apart is united. Nothing is estimated from a sample. Keys are long, as in a cluster most signs say nothing.
 
 Rules for odd input: vectors that are null, empty, zero or hold null or non-finite numbers
 link with nothing; vectors of different lengths don't link; repeated rows are vectors of their
@@ -18,7 +17,8 @@ own, and rows of one id too (ties in key are sorted by row); a null id has compo
 result. Labels and other columns aren't read.
 
 Scale: passes sort keys and ids; the distinct vectors, in the precision they came in, move once a pass to the runs they are dealt to; no
-pair list is made, a run sends only a spanning set of the links it found. The sample is QUERIES rows whatever the table. Counting links in a component of m
+pair list is made, a run sends only a spanning set of the links it found. The exact check of m distinct vectors takes m * m / 2 products, in
+blocks of rows; a tile holds TILE_BYTES, and a vector is sent once for each tile. Counting links in a component of m
 distinct vectors takes m * m / 2 products, as the links themselves may be so many; they are summed in tiles,
 in blocks of rows, and a vector is sent to m / TILE tiles.
 """
@@ -36,18 +36,16 @@ from . import common
 from .components import components
 
 THRESHOLD = 0.95
-#: Passes of a round, and rounds at most; the window doubles each round.
 PASSES = 16
-ROUNDS = 6
 HASHES = 256
 WINDOW = 1024
 #: Windows in a run.
 SPAN = 8
-#: Sampled vectors whose links are known in full, and the share of those that the passes must have united.
-QUERIES = 512
-RECALL = 0.998
 BLOCK = 256
 TILE = 8192
+#: Bytes of a tile of the exact check, and tiles at least (of WINDOW vectors, if there are so many).
+TILE_BYTES = 16 << 20
+LEAST_TILES = 6
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -113,15 +111,16 @@ def _keys(batches, mean: dict, turns: range, kind):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), turn, np.int32)), pa.array(np.full(len(rows), d, np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(uid[rows])], names=["turn", "dim", "key", "uid"])
 
 
-def _spanning(ids: np.ndarray, near: np.ndarray, label: np.ndarray, out: list) -> None:
-    """Adds to out the links (near: the first rows by all rows) that join groups not joined yet, and updates label in place."""
+def _spanning(ids: np.ndarray, near: np.ndarray, label: np.ndarray, out: list, rows=None, column: int = 0) -> None:
+    """Adds to out the links (near: of rows, or of the first rows, by those from column on) that join groups not joined yet, and updates label in place."""
     for i in np.flatnonzero(near.any(axis=1)):
-        j = np.flatnonzero(near[i])
+        row, j = i if rows is None else rows[i], np.flatnonzero(near[i]) + column
+        j = j[label[j] != label[row]]
+        if not len(j):
+            continue
         groups, first = np.unique(label[j], return_index=True)
-        for group, k in zip(groups, j[first]):
-            if group != label[i]:
-                out.append((int(ids[i]), int(ids[k])))
-                label[label == group] = label[i]
+        out += [(int(ids[row]), int(ids[k])) for k in j[first]]
+        label[np.isin(label, groups)] = label[row]
 
 
 def _windows(batches, threshold: float, window: int, kind):
@@ -182,54 +181,47 @@ def _runs(sorted_keys: DataFrame, bodies: DataFrame, window: int) -> DataFrame:
     return dealt.join(vectors, F.col("uid") == F.col("__uid")).repartition("span").sortWithinPartitions("span", "rank").select("span", "turn", "dim", "uid", "vec")
 
 
-def _asked(batches, queries: dict, threshold: float, kind):
-    """Links of all rows with the sampled ones: a spanning set (turn 0), and one a row to measure recall by (turn 1)."""
-    for batch in batches:
-        uid, dim, bodies = batch.column("uid").to_numpy(), batch.column("dim").to_numpy(), batch.column("vec").to_pylist()
-        out: list = []
-        picked: list = []
-        for d, (ids, q) in queries.items():
-            rows, label = np.flatnonzero(dim == d), np.arange(len(ids))
-            for a in range(0, len(rows), BLOCK):
-                part = rows[a : a + BLOCK]
-                x = _unit(np.frombuffer(b"".join(bodies[k] for k in part), kind).reshape(len(part), d))
-                near = (x @ q.T >= threshold) & (uid[part][:, None] != ids[None, :])
-                for i in np.flatnonzero(near.any(axis=1)):
-                    j, me = np.flatnonzero(near[i]), int(uid[part[i]])
-                    picked.append((me, int(ids[j[me % len(j)]])))
-                    groups, first = np.unique(label[j], return_index=True)
-                    out += [(me, int(ids[k])) for k in j[first]]
-                    label[np.isin(label, groups)] = groups[0]
-        for turn, pairs in ((0, out), (1, picked)):
-            if pairs:
-                a, b = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), turn, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["turn", "a", "b"])
-
-
-def _united(bodies: DataFrame, mean: dict, threshold: float, kind) -> DataFrame:
-    """Components of the links found by rounds of passes, until those of a sample are united too."""
-    sample = bodies.orderBy(F.xxhash64(F.lit(77), "uid"), "uid").limit(QUERIES).collect()  # QUERIES rows
-    queries = {}
-    for d in {r["dim"] for r in sample}:
-        mine = [r for r in sample if r["dim"] == d]
-        queries[d] = (np.array([r["uid"] for r in mine], np.int64), _unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in mine), kind).reshape(len(mine), d)))
-    asked = common.materialise(bodies.mapInArrow(lambda it: _asked(it, queries, threshold, kind), "turn int, a long, b long"), "sample-links")
-    known = asked.filter("turn = 1")
-    of = None
-    for rounds in range(ROUNDS):
-        window, these = WINDOW << rounds, range(rounds * PASSES, (rounds + 1) * PASSES)
-        keyed = bodies.mapInArrow(lambda it, these=these: _keys(it, mean, these, kind), "turn int, dim int, key binary, uid long")
-        sorted_keys = keyed.repartitionByRange("turn", "dim", "key", "uid").sortWithinPartitions("turn", "dim", "key", "uid")
-        found = common.materialise(_runs(sorted_keys, bodies, window).mapInArrow(lambda it, w=window: _windows(it, threshold, w, kind), "a long, b long"), "links")
-        # what the passes find by themselves is measured; the sample's links are links too, and join them afterwards
-        own = found if of is None else found.union(of.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b"))
-        of = common.materialise(components(own), "components")
-        ends = known.join(of.select(F.col("id").alias("__a"), F.col("component").alias("ca")), F.col("a") == F.col("__a"), "left").join(of.select(F.col("id").alias("__b"), F.col("component").alias("cb")), F.col("b") == F.col("__b"), "left")
-        total, united = ends.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-        if united >= RECALL * total:
-            break
+def _across(batches, threshold: float, kind):
+    """Rows (dim, low, high, tile, uid, component, vec), sorted by the first three: links of components that nothing joins yet."""
+    for rows in _tiles(batches):
+        dim, low, high = rows[0][:3]
+        first, second = ([r for r in rows if r[3] == t] for t in (low, high))
+        if not first or not second:
+            continue
+        both = first if low == high else first + second
+        x = _unit(np.frombuffer(b"".join(r[6] for r in both), kind).reshape(len(both), dim))
+        ids, label = (np.array([r[c] for r in both], np.int64) for c in (4, 5))
+        column, rough, found = 0 if low == high else len(first), x.astype(np.float32), []
+        below = np.float32(threshold - (dim + 8) * 2e-7)  # single precision is not further off
+        for a in range(0, len(first), BLOCK):
+            hit = a + np.flatnonzero((rough[a : min(a + BLOCK, len(first))] @ rough[column:].T >= below).any(axis=1))
+            if len(hit):
+                _spanning(ids, x[hit] @ x[column:].T >= threshold, label, found, hit, column)
+        if found:
+            yield _edges(found)
+
+
+def _all_pairs(bodies: DataFrame, of: DataFrame, sizes: dict[int, int], threshold: float, kind) -> DataFrame:
+    """Links that join the components of: all pairs of one length are compared, in pairs of tiles."""
+    n_tiles = {d: max(-(-n * d * 8 // TILE_BYTES), min(LEAST_TILES, -(-n // WINDOW))) for d, n in sizes.items()}
+    tiles = F.create_map(*(F.lit(x) for kv in n_tiles.items() for x in kv))
+    known = bodies.join(of.select(F.col("id").alias("__id"), "component"), F.col("uid") == F.col("__id"), "left").withColumn("tiles", tiles[F.col("dim")].cast("long"))
+    dealt = known.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    pairs = other.select("dim", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "uid", F.coalesce("component", "uid").alias("component"), "vec")
+    return pairs.repartition("dim", "low", "high").sortWithinPartitions("dim", "low", "high").mapInArrow(lambda it: _across(it, threshold, kind), "a long, b long")
+
+
+def _united(bodies: DataFrame, mean: dict, sizes: dict[int, int], threshold: float, kind) -> DataFrame:
+    """Components of all links: of those that the passes find, and of those that join what the passes left apart. sizes: vectors of each length."""
+    keyed = bodies.mapInArrow(lambda it: _keys(it, mean, range(PASSES), kind), "turn int, dim int, key binary, uid long")
+    sorted_keys = keyed.repartitionByRange("turn", "dim", "key", "uid").sortWithinPartitions("turn", "dim", "key", "uid")
+    found = common.materialise(_runs(sorted_keys, bodies, WINDOW).mapInArrow(lambda it, w=WINDOW: _windows(it, threshold, w, kind), "a long, b long"), "links")
+    of = common.materialise(components(found), "components")
+    if not sizes:
+        return of
     star = of.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b")
-    return common.materialise(components(star.union(asked.filter("turn = 0").select("a", "b"))), "components")
+    return common.materialise(components(star.union(common.materialise(_all_pairs(bodies, of, sizes, threshold, kind), "links"))), "components")
 
 
 def _edges(found: list) -> pa.RecordBatch:
@@ -295,9 +287,10 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD)
     classes = rows.filter("ok").groupBy("k1", "k2").agg(F.min("row").alias("uid"), F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("vec"))
     classes = common.materialise(classes, "distinct")
     kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
-    mean = {d: m for d, (_, m) in means(classes).items()}
+    known = means(classes)
+    mean, sizes = {d: m for d, (_, m) in known.items()}, {d: n for d, (n, _) in known.items()}
     bodies = common.materialise(classes.select("uid", "vec").mapInArrow(lambda it: _pack_classes(it, kind), "uid long, dim int, vec binary"), "bodies")
-    comp = _united(bodies, mean, threshold, kind)
+    comp = _united(bodies, mean, sizes, threshold, kind)
     of = comp.select(F.col("id").alias("__id"), "component")
     members = classes.join(of, classes["uid"] == of["__id"]).select("uid", "weight", "component", "vec").mapInArrow(_pack_vectors, "uid long, weight long, component long, vec binary")
     members = common.materialise(members, "members")

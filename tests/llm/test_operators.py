@@ -188,6 +188,26 @@ def test_embeddings_against_plain(spark, vectors, monkeypatch):
     assert embedding.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_link_no_sample_tells_of(spark, monkeypatch):
+    """Many links that every pass finds, and a few in a cluster of close vectors that most passes miss: all of them are united."""
+    r = np.random.default_rng(9)
+    unit = lambda x: x / np.sqrt((x * x).sum(-1, keepdims=True))
+    centre = unit(r.standard_normal(48))
+    off = r.standard_normal((1500, 48))
+    off = unit(off - np.outer(off @ centre, centre))
+    off = off[[not (off[i] @ off[:i].T >= 0.45).any() for i in range(len(off))]]
+    off[1:4:2] = unit(off[0:4:2] + 1.5 * off[1:4:2])  # two pairs in the cluster, at 0.95 and a little; the others are at 0.9
+    close = np.sqrt(0.9) * centre + np.sqrt(0.1) * off
+    near = np.argwhere(np.triu(close @ close.T >= 0.95 * np.sqrt(np.outer((close**2).sum(1), (close**2).sum(1))), 1)).tolist()
+    assert [0, 1] in near and [2, 3] in near
+    easy = unit(r.standard_normal((4000, 48)))
+    rows = [(k, x.tolist()) for k, x in enumerate(np.concatenate((close, easy, easy + 1e-4 * r.standard_normal(easy.shape))))]
+    monkeypatch.setattr(embedding, "WINDOW", 1)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.component_id for x in embedding.embedding_near_duplicates(vectors).select("vec_id", "component_id").collect()}
+    assert all(got[i] == got[j] for i, j in near)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1300)] + [(2000, k) for k in range(2001, 2100)]
