@@ -9,8 +9,8 @@ A candidate's score is fixed when it is pushed: confidence of the edge, fan-in a
 whether its module is new to the slice by then. Equal scores go by id. A candidate that would pass the token budget is spilled, and the next
 one is tried; what is left when a slice is full or done is spilled too.
 
-Scale: a round is one ranking of at most max_cards candidates a slice (kept small before the shuffle), one join of what was taken with the edges, and a
-merge of candidates by (slice, symbol). Rounds are written, so lost executors cost no round again; there are 1 + max_cards at most.
+Scale: a round is one ranking of at most max_cards candidates a slice (kept small before the shuffle), one join of what was taken with its edges (others
+are left out by FLAGS flags before anything is shuffled), and a merge of candidates by (slice, symbol). Rounds are written, so lost executors cost no round again; there are 1 + max_cards at most.
 """
 
 from __future__ import annotations
@@ -25,6 +25,15 @@ from .slices import SliceRequest
 #: Weights of a candidate's score.
 WEIGHTS = {"confidence": 1.0, "fan_in": 0.3, "proximity": 0.5, "novelty": 0.2, "cost": -0.001}
 
+#: Flags of symbols, by hash: however large the input is, they are so many.
+FLAGS = 1 << 21
+
+
+def _flagged(steps: DataFrame, front: DataFrame) -> DataFrame:
+    """Steps of the symbols in front (id), and a few others."""
+    flag = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FLAGS - 1))
+    return steps.join(F.broadcast(front.select(flag("id").alias("__flag")).distinct()), flag("at") == F.col("__flag"), "left_semi")
+
 
 def _steps(edges: DataFrame, request: SliceRequest) -> DataFrame:
     """Edges as steps (at, to, confidence), the surest for each pair, that the request allows."""
@@ -55,7 +64,7 @@ def best_first_slices(edges: DataFrame, nodes: DataFrame, entries: DataFrame, re
     merit = w["confidence"] * F.col("confidence") + w["fan_in"] * F.log1p(F.coalesce("fan_in", F.lit(0))) + w["cost"] * tokens
     steps = materialise(known.select("at", "to", tokens.alias("tokens"), "module", merit.alias("merit")), "steps")
     #: The best that the steps of a symbol can score, but for proximity.
-    reach = steps.groupBy("at").agg((F.max("merit") + w["novelty"]).alias("reach"))
+    reach = materialise(steps.groupBy("at").agg((F.max("merit") + w["novelty"]).alias("reach")), "reach")
     most = max(0, min(request.max_cards - 1, request.max_edges))
     state = entries.filter(F.col("id").isNotNull() & F.col("slice_id").isNotNull()).select(F.col("slice_id").cast("string").alias("slice_id"), F.col("id").cast("string").alias("id")).distinct()
     state = state.join(facts.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left")
@@ -65,7 +74,8 @@ def best_first_slices(edges: DataFrame, nodes: DataFrame, entries: DataFrame, re
     slices_now = taken.select("slice_id", "spent", F.lit(0).alias("n"), "modules")
     while True:
         # what was taken last is expanded
-        pushed = front.filter(F.col("depth") < request.depth).select("slice_id", "id", "depth", "modules").join(steps, F.col("id") == F.col("at"))
+        front = front.filter(F.col("depth") < request.depth).select("slice_id", "id", "depth", "modules")
+        pushed = front.join(_flagged(steps, front), F.col("id") == F.col("at"))
         novel = F.when(F.col("module").isNotNull() & ~F.array_contains("modules", F.col("module")), w["novelty"]).otherwise(0.0)
         deeper = F.col("depth") + 1
         pushed = pushed.select("slice_id", F.col("to").alias("id"), deeper.alias("depth"), (F.col("merit") + w["proximity"] / deeper + novel).alias("score"), "tokens", "module")

@@ -69,3 +69,25 @@ def test_slices_equal_a_heap(spark, change):
         rows = got[s]
         assert [x.id for x in sorted((x for x in rows if x.kept), key=lambda x: x.place)] == kept
         assert {x.id for x in rows if not x.kept} == spilled and len(rows) == len(kept) + len(spilled)
+
+
+def test_rounds_neither_aggregate_nor_shuffle_all_steps(spark, monkeypatch):
+    """What the steps of a symbol bring is aggregated once, not in each round, and a round joins the steps of what it took only."""
+    plans, write = [], best_first.materialise
+
+    def told(df, name, by=None):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name, by)
+
+    monkeypatch.setattr(best_first, "materialise", told)
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + d}", 0.5) for k in range(30) for d in (1, 2, 3)], "caller string, callee string, confidence double")
+    nodes = spark.createDataFrame([(f"n{k}", 5, f"m{k % 4}") for k in range(40)], "id string, tokens long, module string")
+    entries = spark.createDataFrame([("s", "n0"), ("t", "n7")], "slice_id string, id string")
+    best_first.best_first_slices(edges, nodes, entries, SliceRequest("", 1, 1, direction="out", max_cards=4)).collect()
+    rounds = [plan for name, plan in plans if name == "round"]
+    assert rounds and not any("max(merit" in plan for plan in rounds)
+    pools = [plan for name, plan in plans if name == "pool"]
+    assert pools and all("LeftSemi" in plan for plan in pools)
+    steps = spark.createDataFrame([(f"n{k}", "x") for k in range(1000)], "at string, to string")
+    kept = {r["at"] for r in best_first._flagged(steps, entries).collect()}
+    assert {"n0", "n7"} <= kept and len(kept) < 10
