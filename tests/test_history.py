@@ -182,3 +182,13 @@ def test_suggestions_by_deletions(spark):
         found = tx.suggestions(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(n,) for n in names], "name string"), most)
         assert {x.word: x.suggestion for x in found.collect()} == {w: nearest(w, most) for w in words}
         assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_single_pairs_are_assigned_without_a_solver(spark, monkeypatch):
+    def never(frame):
+        raise AssertionError("called for a pair that competes with no other")
+
+    monkeypatch.setattr(history, "_solve_group", never)
+    pairs = [(f"b{k}", f"a{k}", 0.9) for k in range(50)] + [("b99", "a99", 0.4)]
+    got = history.assign(spark.createDataFrame(pairs, "before_id string, after_id string, probability double")).collect()
+    assert sorted((r["before_id"], r["after_id"]) for r in got) == sorted((b, a) for b, a, p in pairs if p > 0.5)
