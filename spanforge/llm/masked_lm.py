@@ -15,7 +15,7 @@ weights, makes one pass over its texts with some residues of the positions modul
 dealt and ordered by a hash of id and text and their number follows from the count of words, so the result doesn't depend on
 how the input is partitioned. The average of their weights, weighted by masked positions, is formed by a
 grouped sum over blocks of parameters; the driver only sees the average and the vocabulary, which grow with the
-root of the corpus, and so do the shards. Counts of the words outside the vocabulary stay a table: a slice of texts asks for those of its
+root of the corpus, and so do the shards. Word counts travel in packed buckets. Counts of the words outside the vocabulary stay a table: a slice of texts asks for those of its
 distinct words by 64-bit hash, a bucket of hashes at a time, and adds up the answers for each text.
 
 Rules for odd input: null or wordless texts score 0 with mean null; rows with equal ids
@@ -59,6 +59,8 @@ BLOCK = 4096
 #: Text looked up at once; counts held before they go out; distinct words of a bucket of counts.
 SLICE_BYTES = 16 << 20
 HELD_COUNTS = 2_000_000
+#: Buckets in which counts of words meet.
+COUNT_BUCKETS = 256
 BUCKET_WORDS = 1 << 20
 
 #: Ids: 0 stands for no word (before the first and after the last), then the vocabulary, then hashed ids.
@@ -121,93 +123,154 @@ def _bounded(x: np.ndarray) -> None:
         x -= x.max(1, keepdims=True)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    _bounded(x)
-    np.exp(x, out=x)
-    x /= _row_sums(x)[:, None]
-    return x
+def _large(weights: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether logits may be too large to be exponentiated as they are; states are within 1."""
+    return not np.abs(weights).sum(0).max() + max(biases.max(), -biases.min()) <= 60
 
 
-def _hidden(w: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The state made of the words around each of the padded positions."""
-    places = [k for k in range(-SIDE, SIDE + 1) if k]
-    h = w["embed"][0].take(ids[at + places[0]], axis=0)
-    for p, k in enumerate(places[1:], 1):
-        h += w["embed"][p].take(ids[at + k], axis=0)
-    h += w["bias"]
-    return np.tanh(h, out=h)
+class Output(NamedTuple):
+    """What the logits of a batch need of the parameters: those of members are linear in the state and in the class."""
+
+    of_class: np.ndarray  # what the members' logits get of each class
+    large_classes: bool
+    large_members: bool
+
 
+def output(w: dict) -> Output:
+    of_class = w["class_embed"] @ w["to_member"]
+    of_class += w["member_bias"]
+    return Output(of_class, _large(w["to_class"], w["class_bias"]), _large(w["to_member"], of_class))
 
-def _logits(w: dict, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of the classes, the state with the class c, logits of its members."""
-    x = h @ w["to_class"]
+
+def _state(w: dict, tables, rows) -> np.ndarray:
+    """The state made of the words around: rows of the tables."""
+    h = tables[0].take(rows[0], axis=0)
+    for table, r in zip(tables[1:], rows[1:]):
+        h += table.take(r, axis=0)
+    h += w["bias"]
+    # The hyperbolic tangent; the exponential function takes half the time of tanh.
+    h *= -2
+    with np.errstate(over="ignore"):
+        np.exp(h, out=h)
+    h += 1
+    np.divide(2, h, out=h)
+    h -= 1
+    return h
+
+
+def _logits(w: dict, out: Output, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the classes and of the members of the class c, fit to be exponentiated."""
+    x, y = h @ w["to_class"], h @ w["to_member"]
     x += w["class_bias"]
-    g = h + w["class_embed"].take(c, axis=0)
-    y = g @ w["to_member"]
-    y += w["member_bias"].take(c, axis=0)
-    return x, g, y
+    y += out.of_class.take(c, axis=0)
+    if out.large_classes:
+        _bounded(x)
+    if out.large_members:
+        _bounded(y)
+    return x, y
 
 
 def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Logarithms of the softmax of each row of x (which is overwritten) at a column."""
-    _bounded(x)
-    picked = x[np.arange(len(x)), column].astype(np.float64)
+    picked = x.take(np.arange(0, x.size, x.shape[1]) + column).astype(np.float64)
     np.exp(x, out=x)
     return picked - np.log(_row_sums(x))
 
 
-def log_probabilities(w: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+#: Where the words around stand.
+_AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])[:, None]
+
+
+def log_probabilities(w: dict, ids: np.ndarray, at: np.ndarray, out: Output | None = None) -> np.ndarray:
+    """out: that of w, where it is at hand."""
+    out = out or output(w)
     c, m = np.divmod(ids[at], w["to_member"].shape[1])
-    x, _, y = _logits(w, _hidden(w, ids, at), c)
+    x, y = _logits(w, out, _state(w, w["embed"], ids[at + _AROUND]), c)
     return _log_softmax_at(x, c) + _log_softmax_at(y, m)
 
 
 def _descend(w: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
-    """An adaptive step: each parameter's rate falls with its own summed squares."""
-    squares += gradient * gradient
-    w -= RATE * gradient / np.sqrt(squares + 1e-6)
-
-
-def _descend_rows(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """The same for the rows that a batch touches; values: a row of them for each of rows, or again from the first on where rows has more."""
-    order = np.sort(rows << 20 | np.arange(len(rows)))
-    r, order = order >> 20, order & 0xFFFFF
-    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    at, gradient = r[first], np.add.reduceat(values.take(order % len(values), axis=0), first, axis=0)
-    new = gradient * gradient
-    new += squares.take(at, axis=0)
-    squares[at] = new
-    new += 1e-6
-    gradient /= np.sqrt(new, out=new)
-    gradient *= -RATE
-    gradient += w.take(at, axis=0)
-    w[at] = gradient
+    """An adaptive step (gradient is overwritten): each parameter's rate falls with its own summed squares."""
+    root = gradient * gradient
+    squares += root
+    gradient /= np.sqrt(squares, out=root)
+    gradient *= RATE
+    w -= gradient
+
+
+def _rows(x: np.ndarray) -> np.ndarray:
+    """The rows of a table as single values, which are moved faster than rows of numbers."""
+    return x.view(np.dtype((np.void, x.shape[1] * x.itemsize)))[:, 0]
+
+
+def _distinct(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows out of size: where each one occurs last, where the others are, and for all the place of their last among the lasts."""
+    slot, number = np.empty(size, np.int64), np.arange(len(rows))
+    slot[rows] = number
+    is_last = slot.take(rows) == number
+    last, others = np.flatnonzero(is_last), np.flatnonzero(~is_last)
+    slot[rows.take(last)] = number[: len(last)]
+    return last, others, slot.take(rows)
+
+
+#: Tables of this process by width (plain: cached functions would travel to workers by name only).
+_NUMBERS: dict = {}
+
+
+def _numbers(shape: tuple[int, int]) -> np.ndarray:
+    """The places of a flat table's values, in rows (at least as many as in shape)."""
+    rows, width = shape
+    if len(_NUMBERS.get(width, ())) < rows:
+        _NUMBERS[width] = np.arange(2 * rows * width).reshape(-1, width)
+    return _NUMBERS[width]
+
+
+def _add_rows(total: np.ndarray, place: np.ndarray, values: np.ndarray) -> None:
+    """Adds the rows of values to those of total at their places."""
+    if values.shape[1] % 2 == 0:  # two numbers at once
+        total, values = (x.view(np.complex64 if x.itemsize == 4 else np.complex128) for x in (total, values))
+    np.add.at(total.reshape(-1), _numbers(total.shape).take(place, axis=0).reshape(-1), values.reshape(-1))
+
+
+def _softmax_error(x: np.ndarray, column: np.ndarray, part) -> np.ndarray:
+    """Logits (overwritten) to the derivatives of the loss by them: the softmax, less 1 at each row's column, times part."""
+    np.exp(x, out=x)
+    x *= (part / _row_sums(x))[:, None]
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + column] -= part
+    return x
 
 
 def train_step(w: dict, squares: dict, ids: np.ndarray, at: np.ndarray) -> None:
     """One step on the masked positions."""
+    table, table_squares = w["embed"].reshape(-1, DIM), squares["embed"].reshape(-1, DIM)
+    near = (ids[at + _AROUND] + np.arange(len(_AROUND))[:, None] * w["embed"].shape[1]).reshape(-1)
+    last, others, place = _distinct(near, len(table))
+    touched = near.take(last)
+    own, near = table.take(touched, axis=0), place.reshape(len(_AROUND), -1)
     c, m = np.divmod(ids[at], w["to_member"].shape[1])
-    h = _hidden(w, ids, at)
-    x, g, y = _logits(w, h, c)
-    pk, pm = _softmax(x), _softmax(y)
-    row, part = np.arange(len(at)), h.dtype.type(1 / len(at))
-    pk[row, c] -= 1
-    pm[row, m] -= 1
-    dg = pm @ w["to_member"].T
-    dh = pk @ w["to_class"].T
-    dh += dg
-    dh *= (1 - h * h) * part
-    _descend(w["to_member"], squares["to_member"], g.T @ pm * part)
-    _descend(w["to_class"], squares["to_class"], h.T @ pk * part)
-    _descend(w["class_bias"], squares["class_bias"], np.ones(len(pk), pk.dtype) @ pk * part)
+    h, part = _state(w, [own] * len(near), near), own.dtype.type(1 / len(at))
+    x, y = _logits(w, output(w), h, c)
+    x, y = _softmax_error(x, c, part), _softmax_error(y, m, part)
+    dh = x @ w["to_class"].T
+    dh += y @ w["to_member"].T
+    slope = h * h
+    dh *= np.subtract(1, slope, out=slope)
+    members = np.zeros_like(w["member_bias"])
+    _add_rows(members, c, y)
+    to_member, class_embed = h.T @ y, members @ w["to_member"].T
+    to_member += w["class_embed"].T @ members
+    _descend(w["to_member"], squares["to_member"], to_member)
+    _descend(w["to_class"], squares["to_class"], h.T @ x)
+    _descend(w["class_bias"], squares["class_bias"], np.ones(len(x), x.dtype) @ x)
     _descend(w["bias"], squares["bias"], np.ones(len(dh), dh.dtype) @ dh)
-    chosen = np.zeros((len(at), len(w["class_bias"])), pk.dtype)
-    chosen[row, c] = 1
-    _descend(w["member_bias"], squares["member_bias"], chosen.T @ pm * part)
-    _descend(w["class_embed"], squares["class_embed"], chosen.T @ dg * part)
-    size = w["embed"].shape[1]
-    near = np.concatenate([p * size + ids[at + k] for p, k in enumerate(k for k in range(-SIDE, SIDE + 1) if k)])
-    _descend_rows(w["embed"].reshape(-1, DIM), squares["embed"].reshape(-1, DIM), near, dh)
+    _descend(w["member_bias"], squares["member_bias"], members)
+    _descend(w["class_embed"], squares["class_embed"], class_embed)
+    # Of the embeddings, only the rows that the batch touches.
+    gradient = dh.take(last % len(at), axis=0)
+    _add_rows(gradient, place.take(others), dh.take(others % len(at), axis=0))
+    own_squares = table_squares.take(touched, axis=0)
+    _descend(own, own_squares, gradient)
+    _rows(table)[touched], _rows(table_squares)[touched] = _rows(own), _rows(own_squares)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -254,6 +317,11 @@ _TOKEN_KINDS = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.
 _TOKEN_NAMES = [x.split()[0] for x in _TOKENS.split(", ")]
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in the order of the hashes, so that sorted hashes are sorted by bucket."""
+    return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Runs of values, from each of ends to the next, as bytes."""
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
@@ -274,20 +342,17 @@ def _tokenise(batches, words: list[bytes], sizes: tuple[int, int], buckets: int
             unknown = word_hashes(found.filter(pa.array(new)))
             ids[new] = 1 + vocab + unknown % hashed
             distinct, place = np.unique(unknown.view(np.uint64), return_inverse=True)
-            bucket = (distinct % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order))
+            bucket = _bucket(distinct, buckets).astype(np.int32)
             n = batch.num_rows
             at = np.concatenate(([0], np.cumsum(new)))[ends]
             none = lambda kind, n=n: pa.nulls(n, kind)
-            texts = [pa.array(np.zeros(n, bool)), batch.column("doc_id"), batch.column("key"), pa.array(np.diff(ends)), _binaries(ids.astype(id_kind(sizes)), ends), _binaries(rank[place], at), pa.array(np.full(n, name)), none(pa.int32()), none(pa.binary())]
+            texts = [pa.array(np.zeros(n, bool)), batch.column("doc_id"), batch.column("key"), pa.array(np.diff(ends)), _binaries(ids.astype(id_kind(sizes)), ends), _binaries(place.astype(np.uint32), at), pa.array(np.full(n, name)), none(pa.int32()), none(pa.binary())]
             yield pa.RecordBatch.from_arrays(texts, names=_TOKEN_NAMES)
             if len(distinct):
                 asked = np.unique(bucket)
-                first = np.concatenate((np.searchsorted(bucket[order], asked), [len(order)]))
+                first = np.concatenate((np.searchsorted(bucket, asked), [len(bucket)]))
                 m = len(asked)
-                rows = [pa.array(np.ones(m, bool)), *(pa.nulls(m, k) for k in _TOKEN_KINDS[1:6]), pa.array(np.full(m, name)), pa.array(asked), _binaries(distinct[order], first)]
+                rows = [pa.array(np.ones(m, bool)), *(pa.nulls(m, k) for k in _TOKEN_KINDS[1:6]), pa.array(np.full(m, name)), pa.array(asked), _binaries(distinct, first)]
                 yield pa.RecordBatch.from_arrays(rows, names=_TOKEN_NAMES)
 
 
@@ -297,7 +362,7 @@ def _pack_counts(batches, buckets: int):
 
     def out():
         h, n = (np.concatenate(x) for x in zip(*held))
-        rows = [(b, h[k].tobytes() + n[k].tobytes()) for b, k in packing_blobs.by_bucket((h % np.uint64(buckets)).astype(np.int64))]
+        rows = [(b, h[k].tobytes() + n[k].tobytes()) for b, k in packing_blobs.by_bucket(_bucket(h, buckets).astype(np.int64))]
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "slice", "body"])
 
     for batch in batches:
@@ -405,7 +470,7 @@ def _train(batches, sizes: tuple[int, int], start: bytes, turn: int, rounds: int
                 if seen:
                     yield blocks()
                 now, held, size, seen = shard, [], 0, 0
-                flat, squares = np.frombuffer(start, np.float32).copy(), np.full(len(start) // 4, 1e-4, np.float32)
+                flat, squares = np.frombuffer(start, np.float32).copy(), np.full(len(start) // 4, 1e-4 + 1e-6, np.float32)
             for part in _pieces(body, sizes):
                 held.append(part)
                 size += len(part) - 2 * SIDE
@@ -435,21 +500,33 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["block", "body"])
 
 
+def _summed(held: list[pa.Table]) -> pa.Table:
+    total = pa.concat_tables(held).group_by(["word", "hash"]).aggregate([("n", "sum")])
+    return total.rename_columns(["word", "hash", "n"])
+
+
 def _count_words(batches):
-    """Word counts of a task; they go out whenever many are held."""
+    """Word counts of a task to rows (bucket, body: a stream of words, hashes and counts); they go out whenever many are held."""
     held: list[pa.Table] = []
 
     def out():
-        total = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
-        words = total.column("word").combine_chunks()
-        words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
-        return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(word_hashes(words)), total.column("n_sum").combine_chunks()], names=["word", "hash", "n"])
+        total = _summed(held).combine_chunks()
+        bucket = _bucket(total.column("hash").to_numpy().view(np.uint64), COUNT_BUCKETS).astype(np.uint16)
+        total, bodies = total.take(pa.array(np.argsort(bucket, kind="stable"))).combine_chunks(), []
+        asked, n = np.unique(bucket, return_counts=True)
+        for end, rows in zip(np.cumsum(n).tolist(), n.tolist()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, total.schema) as stream:
+                stream.write_table(total.slice(end - rows, rows))
+            bodies.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(asked.astype(np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "body"])
 
     for whole in batches:
         for batch in _slices(whole):
             found = pc.value_counts(split_words(batch.column("text"))[0])
             if len(found):
-                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                words = found.field("values")
+                held.append(pa.table({"word": words.cast(pa.binary()), "hash": word_hashes(words), "n": found.field("counts")}))
                 if sum(map(len, held)) > HELD_COUNTS:
                     yield out()
                     held.clear()
@@ -457,6 +534,22 @@ def _count_words(batches):
         yield out()
 
 
+def _merge_counts(batches):
+    """Rows of _count_words, sorted by bucket, to the counts of each bucket's words."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                if held:
+                    yield from _summed(held).to_batches()
+                now, held = bucket, []
+            held.append(pa.ipc.open_stream(body).read_all())
+            if len(held) > 1 and sum(map(len, held)) > HELD_COUNTS:
+                held = [_summed(held)]
+    if held:
+        yield from _summed(held).to_batches()
+
+
 class Lexicon(NamedTuple):
     words: list[bytes]
     sizes: tuple[int, int]
@@ -468,7 +561,8 @@ class Lexicon(NamedTuple):
 
 def lexicon(texts: DataFrame) -> tuple[Lexicon, list[int]]:
     """What is counted in all of texts, and the counts of the vocabulary."""
-    counts = texts.mapInArrow(lambda it: common.tidy(_count_words(it)), "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
+    parts = texts.mapInArrow(lambda it: common.tidy(_count_words(it)), "bucket int, body binary")
+    counts = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: common.tidy(_merge_counts(it)), "word binary, hash long, n long")
     counts = common.materialise(counts, "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, math.isqrt(total) // OFTEN)
@@ -529,6 +623,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Lexicon, np.ndarray]:
 def _score(batches, sizes: tuple[int, int], rest: np.ndarray, body: bytes):
     """Sums by the network, a word outside the vocabulary taken as one of the occurrences in its bucket (and one more, of words never counted)."""
     w = unpack(np.frombuffer(body, np.float32), sizes)
+    out = output(w)
     one = np.zeros(1 + sum(sizes))
     one[1 + sizes[0] :] = np.log(rest + 1)
     for batch in batches:
@@ -539,7 +634,7 @@ def _score(batches, sizes: tuple[int, int], rest: np.ndarray, body: bytes):
             ids = np.concatenate(held)
             at = _inner(held)
             doc = np.repeat(owner, [len(x) for x in held])[at]
-            lp = np.concatenate([log_probabilities(w, ids, at[k : k + BATCH]) for k in range(0, len(at), BATCH)])
+            lp = np.concatenate([log_probabilities(w, ids, at[k : k + BATCH], out) for k in range(0, len(at), BATCH)])
             total[:] += np.bincount(doc, lp - one[ids[at]], len(total))
             in_vocabulary[:] += np.bincount(doc, ids[at] <= sizes[0], len(total)).astype(np.int64)
 

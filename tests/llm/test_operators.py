@@ -459,6 +459,57 @@ def test_masked_lm_gradients():
         w[name][place] = before[name][place]
 
 
+def test_masked_lm_counts_travel_packed(monkeypatch):
+    """A task sends a row for each bucket, not one for each word; merged, these are the counts."""
+    monkeypatch.setattr(masked_lm, "HELD_COUNTS", 3000)
+    r = random.Random(3)
+    texts = [[" ".join(f"w{min(r.randrange(9000), r.randrange(9000))}" for _ in range(400)) for _ in range(20)] + [None, " "] for _ in range(4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["text"]) for x in texts]
+    parts = pa.Table.from_batches([b for x in (batches[:2], batches[2:]) for b in masked_lm._count_words(x)])
+    want = Counter(w for x in texts for t in x if t for w in t.encode().split())
+    assert 0 < len(parts) <= masked_lm.COUNT_BUCKETS * 4 < len(want)
+    rows = [r for b in masked_lm._merge_counts(parts.sort_by("bucket").to_batches()) for r in b.to_pylist()]
+    assert len(rows) == len(want) and {r["word"]: r["n"] for r in rows} == want
+    assert [r["hash"] for r in rows] == masked_lm.word_hashes(pa.array([r["word"].decode() for r in rows])).tolist()
+
+
+@pytest.mark.parametrize("sizes", [masked_lm.SIZES, (2175, 200)])
+def test_masked_lm_step_equals_plain(sizes):
+    """A step in double precision against one written out position by position, with words that repeat."""
+    rng = np.random.default_rng(1)
+    ids = np.concatenate(([0, 0], rng.integers(1, 40, 60), rng.integers(1, 1 + sum(sizes), 60), [0, 0])).astype(np.int64)
+    at = np.arange(2, 122)
+    w = masked_lm.unpack(masked_lm.initial(sizes).astype(np.float64), sizes)
+    start = {k: v.copy() for k, v in w.items()}
+    squares = {k: np.full_like(v, 0.01) for k, v in w.items()}
+    masked_lm.train_step(w, squares, ids, at)
+    g = {k: np.zeros_like(v) for k, v in start.items()}
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    for k in at:
+        c, m = divmod(ids[k], start["to_member"].shape[1])
+        near = [(p, ids[k + d]) for p, d in enumerate((-2, -1, 1, 2))]
+        h = np.tanh(start["bias"] + sum(start["embed"][x] for x in near))
+        state = h + start["class_embed"][c]
+        x, y = softmax(h @ start["to_class"] + start["class_bias"]), softmax(state @ start["to_member"] + start["member_bias"][c])
+        x[c] -= 1
+        y[m] -= 1
+        of_member = start["to_member"] @ y
+        dh = (start["to_class"] @ x + of_member) * (1 - h * h)
+        for name, place, value in [("to_class", ..., np.outer(h, x)), ("class_bias", ..., x), ("to_member", ..., np.outer(state, y)), ("member_bias", c, y), ("class_embed", c, of_member), ("bias", ..., dh), *(("embed", x, dh) for x in near)]:
+            g[name][place] += value / len(at)
+    for name in w:
+        assert np.allclose(squares[name], 0.01 + g[name] ** 2, atol=1e-12), name
+        assert np.allclose(w[name], start[name] - masked_lm.RATE * g[name] / np.sqrt(0.01 + g[name] ** 2), atol=1e-9), name
+
+
+def test_masked_lm_large_logits():
+    """Logits beyond what can be exponentiated give the logarithms that double precision gives."""
+    w = masked_lm.unpack(masked_lm.initial() * np.float32(300))
+    ids, at = np.random.default_rng(2).integers(0, masked_lm.SIZE, 64), np.arange(2, 62)
+    got, want = masked_lm.log_probabilities(w, ids, at), masked_lm.log_probabilities({k: v.astype(np.float64) for k, v in w.items()}, ids, at)
+    assert np.isfinite(got[want > -80]).all() and np.allclose(got, want, rtol=1e-3, atol=0.1)
+
+
 def test_functions_travel_by_value(tmp_path):
     """Workers need no copy of the package."""
     import os
