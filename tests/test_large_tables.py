@@ -67,3 +67,61 @@ def test_a_chain_of_calls_is_built_once(monkeypatch):
     monkeypatch.setattr(trees, "Node", lambda *a, **b: made.append(1) or node(*a, **b))
     trees.parse("a" + "()" * 12 + "\n", "python")
     assert len(made) < 200
+
+
+def test_similarity_join_sends_no_set_for_each_pair(spark, tmp_path):
+    """Near copies of one set make many pairs; a set is shuffled for a tile of them."""
+    import os
+
+    from spanforge.operators import history
+
+    kept = "filter(transform(sequence(0, 399), k -> IF(hash(id, k) % 10 = 0, concat('b:', sha2(concat(id, ' ', k), 256)), concat('b:', sha2(concat('all ', k), 256)))), x -> true)"
+    spark.range(240).selectExpr("'x' AS kind", "id AS set_id", f"{kept} AS features").write.parquet(f"{tmp_path}/sets")
+    sets = spark.read.parquet(f"{tmp_path}/sets")
+    size = sum(os.path.getsize(f"{tmp_path}/sets/{f}") for f in os.listdir(f"{tmp_path}/sets"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = history.similar_sets(sets.filter("set_id % 2 = 0"), sets.filter("set_id % 2 = 1"), 0.5).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 120 * 120
+    own = {r.set_id: set(r.features) for r in sets.collect()}
+    assert all(r.similarity == len(own[r.b_set] & own[r.a_set]) / len(own[r.b_set] | own[r.a_set]) for r in found)
+    assert shuffled() - before < 2 * size
+
+
+def test_word_pairs_of_texts(spark):
+    """By numpy as by strings: odd texts, words over the end of a text, long words, letters of other alphabets."""
+    import re
+
+    import pyarrow as pa
+
+    from spanforge.functions import word_pairs
+
+    texts = ["a b a b", "", "one", "é b c", "ends here", "again ends here", "  x\ny\tz  ", "a" * 5000 + " b", "a b", "ab cd", None and "", "1 2 3", "b a-b_a", "i̇ a b"]
+    texts = [t or "" for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([5] * len(texts))], names=["text", "kind"]).slice(1)
+    got = {}
+    for start, n, row, h in word_pairs.cut(batch):
+        for r, x in zip(row.tolist(), h.tolist()):
+            got.setdefault(start + r, set()).add(x)
+    want, named = {}, {}
+    for k, text in enumerate(texts[1:]):
+        words = re.findall("[a-z]+", text)
+        pairs = {f"{x} {y}" for x, y in zip(words, words[1:])}
+        if pairs:
+            want[k] = pairs
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    for x in want:
+        assert sorted(h & 3 for h in got[x]) == sorted([3, 2, 1][len(p) % 3] for p in want[x])
+        for y in want:
+            assert len(got[x] & got[y]) == len(want[x] & want[y])
